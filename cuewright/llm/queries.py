@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_records
+from . import decontamination, licenses, packing, token_records
 from .common import table
 
 
+def op2_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("accepted")
+
+
 def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
@@ -19,6 +27,8 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_automaton_decontamination": op2_suffix_automaton_decontamination,
+    "op3_license_templates": op3_license_templates,
     "op5_best_two_fit_packing": op5_best_two_fit_packing,
     "op7_token_records": op7_token_records,
 }
