@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, packing, token_records
+from . import decontamination, licenses, near_duplicates, packing, token_records
 from .common import table
 
 
@@ -26,11 +26,16 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_record_digests(table(spark, sf_dir, "documents"), end_id=2)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_automaton_decontamination": op2_suffix_automaton_decontamination,
     "op3_license_templates": op3_license_templates,
     "op5_best_two_fit_packing": op5_best_two_fit_packing,
     "op7_token_records": op7_token_records,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
