@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, near_duplicates, packing, token_records
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, token_records
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op6_cross_polytope_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_record_digests(table(spark, sf_dir, "documents"), end_id=2)
 
@@ -34,8 +38,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_automaton_decontamination": op2_suffix_automaton_decontamination,
     "op3_license_templates": op3_license_templates,
     "op5_best_two_fit_packing": op5_best_two_fit_packing,
+    "op6_cross_polytope_near_dedup": op6_cross_polytope_near_dedup,
     "op7_token_records": op7_token_records,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_cross_polytope_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, comp.c AS component_id, vec_id = comp.c AS kept
+        FROM embeddings JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
+}
