@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, token_records
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, token_records, toxicity
 from .common import table
 
 
+def op1_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -35,6 +40,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weak_supervision_toxicity": op1_weak_supervision_toxicity,
     "op2_suffix_automaton_decontamination": op2_suffix_automaton_decontamination,
     "op3_license_templates": op3_license_templates,
     "op5_best_two_fit_packing": op5_best_two_fit_packing,
