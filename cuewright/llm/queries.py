@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, token_records, toxicity
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, token_records, toxicity, web_archives
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("accepted")
 
 
+def op4_wacz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archives.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_supervision_toxicity": op1_weak_supervision_toxicity,
     "op2_suffix_automaton_decontamination": op2_suffix_automaton_decontamination,
     "op3_license_templates": op3_license_templates,
+    "op4_wacz_round_trip": op4_wacz_round_trip,
     "op5_best_two_fit_packing": op5_best_two_fit_packing,
     "op6_cross_polytope_near_dedup": op6_cross_polytope_near_dedup,
     "op7_token_records": op7_token_records,
