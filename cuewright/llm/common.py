@@ -62,13 +62,18 @@ def small_batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with state built once per task; long texts pass in slices of 512 rows, so memory stays bounded."""
+def map_batches(
+    df: DataFrame,
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    schema: str,
+    slices: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] = small_batches,
+) -> DataFrame:
+    """mapInArrow with state built once per task; texts pass in slices (of 512 rows by default), so memory stays bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for part in small_batches(batch):
+            for part in slices(batch):
                 out = each(part)
                 if out is not None and out.num_rows:
                     yield out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, staged
-from .tokens import encoder
+from .tokens import encoder, text_slices
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -102,12 +102,13 @@ def token_pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, toke
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}
-            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(raw, dtype=enc.dtype).astype("<u4"), np.uint32(end_id))
+            every, bounds = enc.encode_column(batch.column(1))
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                ids = np.append(every[bounds[k] : bounds[k + 1]].astype("<u4"), np.uint32(end_id))
                 at, piece, first = 0, 0, len(ids) % capacity or capacity
                 while at < len(ids):
                     to = first if not at else at + capacity
-                    for k, v in zip(out, (doc_id, piece, at, to - at, ids[at:to].astype("<u4").tobytes()), strict=True):
+                    for k, v in zip(out, (doc_id, piece, at, to - at, ids[at:to].tobytes()), strict=True):
                         out[k].append(v)
                     at, piece = to, piece + 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -115,7 +116,7 @@ def token_pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, toke
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids binary", text_slices)
 
 
 def with_checksum(pieces: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, work_dir
-from .tokens import encoder
+from .tokens import encoder, text_slices
 
 # --- checksums ------------------------------------------------------------------------------------------------------
 
@@ -138,13 +138,12 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str |
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(attempt + ".records") as out:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                ids = batch.column(0).slice(k, 256).to_pylist()
-                texts = batch.column(1).slice(k, 256).to_pylist()
+            for piece in text_slices(batch):
+                every, bounds = enc.encode_column(piece.column(1))
                 end, width = np.array([end_id], dtype=enc.dtype).tobytes(), enc.dtype.itemsize
                 data = [
-                    (0 if i is None else i).to_bytes(8, "little", signed=True) + bytes((i is None, width)) + raw + end
-                    for i, raw in zip(ids, enc.encode(texts), strict=True)
+                    (0 if i is None else i).to_bytes(8, "little", signed=True) + bytes((i is None, width)) + every[a:b].tobytes() + end
+                    for i, a, b in zip(piece.column(0).to_pylist(), bounds, bounds[1:], strict=False)
                 ]
                 heads = [len(d).to_bytes(8, "little") for d in data]
                 sums = masked(crc32c(heads + data)).astype("<u4").tobytes()

@@ -7,7 +7,11 @@ its ids kept, and the ids joined. Texts with runs of blanks, or with other white
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def default_tokenizer() -> str:
@@ -18,14 +22,12 @@ def default_tokenizer() -> str:
 
 #: Characters that may end a chunk behind its letters; none of them joins the letters in one piece.
 _TAIL = ".,;:!?*#%&$)"
-#: Stands in the place of a text's first chunk, which no blank precedes.
-_NONE = " "
 
 
 class ChunkEncoder:
-    """Encodes texts; keeps the ids of at most `keep` chunks."""
+    """Encodes texts; keeps the ids of about twice `keep` chunks."""
 
-    def __init__(self, path: str | None = None, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str | None = None, keep: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
@@ -36,7 +38,8 @@ class ChunkEncoder:
         self.keep = keep
         self.blank_first = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.blank_first[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.after_blank: dict[str, bytes | None] = {_NONE: b""}
+        self.after_blank: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
         self.at_start: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
@@ -74,30 +77,63 @@ class ChunkEncoder:
         for c, core, tail in tails:
             self.after_blank[c] = self.after_blank[core] + self.at_start[tail]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each text (null: none), in the width of self.dtype."""
-        if len(self.after_blank) > self.keep:
-            self.after_blank = {_NONE: b""}
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's begin in it (one bound more than texts). Null: no ids.
+
+        Arrow cuts the texts and numbers their different chunks; only these are looked up or encoded one by one.
+        """
+        if len(self.after_blank) > self.keep:  # what has been met since the last time stays within reach
+            self.before, self.after_blank = self.after_blank, {}
         if len(self.at_start) > self.keep:
             self.at_start = {"": b""}
-        parts = [(t or "").split(" ") for t in texts]
-        get, new, found = self.after_blank.get, set(), []
-        for p in parts:
-            head, p[0] = p[0], _NONE
-            ids = list(map(get, p))
-            if len(p) > 1 and "" in p:
-                ids = None
-            elif None in ids:
-                new.update(c for c, i in zip(p, ids, strict=True) if i is None)
-            found.append((head, ids))
-        self._learn_heads({head for head, _ in found})
-        self._learn(new - self.after_blank.keys())
-        out = []
-        for text, p, (head, ids) in zip(texts, parts, found, strict=True):
-            if ids is not None and None in ids:
-                ids = list(map(get, p))
-            out.append(self.whole(text) if ids is None or None in ids else self.at_start[head] + b"".join(ids))
-        return out
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        cuts = parts.offsets.to_numpy()
+        cuts = cuts - cuts[0]
+        first, chunks = cuts[:-1], parts.flatten().dictionary_encode()
+        distinct, at = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = [distinct[k] for k in at[first]]
+        self._learn_heads(set(heads))
+        inner = np.ones(len(at), dtype=bool)
+        inner[first] = False
+        used = np.zeros(len(distinct), dtype=bool)
+        used[at[inner]] = True
+        get = self.after_blank.get
+        missing, before = set(), self.before.get
+        for c, u in zip(distinct, used.tolist(), strict=True):
+            if u and c not in self.after_blank:
+                if (ids := before(c)) is not None:
+                    self.after_blank[c] = ids
+                elif c:
+                    missing.add(c)
+        self._learn(missing)
+        found = [get(c) if u else b"" for c, u in zip(distinct, used.tolist(), strict=True)]
+        odd_chunk = np.fromiter((f is None for f in found), dtype=bool, count=len(found))
+        odd = np.logical_or.reduceat(odd_chunk[at] & inner, first) if len(first) else np.zeros(0, dtype=bool)
+        own = [self.whole(texts[k].as_py()) if o else self.at_start[h] for k, (h, o) in enumerate(zip(heads, odd.tolist(), strict=True))]
+        raw = [f or b"" for f in found] + own
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // self.dtype.itemsize
+        at[first] = len(found) + np.arange(len(first))
+        lengths, begins = size[at], (np.cumsum(size) - size)[at]
+        lengths[np.repeat(odd, np.diff(cuts)) & inner] = 0
+        ends = np.cumsum(lengths)
+        places = np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        ids = np.frombuffer(b"".join(raw), dtype=self.dtype)[places]
+        return ids, np.concatenate(([0], ends))[cuts]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of each text (null: none), in the width of self.dtype."""
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `limit` bytes of text each, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 _ENCODERS: dict[str | None, ChunkEncoder] = {}
