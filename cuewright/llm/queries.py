@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, token_records, toxicity, web_archives
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, token_records, toxicity, web_archives
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_record_digests(table(spark, sf_dir, "documents"), end_id=2)
 
 
+def op8_crf_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_two_fit_packing": op5_best_two_fit_packing,
     "op6_cross_polytope_near_dedup": op6_cross_polytope_near_dedup,
     "op7_token_records": op7_token_records,
+    "op8_crf_page_text": op8_crf_page_text,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
