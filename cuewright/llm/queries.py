@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, token_records, toxicity, web_archives
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, pseudo_likelihood, token_records, toxicity, web_archives
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op8_crf_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_cross_polytope_near_dedup": op6_cross_polytope_near_dedup,
     "op7_token_records": op7_token_records,
     "op8_crf_page_text": op8_crf_page_text,
+    "op9_masked_pseudo_likelihood": op9_masked_pseudo_likelihood,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
