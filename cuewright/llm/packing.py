@@ -88,48 +88,38 @@ def _lines(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarra
     return {n: np.array(x, dtype=np.int64) for n, x in lines.items()}
 
 
-def token_pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, checksums: bool = False) -> DataFrame:
     """Every document's ids (plus end_id) as pieces: doc_id, piece, start, length, ids (little-endian 32-bit).
 
+    With checksums, ids_crc32 (their unsigned CRC-32) takes the place of the ids themselves.
+
     Only documents longer than the capacity are cut; the first piece takes the rest that does not fill a sequence. A
     null text is empty, and so is one piece with the end id alone. Repeated rows give their pieces once for each row.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    last = "ids_crc32" if checksums else "ids"
 
     def make():
         enc = encoder(tokenizer)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", last)}
             every, bounds = enc.encode_column(batch.column(1))
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 ids = np.append(every[bounds[k] : bounds[k + 1]].astype("<u4"), np.uint32(end_id))
                 at, piece, first = 0, 0, len(ids) % capacity or capacity
                 while at < len(ids):
                     to = first if not at else at + capacity
-                    for k, v in zip(out, (doc_id, piece, at, to - at, ids[at:to].tobytes()), strict=True):
+                    for k, v in zip(out, (doc_id, piece, at, to - at, zlib.crc32(ids[at:to]) if checksums else ids[at:to].tobytes()), strict=True):
                         out[k].append(v)
                     at, piece = to, piece + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if checksums else pa.binary())
             return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids binary", text_slices)
-
-
-def with_checksum(pieces: DataFrame) -> DataFrame:
-    """ids replaced by ids_crc32, their unsigned CRC-32."""
-
-    def make():
-        def each(b: pa.RecordBatch) -> pa.RecordBatch:
-            sums = pa.array([zlib.crc32(x) for x in b.column(4).to_pylist()], pa.int64())
-            return pa.RecordBatch.from_arrays([*b.columns[:4], sums], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-        return each
-
-    return map_batches(pieces, make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id long, piece int, start long, length long, {last} {'long' if checksums else 'binary'}", text_slices)
 
 
 def place(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
@@ -179,7 +169,7 @@ def place(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where every piece of every document lies."""
-    pieces = staged(with_checksum(token_pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer)), "packing-pieces")
+    pieces = staged(token_pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer, checksums=True), "packing-pieces")
     return place(pieces, capacity=capacity)
 
 

@@ -177,7 +177,7 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer: str | None =
     return files.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-def read_records(fs: pafs.FileSystem, name: str, numbers: list[int] | None = None, ahead: int = 1 << 23) -> Iterator[tuple[int | None, np.ndarray]]:
+def read_records(fs: pafs.FileSystem, name: str, numbers: list[int] | None = None, ahead: int = 1 << 21) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of a file's records: all in order, or those with the given numbers, each by its offset."""
     with fs.open_input_stream(name + ".index") as f:
         offsets = np.frombuffer(f.read(), dtype="<u8").astype(np.int64)
@@ -202,41 +202,39 @@ def read_records(fs: pafs.FileSystem, name: str, numbers: list[int] | None = Non
                 yield None if d[8] else int.from_bytes(d[:8], "little", signed=True), np.frombuffer(d, dtype=f"<u{d[9]}", offset=10)
 
 
-def read_token_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Rows of doc_id, start (ids of all documents before it), ids (little-endian unsigned 32-bit), from the files."""
+def read_token_records(spark: SparkSession, manifest: DataFrame, *, checksums: bool = False) -> DataFrame:
+    """Rows of doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit), from the
+    files; with checksums, ids_crc32 (their unsigned CRC-32) takes the place of the ids themselves."""
+    last, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
+    store = spark.conf.get("spark.checkpoint.dir")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_fs(store)
         for batch in batches:
             for file in batch.to_pylist():
-                fs, _ = open_fs(folder_uri)
-                start, ids, starts, raw, size = file["first_token"], [], [], [], 0
+                rows, start, size = [], file["first_token"], 0
                 for doc_id, tokens in read_records(fs, file["name"]):
-                    ids.append(doc_id)
-                    starts.append(start)
-                    raw.append(tokens.astype("<u4").tobytes())
+                    raw = tokens.astype("<u4").tobytes()
+                    rows.append((doc_id, start, len(tokens), zlib.crc32(raw) if checksums else raw))
                     start += len(tokens)
-                    size += len(raw[-1])
-                    if size > 1 << 24:
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "ids": pa.array(raw, pa.binary())})
-                        ids, starts, raw, size = [], [], [], 0
-                if ids:
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "ids": pa.array(raw, pa.binary())})
-
-    folder_uri = spark.conf.get("spark.checkpoint.dir")
+                    size += 64 if checksums else len(raw)
+                    if size > 1 << 22:
+                        yield as_batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield as_batch(rows)
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), kind)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", last])
+
     files = manifest.count()
-    return manifest.repartition(max(1, files), "part").mapInArrow(read, "doc_id long, start long, ids binary")
+    schema = f"doc_id long, start long, n_tokens long, {last} {'long' if checksums else 'binary'}"
+    return manifest.repartition(max(1, files), "part").mapInArrow(read, schema)
 
 
 def token_record_digests(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """Write the records, read them back, and give doc_id, start, n_tokens, ids_crc32 of each."""
     spark = docs.sparkSession
     manifest = staged(write_token_records(docs, work_dir(spark, "token-records"), tokenizer=tokenizer, end_id=end_id), "token-records-starts")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": b.column(0), "start": b.column(1), "n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64())}
-            )
-
-    return read_token_records(spark, manifest).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_records(spark, manifest, checksums=True)

@@ -27,7 +27,7 @@ _TAIL = ".,;:!?*#%&$)"
 class ChunkEncoder:
     """Encodes texts; keeps the ids of about twice `keep` chunks."""
 
-    def __init__(self, path: str | None = None, keep: int = 300_000) -> None:
+    def __init__(self, path: str | None = None, keep: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
