@@ -181,7 +181,7 @@ def _blocks_of(table: pa.Table, cosine: float):
 def _settled(open_: DataFrame, classes: DataFrame, cosine: float, block: int) -> DataFrame:
     """Links across components within open buckets: for each member one link to each other component at most."""
     ends = staged(open_.select("node").distinct(), "unsettled-nodes")
-    rows = open_.join(classes.select("node", "v").join(small_side(ends), "node", "left_semi"), "node")
+    rows = open_.drop("lo", "hi").join(classes.select("node", "v").join(small_side(ends), "node", "left_semi"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         comps, out = table.column("component").to_numpy(), set()

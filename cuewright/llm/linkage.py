@@ -59,8 +59,8 @@ def star_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unsettled(shared: DataFrame, components: DataFrame) -> DataFrame:
-    """Stored (bucket, node, component, n) of buckets with three members or more in several components."""
-    at = shared.select("bucket", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """Stored (bucket, node, lo, hi, component, n) of buckets with three members or more in several components."""
+    at = shared.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2")
     return staged(at.join(open_.select("bucket", "n"), "bucket"), "unsettled-buckets")
 

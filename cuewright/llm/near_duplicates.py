@@ -1,7 +1,8 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian verification and exact confirmation.
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets form one class. The
-classes' MinHash signatures are cut into bands; classes that share a band are candidates (linkage.py). A candidate's
+classes' MinHash signatures are cut into bands; classes that share a band are candidates (linkage.py): first with a bucket's ends,
+then, where its members are still in several components, with its medoids, and at last with one another. A candidate's
 signatures are compared batch by batch: after n positions with m matches the similarity has the posterior Beta(m+1,
 n-m+1), and the pair is pruned once the chance of its reaching the threshold falls below `miss`. Survivors are confirmed
 on their full sets. With the defaults a pair at the threshold shares no band with probability 3e-6.
@@ -108,15 +109,20 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, sig binary")
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    parts = sig.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
+    for k in range(BAND_ROWS):
+        h = mix64(h * _STEP + parts[:, :, k])
+    return h.view(np.int64)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
-            h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
-            for k in range(BAND_ROWS):
-                h = mix64(h * _STEP + sig[:, :, k])
             nodes = np.repeat(batch.column(0).to_numpy(), BANDS)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(h.ravel().view(np.int64)), "node": pa.array(nodes)})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(band_keys(_matrix(batch.column(1))).ravel()), "node": pa.array(nodes)})
 
         return each
 
@@ -200,24 +206,49 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     return staged(map_batches(both.select("a", "b", "x", "y"), make_check, "a long, b long"), "confirmed-links")
 
 
-def _settled(open_: DataFrame, classes: DataFrame, least: list[tuple[int, int]], block: int) -> DataFrame:
-    """Pairs across components that survive the comparison within their open buckets."""
+def _first_shared_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == y).reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
+
+
+def _medoids(sig: np.ndarray, count: int) -> np.ndarray:
+    """The rows that agree most with the most frequent value at each position: what mutated copies have in common."""
+    score = np.zeros(len(sig), dtype=np.int64)
+    for column in sig.T:
+        values, at, times = np.unique(column, return_inverse=True, return_counts=True)
+        score += at == times.argmax()
+    return np.argsort(-score, kind="stable")[:count]
+
+
+def _across(open_: DataFrame, classes: DataFrame, least: list[tuple[int, int]], block: int, centres: int | None) -> DataFrame:
+    """Pairs across components, from their first shared bucket, that survive the comparison of their signatures.
+
+    centres: only pairs with so many medoids of each block (linear in the bucket's size); None: all pairs. Pairs with a
+    bucket's ends have been verified before.
+    """
     ends = staged(open_.select("node").distinct(), "unsettled-nodes")
     rows = open_.join(classes.select("node", "sig").join(small_side(ends), "node", "left_semi"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, comps = table.column("node").to_numpy(), table.column("component").to_numpy()
         own, sig = table.column("_block").to_numpy(), _matrix(table.column("sig"))
-        a, b = [], []
-        for k in range(len(nodes)):
-            same = table.column("_i")[0].as_py() == table.column("_j")[0].as_py()
-            other = np.flatnonzero((comps != comps[k]) & ((np.arange(len(nodes)) > k) if same else (own > own[k])))
-            hit = other[survives(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], least)] if len(other) else other
-            a += np.minimum(nodes[k], nodes[hit]).tolist()
-            b += np.maximum(nodes[k], nodes[hit]).tolist()
+        tested = (nodes == table.column("lo").to_numpy()) | (nodes == table.column("hi").to_numpy())
+        band = int(np.flatnonzero(band_keys(sig[:1])[0] == table.column("bucket")[0].as_py())[0])
+        same = table.column("_i")[0].as_py() == table.column("_j")[0].as_py()
+        place, a, b = np.arange(len(nodes)), [], []
+        for k in np.arange(len(nodes)) if centres is None else _medoids(sig, centres + 2) if same else ():
+            if tested[k]:
+                continue
+            after = place != k if centres is not None else place > k if same else own > own[k]
+            other = np.flatnonzero((comps != comps[k]) & ~tested & after)
+            if not len(other):
+                continue
+            other = other[survives(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], least)]
+            other = other[_first_shared_band(sig[k][None], sig[other]) == band]
+            a += np.minimum(nodes[k], nodes[other]).tolist()
+            b += np.maximum(nodes[k], nodes[other]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "settled-pairs")
+    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "pairs-across")
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-7, block: int = 2048) -> DataFrame:
@@ -236,11 +267,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     shared, pairs = star_pairs(_bands(classes))
     links = _confirmed(staged(_pruned(pairs, classes, least), "surviving-pairs"), docs, classes, shingle_words, percent)
     components = staged(connected_components(links), "components-of-stars")
-    open_ = unsettled(shared, components)
-    if not open_.isEmpty():
-        more = _confirmed(_settled(open_, classes, least, block), docs, classes, shingle_words, percent)
+    for centres in (4, None):
+        open_ = unsettled(shared, components)
+        if open_.isEmpty():
+            break
+        more = _confirmed(_across(open_, classes, least, 8 * block if centres else block, centres), docs, classes, shingle_words, percent)
         if not more.isEmpty():
-            components = staged(connected_components(links.unionByName(more)), "components-of-all")
+            links = staged(links.unionByName(more), "links")
+            components = staged(connected_components(links), "components")
     ids = classes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = ids.join(smallest, "component").select("node", "component_id")
