@@ -20,6 +20,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Stands for chunks whose ids depend on what is before them; no chunk has ids of one byte.
+_ODD = b"?"
 #: Characters that may end a chunk behind its letters; none of them joins the letters in one piece.
 _TAIL = ".,;:!?*#%&$)"
 
@@ -27,7 +29,7 @@ _TAIL = ".,;:!?*#%&$)"
 class ChunkEncoder:
     """Encodes texts; keeps the ids of about twice `keep` chunks."""
 
-    def __init__(self, path: str | None = None, keep: int = 200_000) -> None:
+    def __init__(self, path: str | None = None, keep: int = 350_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
@@ -38,8 +40,8 @@ class ChunkEncoder:
         self.keep = keep
         self.blank_first = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.blank_first[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.after_blank: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        self.after_blank: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
@@ -52,14 +54,13 @@ class ChunkEncoder:
             for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
                 self.at_start[c] = np.array(e.ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks many at a time: in their joined text only each chunk's first token holds a blank."""
-        missing = []
-        tails = []
+        missing, tails = [], []
         for c in chunks:
             core = c.rstrip(_TAIL)
-            if c[0].isspace():  # white space next to a blank forms one piece with it
-                self.after_blank[c] = None
+            if not c or c[0].isspace():  # white space next to a blank forms one piece with it
+                self.after_blank[c] = _ODD
             elif core != c and core.isalpha():  # letters and what follows them are separate pieces
                 tails.append((c, core, c[len(core) :]))
             else:
@@ -93,31 +94,30 @@ class ChunkEncoder:
         distinct, at = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         heads = [distinct[k] for k in at[first]]
         self._learn_heads(set(heads))
+        found = list(map(self.after_blank.get, distinct))
+        if None in found:
+            places = [k for k, f in enumerate(found) if f is None]
+            new = [distinct[k] for k in places]
+            older = list(map(self.before.get, new))
+            self.after_blank.update((c, ids) for c, ids in zip(new, older, strict=True) if ids is not None)
+            self._learn([c for c, ids in zip(new, older, strict=True) if ids is None])
+            for k, c in zip(places, new, strict=True):
+                found[k] = self.after_blank[c]
+        bytes_of = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         inner = np.ones(len(at), dtype=bool)
         inner[first] = False
-        used = np.zeros(len(distinct), dtype=bool)
-        used[at[inner]] = True
-        get = self.after_blank.get
-        missing, before = set(), self.before.get
-        for c, u in zip(distinct, used.tolist(), strict=True):
-            if u and c not in self.after_blank:
-                if (ids := before(c)) is not None:
-                    self.after_blank[c] = ids
-                elif c:
-                    missing.add(c)
-        self._learn(missing)
-        found = [get(c) if u else b"" for c, u in zip(distinct, used.tolist(), strict=True)]
-        odd_chunk = np.fromiter((f is None for f in found), dtype=bool, count=len(found))
-        odd = np.logical_or.reduceat(odd_chunk[at] & inner, first) if len(first) else np.zeros(0, dtype=bool)
+        uncertain = bytes_of == len(_ODD)
+        odd = np.logical_or.reduceat(uncertain[at] & inner, first) if len(first) else np.zeros(0, dtype=bool)
         own = [self.whole(texts[k].as_py()) if o else self.at_start[h] for k, (h, o) in enumerate(zip(heads, odd.tolist(), strict=True))]
-        raw = [f or b"" for f in found] + own
-        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // self.dtype.itemsize
+        joined = b"".join(f for f in found if f is not _ODD) if uncertain.any() else b"".join(found)
+        bytes_of[uncertain] = 0
+        size = np.concatenate((bytes_of, np.fromiter(map(len, own), dtype=np.int64, count=len(own)))) // self.dtype.itemsize
         at[first] = len(found) + np.arange(len(first))
         lengths, begins = size[at], (np.cumsum(size) - size)[at]
         lengths[np.repeat(odd, np.diff(cuts)) & inner] = 0
         ends = np.cumsum(lengths)
         places = np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-        ids = np.frombuffer(b"".join(raw), dtype=self.dtype)[places]
+        ids = np.frombuffer(b"".join([joined, *own]), dtype=self.dtype)[places]
         return ids, np.concatenate(([0], ends))[cuts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -126,7 +126,7 @@ class ChunkEncoder:
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `limit` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(size), 0
