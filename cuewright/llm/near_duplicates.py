@@ -287,11 +287,11 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 def keep_one_of_each(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near-duplicates; columns and the rows that stay are unchanged.
 
-    Of rows that share the kept doc_id one stays. Rows without an id stay where their group has no id at all.
+    Of rows that share the kept doc_id one stays. If a group has no id at all, of each text without an id one row stays.
     """
     found = near_duplicates(docs, shingle_words=shingle_words, percent=percent)
-    kept = staged(found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept-documents")
-    with_id = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    if kept.filter("_kept is null").isEmpty():
+    kept = staged(found.filter("kept").select("doc_id").distinct(), "kept-documents")
+    with_id = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    if kept.filter("doc_id is null").isEmpty():
         return with_id
     return with_id.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
