@@ -47,7 +47,7 @@ def cross_polytope(x: np.ndarray, signs: np.ndarray, probes: int) -> tuple[np.nd
 def buckets(x: np.ndarray, labels: np.ndarray, tables: int, hashes: int, probes: int, seed: int) -> np.ndarray:
     """Rows by tables * (probes + 1) bucket numbers."""
     n, d = x.shape
-    width = 1 << max(1, (d - 1).bit_length())
+    width = 1 << max(4, (d - 1).bit_length(), probes.bit_length())
     padded = np.zeros((n, width))
     padded[:, :d] = x
     rng, out = np.random.default_rng(seed), []

@@ -6,7 +6,7 @@ toxic and another in clean texts; expectation-maximisation estimates these, the
 labels can be trusted. Correlations that the class does not explain are estimated from the residuals, and a voter's say
 is divided by the strength of those it has. A linear classifier is trained on the posterior labels and scores all texts.
 
-The fit uses at most about `positives` + `negatives` labelled rows, drawn by a hash of doc_id, of equal texts one;
+The fit uses at most about `positives` + `negatives` labelled rows, drawn by a hash of doc_id, of copies one;
 scoring has no bound.
 """
 
@@ -33,7 +33,7 @@ LEXICON = [
     "weakling", "weirdo", "whore", "wimp", "worthless", "wretch",
 ]
 #: Digits that stand for letters in disguised spellings.
-DISGUISE = bytes.maketrans(b"013457", b"oleast")
+DISGUISES = [bytes.maketrans(b"013457", b"oleast"), bytes.maketrans(b"013457", b"oieast")]
 PATTERNS = ["disguised", "spaced", "addressed", "shouted"]
 _STEMS = (4, 5, 6)
 _FOLDS = 5
@@ -62,7 +62,7 @@ class Voters:
         found = []
         if word in self.lexicon:
             found.append(self.lexicon[word])
-        elif (plain := word.translate(DISGUISE)) != word and plain in self.lexicon:
+        elif any((plain := word.translate(t)) != word and plain in self.lexicon for t in DISGUISES):
             found.append(self.patterns["disguised"])
         if word in self.whole:
             found.append(self.whole[word])
@@ -126,7 +126,10 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int)
         ((F.col("toxic") == 1) & (share < min(1.0, positives / max(1, n.get(1, 0))))) | ((F.col("toxic") == 0) & (share < min(1.0, negatives / max(1, n.get(0, 0)))))
     )
     chosen = staged(chosen, "training-sample-ids")  # its size is bounded by the two parameters, so it may be broadcast
-    return staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]), "training-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    for ends in (F.substring("text", 1, 60), F.substring("text", -60, 60)):  # copies would lend their rare words weight
+        rows = rows.withColumn("_end", ends).dropDuplicates(["_end"]).drop("_end")
+    return staged(rows, "training-sample")
 
 
 def _induced(sample: DataFrame, most: int, support: int) -> list[tuple[bytes, bool]]:
@@ -171,12 +174,12 @@ class LabelModel:
             size = w.sum(axis=1)
             self.balance = np.clip(size[1] / n, 0.01, 0.99)
             self.chance = np.clip((w @ votes + 0.05) / (size[:, None] + 1.0), 1e-4, 1 - 1e-4)
-            self.trust = np.clip(np.array([(w[0] @ (given == 0) + 1) / (size[0] + 2), (w[1] @ (given == 1) + 1) / (size[1] + 2)]), 0.55, 0.995)
-            if step == rounds // 2:
+            agree = np.array([w[0] @ (given == 0), w[1] @ (given == 1)])
+            self.trust = np.clip((agree + 0.99 * size + 1) / (2 * size + 2), 0.55, 0.995)  # as much prior as evidence
+            if step in (1, rounds // 2):
                 discount = 1 / (1 + self._residual(votes, post).sum(axis=1))
             fire = np.log(self.chance[1] / self.chance[0])
-            idle = np.log((1 - self.chance[1]) / (1 - self.chance[0]))
-            logit = np.log(self.balance / (1 - self.balance)) + votes @ (discount * (fire - idle)) + (discount * idle).sum()
+            logit = np.log(self.balance / (1 - self.balance)) + votes @ (discount * fire)  # a silent voter abstains
             label = np.where(given == 1, np.log(self.trust[1] / (1 - self.trust[0])), np.log((1 - self.trust[1]) / self.trust[0]))
             post = 1 / (1 + np.exp(-np.clip(logit + label, -30, 30)))
         self.posterior, self.discount = post, discount

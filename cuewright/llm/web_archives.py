@@ -146,7 +146,7 @@ class PackageReader:
         tail_at = max(0, self.length - 22 - 65_535)
         tail = self._read(tail_at, self.length - tail_at)
         end = tail.rfind(b"PK\x05\x06")
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(b"PK\x05\x06", 0, end)  # the mark may stand in the comment
         if end < 0:
             raise ValueError("no end of central directory")
