@@ -176,10 +176,9 @@ def _pruned(pairs: DataFrame, classes: DataFrame, least: list[tuple[int, int]])
     return map_batches(both.select("a", "b", "x", "y"), make, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "survivor-ends")
-    reps = staged(classes.join(small_side(ends), "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "survivor-documents")
+def _sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """node, hashes: the full sets of the given nodes (a stored table), from the texts of their classes' first documents."""
+    reps = staged(classes.join(small_side(ends), "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "documents-of-nodes")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,7 +188,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
         return each
 
     texts = docs.select("doc_id", "text").join(small_side(reps), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = map_batches(texts.select("text"), make, "node long, hashes binary").dropDuplicates(["node"])
+    return map_batches(texts.select("text"), make, "node long, hashes binary").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "survivor-ends")
+    sets = _sets(ends, docs, classes, size)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
 
     def make_check():
@@ -219,36 +224,64 @@ def _medoids(sig: np.ndarray, count: int) -> np.ndarray:
     return np.argsort(-score, kind="stable")[:count]
 
 
-def _across(open_: DataFrame, classes: DataFrame, least: list[tuple[int, int]], block: int, centres: int | None) -> DataFrame:
-    """Pairs across components, from their first shared bucket, that survive the comparison of their signatures.
-
-    centres: only pairs with so many medoids of each block (linear in the bucket's size); None: all pairs. Pairs with a
-    bucket's ends have been verified before.
-    """
+def _with_medoids(open_: DataFrame, classes: DataFrame, least: list[tuple[int, int]], centres: int, block: int, fewest: int = 16) -> DataFrame:
+    """Surviving pairs across components of larger open buckets' medoids with the rest: linear in a bucket's size."""
+    open_ = open_.filter(F.col("n") >= fewest)
     ends = staged(open_.select("node").distinct(), "unsettled-nodes")
     rows = open_.join(classes.select("node", "sig").join(small_side(ends), "node", "left_semi"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, comps = table.column("node").to_numpy(), table.column("component").to_numpy()
+        a, b = [], []
+        if table.column("_i")[0].as_py() == table.column("_j")[0].as_py():
+            sig = _matrix(table.column("sig"))
+            for k in _medoids(sig, centres):
+                other = np.flatnonzero(comps != comps[k])
+                other = other[survives(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], least)]
+                a += np.minimum(nodes[k], nodes[other]).tolist()
+                b += np.maximum(nodes[k], nodes[other]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "medoid-pairs")
+
+
+def _across(open_: DataFrame, docs: DataFrame, classes: DataFrame, least: list[tuple[int, int]], size: int, percent: int, block: int) -> DataFrame:
+    """Links across components within open buckets: every pair is compared in its first shared bucket, by signature and
+    then on full sets, unless links found in the same task already join its components. Pairs with a bucket's ends have
+    been verified before."""
+    ends = staged(open_.select("node").distinct(), "unsettled-nodes")
+    held = classes.select("node", "sig").join(small_side(ends), "node", "left_semi").join(_sets(ends, docs, classes, size), "node")
+    rows = open_.join(held, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, comps = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
         own, sig = table.column("_block").to_numpy(), _matrix(table.column("sig"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
         tested = (nodes == table.column("lo").to_numpy()) | (nodes == table.column("hi").to_numpy())
         band = int(np.flatnonzero(band_keys(sig[:1])[0] == table.column("bucket")[0].as_py())[0])
         same = table.column("_i")[0].as_py() == table.column("_j")[0].as_py()
         place, a, b = np.arange(len(nodes)), [], []
-        for k in np.arange(len(nodes)) if centres is None else _medoids(sig, centres + 2) if same else ():
-            if tested[k]:
-                continue
-            after = place != k if centres is not None else place > k if same else own > own[k]
-            other = np.flatnonzero((comps != comps[k]) & ~tested & after)
+        for k in np.flatnonzero(~tested):
+            near = 100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k])
+            other = np.flatnonzero((comps != comps[k]) & ~tested & near & (place > k if same else own > own[k]))
             if not len(other):
                 continue
             other = other[survives(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], least)]
             other = other[_first_shared_band(sig[k][None], sig[other]) == band]
-            a += np.minimum(nodes[k], nodes[other]).tolist()
-            b += np.maximum(nodes[k], nodes[other]).tolist()
+            if not len(other):
+                continue
+            every = np.concatenate([sets[j] for j in other])
+            at = np.minimum(np.searchsorted(sets[k], every), len(sets[k]) - 1)
+            common = np.add.reduceat((sets[k][at] == every).astype(np.int64), np.cumsum(sizes[other]) - sizes[other])
+            for j in other[100 * common >= percent * (sizes[other] + sizes[k] - common)]:
+                if comps[j] != comps[k]:
+                    a.append(min(nodes[k], nodes[j]))
+                    b.append(max(nodes[k], nodes[j]))
+                    comps[comps == comps[j]] = comps[k]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "pairs-across")
+    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "links-across")
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-7, block: int = 2048) -> DataFrame:
@@ -267,11 +300,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     shared, pairs = star_pairs(_bands(classes))
     links = _confirmed(staged(_pruned(pairs, classes, least), "surviving-pairs"), docs, classes, shingle_words, percent)
     components = staged(connected_components(links), "components-of-stars")
-    for centres in (4, None):
+    for last in (False, True):
         open_ = unsettled(shared, components)
         if open_.isEmpty():
             break
-        more = _confirmed(_across(open_, classes, least, 8 * block if centres else block, centres), docs, classes, shingle_words, percent)
+        if last:
+            more = _across(open_, docs, classes, least, shingle_words, percent, block)
+        else:
+            more = _confirmed(_with_medoids(open_, classes, least, 4, 8 * block), docs, classes, shingle_words, percent)
         if not more.isEmpty():
             links = staged(links.unionByName(more), "links")
             components = staged(connected_components(links), "components")
