@@ -52,8 +52,8 @@ GARBAGE_MARKS = ["error 500", "server error", "that's an error", "<html", "<!doc
 
 
 def first_nonempty(*columns: Column | str) -> Column:
-    """The first column that is neither null nor empty."""
-    return F.coalesce(*(F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns))
+    """The first column that is neither null nor empty; null without columns."""
+    return F.coalesce(F.lit(None).cast("string"), *(F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns))
 
 
 def tokens(text: Column) -> Column:

@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
@@ -23,7 +24,7 @@ def similarity_ratio(a: Column, b: Column) -> Column:
 def map_text(df: DataFrame, fn: Callable[[str, object], str], in_col: str = "text", hints_col: str | None = None, out_col: str = "text_hi_raw") -> DataFrame:
     """Adds out_col = fn(text, hints) for rows with text; blank and null texts get null and fn is not called."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, hints in batches:
             h = hints.to_dict("records") if isinstance(hints, pd.DataFrame) else list(hints)
