@@ -122,7 +122,7 @@ def _bucketed(classes: DataFrame, tables: int, hashes: int, probes: int, seed: i
 
         return each
 
-    return map_batches(classes.select("node", "label", "v"), make, "bucket long, node long").distinct()
+    return map_batches(classes.select("node", "label", "v"), make, "bucket long, node long")
 
 
 def _stack(raws: list[bytes]) -> np.ndarray:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, work_dir
@@ -202,11 +202,11 @@ def read_records(fs: pafs.FileSystem, name: str, numbers: list[int] | None = Non
                 yield None if d[8] else int.from_bytes(d[:8], "little", signed=True), np.frombuffer(d, dtype=f"<u{d[9]}", offset=10)
 
 
-def read_token_records(spark: SparkSession, manifest: DataFrame, *, checksums: bool = False) -> DataFrame:
+def read_token_records(manifest: DataFrame, store: str, *, checksums: bool = False) -> DataFrame:
     """Rows of doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit), from the
-    files; with checksums, ids_crc32 (their unsigned CRC-32) takes the place of the ids themselves."""
+    files; with checksums, ids_crc32 (their unsigned CRC-32) takes the place of the ids themselves. store: a URI in the
+    files' file system, such as the folder they were written to."""
     last, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
-    store = spark.conf.get("spark.checkpoint.dir")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(store)
@@ -235,6 +235,6 @@ def read_token_records(spark: SparkSession, manifest: DataFrame, *, checksums: b
 
 def token_record_digests(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """Write the records, read them back, and give doc_id, start, n_tokens, ids_crc32 of each."""
-    spark = docs.sparkSession
-    manifest = staged(write_token_records(docs, work_dir(spark, "token-records"), tokenizer=tokenizer, end_id=end_id), "token-records-starts")
-    return read_token_records(spark, manifest, checksums=True)
+    folder = work_dir(docs.sparkSession, "token-records")
+    manifest = staged(write_token_records(docs, folder, tokenizer=tokenizer, end_id=end_id), "token-records-starts")
+    return read_token_records(manifest, folder, checksums=True)
