@@ -255,3 +255,52 @@ def test_health(spark, tmp_path):
     batch = {r["engine"]: r["health"] for r in last.collect()}
     _run(R.provider_health_stream(_events(spark, tmp_path, rows, schema)), "health", "update")
     assert {r["engine"]: r["health"] for r in spark.sql("SELECT * FROM health").collect()} == batch == {"a": "degraded", "b": "healthy"}
+
+
+def _random_words(seed, n=300):
+    rng = np.random.default_rng(seed)
+    rows, at = [], 0
+    speaker = None
+    for k in range(n):
+        if rng.random() < 0.05:
+            speaker = [None, "a", "b"][int(rng.integers(3))]
+        word = "w" + ["", "", "", "", ",", "."][int(rng.integers(6))] if k > 120 else "w" + ["", "", ","][int(rng.integers(3))]
+        rows.append((1, k, word, at, at + 300, speaker))
+        at += 400
+    return rows
+
+
+WORDS = "track_id long, word_idx long, text string, start_ms long, end_ms long, speaker string"
+
+
+def test_sentences_by_fold(spark):
+    rows, want, n = _random_words(3), [], 0
+    for k, (_, _, word, _, _, speaker) in enumerate(rows):
+        if n and rows[k - 1][5] is not None and speaker is not None and rows[k - 1][5] != speaker:
+            want.append(n)
+            n = 0
+        n += 1
+        if word[-1] == "." or (word[-1] == "," and n >= 15) or n >= 25:
+            want.append(n)
+            n = 0
+    want += [n] if n else []
+    got = D.merge_into_sentences(spark.createDataFrame(rows, WORDS)).orderBy("sent_idx").collect()
+    assert [r["n_words"] for r in got] == want
+    assert " ".join(r["text"] for r in got) == " ".join(r[2] for r in rows)
+
+
+def test_greedy_cues_by_fold(spark):
+    rows, want, first = _random_words(5), [], 0
+    for k, (_, _, word, _, end, _) in enumerate(rows):
+        if word[-1] == "." or end - rows[first][3] >= 4500 or k - first + 1 >= 14:
+            want.append(k - first + 1)
+            first = k + 1
+    want += [len(rows) - first] if first < len(rows) else []
+    got = D.build_cues_greedy(spark.createDataFrame(rows, WORDS)).orderBy("cue_idx").collect()
+    assert [r["n_words"] for r in got] == want
+
+
+def test_rolling_words(spark):
+    rows = [(1, 0, "a", 1000, False), (1, 1, "a", 1003, False), (1, 2, "b", 1500, False), (1, 3, "c", 1400, True), (1, 4, "d", 1600, True), (1, 5, "a", 1700, True)]
+    got = D.dedup_rolling_words(spark.createDataFrame(rows, "track_id long, word_idx long, text string, start_ms long, plain boolean")).orderBy("word_idx").collect()
+    assert [(r["word_idx"], r["text"], r["start_ms"]) for r in got] == [(0, "a", 1000), (1, "b", 1500), (2, "d", 1600), (3, "a", 1700)]
