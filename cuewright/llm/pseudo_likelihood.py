@@ -1,10 +1,14 @@
 """Masked pseudo-likelihood scores by a bidirectional window network trained in numpy.
 
 Every word is predicted from the two words on either side of it: each neighbour has an embedding for its distance, their
-sum goes through tanh, and a softmax over the vocabulary follows. The vocabulary holds the corpus's most frequent words
-and some classes by checksum for all others. Training passes over all documents once, in rounds: a round's tasks each
-train a copy on their share, and the copies' mean, weighted by their words, begins the next round. A document's score is
-the sum of its words' conditional log-probabilities.
+sum goes through tanh, and a softmax over classes follows. The corpus's most frequent words are classes of their own, all
+others fall into some classes by checksum. Training passes over all documents once, in rounds: a round's tasks each train
+a copy on their share, and the copies' mean, weighted by their words, begins the next round.
+
+A word's probability is its class's by the network times its share of the class by the counts of the whole corpus, so
+every word has one of its own and those of all words add up to one. The counts are a stored table with a row for each
+word. Words up to a bounded number are broadcast with their shares; the occurrences of the others are joined with the
+table. A document's score is the sum of its words' conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, map_batches, words
+from .common import binary_column, map_batches, staged, words
 from .tokens import text_slices
 
 SIDE = 2
@@ -45,31 +49,68 @@ def count_words(docs: DataFrame, keep: int = 200_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _class_of_other(classes: int) -> Column:
+    """The class of a word that is none of the frequent ones, counted from the first such class."""
+    return F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(classes))
+
+
+def word_shares(counted: DataFrame, frequent: list[str], classes: int) -> DataFrame:
+    """word, n, share: the logarithm of each other word's share of its class; the frequent words are left out."""
+    own = counted.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
+    other = counted.join(F.broadcast(own), "word", "left_anti")
+    totals = other.groupBy(_class_of_other(classes).alias("class")).agg(F.sum("n").alias("total"))  # a row for each class
+    return other.withColumn("class", _class_of_other(classes)).join(F.broadcast(totals), "class").select("word", "n", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def _common_words(shares: DataFrame, most: int) -> list[tuple[str, float]]:
+    """The words of at least n occurrences, for the smallest n that leaves no more than `most` of them."""
+    sizes = shares.groupBy("n").count().orderBy(F.desc("n")).collect()  # different counts are few
+    least, total = None, 0
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["n"]
+    return [] if least is None else [(r["word"], r["share"]) for r in shares.filter(F.col("n") >= least).select("word", "share").collect()]
+
+
 class Vocabulary:
-    """Numbers of words: 0 .. len(frequent)-1, then `classes` numbers for all other words; the last stands for no word."""
+    """Numbers of words: 0 .. len(frequent)-1, then `classes` numbers for all other words; the last stands for no word.
+
+    `common` has some of the other words with the logarithms of their shares.
+    """
 
-    def __init__(self, frequent: list[str], classes: int) -> None:
-        self.ids = {w.encode(): k for k, w in enumerate(frequent)}
+    def __init__(self, frequent: list[str], classes: int, common: list[tuple[str, float]] = ()) -> None:
         self.first, self.classes = len(frequent), classes
         self.none = self.first + classes
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        ids = np.fromiter(map(self.ids.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-        other = np.flatnonzero(ids < 0)
-        ids[other] = [self.first + zlib.crc32(tokens[k]) % self.classes for k in other.tolist()]
-        return ids
-
-    def windows(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Targets, their 2 * SIDE neighbours, and the number of words of each text."""
-        gap, parts, sizes = np.full(SIDE, self.none), [], []
+        known = [*(w.encode() for w in frequent), *(w.encode() for w, _ in common)]
+        self.places = {w: k for k, w in enumerate(known)}
+        others = [self.first + zlib.crc32(w) % classes for w in known[self.first :]]
+        self.ids = np.array([*range(self.first), *others, -1], dtype=np.int64)
+        self.shares = np.array([*[0.0] * self.first, *(share for _, share in common), 0.0])
+
+    def numbers(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers of the words, the logarithms of their shares (0 where not known), and the words without known shares."""
+        places = np.fromiter(map(self.places.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+        ids = self.ids[places]
+        other = np.flatnonzero(places < 0)
+        rare = [tokens[k] for k in other.tolist()]
+        ids[other] = [self.first + zlib.crc32(w) % self.classes for w in rare]
+        return ids, self.shares[places], rare
+
+    def windows(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Targets, their 2 * SIDE neighbours, the number of words of each text; the targets' shares, the rest by text."""
+        gap, parts, sizes, shares, rare = np.full(SIDE, self.none), [], [], [np.zeros(0)], []
         for text in texts:
-            ids = self.numbers(words(text))
+            ids, known, rest = self.numbers(words(text))
             parts += [gap, ids]
             sizes.append(len(ids))
+            shares.append(known)
+            rare.append(rest)
         row = np.concatenate([*parts, gap])
         at = np.flatnonzero(row != self.none)
         around = np.stack([row[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
-        return row[at], around, np.array(sizes, dtype=np.int64)
+        return row[at], around, np.array(sizes, dtype=np.int64), np.concatenate(shares), rare
 
 
 class WindowNetwork:
@@ -131,13 +172,12 @@ class WindowNetwork:
             self.flat -= rate * grad / np.sqrt(self.square)
 
 
-def train_network(docs: DataFrame, *, frequent: int = 224, classes: int = 32, width: int = 24, rounds: int = 2, rate: float = 0.05) -> tuple[list[str], np.ndarray]:
-    """The vocabulary and the network's parameters, from all rows of docs (doc_id, text).
+def train_network(docs: DataFrame, counted: DataFrame, *, frequent: int = 224, classes: int = 32, width: int = 24, rounds: int = 2, rate: float = 0.05) -> tuple[list[str], np.ndarray]:
+    """The frequent words and the network's parameters, from all rows of docs (doc_id, text) and their counted words.
 
     Each row is trained on in one round, by a hash of its text; what the tasks hand on is as large as the network.
     """
     spark = docs.sparkSession
-    counted = count_words(docs)
     vocabulary = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(frequent).collect()]
     vocabulary += [f"\x00{k}" for k in range(frequent - len(vocabulary))]  # so few words: numbers that no word takes
     size = frequent + classes
@@ -150,7 +190,7 @@ def train_network(docs: DataFrame, *, frequent: int = 224, classes: int = 32, wi
             words_of, net, seen = Vocabulary(names, classes), WindowNetwork(size, width, start.copy()), 0
             for batch in batches:
                 for part in text_slices(batch):
-                    targets, around, _ = words_of.windows(binary_column(part, "text"))
+                    targets, around, *_ = words_of.windows(binary_column(part, "text"))
                     net.train(targets, around, rate)
                     seen += len(targets)
             if seen:
@@ -167,27 +207,34 @@ def train_network(docs: DataFrame, *, frequent: int = 224, classes: int = 32, wi
     return vocabulary, flat
 
 
-def pseudo_likelihood(docs: DataFrame, *, frequent: int = 224, classes: int = 32, width: int = 24, rounds: int = 2) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, *, frequent: int = 224, classes: int = 32, width: int = 24, rounds: int = 2, common: int = 100_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, log_likelihood (the sum), mean_log_likelihood, perplexity.
 
     Null and empty texts have no words, a sum of 0 and null means; repeated rows are scored each; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. How many `common` words are broadcast changes the work but not the scores.
     """
-    vocabulary, flat = train_network(docs, frequent=frequent, classes=classes, width=width, rounds=rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
+    counted = staged(count_words(docs), "word-counts")
+    vocabulary, flat = train_network(docs, counted, frequent=frequent, classes=classes, width=width, rounds=rounds)
+    shares = staged(word_shares(counted, vocabulary, classes), "word-shares")
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat, _common_words(shares, common)))
 
     def make():
-        names, values = shared.value
-        words_of, net = Vocabulary(names, classes), WindowNetwork(frequent + classes, width, values)
+        names, values, known = shared.value
+        words_of, net = Vocabulary(names, classes, known), WindowNetwork(frequent + classes, width, values)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            targets, around, sizes = words_of.windows(binary_column(batch, "text"))
-            ends = np.concatenate(([0.0], np.cumsum(net.log_probabilities(targets, around))))
+            targets, around, sizes, share, rare = words_of.windows(binary_column(batch, "text"))
+            ends = np.concatenate(([0.0], np.cumsum(net.log_probabilities(targets, around) + share)))
             to = np.cumsum(sizes)
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(sizes), "log_likelihood": pa.array(ends[to] - ends[to - sizes])})
+            left = pa.array([[w.decode("utf-8", "replace") for w in ws] for ws in rare], pa.list_(pa.string()))
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(sizes), "known": pa.array(ends[to] - ends[to - sizes]), "rare": left})
 
         return each
 
-    rows = map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_words long, log_likelihood double", text_slices)
+    rows = map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_words long, known double, rare array<string>", text_slices)
+    rows = staged(rows.withColumn("key", F.monotonically_increasing_id()), "known-words")  # stored, so that the keys stay
+    rest = rows.select("key", F.explode("rare").alias("word")).join(shares, "word").groupBy("key").agg(F.sum("share").alias("rest"))
+    rows = rows.select("key", "doc_id", "n_words", "known").join(rest, "key", "left")
+    rows = rows.select("doc_id", "n_words", (F.col("known") + F.coalesce("rest", F.lit(0.0))).alias("log_likelihood"))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     return rows.withColumn("mean_log_likelihood", mean).withColumn("perplexity", F.exp(-F.col("mean_log_likelihood")))

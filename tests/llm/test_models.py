@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import math
 import random
 import struct
 import zipfile
@@ -213,6 +214,22 @@ def test_order_matters_to_the_score(spark, nothing):
     assert pseudo_likelihood.pseudo_likelihood(nothing).count() == 0
 
 
+@pytest.mark.parametrize("common", [100_000, 5, 0])
+def test_every_word_has_a_probability_of_its_own(spark, common):
+    """Words of one class differ by their counts in the corpus, and the words of a class share its probability."""
+    names = [w for w in (f"rare{k}" for k in range(200)) if zlib.crc32(w.encode()) % 2 == 1][:12]
+    times = {w: k + 1 for k, w in enumerate(names)}
+    rows = [(k, "some words that are often seen") for k in range(100)] + [(200, None)]
+    rows += [(1000 + k, w) for k, w in enumerate(w for w, n in times.items() for _ in range(n))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    score = dict(d.join(pseudo_likelihood.pseudo_likelihood(d, frequent=6, classes=2, width=4, common=common), "doc_id").select("text", "log_likelihood").collect())
+    for w, n in times.items():
+        assert score[w] - score[names[0]] == pytest.approx(math.log(n), abs=1e-9)
+    one = score[names[0]] - math.log(1 / sum(times.values()))  # the class alone
+    assert sum(math.exp(score[w]) for w in names) == pytest.approx(math.exp(one))
+    assert score[None] == 0
+
+
 # The pipeline
 
 
