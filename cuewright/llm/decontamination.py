@@ -6,13 +6,12 @@ window length, the last `window` words are a window of the items that the state
 window count as one window of their own length.
 
 The automaton is built from blocks of items of at most `block_words` words and broadcast; more items mean more blocks,
-each streamed over all documents in turn. Before the automaton a vectorised test of neighbouring word pairs picks the
+each streamed over all documents in turn; findings of the blocks are united by row before anything is decided. Before the automaton a vectorised test of neighbouring word pairs picks the
 runs of words that could hold a window at all; it never rejects a run that does.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
@@ -189,44 +188,52 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b" ".join([*out, text[at:].lstrip(b" ")])
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[int | None, bytes | None]]]:
-    """Items in blocks of about `block_words` words. Only one block at a time is on the driver as it is built."""
+def _block_count(items: DataFrame, block_words: int) -> int:
+    """How many blocks of about `block_words` words the items make."""
     size = int(items.agg(F.sum(F.length("text"))).first()[0] or 0)
-    n = max(1, -(-size // (4 * block_words)))
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
-        yield [(r[0], None if r[1] is None else r[1].encode()) for r in rows]
+    return max(1, -(-size // (4 * block_words)))
+
+
+def _block(items: DataFrame, n: int, k: int) -> list[tuple[int | None, bytes | None]]:
+    """The items of block k of n; only one block at a time is on the driver as it is built."""
+    rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
+    return [(r[0], None if r[1] is None else r[1].encode()) for r in rows]
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (ids with occurring windows), spans (hit words, merged), longest.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Null and empty texts have no words and no
-    hits. Repeated rows are answered each. Without items nothing is hit. With several blocks of items the rows' findings
-    are merged by (doc_id, hash of the text), so rows that repeat both come out once.
+    hits. Repeated rows are answered each. Without items nothing is hit.
     """
     if window < 1:
         raise ValueError("window must be positive")
-    spark, found = docs.sparkSession, []
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<from:long,to:long>>, longest long"
+    n = _block_count(items, block_words)
     source = docs.select("doc_id", "text")
-    for block in _blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(ItemMatcher(block, window))
-        found.append(_one_block(source, shared, schema))
-    if len(found) == 1:
-        return found[0].drop("h")
-    rows = found[0]
-    for other in found[1:]:
-        rows = rows.unionByName(other)
-    rows = rows.groupBy("doc_id", "h").agg(
+    if n == 1:
+        return _one_block(source, docs.sparkSession.sparkContext.broadcast(ItemMatcher(_block(items, 1, 0), window)))
+    rows = staged(source.withColumn("key", F.monotonically_increasing_id()), "contamination-rows")  # stored, so that the keys stay
+    found = _all_blocks(rows.select("key", "text"), items, n, window)
+    return rows.select("key", "doc_id").join(found, "key").select("doc_id", "n_words", "n_hit", "items", "spans", "longest")
+
+
+def _all_blocks(rows: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """key and the findings of all blocks together, for each row of (key, text)."""
+    found = None
+    for k in range(n):
+        shared = rows.sparkSession.sparkContext.broadcast(ItemMatcher(_block(items, n, k), window))
+        one = staged(_one_block(rows.withColumnRenamed("key", "doc_id"), shared), "contamination-block")
+        shared.unpersist()
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy(F.col("doc_id").alias("key")).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.max("longest").alias("longest"),
     )
-    rows = rows.withColumn("spans", _merge("spans"))
+    found = found.withColumn("spans", _merge("spans"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    return rows.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans", "longest")
+    return found.select("key", "n_words", hit.alias("n_hit"), "items", "spans", "longest")
 
 
 def _merge(column: str) -> Column:
@@ -244,12 +251,12 @@ def _merge(column: str) -> Column:
     )
 
 
-def _one_block(source: DataFrame, shared, schema: str) -> DataFrame:
+def _one_block(source: DataFrame, shared) -> DataFrame:
     def make():
         matcher = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = {k: [] for k in ("n_words", "n_hit", "items", "spans", "longest", "h")}
+            out = {k: [] for k in ("n_words", "n_hit", "items", "spans", "longest")}
             for text in binary_column(batch, "text"):
                 tokens = words(text)
                 spans, items, longest = matcher.match(tokens)
@@ -258,14 +265,14 @@ def _one_block(source: DataFrame, shared, schema: str) -> DataFrame:
                 out["items"].append(sorted(str(i) for i in items if i is not None))
                 out["spans"].append([{"from": a, "to": b} for a, b in spans])
                 out["longest"].append(longest)
-                out["h"].append(hashlib.blake2b(b"" if text is None else text, digest_size=16).digest())
             span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": span, "longest": pa.int64(), "h": pa.binary()}
+            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": span, "longest": pa.int64()}
             return pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
 
         return each
 
-    return map_batches(source, make, schema + ", h binary")
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<from:long,to:long>>, longest long"
+    return map_batches(source, make, schema)
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataFrame:
@@ -286,29 +293,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_sp
     """docs without benchmark passages; columns and untouched rows stay as they are.
 
     Hit spans of more than `max_span` words are cut out of the text (n_chars, where present, follows); a document of
-    whose words more than `max_coverage` are hit is dropped. Null and empty texts stay. Blocks of items are applied one
-    after the other, each to what the one before it left.
+    whose words more than `max_coverage` are hit is dropped. Null and empty texts stay. Both are decided on the hits of
+    all items together, however many blocks these make.
     """
-    spark, out = docs.sparkSession, docs
-    names = docs.columns
+    n, names = _block_count(items, block_words), docs.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    for k, block in enumerate(_blocks(items, block_words)):
-        shared = spark.sparkContext.broadcast(ItemMatcher(block, window))
-        if k:
-            out = staged(out, "decontamination")
-        out = _cut(out, shared, schema, names, max_span, max_coverage)
-    return out
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(ItemMatcher(_block(items, 1, 0), window))
+        return _cut(docs, shared, None, schema, names, max_span, max_coverage)
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    rows = staged(rows, "decontamination")  # stored, so that the keys stay
+    found = _all_blocks(rows.select("key", F.col("row.text").alias("text")), items, n, window).filter("n_hit > 0").select("key", "spans")
+    hits = "spans"
+    while hits in {c.lower() for c in names}:
+        hits += "_"
+    rows = rows.join(found, "key", "left").select("row.*", F.col("spans").alias(hits))
+    return _cut(rows, None, hits, schema, names, max_span, max_coverage)
+
+
+def _cut(docs: DataFrame, shared, hits: str | None, schema: str, names: list[str], max_span: int, max_coverage: float) -> DataFrame:
+    """Drop and cut by the spans that the shared matcher finds, or by those in the column `hits`."""
 
-
-def _cut(docs: DataFrame, shared, schema: str, names: list[str], max_span: int, max_coverage: float) -> DataFrame:
     def make():
-        matcher = shared.value
+        matcher = shared.value if shared is not None else None
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, keep = binary_column(batch, "text"), []
+            given = None if hits is None else batch.column(batch.schema.get_field_index(hits)).to_pylist()
             for k, text in enumerate(texts):
                 tokens = words(text)
-                spans, _, _ = matcher.match(tokens)
+                spans = matcher.match(tokens)[0] if given is None else [(s["from"], s["to"]) for s in given[k] or ()]
                 stays = sum(b - a for a, b in spans) <= max_coverage * len(tokens)
                 keep.append(stays)
                 spans = [(a, b) for a, b in spans if b - a > max_span]

@@ -91,6 +91,27 @@ def test_decontaminate(spark, awkward):
     assert dc.decontaminate(awkward, b).columns == awkward.columns
 
 
+def test_blocks_of_items_change_no_row(spark, awkward):
+    """Repeated rows, and null and empty texts of one id, come out each, and cuts and drops are those of one block."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(12)]
+    runs = [" ".join(f"i0w{j}" for j in range(12)), " ".join(f"i0w{j}" for j in range(4, 12)) + " o1 o2 o3 o4"]
+    items += [(20, runs[1]), (21, "o1 o2 o3 o4 " + " ".join(f"p{j}" for j in range(8)))]
+    filler = lambda n: " ".join(f"f{rng.randrange(999)}" for _ in range(n))
+    rows = [(1, None), (1, ""), (2, "same text"), (2, "same text"), (3, f"{filler(30)} {runs[0]} o1 o2 o3 o4 " + " ".join(f"p{j}" for j in range(8)))]
+    for k in range(40):  # hit a third by each of two items
+        a, b = rng.sample(range(12), 2)
+        rows.append((100 + k, f"{items[a][1]} {filler(12)} {items[b][1]}"))
+        rows.append((200 + k, f"{items[a][1]} {filler(30)} {items[b][1]}"))
+    d = spark.createDataFrame([(*r, len(r[1] or ""), "x") for r in rows], "doc_id long, text string, n_chars long, Spans string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = [[sorted(map(tuple, f(d, b, block_words=n).collect()), key=str) for f in (dc.find_contamination, dc.decontaminate)] for n in (2_000_000, 40)]
+    assert got[0] == got[1]
+    assert len(got[1][0]) == len(rows) and not {r[0] for r in got[1][1]} & set(range(100, 140)) and {r[0] for r in got[1][1]} >= set(range(200, 240))
+    many = dc.decontaminate(awkward, b, block_words=40)
+    assert many.columns == awkward.columns and many.count() == awkward.count()
+
+
 def test_license_places_equal_brute_force(spark, awkward, nothing):
     texts = ["Under the MIT License. under the mit-license", "Apache License, Version 2.0 and CC BY-NC 4.0", "cc by", None, "", "under the mit"] + ["mit " * 5]
     d = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, labels int")
