@@ -21,13 +21,26 @@ from .common import map_batches
 
 # --- pages into blocks ----------------------------------------------------------------------------------------------
 
+_IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: Comments; raw text, which ends with its end tag or the page; tags; declarations; text.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|head|math|canvas|audio|video|select|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"|<(script|style|iframe|textarea)\b({_IN_TAG}>)(?:.*?</\1\s*>|.*\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_IN_TAG})>"
     r"|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
+#: What may follow <head>: up to </head> or the first thing that cannot stand in a head.
+_HEAD = re.compile(
+    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    rf"|<(script|style|title|noscript|template|noframes)\b{_IN_TAG}>(?:.*?</\1\s*>|.*\Z)"
+    rf"|</?(?:meta|link|base|basefont|bgsound)\b{_IN_TAG}>|</(?!head\b|body\b|html\b|br\b)[a-zA-Z]{_IN_TAG}>)*+(?:</head\s*>)?",
+    re.S | re.I,
+)
+_END_NOSCRIPT = re.compile(r"</noscript\s*>", re.I)
+#: Dropped up to their end tags; without one, the start tag alone is dropped.
+_DROPPED = frozenset("noscript template svg object math canvas audio video select".split())
+_FOREIGN = frozenset(("svg", "math"))
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -84,6 +97,52 @@ _ROOT = _Element("", frozenset(), "body")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _tokens(page: str) -> list[re.Match]:
+    """The page's tokens, without what stands in a head or a noscript element."""
+    out, at, foreign, more = [], 0, 0, True
+    while m := _TOKEN.match(page, at):
+        if m.end() == at:
+            break
+        at = m.end()
+        if m[1] and foreign and m[2].endswith("/>"):  # in svg and math such an element is empty
+            at = m.end(2)
+            continue
+        out.append(m)
+        if m[4] is None:
+            continue
+        tag = m[4].lower()
+        if tag in _FOREIGN:
+            foreign = max(0, foreign - 1) if m[3] else foreign + (not m[5].endswith("/"))
+        elif m[3]:
+            continue
+        elif tag == "head":
+            at = _HEAD.match(page, at).end()
+        elif tag == "noscript" and more:
+            end = _END_NOSCRIPT.search(page, at)
+            at, more = (end.end(), True) if end else (at, False)
+        elif tag in _BREAKS_OUT:
+            foreign = 0
+    return out
+
+
+#: Elements that end an svg or math element that was left open.
+_BREAKS_OUT = frozenset("body div p h1 h2 h3 h4 h5 h6 ul ol dl li table blockquote pre".split())
+
+
+def _dropped(tokens: list[re.Match]) -> dict[int, int]:
+    """For start tags of elements that are dropped: the place of the end tag, where there is one."""
+    ends, waiting = {}, {t: [] for t in _DROPPED}
+    for at, m in enumerate(tokens):
+        if m[4] is None or (tag := m[4].lower()) not in _DROPPED:
+            continue
+        if m[3]:
+            if waiting[tag]:
+                ends[waiting[tag].pop()] = at
+        elif not (tag in _FOREIGN and m[5].endswith("/")):
+            waiting[tag].append(at)
+    return ends
+
+
 def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of each leaf block with text, in page order."""
     stack, out, piece, linked, heading = [_ROOT], [], [], 0, False
@@ -98,8 +157,12 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
             piece.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        text = m[5]
+    tokens = _tokens(page or "")
+    ends, past = _dropped(tokens), 0
+    for at, m in enumerate(tokens):
+        if at < past:
+            continue
+        text = m[6]
         if text is not None:
             if "&" in text:
                 text = html.unescape(text)
@@ -107,19 +170,23 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
             if links:
                 linked += len(text)
             continue
-        if m[3] is None:
+        if m[4] is None:
             if m[1]:
                 piece.append(" ")
             continue
-        tag = m[3].lower()
+        tag = m[4].lower()
+        if tag in _DROPPED or tag == "head":
+            piece.append(" ")
+            past = ends.get(at, at) + 1
+            continue
         if tag in _INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m[3] else 1
             continue
         flush()
         if tag in _VOID:
             continue
-        if m[2]:
+        if m[3]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -130,7 +197,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         if stack[-1].tag == "p" or stack[-1].tag in closing:
             stack.pop()
         if len(stack) < 200:
-            stack.append(stack[-1].child(tag, m[4]))
+            stack.append(stack[-1].child(tag, m[5]))
     flush()
     found, n = [], len(out)
     for k, (text, element, linked) in enumerate(out):

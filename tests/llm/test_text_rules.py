@@ -150,6 +150,22 @@ def test_chain_on_held_out_pages(chain):
     assert right / total > 0.99
 
 
+def test_only_what_is_dropped_is_dropped():
+    """Open and self-closed elements do not take the rest of the page with them."""
+    texts = lambda page: [t for t, _ in pt.blocks(page)]
+    assert texts("<html><head><title>t</title><body><article><p>Main text.") == ["Main text."]
+    assert texts("<head><meta a=b><script>var x = '</head>'</script><p>One.</p></head><p>Two.") == ["One.", "Two."]
+    assert texts("<html><head><title>t</title></head><body><header>One.</header><p>Two.") == ["One.", "Two."]
+    for tail in ("", "<svg><text>x</text></svg>"):
+        assert texts('<p>One.</p><svg viewBox="0 0 1 1"/><p>Two.</p>' + tail) == ["One.", "Two."]
+    assert texts("<p>One.</p><svg><style/><svg/><text>x</text></svg><p>Two.") == ["One.", "Two."]
+    for tag in ("svg", "math", "object", "select", "video", "audio", "canvas", "template", "noscript"):
+        assert texts(f"<p>One.</p><{tag}><p>Two.</p>") == ["One.", "Two."]
+        assert texts(f"<p>One.</p><{tag}><b>x</b><p>y</p></{tag}><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<p>One.</p><video><p>Two.</p><video>x</video><p>Three.") == ["One.", "Two.", "Three."]
+    assert texts("<p>One.</p><script>if (a < b) x()") == ["One."]
+
+
 def test_viterbi_finds_the_best_labelling():
     import itertools
 
