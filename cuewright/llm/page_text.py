@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -72,7 +73,8 @@ class _Element:
         self.tag, self.inherited, self.near, self.children = tag, inherited, near, {}
         self.inside = [*inherited, "near:" + near]
 
-    def child(self, tag: str, attributes: str) -> _Element:
+    def child(self, tag: str, attributes: str, kept: bool = True) -> _Element:
+        """The element of such a start tag; `kept` for the next one like it."""
         found = self.children.get((tag, attributes))
         if found is None:
             new, near = {"in:" + tag} if tag not in ("html", "body") else set(), self.near
@@ -87,8 +89,8 @@ class _Element:
                         if f := _FAMILY.get(w):
                             new.add("of:" + f)
                             near = f
-            found = _Element(tag, self.inherited | new, near)
-            if len(self.children) < 2000:
+            found = _Element(tag, self.inherited if new <= self.inherited else self.inherited | new, near)
+            if kept and len(self.children) < 2000:
                 self.children[tag, attributes] = found
         return found
 
@@ -159,6 +161,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
 
     tokens = _tokens(page or "")
     ends, past = _dropped(tokens), 0
+    opened = Counter()
     for at, m in enumerate(tokens):
         if at < past:
             continue
@@ -187,17 +190,17 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         if tag in _VOID:
             continue
         if m[3]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    links = 0
-                    break
+            if opened[tag]:
+                while stack[-1].tag != tag:
+                    opened[stack.pop().tag] -= 1
+                opened[stack.pop().tag] -= 1
+                links = 0
             continue
         closing = _CLOSES.get(tag, ())
         if stack[-1].tag == "p" or stack[-1].tag in closing:
-            stack.pop()
-        if len(stack) < 200:
-            stack.append(stack[-1].child(tag, m[5]))
+            opened[stack.pop().tag] -= 1
+        stack.append(stack[-1].child(tag, m[5], len(stack) < 200))
+        opened[tag] += 1
     flush()
     found, n = [], len(out)
     for k, (text, element, linked) in enumerate(out):

@@ -166,6 +166,13 @@ def test_only_what_is_dropped_is_dropped():
     assert texts("<p>One.</p><script>if (a < b) x()") == ["One."]
 
 
+def test_elements_below_any_depth_count():
+    inside = lambda page: {t: {f for f in fs if f.startswith("in:")} for t, fs in pt.blocks(page)}
+    got = inside("<article>" + "<div>" * 250 + "deep" + "</div>" * 250 + "<p>later</p></article><footer>end</footer>")
+    assert got == {"deep": {"in:article", "in:div"}, "later": {"in:article", "in:p"}, "end": {"in:footer"}}
+    assert "in:footer" in inside("<section>" * 300 + "text<footer>end</footer>")["end"]
+
+
 def test_viterbi_finds_the_best_labelling():
     import itertools
 
