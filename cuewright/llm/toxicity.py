@@ -127,8 +127,8 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int)
     )
     chosen = staged(chosen, "training-sample-ids")  # its size is bounded by the two parameters, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    for ends in (F.substring("text", 1, 60), F.substring("text", -60, 60)):  # copies would lend their rare words weight
-        rows = rows.withColumn("_end", ends).dropDuplicates(["_end"]).drop("_end")
+    same = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)  # copies would lend their rare words weight
+    rows = rows.groupBy(same, "toxic").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.doc_id", "first.text", "toxic")
     return staged(rows, "training-sample")
 
 

@@ -47,6 +47,20 @@ def test_toxicity_learns_words_it_was_not_given(spark):
     assert {r["doc_id"] for r in toxicity.without_toxic(d, model).collect()} == {k for k, _, t in rows if not t}
 
 
+def test_training_sample_drops_whole_copies_only(spark):
+    """Texts with a common header or footer all stay; of equal texts of one label the smallest doc_id does."""
+    header, footer = "Some header of a source. " * 5, " Some footer of a source." * 5
+    rows = [(k, f"{header}text number {k}{footer}", k % 2) for k in range(40)]
+    rows += [(100 + k, "One  copied\nTEXT", k % 2) for k in range(9, -1, -1)] + [(200, "one copied text", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    ids = [r["doc_id"] for r in d.filter(~toxicity.held_out()).collect()]
+    got = {(r["doc_id"], r["text"], r["toxic"]) for r in toxicity._sample(d.select("doc_id", "text"), d.select("doc_id", "toxic"), 4000, 8000).collect()}
+    copies = [k for k in ids if k >= 100]
+    first = {min(k for k in copies if y == (1 if k == 200 else k % 2)) for y in (0, 1)}
+    assert {k for k, _, _ in got} == {k for k in ids if k < 100} | first
+    assert all((k, t, y) in set(rows) for k, t, y in got)
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(awkward, none)
