@@ -56,7 +56,7 @@ def _(v):
 
 @query("j03_align_reference_text", f"{_ID}, best_ref b, ratio d, status s")
 def _(v):
-    return J.align_reference(v.segments.withColumn("text", F.substring("text", 1, 200)), v.ref_segments.withColumn("text", F.substring("text", 1, 200)), mode="text")
+    return J.align_reference(v.segments, v.ref_segments, mode="text")
 
 
 @query("j03_align_reference_fast", f"{_ID}, best_ref b, ratio d, status s", "segments ref_segments", """

@@ -192,7 +192,7 @@ def _(v):
 
 @query("t15_format_lines", f"{_ID}, text s")
 def _(v):
-    return v.segments.withColumn("text", T.format_lines(F.substring("text", 1, 70)))
+    return v.segments.withColumn("text", T.format_lines(F.col("text")))
 
 
 @query("t16_prepare_speech_text", f"{_ID}, text s")
@@ -495,7 +495,7 @@ def _(v):
 
 @query("x02_similarity_ratio", f"{_ID}, ratio d")
 def _(v):
-    return v.segments.withColumn("ratio", X.similarity_ratio(F.substring("text", 1, 60), F.substring("text", 10, 60)))
+    return v.segments.withColumn("ratio", X.similarity_ratio(F.col("text"), F.expr("substring(text, 10)")))
 
 
 @query("x03_with_retry_fallback", f"{_ID}, text_translated s", "segments", "SELECT track_id, seg_idx, CASE WHEN n % 2 = 0 THEN reverse(text) ELSE text || '!' END AS text_translated FROM segments WHERE trim(text) <> ''")

@@ -46,3 +46,25 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_gives_rows(spark, name):
     assert registry.queries()[name](spark, TINY).count() > 0
+
+
+def test_text_queries_take_whole_texts(spark):
+    """Results equal the operators' on whole texts; some texts are longer than any bound of before."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__
+    from cuewright.functions import text as T
+    from cuewright.operators import joins as J
+    from cuewright.operators import udfs as X
+    from cuewright.plans.views import Views
+
+    v = Views(spark, TINY)
+    assert v.segments.selectExpr("max(length(text))").first()[0] > 200
+    want = {
+        "t15_format_lines": v.segments.withColumn("text", T.format_lines(F.col("text"))).select("track_id", "seg_idx", "text"),
+        "x02_similarity_ratio": v.segments.withColumn("ratio", X.similarity_ratio(F.col("text"), F.expr("substring(text, 10)"))).select("track_id", "seg_idx", "ratio"),
+        "j03_align_reference_text": J.align_reference(v.segments, v.ref_segments, mode="text").select("track_id", "seg_idx", "best_ref", "ratio", "status"),
+    }
+    for name, rows in want.items():
+        got = __spark_entry__.queries()[name](spark, TINY).select(rows.columns)
+        assert got.exceptAll(rows).count() == 0 and rows.exceptAll(got).count() == 0
