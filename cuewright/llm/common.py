@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of 0-9, a-z (A-Z lower-cased) and every character above 0x7F. In UTF-8 all bytes of such a
@@ -22,6 +24,22 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+_NO_WORD = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
+
+
+def word_runs(text: bytes | None, limit: int = 4 << 20) -> Iterator[bytes]:
+    """A text in runs of about `limit` bytes that cut no word, so that the words of a very long one never lie in memory together."""
+    at = 0
+    while text and len(text) - at > limit:
+        cut = _NO_WORD.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    if text:
+        yield text[at:] if at else text
+
+
 def blank_words(text: bytes | None) -> list[bytes]:
     """White-space separated words of a UTF-8 text, A-Z lower-cased; none for null."""
     return text.lower().split() if text else []
@@ -57,9 +75,18 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def small_batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def small_batches(batch: pa.RecordBatch, rows: int = 512, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most `rows` rows with about `limit` bytes of text and binary values, one row at least."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def map_batches(
@@ -68,7 +95,8 @@ def map_batches(
     schema: str,
     slices: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] = small_batches,
 ) -> DataFrame:
-    """mapInArrow with state built once per task; texts pass in slices (of 512 rows by default), so memory stays bounded."""
+    """mapInArrow with state built once per task; rows pass in slices (by default of up to 512 rows and 4 MB of text, or
+    of one row), so memory is bounded by the longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
