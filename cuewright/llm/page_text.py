@@ -13,6 +13,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,25 @@ from .common import map_batches
 
 # --- pages into blocks ----------------------------------------------------------------------------------------------
 
-_IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
-#: Comments; raw text, which ends with its end tag or the page; tags; declarations; text.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(script|style|iframe|textarea)\b({_IN_TAG}>)(?:.*?</\1\s*>|.*\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)({_IN_TAG})>"
-    r"|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+#: Inside a tag quotes count where a value begins, and only if they are closed. Nothing here ever goes back.
+_IN_TAG = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+
+
+def _token(in_tag: str, plain: str) -> re.Pattern:
+    """Comments; raw text, which ends with its end tag or the page; tags; declarations; text."""
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        rf"|<(script|style|iframe|textarea)\b({in_tag}>)(?:.*?</\1\s*>|.*\Z)"
+        rf"|<(/?)([a-zA-Z][^\s/>{plain}]*+)({in_tag})>"
+        rf"|<[!?][^>{plain}]*+>|([^<]++|<)",
+        re.S | re.I,
+    )
+
+
+_TOKEN = _token(_IN_TAG, "")
+#: For pages that end inside a tag: from there on no tag holds a further "<".
+_PLAIN_TOKEN = _token(_IN_TAG.replace("[^", "[^<"), "<")
+_UNENDED = re.compile(r"</?[a-zA-Z!?][^<]*+")
 #: What may follow <head>: up to </head> or the first thing that cannot stand in a head.
 _HEAD = re.compile(
     r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -100,11 +111,16 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 def _tokens(page: str) -> list[re.Match]:
-    """The page's tokens, without what stands in a head or a noscript element."""
-    out, at, foreign, more = [], 0, 0, True
-    while m := _TOKEN.match(page, at):
-        if m.end() == at:
-            break
+    """The page's tokens, without what stands in a head or a noscript element, in one pass over it.
+
+    A tag that the page's end cuts off is dropped up to the next "<"; the rest of the page stays.
+    """
+    out, at, foreign, more, token = [], 0, 0, True, _TOKEN
+    while m := token.match(page, at):
+        if m[6] == "<" and (unended := _UNENDED.match(page, at)):
+            at = unended.end() if token is _PLAIN_TOKEN else at  # else once more
+            token = _PLAIN_TOKEN
+            continue
         at = m.end()
         if m[1] and foreign and m[2].endswith("/>"):  # in svg and math such an element is empty
             at = m.end(2)
@@ -463,6 +479,11 @@ def main_text(page: str | None, chain: Chain) -> str:
     return " ".join(text for (text, _), label in zip(found, labels, strict=True) if label)
 
 
+@lru_cache(maxsize=4)
+def _default_chain(training_pages: int) -> Chain:
+    return train_chain(labelled_pages(training_pages))
+
+
 def extract_text(pages: DataFrame, *, chain: Chain | None = None, training_pages: int = 600) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
@@ -470,7 +491,7 @@ def extract_text(pages: DataFrame, *, chain: Chain | None = None, training_pages
     are ignored. Without a chain one is trained on labelled_pages(training_pages).
     """
     if chain is None:
-        chain = train_chain(labelled_pages(training_pages))
+        chain = _default_chain(training_pages)
     shared = pages.sparkSession.sparkContext.broadcast(chain)
 
     def make():

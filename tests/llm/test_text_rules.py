@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -173,6 +174,26 @@ def test_elements_below_any_depth_count():
     assert "in:footer" in inside("<section>" * 300 + "text<footer>end</footer>")["end"]
 
 
+def test_tags_that_are_written_badly():
+    """Quotes count where a value begins and are closed; a tag without an end takes no more than what stands up to the next one."""
+    text = lambda page: " ".join(t for t, _ in pt.blocks(page))
+    assert text("<article><p data-x=it's>First</p><p>It's the second</p></article>") == "First It's the second"
+    assert text('<article><p title="oops>First</p><p>Second</p></article>') == "First Second"
+    assert text('<p a="1>2" b = \'x>y\' c=z>First</p><p>Second') == "First Second"
+    assert text("<p>First</p><p class=x second <p>Third</p> 1 < 2 <b unended") == "First Third 1 < 2"
+    assert text('<p>First</p><a x=">" <b y=">" <i><p>Second</p><p z=">"') == "First Second"
+    nested = "<div>" * 300 + "<p>Deep</p>" + "</div>" * 300 + "<p>After</p>"
+    assert text(nested) == "Deep After"
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a x='", "<!", "<a <", '<p x=">" ', "</", "<script", "<head <", "&lt;<"])
+def test_bad_pages_take_linear_time(unit):
+    began = time.process_time()
+    pt.blocks(unit * (1_000_000 // len(unit)))
+    pt.blocks(unit * (1_000_000 // len(unit)) + ">")
+    assert time.process_time() - began < 6  # seconds for two megabytes
+
+
 def test_viterbi_finds_the_best_labelling():
     import itertools
 
