@@ -89,6 +89,12 @@ def small_batches(batch: pa.RecordBatch, rows: int = 512, limit: int = 4 << 20)
         at = to
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Numpy in Python workers keeps to one thread from now on, unless the session's owner has said otherwise: Spark
+    gives a task one core, and further threads would mostly wait for each other."""
+    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -106,6 +112,7 @@ def map_batches(
                 if out is not None and out.num_rows:
                     yield out
 
+    one_thread(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

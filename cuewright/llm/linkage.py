@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import size_bound, staged
+from .common import one_thread, size_bound, staged
 
 #: Rows of two or three numbers that may be broadcast: some tens of megabytes.
 BROADCAST_ROWS = 1_000_000
@@ -75,6 +75,7 @@ def by_blocks(rows: DataFrame, group: str, size: str, block: int, compare: Calla
     dealt = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64(F.col(node)), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other", "_blocks", size)
+    one_thread(rows.sparkSession)
     return dealt.groupBy(group, "_i", "_j").applyInArrow(lambda table: compare(table), schema)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, map_batches, staged, word_runs, words
+from .common import binary_column, map_batches, one_thread, staged, word_runs, words
 from .tokens import text_slices
 
 SIDE = 2
@@ -54,6 +54,7 @@ def count_words(docs: DataFrame, keep: int = 400_000) -> DataFrame:
         if counts:
             yield rows()
 
+    one_thread(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -62,6 +63,19 @@ def _class_of_other(classes: int) -> Column:
     return F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(classes))
 
 
+def most_common(counted: DataFrame, most: int) -> list[tuple[str, int]]:
+    """Words with their counts: all those above a count that no more than `most` words reach."""
+    level = F.floor(F.log2("n") * 32)
+    sizes = counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 32 rows a doubling
+    least, total = None, 0
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return [] if least is None else [(r["word"], r["n"]) for r in counted.filter(level >= least).collect()]
+
+
 def class_totals(counted: DataFrame, frequent: list[str], classes: int) -> np.ndarray:
     """How often words of each class, other than the frequent ones, stand in the corpus."""
     own = counted.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
@@ -227,6 +241,7 @@ def train_network(rows: DataFrame, total: int, size: int, *, width: int, rounds:
     under one doc_id are dealt to one replica.
     """
     spark, flat = rows.sparkSession, WindowNetwork(size, width).flat
+    one_thread(spark)
     replicas = max(1, min(most_replicas, ceil(total / rounds / replica_words)))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(flat)
@@ -289,11 +304,11 @@ def pseudo_likelihood(docs: DataFrame, *, frequent: int = 768, classes: int = 25
         raise ValueError("frequent + classes must stay below 65 536")
     spark, size = docs.sparkSession, frequent + classes
     counted = staged(count_words(docs), "word-counts")
-    top = [(r["word"], r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(frequent + common).collect()]  # bounded by the parameters
-    own = [w for w, _ in top[:frequent]]
+    own = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(frequent).collect()]
     totals = class_totals(counted, own, classes)
     own += [f"\x00{k}" for k in range(frequent - len(own))]  # so few words: numbers that no word takes
-    known = [(w, float(np.log(n / totals[zlib.crc32(w.encode()) % classes]))) for w, n in top[frequent:]]
+    taken = set(own)
+    known = [(w, float(np.log(n / totals[zlib.crc32(w.encode()) % classes]))) for w, n in most_common(counted, common) if w not in taken]
     shared = spark.sparkContext.broadcast((own, classes, known))
     rows = _numbered(docs, shared)
     total = rows.agg(F.sum("n_words")).first()[0] or 0
