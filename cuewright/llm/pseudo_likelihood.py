@@ -151,6 +151,7 @@ class WindowNetwork:
         self.shapes, self.cuts = shapes, cuts
         self.E, self.U, self.b, self.V, self.c = self._views(self.flat)
         self.square = np.full_like(self.flat, 1e-4)
+        self.limit = np.float32(80 / (width + 1))  # hidden values are within 1, so logits are within 80
 
     def _views(self, flat: np.ndarray) -> list[np.ndarray]:
         return [flat[a:b].reshape(s) for s, a, b in zip(self.shapes, self.cuts[:-1], self.cuts[1:], strict=True)]
@@ -184,9 +185,8 @@ class WindowNetwork:
     @staticmethod
     def _log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         """The logarithm of the softmax of z at what was chosen."""
-        z -= z.max(axis=1, keepdims=True)
         found = z[np.arange(len(z)), chosen]
-        return found - np.log(np.exp(z, out=z).sum(axis=1))
+        return found - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=z.dtype))
 
     def train(self, targets: np.ndarray, around: np.ndarray, rate: float, batch: int = 4096) -> None:
         """One pass of adaptive gradient steps over the words in their order."""
@@ -213,15 +213,14 @@ class WindowNetwork:
                 dE[k][w[first]] = np.add.reduceat(dh[sort], first, axis=0)
             self.square += grad * grad
             self.flat -= rate * grad / np.sqrt(self.square)
+            np.clip(self.flat, -self.limit, self.limit, out=self.flat)
 
     @staticmethod
     def _error(z: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
-        """Softmax of z less one at what was chosen, divided by n."""
-        z -= z.max(axis=1, keepdims=True)
+        """Softmax of z less one at what was chosen, divided by n; the bounds on parameters keep exp(z) finite."""
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), chosen] -= 1
-        z /= n
+        z *= (1 / (n * (z @ np.ones(z.shape[1], dtype=z.dtype))))[:, None]
+        z[np.arange(len(z)), chosen] -= np.float32(1 / n)
         return z
 
 
