@@ -205,21 +205,42 @@ def normalize_punct(text: Column) -> Column:
     return F.trim(text)
 
 
-def shorten_by_substitution(text: Column, target: Column, substitutions: Mapping[str, str], fillers: Sequence[str] = ()) -> Column:
-    """While there are more words than target: substitutions by characters saved, then fillers, each at its first place."""
-    rules = sorted(substitutions.items(), key=lambda kv: len(kv[1]) - len(kv[0])) + [(f, "") for f in fillers]
-    for old, new in rules:
-        at = F.instr(text, old)
-        once = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(new), F.substring(text, at + len(old), F.length(text)))
-        text = F.when((count_words(text) > target) & (at > 0), squeeze(once)).otherwise(text)
-    return text
-
-
-def compress_if_needed(text: Column, slot_ms: Column, substitutions: Mapping[str, str], fillers: Sequence[str] = (), wpm: int = 120) -> Column:
+def shorten_by_substitution(text: Column, target: Column, substitutions: Mapping[str, str], fillers: Sequence[str] = (), protected: Sequence[str] = ()) -> Column:
+    """While there are more words than target: substitutions by characters saved, then fillers, each at its first place;
+    then the shortest clause between commas goes, and at last that between dandas. Of equal ones the last clause goes;
+    the first, blank ones and clauses with a protected term stay, as do words that a substitution would take from or
+    give to a protected term. A text is never cut within a clause, so it may stay longer than the target."""
+    rules = [(k, v) for k, v in sorted(substitutions.items(), key=lambda kv: len(kv[1]) - len(kv[0])) if k and k not in protected and v not in protected]
+    rules += [(f, "") for f in fillers if f]
+    if rules:
+
+        def apply(t: Column, rule: Column) -> Column:
+            at = F.position(rule["old"], t)
+            once = F.concat(F.substring(t, F.lit(1), at - 1), rule["new"], F.substring(t, at + F.length(rule["old"]), F.length(t)))
+            return F.when((count_words(t) > target) & (at > 0), F.trim(F.regexp_replace(once, r"\s{2,}", " "))).otherwise(t)
+
+        text = F.aggregate(F.array(*(F.struct(F.lit(k).alias("old"), F.lit(v).alias("new")) for k, v in rules)), text, apply)
+
+    def without(t: Column, mark: str) -> Column:
+        parts = F.split(t, mark)
+        sized = F.transform(parts, lambda clause, k: F.struct(count_words(clause).alias("n"), (-k).alias("back"), clause.alias("clause")))
+        locked = lambda c: F.exists(F.array(*map(F.lit, protected)), lambda p: F.contains(c, p)) if protected else F.lit(False)
+        worst = F.array_min(F.filter(sized, lambda s: (s["back"] < 0) & (s["n"] > 0) & ~locked(s["clause"])))
+        rest = F.concat(F.slice(parts, F.lit(1), -worst["back"]), F.slice(parts, 2 - worst["back"], F.size(parts)))
+        joined = F.trim(F.regexp_replace(F.array_join(rest, mark), r"\s{2,}", " "))
+        ended = F.when((joined == "") | joined.rlike(r"[।!?,]$"), joined).otherwise(F.concat(joined, F.lit("।")))
+        return F.when((count_words(t) > target) & worst.isNotNull(), ended).otherwise(t)
+
+    # a lambda's variable stands for the text, so that the expression does not repeat itself
+    text = F.get(F.transform(F.array(text), lambda t: without(t, ",")), 0)
+    return F.get(F.transform(F.array(text), lambda t: without(t, "।")), 0)
+
+
+def compress_if_needed(text: Column, slot_ms: Column, substitutions: Mapping[str, str], fillers: Sequence[str] = (), wpm: int = 120, protected: Sequence[str] = ()) -> Column:
     """Shorten where the estimated speech is over 125 % of a slot of more than 0.3 s."""
     long = (count_words(text) * 60_000 / F.lit(wpm)) > slot_ms * 1.25
     target = F.greatest(F.floor(slot_ms * 1.25 * wpm / 60_000).cast("int"), F.lit(3))
-    return F.when((slot_ms > 300) & long, shorten_by_substitution(text, target, substitutions, fillers)).otherwise(text)
+    return F.when((slot_ms > 300) & long, shorten_by_substitution(text, target, substitutions, fillers, protected)).otherwise(text)
 
 
 def naturalness_score(text: Column, banned: Sequence[str] = BANNED_FORMAL) -> Column:

@@ -6,6 +6,9 @@ bucket that it touches, and a pair counts in the first bucket that both share.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..functions import text as T
 
 #: Dictionaries are broadcast up to so many rows; larger ones join by shuffling.
 BROADCAST_ROWS = 100_000
+#: Interval joins deal a track by minutes; None would compare all pairs of a track.
+BUCKET_MS = 60_000
 
 
 def dimension(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,34 +29,58 @@ def overlap_ms(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
 
 
-def interval_join(left: DataFrame, right: DataFrame, *, slack_ms: int = 0, bucket_ms: int | None = 60_000, how: str = "left") -> DataFrame:
-    """Rows l.*, r (a struct of right's row, null where nothing overlaps), overlap_ms > -slack_ms, of one track."""
-    r = right.select("track_id", F.struct(*[c for c in right.columns if c != "track_id"]).alias("r"))
+def _by_bucket(left: DataFrame, right: DataFrame, slack_ms: int, bucket_ms: int | None, how: str) -> DataFrame:
+    """Rows l.*, r, overlap_ms of one evaluation of the join. With buckets a left join gives a row that overlaps nothing
+    in some of its buckets a null r there, besides what it overlaps in others."""
+    r = right.select(F.col("track_id").alias("_t"), F.struct(*[c for c in right.columns if c != "track_id"]).alias("r"))
     over = overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r.start_ms"), F.col("r.end_ms"))
-    if bucket_ms is None:
-        return left.join(r.withColumnRenamed("track_id", "_t"), (F.col("track_id") == F.col("_t")) & (over > -slack_ms), how).withColumn("overlap_ms", over).drop("_t")
-    at = lambda c: F.floor(c / bucket_ms).cast("bigint")
-    ends = lambda s, e: F.sequence(at(s), F.greatest(at(s), at(e)))
-    l_ = left.withColumn("_id", F.struct("track_id", "start_ms", "end_ms")).withColumn("_b", F.explode(ends(F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms)))
-    r_ = r.withColumn("_b", F.explode(ends(F.col("r.start_ms"), F.col("r.end_ms"))))
-    first = F.greatest(at(F.col("start_ms") - slack_ms), at(F.col("r.start_ms")))
-    pairs = l_.join(r_, ["track_id", "_b"]).filter((over > -slack_ms) & (F.col("_b") == first)).withColumn("overlap_ms", over).drop("_b", "_id")
-    if how == "inner":
-        return pairs
-    hit = pairs.select(*left.columns).distinct()
-    none = left.join(hit, [left[c].eqNullSafe(hit[c]) for c in left.columns], "left_anti")
-    return pairs.select(*left.columns, "r", "overlap_ms").unionByName(none, allowMissingColumns=True)
-
-
-def reconcile_words(text_words: DataFrame, timing_words: DataFrame, bucket_ms: int | None = None) -> DataFrame:
+    times = [F.col(c) for c in ("start_ms", "end_ms", "r.start_ms", "r.end_ms")]
+    on = reduce(and_, (t.isNotNull() for t in times), (F.col("track_id") == F.col("_t")) & (over > -slack_ms))
+    if bucket_ms is not None:
+        at = lambda c: F.floor(c / bucket_ms).cast("bigint")
+        ends = lambda s, e: F.sequence(at(s), F.greatest(at(s), at(e)))
+        left = left.withColumn("_b", F.explode_outer(ends(F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms)))
+        r = r.withColumn("_c", F.explode(ends(F.col("r.start_ms"), F.col("r.end_ms"))))
+        on = on & (F.col("_b") == F.col("_c")) & (F.col("_b") == F.greatest(at(F.col("start_ms") - slack_ms), at(F.col("r.start_ms"))))
+    return left.join(r, on, how).withColumn("overlap_ms", F.when(F.col("r").isNotNull(), over)).drop("_t", "_b", "_c")
+
+
+def interval_join(left: DataFrame, right: DataFrame, *, slack_ms: int = 0, bucket_ms: int | None = BUCKET_MS, how: str = "left") -> DataFrame:
+    """Rows l.*, r (a struct of right's row, null where nothing overlaps), overlap_ms > -slack_ms, of one track.
+
+    A left join keeps rows without a time, and rows that repeat come out each. bucket_ms None compares all pairs of a
+    track.
+    """
+    if how == "inner" or bucket_ms is None:
+        return _by_bucket(left, right, slack_ms, bucket_ms, how)
+    pairs = _by_bucket(left.withColumn("_id", F.monotonically_increasing_id()), right, slack_ms, bucket_ms, how)
+    w = Window.partitionBy("_id")
+    hits = F.count("r").over(w)
+    first = F.row_number().over(w.orderBy(F.col("r").isNull()))
+    pairs = pairs.withColumns({"_hits": hits, "_k": first}).filter(F.col("r").isNotNull() | ((F.col("_hits") == 0) & (F.col("_k") == 1)))
+    return pairs.drop("_id", "_hits", "_k")
+
+
+def best_overlap(left: DataFrame, right: DataFrame, key: str, rank: Column, *, slack_ms: int = 0, bucket_ms: int | None = BUCKET_MS, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Each row of left (one for a track and key) with the overlapping row of right that ranks highest: l.*, r,
+    overlap_ms, and the `extra` expressions of both; null where nothing overlaps. rank may use r, overlap_ms and extra."""
+    pairs = _by_bucket(left, right, slack_ms, bucket_ms, "left").withColumns(extra or {})
+    found = F.col("r").isNotNull()
+    own = [c for c in left.columns if c not in ("track_id", key)]
+    theirs = ["r", "overlap_ms", *(extra or {})]
+    best = pairs.groupBy("track_id", key).agg(F.first(F.struct(*own)).alias("_own"), F.max_by(F.struct(*theirs), F.when(found, rank)).alias("_best"))
+    return best.select("track_id", key, "_own.*", "_best.*")
+
+
+def reconcile_words(text_words: DataFrame, timing_words: DataFrame, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """Each text word with the timing word of largest positive overlap (ties: the earlier word).
 
     Text from the left, times from the right, speaker from the right or else the left; source tells which. A word without
     overlap keeps its own times. If one side of a track has no words the other side's are returned for that track.
     """
-    pairs = interval_join(text_words, timing_words, bucket_ms=bucket_ms)
-    w = Window.partitionBy("track_id", "word_idx").orderBy(F.desc_nulls_last("overlap_ms"), F.col("r.word_idx"))
-    best = pairs.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
+    ours = text_words.select("track_id", "word_idx", "text", "start_ms", "end_ms", "speaker")
+    theirs = timing_words.select("track_id", "word_idx", "start_ms", "end_ms", "speaker")
+    best = best_overlap(ours, theirs, "word_idx", F.struct("overlap_ms", -F.col("r.word_idx")), bucket_ms=bucket_ms)
     hit = F.col("r").isNotNull()
     ours = best.select(
         "track_id",
@@ -67,7 +96,7 @@ def reconcile_words(text_words: DataFrame, timing_words: DataFrame, bucket_ms: i
     return ours.unionByName(rest.withColumn("source", kind).select(*ours.columns))
 
 
-def assign_speakers(segments: DataFrame, ranges: DataFrame, default: str = "SPEAKER_00", bucket_ms: int | None = None) -> DataFrame:
+def assign_speakers(segments: DataFrame, ranges: DataFrame, default: str = "SPEAKER_00", bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """Adds speaker: of the largest summed overlap (ties: whose range starts first), else the default."""
     pairs = interval_join(segments.select("track_id", "seg_idx", "start_ms", "end_ms"), ranges, bucket_ms=bucket_ms, how="inner")
     total = pairs.groupBy("track_id", "seg_idx", F.col("r.speaker").alias("_who")).agg(F.sum("overlap_ms").alias("n"), F.min("r.start_ms").alias("first"))
@@ -75,26 +104,25 @@ def assign_speakers(segments: DataFrame, ranges: DataFrame, default: str = "SPEA
     return segments.drop("speaker").join(best, ["track_id", "seg_idx"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(default)))
 
 
-def align_reference(ours: DataFrame, ref: DataFrame, mode: str = "coverage", slack_ms: int = 2000, fast: bool = False, bucket_ms: int | None = None) -> DataFrame:
+def align_reference(ours: DataFrame, ref: DataFrame, mode: str = "coverage", slack_ms: int = 2000, fast: bool = False, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """Adds best_ref, ratio, overlap_ms and status.
 
     coverage: the reference row of largest overlap; COVERED if that is over 0.5 s, else GAP; ratio to the own duration.
     text: the most similar text among near rows; MATCH from 0.5, else MISMATCH; fast: by edit distance instead.
     NO_REF where no row is near.
     """
-    pairs = interval_join(ours.select("track_id", "seg_idx", "start_ms", "end_ms", "text"), ref, slack_ms=slack_ms, bucket_ms=bucket_ms)
     if mode == "coverage":
         ratio = F.col("overlap_ms") / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(100))
-        order = [F.desc_nulls_last("overlap_ms"), F.col("r.ref_idx")]
+        rank = F.struct("overlap_ms", -F.col("r.ref_idx"))
     else:
         from .udfs import similarity_ratio
 
         a, b = F.lower("text"), F.lower("r.text")
         near = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
         ratio = near if fast else similarity_ratio(a, b)
-        order = [F.desc_nulls_last("ratio"), F.col("r.ref_idx")]
-    pairs = pairs.withColumn("ratio", F.when(F.col("r").isNotNull(), F.round(ratio, 4)))
-    best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("track_id", "seg_idx").orderBy(*order))).filter("_k = 1")
+        rank = F.struct("ratio", -F.col("r.ref_idx"))
+    ratio = F.when(F.col("r").isNotNull(), F.round(ratio, 4))
+    best = best_overlap(ours.select("track_id", "seg_idx", "start_ms", "end_ms", "text"), ref, "seg_idx", rank, slack_ms=slack_ms, bucket_ms=bucket_ms, extra={"ratio": ratio})
     good = F.col("overlap_ms") > 500 if mode == "coverage" else F.col("ratio") >= 0.5
     words = ("COVERED", "GAP") if mode == "coverage" else ("MATCH", "MISMATCH")
     status = F.when(F.col("r").isNull(), "NO_REF").when(good, words[0]).otherwise(words[1])
@@ -119,9 +147,18 @@ def glossary_tag_words(words: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def _present(cues: DataFrame, glossary: DataFrame, col: str, key: str) -> DataFrame:
-    """One row for each cue and term whose canonical form its text contains."""
-    g = dimension(glossary.select("ord", "canonical", "target_spelling", "action", "pronunciation"))
-    return cues.select("track_id", key, F.col(col).alias("_text")).join(g, F.contains(F.lower("_text"), F.lower("canonical")))
+    """One row for each cue and term whose canonical form its text contains, whatever the case.
+
+    Each term is met by an equality, of its first characters with those at any place of the text, before it is looked
+    for as a whole: the work grows with the texts, not with texts times terms. Terms without a character are passed over.
+    """
+    g = glossary.select("ord", "canonical", "target_spelling", "action", "pronunciation", F.substring(F.lower("canonical"), 1, 4).alias("_head")).filter("_head <> ''")
+    sizes = [r["n"] for r in g.select(F.length("_head").alias("n")).distinct().collect()]  # four at most
+    low = F.lower("_text")
+    heads = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes] or [F.array().cast("array<string>")]
+    texts = cues.select("track_id", key, F.col(col).alias("_text"))
+    places = texts.withColumn("_at", F.explode(F.array_distinct(F.concat(*heads))))
+    return places.join(dimension(g), (F.col("_at") == F.col("_head")) & F.contains(low, F.lower("canonical"))).drop("_at", "_head")
 
 
 def glossary_tag_cues(cues: DataFrame, glossary: DataFrame, col: str = "text", key: str = "seg_idx") -> DataFrame:
@@ -182,7 +219,7 @@ def attach_by_index(cues: DataFrame, segments: DataFrame, col: str = "text_trans
     return cues.drop(col).join(segments.select("track_id", "seg_idx", col), ["track_id", "seg_idx"])
 
 
-def parallel_corpus(src: DataFrame, tgt: DataFrame, how: str = "index", bucket_ms: int | None = None) -> DataFrame:
+def parallel_corpus(src: DataFrame, tgt: DataFrame, how: str = "index", bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """track_id, seg_idx, src_text, tgt_text: by place or by best overlap; blank sides are left out."""
     if how == "index":
         both = src.select("track_id", "seg_idx", F.col("text").alias("src_text")).join(tgt.select("track_id", "seg_idx", F.col("text_translated").alias("tgt_text")), ["track_id", "seg_idx"])
@@ -211,11 +248,10 @@ def clip_to_cue(cues: DataFrame, clips: DataFrame) -> DataFrame:
     return cues.drop("tts_ms").join(c, ["track_id", "seg_idx"], "left").withColumn("tts_ms", F.coalesce("tts_ms", F.col("end_ms") - F.col("start_ms")))
 
 
-def text_swap_by_alignment(asr_words: DataFrame, sub_words: DataFrame, mode: str = "diff", bucket_ms: int | None = None) -> DataFrame:
+def text_swap_by_alignment(asr_words: DataFrame, sub_words: DataFrame, mode: str = "diff", bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """asr_words with the text of the subtitle word they overlap most: always (full) or where the words differ (diff)."""
-    pairs = interval_join(asr_words.select("track_id", "word_idx", "text", "start_ms", "end_ms"), sub_words.select("track_id", "word_idx", "text", "start_ms", "end_ms"), bucket_ms=bucket_ms)
-    w = Window.partitionBy("track_id", "word_idx").orderBy(F.desc_nulls_last("overlap_ms"), F.col("r.word_idx"))
-    best = pairs.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
+    columns = ["track_id", "word_idx", "text", "start_ms", "end_ms"]
+    best = best_overlap(asr_words.select(*columns), sub_words.select(*columns), "word_idx", F.struct("overlap_ms", -F.col("r.word_idx")), bucket_ms=bucket_ms)
     bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", ""))
     swap = F.col("r").isNotNull() & (F.lit(mode == "full") | (bare(F.col("text")) != bare(F.col("r.text"))))
     return best.select("track_id", "word_idx", F.when(swap, F.col("r.text")).otherwise(F.col("text")).alias("text"), "start_ms", "end_ms")

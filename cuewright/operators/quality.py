@@ -42,22 +42,32 @@ def english_qc(cues: DataFrame, col: str = "text") -> DataFrame:
     return cues.withColumn("qc_flags", flags)
 
 
-def pre_tts_qc(cues: DataFrame, col: str = "text_translated", wpm: int = 120) -> DataFrame:
-    """qc_flags before speech is made: empty-hindi alone, or overlong, micro, repeated, no-punct, cpl."""
+def pre_tts_qc(cues: DataFrame, col: str = "text_translated", wpm: int = 120, *, source: str = "text", terms: str = "protected_terms", display: str = "text_hi_display") -> DataFrame:
+    """qc_flags before speech is made: empty-hindi alone, or hi-overlong (estimated over 150 % of a slot of more than
+    0.3 s), hi-micro (fewer than two words in more than a second), repeated (the smallest word of three letters or more
+    that stands there three times), hi-no-punct, glossary-miss (each protected term in neither text, whatever the case),
+    hi-cpl (the first displayed line of more than 42 characters). Without the columns terms and display no term is
+    protected and the text itself is displayed."""
     t, d = F.col(col), (F.col("end_ms") - F.col("start_ms")) / 1000.0
     words = T.tokens(t)
     n = F.size(words)
-    room = F.floor(d * wpm / 60.0).cast("int")
+    spoken = n * 60.0 / wpm
     long = F.filter(words, lambda w: F.length(w) > 2)
     again = F.array_min(F.filter(F.array_distinct(long), lambda w: F.size(F.filter(long, lambda x: x == w)) >= 3))
-    line = F.length(F.substring_index(t, "\n", 1))
+    shown = T.first_nonempty(display, col) if display in cues.columns else t
+    line = F.get(F.filter(F.transform(F.split(shown, "\n"), F.length), lambda k: k > 42), 0)
     flags = _flags(
-        F.when((d > 0.3) & (n * 60.0 / wpm > d * 1.5), F.concat(F.lit("hi-overlong:"), n.cast("string"), F.lit(">"), room.cast("string"))),
-        F.when((d < 0.8) & (n > 1), "hi-micro"),
+        F.when((d > 0.3) & (spoken > d * 1.5), F.concat(F.lit("hi-overlong:"), _tenths(spoken), F.lit("s>"), _tenths(d), F.lit("s"))),
+        F.when((n < 2) & (d > 1.0), "hi-micro"),
         F.when(again.isNotNull(), F.concat(F.lit("repeated:"), again)),
-        F.when(~t.rlike(r"[।.!?,]\s*$"), "hi-no-punct"),
-        F.when(line > 42, F.concat(F.lit("hi-cpl:"), line.cast("string"))),
+        F.when(~t.rlike(r"[।,!?.]"), "hi-no-punct"),
     )
+    if terms in cues.columns:
+        other = F.lower(F.coalesce(F.col(source), F.lit(""))) if source in cues.columns else F.lit("")
+        absent = lambda term: ~F.contains(F.lower(t), F.lower(term)) & ~F.contains(other, F.lower(term))
+        missed = F.filter(F.coalesce(terms, F.array().cast("array<string>")), absent)
+        flags = F.concat(flags, F.transform(missed, lambda term: F.concat(F.lit("glossary-miss:"), term)))
+    flags = F.concat(flags, _flags(F.when(line > 42, F.concat(F.lit("hi-cpl:"), line.cast("string")))))
     return cues.withColumn("qc_flags", F.when(F.coalesce(F.trim(t), F.lit("")) == "", F.array(F.lit("empty-hindi"))).otherwise(flags))
 
 

@@ -1,17 +1,21 @@
 """Segmentation, deduplication and islands of timed text.
 
-What only depends on neighbours is a window; what resets a counter inside a run folds over the run's array; the globally
-optimal cue segmentation runs over one track in numpy, with the costs of all candidate cues as arrays.
+What only depends on neighbours is a window; what resets a counter inside a run folds over the run's array, what depends
+on the last kept row over rows in order (folds.py); the globally optimal cue segmentation runs in numpy over a track or,
+in long tracks, over runs of words whose tables of entries and exits are folded by track.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import Fold, ordered_fold
 from .timeline import track
 
 # Limits of a cue, in ms and words
@@ -88,19 +92,36 @@ def dedup_rolling_words(raw_words: DataFrame) -> DataFrame:
     return rows.withColumn("word_idx", F.row_number().over(track("word_idx")) - 1).drop("_last", "_k")
 
 
-def dedup_rolling_segments(segments: DataFrame) -> DataFrame:
-    """Rolling captions: a row that contains the last kept one replaces it, a row contained in it is dropped."""
-    items = F.array_sort(F.collect_list(F.struct("seg_idx", "text", "start_ms", "end_ms")))
-    kind = "array<struct<seg_idx:bigint,text:string,start_ms:bigint,end_ms:bigint>>"
+class _Rolling(Fold):
+    """Holds the last row that was kept."""
+
+    def __init__(self) -> None:
+        self.kept, self.n = None, 0
+
+    def take(self, *row: object) -> Iterable[tuple]:
+        if self.kept is None:
+            self.kept = row
+            return ()
+        last, now = self.kept[2], row[2]
+        if last is not None and now is not None and last in now:
+            self.kept = row
+            return ()
+        if last is not None and now is not None and now in last:
+            return ()
+        out, self.kept = self.end(), row
+        return out
 
-    def step(acc: Column, cur: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))["text"]
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(F.size(acc) == 0, F.array_append(acc, cur)).when(F.contains(cur["text"], last), F.array_append(head, cur)).when(F.contains(last, cur["text"]), acc).otherwise(F.array_append(acc, cur))
+    def end(self) -> Iterable[tuple]:
+        track_id, _, text, start, end = self.kept
+        self.n += 1
+        return [(track_id, self.n - 1, text, start, end)]
 
-    kept = segments.withColumn("seg_idx", F.col("seg_idx").cast("bigint")).groupBy("track_id").agg(items.cast(kind).alias("a"))
-    kept = kept.select("track_id", F.posexplode(F.aggregate("a", F.array().cast(kind), step)).alias("k", "s"))
-    return kept.select("track_id", F.col("k").alias("seg_idx"), "s.text", "s.start_ms", "s.end_ms")
+
+def dedup_rolling_segments(segments: DataFrame) -> DataFrame:
+    """Rolling captions: a row that contains the last kept one replaces it, a row contained in it is dropped; rows
+    without a text stay."""
+    rows = segments.select("track_id", "seg_idx", "text", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))
+    return ordered_fold(rows, ["seg_idx"], _Rolling, "track_id long, seg_idx long, text string, start_ms long, end_ms long")
 
 
 def runs_of_equal_text(frames: DataFrame, step_ms: int = 1000, least: int = 3) -> DataFrame:
@@ -154,79 +175,227 @@ def cue_costs(start: np.ndarray, end: np.ndarray, text: list[str], speaker: list
     return cost
 
 
-def cheapest_cuts(cost: np.ndarray) -> list[int] | None:
-    """Where the cues of least total cost begin; of equal ones the longest last cue; None if no segmentation exists."""
-    size = len(cost)
-    best, back = np.full(size + 1, np.inf), np.zeros(size + 1, dtype=int)
-    best[0] = 0
-    for j in range(1, size + 1):
-        n = np.arange(min(WORDS_MAX, j), 0, -1)
-        total = best[j - n] + cost[j - n, n - 1]
-        k = int(np.argmin(total))
-        best[j], back[j] = total[k], j - n[k]
-    if not np.isfinite(best[size]):
-        return None
-    cuts, at = [], size
-    while at > 0:
+def _cheapest(cost: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least costs of all that ends before each word, and where the last cue of it begins (of equal ones the longest).
+
+    best: (entries, words + 1), set to what each entry costs where it may begin, else infinite. cost: (words, 16).
+    """
+    size, back, rows = best.shape[1], np.full(best.shape, -1), np.arange(len(best))
+    ending = np.full((size, WORDS_MAX), np.inf)  # by the word they end before, the longest cue first
+    for n in range(1, min(WORDS_MAX, size - 1) + 1):
+        ending[n:, WORDS_MAX - n] = cost[: size - n, n - 1]
+    held = np.full((len(best), size + WORDS_MAX), np.inf)
+    held[:, WORDS_MAX:] = best
+    for j in range(1, size):
+        total = held[:, j : j + WORDS_MAX] + ending[j]
+        k = total.argmin(axis=1)
+        found = total[rows, k]
+        better = found < held[:, j + WORDS_MAX]
+        held[better, j + WORDS_MAX] = found[better]
+        back[better, j] = (j - WORDS_MAX + k)[better]
+    return held[:, WORDS_MAX:], back
+
+
+def _walk(back: np.ndarray, at: int) -> list[int]:
+    """Where the cues that end before word `at` begin."""
+    cuts = []
+    while back[at] >= 0:
         at = int(back[at])
         cuts.append(at)
     return cuts[::-1]
 
 
-def greedy_cuts(start: np.ndarray, end: np.ndarray, text: list[str]) -> list[int]:
-    cuts, first = [0], 0
-    for k in range(len(text)):
-        if text[k].rstrip()[-1:] in tuple(".!?") or end[k] - start[first] >= DUR_HIGH or k - first + 1 >= WORDS_HIGH:
-            first = k + 1
-            cuts.append(first)
-    return cuts if cuts[-1] < len(text) else cuts[:-1]
+def cheapest_cuts(cost: np.ndarray) -> list[int] | None:
+    """Where the cues of least total cost begin; of equal ones the longest last cue; None if no segmentation exists."""
+    first = np.full((1, len(cost) + 1), np.inf)
+    first[0, 0] = 0
+    best, back = _cheapest(cost, first)
+    return _walk(back[0], len(cost)) if np.isfinite(best[0, -1]) else None
+
+
+def _greedy_end(start: np.ndarray, end: np.ndarray, text: list[str], first: int) -> int:
+    """The word before which the greedy cue from word `first` ends."""
+    for k in range(first, min(first + WORDS_HIGH, len(text))):
+        if text[k].rstrip()[-1:] in tuple(".!?") or end[k] - start[first] >= DUR_HIGH:
+            return k + 1
+    return min(first + WORDS_HIGH, len(text))
+
+
+def greedy_cuts(start: np.ndarray, end: np.ndarray, text: list[str], first: int = 0, stop: int | None = None) -> list[int]:
+    """Where greedy cues begin from word `first` on, before word `stop`."""
+    cuts = []
+    while first < (len(text) if stop is None else stop):
+        cuts.append(first)
+        first = _greedy_end(start, end, text, first)
+    return cuts
 
 
 CUES = "track_id long, cue_idx int, start_ms long, end_ms long, text string, n_words int, speaker string, method string"
+_RUN = 4096
 
 
-def _cues(words: DataFrame, optimal: bool) -> DataFrame:
-    have = lambda c: F.col(c) if c in words.columns else F.lit(None).cast("string")
-    rows = words.select("track_id", "word_idx", "text", "start_ms", "end_ms", have("speaker").alias("speaker"), have("term_id").alias("term_id"))
+class _Words:
+    """The words of a track, or of one of its runs with the 17 words that follow, as arrays."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_idx", kind="stable")
-        start, end = pdf["start_ms"].to_numpy(float), pdf["end_ms"].to_numpy(float)
-        text, speaker = pdf["text"].fillna("").tolist(), [None if pd.isna(s) else s for s in pdf["speaker"]]
-        term = [None if pd.isna(t) else t for t in pdf["term_id"]]
-        cuts = cheapest_cuts(cue_costs(start, end, text, speaker, term)) if optimal else None
-        method = "greedy" if cuts is None else "optimal"
-        cuts = greedy_cuts(start, end, text) if cuts is None else cuts
-        ends = [*cuts[1:], len(text)]
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        pdf = pdf.sort_values("_k", kind="stable")
+        self.start, self.end = pdf["start_ms"].to_numpy(float), pdf["end_ms"].to_numpy(float)
+        self.text, self.speaker = pdf["text"].fillna("").tolist(), [None if pd.isna(s) else s for s in pdf["speaker"]]
+        self.term = [None if pd.isna(t) else t for t in pdf["term_id"]]
+        self.joined = bool(pdf["_joined"].iloc[0])  # with the word before, which may lie in another run
+
+    def costs(self) -> np.ndarray:
+        cost = cue_costs(self.start, self.end, self.text, self.speaker, self.term)
+        if self.joined:
+            cost[0] = np.inf
+        return cost
+
+    def cues(self, track_id: object, cuts: list[int], stop: int, method: str, base: int = 0) -> pd.DataFrame:
+        ends = [*cuts[1:], stop] if cuts else []
         return pd.DataFrame(
-            {
-                "track_id": pdf["track_id"].iloc[0],
-                "cue_idx": range(len(cuts)),
-                "start_ms": [int(start[a]) for a in cuts],
-                "end_ms": [int(end[b - 1]) for b in ends],
-                "text": [" ".join(text[a:b]) for a, b in zip(cuts, ends, strict=True)],
+            dtype=None if cuts else object,
+            data={
+                "track_id": [track_id] * len(cuts),
+                "cue_idx": [base + a for a in cuts],
+                "start_ms": [int(self.start[a]) for a in cuts],
+                "end_ms": [int(self.end[b - 1]) for b in ends],
+                "text": [" ".join(self.text[a:b]) for a, b in zip(cuts, ends, strict=True)],
                 "n_words": [b - a for a, b in zip(cuts, ends, strict=True)],
-                "speaker": [speaker[a] for a in cuts],
-                "method": method,
+                "speaker": [self.speaker[a] for a in cuts],
+                "method": [method] * len(cuts),
             }
         )
 
-    return rows.groupBy("track_id").applyInPandas(solve, CUES)
+
+def _transfer(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
+    """One run's table: what it costs to enter it k words late (as the cue before reaches so far) and to leave it with a cue
+    that reaches l words beyond it, for all k and l; and the l of the greedy rule for each k."""
+    own = int((pdf["_run"] == pdf["_of"]).sum())
+    w = _Words(pdf)
+    costs = np.full((WORDS_MAX, WORDS_MAX), np.inf)
+    if optimal:
+        cost = w.costs()
+        cost[own:] = np.inf  # those cues begin in the next run
+        entry = np.full((WORDS_MAX, len(cost) + 1), np.inf)
+        for k in range(min(WORDS_MAX, own + 1)):
+            entry[k, k] = 0
+        best, _ = _cheapest(cost, entry)
+        reach = min(WORDS_MAX, len(cost) + 1 - own)
+        costs[:, :reach] = best[:, own : own + reach]
+    ends, greedy = {}, []
+    for k in range(WORDS_MAX):
+        at = min(k, own)
+        while at < own:
+            if at not in ends:
+                ends[at] = _greedy_end(w.start, w.end, w.text, at)
+            at = ends[at]
+        greedy.append(at - own)
+    return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]], "_run": [int(pdf["_of"].iloc[0])], "costs": [costs.ravel().tolist()], "greedy": [greedy]})
+
+
+def _entries(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
+    """For each run of a track how many words late it is entered and how many words beyond it its last cue reaches."""
+    pdf = pdf.sort_values("_run", kind="stable")
+    tables = [np.array(c).reshape(WORDS_MAX, WORDS_MAX) for c in pdf["costs"]]
+    best, backs = np.full(WORDS_MAX, np.inf), []
+    best[0] = 0
+    for t in tables:
+        total = best[:, None] + t
+        backs.append(total.argmin(axis=0))
+        best = total.min(axis=0)
+    ends = [0]
+    if optimal and np.isfinite(best[0]):
+        for back in reversed(backs):
+            ends.append(int(back[ends[-1]]))
+        ends = ends[::-1]
+        method = "optimal"
+    else:
+        for greedy in pdf["greedy"]:
+            ends.append(int(greedy[ends[-1]]))
+        ends[-1], method = 0, "greedy"
+    runs = len(tables)
+    return pd.DataFrame({"track_id": pdf["track_id"].tolist(), "_of": pdf["_run"].tolist(), "late": ends[:-1], "over": ends[1:], "method": [method] * runs})
+
+
+def _solved(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
+    """The cues that begin in a run, or in a whole track (late is null), numbered by their first words."""
+    w, own = _Words(pdf), int((pdf["_run"] == pdf["_of"]).sum())
+    track, whole = pdf["track_id"].iloc[0], pd.isna(pdf["late"].iloc[0])
+    late, over = (0, 0) if whole else (int(pdf["late"].iloc[0]), int(pdf["over"].iloc[0]))
+    base = int(pdf["_k"].min())
+    cuts, stop, method = None, own + over, "optimal" if whole and optimal else pdf["method"].iloc[0]
+    if method == "optimal":
+        cost = w.costs()
+        cost[own:] = np.inf
+        entry = np.full((1, len(cost) + 1), np.inf)
+        entry[0, late] = 0
+        best, back = _cheapest(cost, entry)
+        cuts = _walk(back[0], stop) if np.isfinite(best[0, stop]) else None
+    if cuts is None:
+        method = "greedy"
+        cuts = greedy_cuts(w.start, w.end, w.text, late, own)
+    return w.cues(track, cuts, stop, method, base)
+
+
+def _cues(words: DataFrame, optimal: bool, run: int = _RUN) -> DataFrame:
+    """Tracks of up to `run` words are solved each in one group. Longer ones are dealt by runs of that many words: each
+    run's table of entries and exits, a fold of these small tables by track, then each run's cues."""
+    have = lambda c: F.col(c) if c in words.columns else F.lit(None).cast("string")
+    rows = words.select("track_id", "word_idx", "text", "start_ms", "end_ms", have("speaker").alias("speaker"), have("term_id").alias("term_id"))
+    before = F.lag("term_id").over(track("word_idx"))
+    rows = rows.withColumns({"_k": F.row_number().over(track("word_idx")) - 1, "_joined": F.coalesce(before == F.col("term_id"), F.lit(False)), "_n": F.count("*").over(Window.partitionBy("track_id"))})
+    rows = rows.withColumn("_run", F.when(F.col("_n") <= run, 0).otherwise(F.floor(F.col("_k") / run)).cast("long")).drop("word_idx")
+    nothing = {"late": F.lit(None).cast("long"), "over": F.lit(None).cast("long"), "method": F.lit(None).cast("string")}
+    short = rows.filter(F.col("_n") <= run).withColumn("_of", F.col("_run")).withColumns(nothing)
+    # a run sees the 17 words behind it: 16 that its last cue may reach, and one that tells the pause and the terms there
+    both = F.when((F.col("_k") % run < WORDS_MAX + 1) & (F.col("_run") > 0), F.array(F.col("_run"), F.col("_run") - 1)).otherwise(F.array("_run"))
+    long = rows.filter(F.col("_n") > run).withColumn("_of", F.explode(both))
+    tables = long.groupBy("track_id", "_of").applyInPandas(lambda pdf: _transfer(pdf, optimal), "track_id long, _run long, costs array<double>, greedy array<long>")
+    entries = tables.groupBy("track_id").applyInPandas(lambda pdf: _entries(pdf, optimal), "track_id long, _of long, late long, over long, method string")
+    long = long.join(entries, ["track_id", "_of"])
+    every = short.unionByName(long).groupBy("track_id", "_of").applyInPandas(lambda pdf: _solved(pdf, optimal), CUES)
+    return every.withColumn("cue_idx", (F.row_number().over(track("cue_idx")) - 1).cast("int"))
 
 
 def build_cues_dp(words: DataFrame, lookahead: int | None = None) -> DataFrame:
     """Cues of globally least cost in each track; tracks without a feasible segmentation fall back to the greedy rule.
 
-    lookahead is accepted for callers that bound the search; cues never exceed 16 words, which bounds it already.
+    lookahead is accepted for callers that bound the search; cues never exceed 16 words, which bounds it already. A long
+    track is spread over tasks by runs of words; its cues cost what those of the undivided track would.
     """
     return _cues(words, optimal=True)
 
 
 def build_cues_greedy(words: DataFrame) -> DataFrame:
-    """A cue ends at . ! ?, once it lasts 4.5 s, or at 14 words."""
+    """A cue ends at . ! ?, once it lasts 4.5 s, or at 14 words; long tracks are spread over tasks likewise."""
     return _cues(words, optimal=False)
 
 
+class _Packer(Fold):
+    """Holds the cue that may still take another sentence."""
+
+    def __init__(self, budget: int, most: int, respect: bool) -> None:
+        self.budget, self.most, self.respect, self.held, self.n = budget, most, respect, None, 0
+
+    def take(self, track_id: object, _idx: object, _piece: object, text: str, a: int, b: int, n: int, speaker: str | None, big: bool) -> Iterable[tuple]:
+        h = self.held
+        if h is not None:
+            same = not self.respect or speaker in (None, "", h["speaker"]) or h["speaker"] in (None, "")
+            if not h["big"] and not big and h["sents"] < self.most and h["n"] + n <= self.budget and b - h["a"] <= DUR_MAX and same:
+                h.update(text=h["text"] + " " + text, b=b, n=h["n"] + n, sents=h["sents"] + 1, speaker=speaker)
+                return ()
+        out = self.end()
+        self.held = {"track": track_id, "text": text, "a": a, "b": b, "n": n, "sents": 1, "speaker": speaker, "first": speaker, "big": big}
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        h, self.held = self.held, None
+        if h is None:
+            return ()
+        self.n += 1
+        return [(h["track"], self.n - 1, h["a"], h["b"], h["text"], h["n"], h["sents"], h["first"])]
+
+
 def pack_sentences(sentences: DataFrame, buffer: float = 0.2, max_sent: int = 2, respect_speakers: bool = True) -> DataFrame:
     """Cues of up to max_sent sentences within int(16 / (1 + buffer)) words, 5.5 s and one speaker.
 
@@ -241,21 +410,10 @@ def pack_sentences(sentences: DataFrame, buffer: float = 0.2, max_sent: int = 2,
     a, b = F.col("_piece") * budget, F.least((F.col("_piece") + 1) * budget, F.col("_n"))
     span = F.col("end_ms") - F.col("start_ms")
     at = lambda k: (F.col("start_ms") + F.floor(span * k / F.col("_n"))).cast("bigint")
-    rows = over.select("track_id", F.struct("sent_idx", F.col("_piece").alias("piece"), F.array_join(F.slice("_w", a + 1, b - a), " ").alias("text"), at(a).alias("a"), at(b).alias("b"), (b - a).alias("n"), "speaker", F.col("_big").alias("big")).alias("s"))
-    kind = "array<struct<text:string,a:bigint,b:bigint,n:int,sents:int,speaker:string,first:string,big:boolean>>"
-    one = lambda s: F.struct(s["text"].alias("text"), s["a"].alias("a"), s["b"].alias("b"), s["n"].cast("int").alias("n"), F.lit(1).alias("sents"), s["speaker"].alias("speaker"), s["speaker"].alias("first"), s["big"].alias("big"))
-
-    def step(acc: Column, s: Column) -> Column:
-        p = F.try_element_at(acc, F.lit(-1))
-        same = F.coalesce((p["speaker"] == s["speaker"]) | (p["speaker"] == "") | (s["speaker"] == ""), F.lit(True)) | F.lit(not respect_speakers)
-        fits = (F.size(acc) > 0) & ~p["big"] & ~s["big"] & (p["sents"] < max_sent) & (p["n"] + s["n"] <= budget) & (s["b"] - p["a"] <= DUR_MAX) & same
-        both = F.struct(F.concat_ws(" ", p["text"], s["text"]).alias("text"), p["a"].alias("a"), s["b"].alias("b"), (p["n"] + s["n"]).cast("int").alias("n"), (p["sents"] + 1).alias("sents"), s["speaker"].alias("speaker"), p["first"].alias("first"), F.lit(False).alias("big"))
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(fits, F.array_append(head, both)).otherwise(F.array_append(acc, one(s)))
-
-    packed = rows.groupBy("track_id").agg(F.array_sort(F.collect_list("s")).alias("s")).withColumn("c", F.aggregate("s", F.array().cast(kind), step))
-    out = packed.select("track_id", F.posexplode("c").alias("cue_idx", "c"))
-    return out.select("track_id", "cue_idx", F.col("c.a").alias("start_ms"), F.col("c.b").alias("end_ms"), "c.text", F.col("c.n").alias("n_words"), F.col("c.sents").alias("n_sentences"), F.col("c.first").alias("speaker"))
+    piece = F.array_join(F.slice("_w", a + 1, b - a), " ")
+    rows = over.select("track_id", "sent_idx", "_piece", piece.alias("text"), at(a).alias("a"), at(b).alias("b"), (b - a).cast("int").alias("n"), "speaker", F.col("_big").alias("big"))
+    schema = "track_id long, cue_idx int, start_ms long, end_ms long, text string, n_words int, n_sentences int, speaker string"
+    return ordered_fold(rows, ["sent_idx", "_piece"], lambda: _Packer(budget, max_sent, respect_speakers), schema)
 
 
 def plain_fallback_chunks(df: DataFrame, n: int = 20, least: int = 40) -> DataFrame:

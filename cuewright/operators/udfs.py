@@ -30,21 +30,27 @@ def map_text(df: DataFrame, fn: Callable[[str, object], str], in_col: str = "tex
             h = hints.to_dict("records") if isinstance(hints, pd.DataFrame) else list(hints)
             yield pd.Series([fn(t, x) if t and t.strip() else None for t, x in zip(texts, h, strict=True)])
 
-    return df.withColumn(out_col, run(F.col(in_col), F.col(hints_col) if hints_col else F.lit(None).cast("string")))
+    # not deterministic as far as Spark knows: it is neither called twice for one use nor copied into later expressions
+    return df.withColumn(out_col, run.asNondeterministic()(F.col(in_col), F.col(hints_col) if hints_col else F.lit(None).cast("string")))
 
 
 def with_retry_fallback(df: DataFrame, fns: list[Callable[[str, object], str]], is_bad: Callable[[Column, Column], Column], in_col: str = "text", out_col: str = "text_translated") -> DataFrame:
-    """Each function runs only on rows that those before it left bad; at last the source text stands in."""
-    todo, done = df, []
+    """Each function runs only on rows that those before it left bad; at last the source text stands in.
+
+    One pass: a row's text goes to the next function as null once a good text is found, so that no row meets a function
+    twice, is lost or comes out twice, whatever the functions return.
+    """
+    names = set(df.columns) | {in_col, out_col}
+    todo, tried = "_todo", "_tried"
+    while {todo, tried} & names:
+        todo, tried = "_" + todo, "_" + tried
+    out = df.withColumn(out_col, F.lit(None).cast("string")).withColumn(todo, F.col(in_col))
     for fn in fns:
-        tried = map_text(todo, fn, in_col, None, out_col)
-        bad = F.coalesce(is_bad(F.col(in_col), F.col(out_col)), F.lit(True))
-        done.append(tried.filter(~bad))
-        todo = tried.filter(bad).drop(out_col)
-    out = todo.withColumn(out_col, F.col(in_col))
-    for d in done:
-        out = out.unionByName(d)
-    return out
+        out = map_text(out, fn, todo, None, tried)
+        good = ~F.coalesce(is_bad(F.col(in_col), F.col(tried)), F.lit(True))
+        out = out.withColumn(out_col, F.when(F.col(todo).isNotNull() & good, F.col(tried)).otherwise(F.col(out_col)))
+        out = out.withColumn(todo, F.when(F.col(out_col).isNull(), F.col(todo)))
+    return out.withColumn(out_col, F.coalesce(F.col(out_col), F.col(in_col))).drop(todo, tried)
 
 
 def register_sql(spark: SparkSession) -> None:

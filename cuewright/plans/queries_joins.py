@@ -26,7 +26,7 @@ def _(v):
 
 @query("j01_reconcile_words_plain", "track_id b, word_idx b, start_ms b, source s", "words words_alt", _RECONCILE)
 def _(v):
-    return J.reconcile_words(v.words, v.words_alt)
+    return J.reconcile_words(v.words, v.words_alt, bucket_ms=None)
 
 
 @query("j02_assign_speakers", f"{_ID}, speaker s", "segments speaker_ranges", """

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import Fold, ordered_fold
+
 # The steps in order and their weights
 STEPS = {"download": 0.15, "extract": 0.05, "transcribe": 0.25, "translate": 0.15, "synthesize": 0.30, "assemble": 0.10}
 
@@ -100,24 +102,39 @@ def success_rate_window(results: DataFrame, size: str = "10 seconds", least: int
     return out.select("engine", F.col("w.start").alias("window_start"), "success", "failure", F.when(n >= least, F.round(F.col("success") / n, 4)).alias("rate"))
 
 
+def _next_health(state: tuple, t: float, ok: bool, round_s: float, least: int) -> tuple:
+    """(health, results and good ones of the round, its begin or None) after one more result at second t."""
+    health, n, good, since = state
+    since, n, good = (t if since is None else since), n + 1, good + int(ok)
+    ends = t - since >= round_s and n >= least
+    if not ok:
+        health = "degraded"
+    elif ends and good / n > 0.95:
+        health = "healthy"
+    elif ends and good / n < 0.8:
+        health = "struggling"
+    return (health, 0, 0, None) if ends else (health, n, good, since)
+
+
+class _HealthFold(Fold):
+    def __init__(self, round_s: float, least: int) -> None:
+        self.state, self.round_s, self.least = ("healthy", 0, 0, None), round_s, least
+
+    def take(self, engine: object, us: int, ok: bool) -> list[tuple]:
+        self.state = _next_health(self.state, us / 1e6, ok, self.round_s, self.least)
+        return [(engine, us, self.state[0])]
+
+
 def provider_health(results: DataFrame, round_s: int = 10, least: int = 5) -> DataFrame:
     """engine, ts, health after each result: degraded at a failure; when a round of at least round_s and `least` results
-    ends, healthy above a rate of 0.95, struggling below 0.8; else unchanged. Starts healthy."""
-    items = F.array_sort(F.collect_list(F.struct(_us("ts").alias("t"), "ok")))
-    start = F.struct(F.lit("healthy").alias("h"), F.lit(0).alias("n"), F.lit(0).alias("good"), F.lit(None).cast("bigint").alias("since"), F.array().cast("array<struct<t:bigint,h:string>>").alias("out"))
+    ends, healthy above a rate of 0.95, struggling below 0.8; else unchanged. Starts healthy.
 
-    def step(acc: Column, x: Column) -> Column:
-        since, n, good = F.coalesce(acc["since"], x["t"]), acc["n"] + 1, acc["good"] + x["ok"].cast("int")
-        ends = (x["t"] - since >= round_s * 1_000_000) & (n >= least)
-        rate = good / n
-        health = F.when(~x["ok"], "degraded").when(ends & (rate > 0.95), "healthy").when(ends & (rate < 0.8), "struggling").otherwise(acc["h"])
-        row = F.struct(x["t"].alias("t"), health.alias("h"))
-        return F.struct(health.alias("h"), F.when(ends, 0).otherwise(n).alias("n"), F.when(ends, 0).otherwise(good).alias("good"), F.when(ends, F.lit(None).cast("bigint")).otherwise(since).alias("since"), F.array_append(acc["out"], row).alias("out"))
-
-    # the fold's history would grow with an engine's results, so a day is folded at a time, starting anew
-    days = results.groupBy("engine", F.to_date("ts").alias("day")).agg(items.alias("r"))
-    rows = days.select("engine", F.posexplode(F.aggregate("r", start, step, lambda acc: acc["out"])).alias("k", "x"))
-    return rows.select("engine", F.timestamp_micros("x.t").alias("ts"), F.col("x.h").alias("health"))
+    A round begins where the one before ended, so an engine's results are folded in order, by one task for an engine and
+    a batch at a time. Results without a time or an outcome are passed over.
+    """
+    rows = results.select("engine", _us("ts").alias("us"), "ok").filter("us is not null and ok is not null")
+    rows = ordered_fold(rows, ["us", "ok"], lambda: _HealthFold(round_s, least), "engine string, us long, health string")
+    return rows.select("engine", F.timestamp_micros("us").alias("ts"), "health")
 
 
 class _Health(StatefulProcessor):
@@ -128,22 +145,11 @@ class _Health(StatefulProcessor):
         self.state = handle.getValueState("state", "health string, n int, good int, since double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        health, n, good, since = self.state.get() if self.state.exists() else ("healthy", 0, 0, -1.0)
-        ts = None
-        for ts, ok in pd.concat(list(rows)).sort_values("ts")[["ts", "ok"]].itertuples(index=False):
-            t = ts.timestamp()
-            since, n, good = (t if since < 0 else since), n + 1, good + int(ok)
-            ends = t - since >= self.round_s and n >= self.least
-            if not ok:
-                health = "degraded"
-            elif ends and good / n > 0.95:
-                health = "healthy"
-            elif ends and good / n < 0.8:
-                health = "struggling"
-            if ends:
-                n, good, since = 0, 0, -1.0
-        self.state.update((health, n, good, since))
-        yield pd.DataFrame({"engine": [key[0]], "health": [health]})
+        state = self.state.get() if self.state.exists() else ("healthy", 0, 0, None)
+        for ts, ok in pd.concat(list(rows)).sort_values(["ts", "ok"])[["ts", "ok"]].itertuples(index=False):
+            state = _next_health(tuple(state), ts.timestamp(), ok, self.round_s, self.least)
+        self.state.update(state)
+        yield pd.DataFrame({"engine": [key[0]], "health": [state[0]]})
 
     def close(self) -> None:
         pass
