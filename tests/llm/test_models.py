@@ -106,7 +106,8 @@ def test_label_model_tells_good_voters_from_copies():
     good = np.where(y, rng.random(4000) < 0.7, rng.random(4000) < 0.05)
     noise = rng.random(4000) < 0.2
     votes = np.column_stack((good, good, noise)).astype(float)
-    m = toxicity.LabelModel(votes, np.where(rng.random(4000) < 0.1, 1 - y, y).astype(int))
+    # one kind of voter and the label alone do not tell which of them errs, so here the prior has to
+    m = toxicity.LabelModel(votes, np.where(rng.random(4000) < 0.1, 1 - y, y).astype(int), prior=1000)
     assert m.chance[1, 0] > 5 * m.chance[0, 0] and abs(m.chance[1, 2] - m.chance[0, 2]) < 0.1
     assert m.discount[0] < 0.7 < m.discount[2]
     assert ((m.posterior > 0.5) == y).mean() > 0.89
