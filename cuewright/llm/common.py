@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,15 +53,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the one that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Only where that setting is absent and everything runs in one process, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cuewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=None)
+def _local_folder(_application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="cuewright-")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession

@@ -13,11 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, mix64, staged
-from .linkage import by_blocks, connected_components, small_side, star_pairs, unsettled
+from .linkage import by_blocks, connected_components, moved_nodes, own_nodes, small_side, star_pairs, unsettled
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,36 +73,38 @@ def buckets(x: np.ndarray, labels: np.ndarray, tables: int, hashes: int, probes:
 
 def _parsed(batch: pa.RecordBatch) -> list[np.ndarray | None]:
     """Vectors in double precision; None for those that link with nothing."""
-    column, out = batch.column(batch.schema.get_field_index("embedding")), []
-    for scalar in column:
-        if not scalar.is_valid or not len(scalar.values) or scalar.values.null_count:
-            out.append(None)
-            continue
-        v = scalar.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        norm = float(np.sqrt(v @ v)) if np.isfinite(v).all() else 0.0
+    column = batch.column(batch.schema.get_field_index("embedding"))
+    flat = column.flatten().cast(pa.float64())  # of the rows that are not null
+    values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, out = np.cumsum(size), []
+    for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
+        v = values[a:b]
+        norm = float(np.sqrt(v @ v)) if b > a and np.isfinite(v).all() else 0.0
         out.append(v if 0 < norm < np.inf else None)
     return out
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, node (null: links with nothing), v (the vector in double precision)."""
+    """vec_id, label, node (null: links with nothing), key (of 128 bits, the node's are the first), v (the vector in double precision)."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            labels, nodes, raws = batch.column(1).to_pylist(), [], []
+            labels, keys, raws = batch.column(1).to_pylist(), [], []
             for v, label in zip(_parsed(batch), labels, strict=True):
                 if v is None or label is None:
-                    nodes.append(None)
+                    keys.append(None)
                     raws.append(None)
                 else:
                     raws.append((v + 0.0).tobytes())  # one zero, not two
-                    nodes.append(int.from_bytes(hashlib.blake2b(raws[-1] + str(label).encode(), digest_size=8).digest(), "little", signed=True))
-            return pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "label": batch.column(1).cast(pa.int64()), "node": pa.array(nodes, pa.int64()), "v": pa.array(raws, pa.binary())})
+                    keys.append(hashlib.blake2b(raws[-1] + str(label).encode(), digest_size=16).digest())
+            nodes = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
+            return pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "label": batch.column(1).cast(pa.int64()), "node": pa.array(nodes, pa.int64()), "key": pa.array(keys, pa.binary()), "v": pa.array(raws, pa.binary())})
 
         return each
 
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
-    return map_batches(rows, make, "vec_id long, label long, node long, v binary")
+    return map_batches(rows, make, "vec_id long, label long, node long, key binary, v binary")
 
 
 def _bucketed(classes: DataFrame, tables: int, hashes: int, probes: int, seed: int) -> DataFrame:
@@ -192,7 +195,7 @@ def _settled(open_: DataFrame, classes: DataFrame, cosine: float, block: int) ->
                 out.add((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
 
-    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "settled-links")
+    return staged(by_blocks(rows, "bucket", F.ceil(F.col("n") / block), compare, "a long, b long").distinct(), "settled-links")
 
 
 def _link_counts(classes: DataFrame, components: DataFrame, cosine: float, block: int) -> DataFrame:
@@ -209,7 +212,7 @@ def _link_counts(classes: DataFrame, components: DataFrame, cosine: float, block
             total[at[part]] += linked @ copies[at]
         return pa.table({"node": pa.array(nodes), "links": pa.array(total)})
 
-    return by_blocks(rows, "component", "n", block, compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return by_blocks(rows, "component", F.ceil(F.col("n") / block), compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def embedding_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: int = 12, hashes: int = 3, probes: int = 2, block: int = 2048, seed: int = 7) -> DataFrame:
@@ -222,9 +225,11 @@ def embedding_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: in
     """
     keyed = staged(_keyed(vectors), "keyed-vectors")
     classes = staged(
-        keyed.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")),
+        keyed.filter("node is not null").groupBy("node", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")),
         "vector-classes",
     )
+    moved = moved_nodes(classes)
+    keyed, classes = own_nodes(keyed, moved), own_nodes(classes, moved)
     shared, pairs = star_pairs(_bucketed(classes, tables, hashes, probes, seed))
     links = _verified(pairs, classes, cosine)
     components = staged(connected_components(links), "components-of-stars")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import one_thread, size_bound, staged
@@ -65,19 +65,36 @@ def unsettled(shared: DataFrame, components: DataFrame) -> DataFrame:
     return staged(at.join(open_.select("bucket", "n"), "bucket"), "unsettled-buckets")
 
 
-def by_blocks(rows: DataFrame, group: str, size: str, block: int, compare: Callable[[pa.Table], pa.Table], schema: str, node: str = "node") -> DataFrame:
-    """Compare the members of each group, two blocks of about `block` members at a time.
+def by_blocks(rows: DataFrame, group: str, blocks: Column, compare: Callable[[pa.Table], pa.Table], schema: str, node: str = "node") -> DataFrame:
+    """Compare the members of each group, two blocks of them at a time.
 
-    rows: group and size columns (size: the group's number of rows), node, and whatever compare reads. compare gets the
-    rows of blocks i and j (columns _i, _j, and _block, the row's own); where i = j all rows are of one block.
+    rows: the group, node, and whatever compare reads; blocks: in how many a group is dealt, the same for all its rows.
+    compare gets the rows of blocks i and j (columns _i, _j, and _block, the row's own); where i = j all are of one block.
     """
-    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64(F.col(node)), F.col("_blocks")).cast("int"))
+    dealt = rows.withColumn("_blocks", F.greatest(blocks.cast("int"), F.lit(1))).withColumn("_block", F.pmod(F.xxhash64(F.col(node)), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other", "_blocks", size)
+    dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other", "_blocks")
     one_thread(rows.sparkSession)
     return dealt.groupBy(group, "_i", "_j").applyInArrow(lambda table: compare(table), schema)
 
 
+def moved_nodes(classes: DataFrame) -> dict[bytes, int]:
+    """Keys whose node another key has too, with nodes of their own; the smallest key of a node keeps it.
+
+    classes: a row for each node and key (binary, 16 bytes, of which the first half gave the node). A node is a hash of
+    64 bits, so that these are a handful among ten thousand million keys.
+    """
+    twice = classes.groupBy("node").agg(F.count("*").alias("n"), F.collect_list("key").alias("keys")).filter("n > 1")
+    return {bytes(k): int.from_bytes(bytes(k)[8:], "little", signed=True) for r in twice.select("keys").collect() for k in sorted(r["keys"])[1:]}
+
+
+def own_nodes(rows: DataFrame, moved: dict[bytes, int]) -> DataFrame:
+    """rows with the nodes of moved_nodes for their keys."""
+    node = F.col("node")
+    for key, own in moved.items():
+        node = F.when(F.col("key") == F.lit(key), F.lit(own)).otherwise(node)
+    return rows.withColumn("node", node) if moved else rows
+
+
 def nothing(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

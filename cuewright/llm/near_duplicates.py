@@ -11,6 +11,7 @@ on their full sets. With the defaults a pair at the threshold shares no band wit
 from __future__ import annotations
 
 import hashlib
+import re
 from math import comb
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_column, map_batches, mix64, staged
-from .linkage import by_blocks, connected_components, small_side, star_pairs, unsettled
+from .linkage import by_blocks, connected_components, moved_nodes, own_nodes, small_side, star_pairs, unsettled
 
 BANDS, BAND_ROWS, BATCH = 32, 5, 32
 _RNG = np.random.default_rng(20_111)
@@ -28,15 +29,51 @@ _BYTES = _RNG.integers(0, 2**64, size=_POSITIONS * 256, dtype=np.uint64)
 _FACTORS = _RNG.integers(0, 2**64, size=BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 _TERMS = _RNG.integers(0, 2**64, size=BANDS * BAND_ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[ \t-\r]")
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Longer texts are cut into shingles run by run.
+_LONG = 4 << 20
+
+
+def _runs(text: bytes, size: int) -> list[bytes]:
+    """A text's runs of about _LONG bytes, each behind the last size - 1 words of the one before: all its shingles, none new."""
+    out, at, head = [], 0, b""
+    while at < len(text):
+        end = _SPACE.search(text, at + _LONG)
+        end = end.start() if end else len(text)
+        run = head + b" " + text[at:end]
+        if end < len(text) and len(run.split(None, size)) <= size:  # too few words for a shingle: go on with the next run
+            head, at = run, end
+            continue
+        out.append(run)
+        head = b" ".join(run.rsplit(None, size - 1)[1:]) if size > 1 else b""
+        at = end
+    if len(out) > 1 and len(out[-1].split(None, size - 1)) < size:  # nothing but blanks behind the head
+        out.pop()
+    return out
+
+
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of `size` white-space separated words, A-Z lower-cased.
 
     A text of fewer words, but not none, is one shingle; no words or null: an empty set.
     """
+    long = {k: _runs(t, size) for k, t in enumerate(texts) if t is not None and len(t) > _LONG}
+    if not long:
+        return _shingle_sets(texts, size)
+    found = _shingle_sets([None if k in long else t for k, t in enumerate(texts)], size)
+    for k, runs in long.items():
+        whole = np.zeros(0, dtype=np.uint64)
+        for run in runs:
+            whole = np.union1d(whole, _shingle_sets([run], size)[0])
+        found[k] = whole
+    return found
+
+
+def _shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     raw = [(t or b"").lower() for t in texts]
     buffer = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
     empty = np.zeros(0, dtype=np.uint64)
@@ -86,11 +123,15 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def node_of(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
+def node_of(key: bytes, bits: int = 64, moved: dict[bytes, int] | None = None) -> int:
+    """The first bits of a set's key; or the node it was moved to, as another set has these bits."""
+    if moved and key in moved:
+        return moved[key]
+    node = int.from_bytes(key[:8], "little", signed=True)
+    return node if bits == 64 else node % (1 << bits)
 
 
-def _signatures(docs: DataFrame, size: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(binary_column(batch, "text"), size)
@@ -99,14 +140,15 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 {
                     "doc_id": batch.column(0),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "node": pa.array([None if k is None else node_of(k) for k in keys], pa.int64()),
+                    "node": pa.array([None if k is None else node_of(k, bits) for k in keys], pa.int64()),
+                    "key": pa.array(keys, pa.binary()),
                     "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 }
             )
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, sig binary")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, key binary, sig binary")
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -176,25 +218,33 @@ def _pruned(pairs: DataFrame, classes: DataFrame, least: list[tuple[int, int]])
     return map_batches(both.select("a", "b", "x", "y"), make, "a long, b long")
 
 
-def _sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """node, hashes: the full sets of the given nodes (a stored table), from the texts of their classes' first documents."""
-    reps = staged(classes.join(small_side(ends), "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "documents-of-nodes")
+class _Corpus:
+    """The documents, the classes of equal sets, and what tells a set's node."""
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [s for s in shingle_sets(binary_column(batch, "text"), size) if len(s)]
-            return pa.RecordBatch.from_pydict({"node": pa.array([node_of(set_key(s)) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, bits: int, moved: dict[bytes, int]) -> None:
+        self.docs, self.classes, self.size, self.bits, self.moved = docs, classes, size, bits, moved
 
-        return each
+    def sets(self, ends: DataFrame) -> DataFrame:
+        """node, hashes: the full sets of the given nodes, from the texts of their classes' first documents."""
+        reps = staged(self.classes.join(small_side(ends), "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "documents-of-nodes")
+        size, bits, moved = self.size, self.bits, self.moved
+
+        def make():
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                sets = [s for s in shingle_sets(binary_column(batch, "text"), size) if len(s)]
+                nodes = [node_of(set_key(s), bits, moved) for s in sets]
+                return pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+            return each
 
-    texts = docs.select("doc_id", "text").join(small_side(reps), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return map_batches(texts.select("text"), make, "node long, hashes binary").dropDuplicates(["node"])
+        texts = self.docs.select("doc_id", "text").join(small_side(reps), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        return map_batches(texts.select("text"), make, "node long, hashes binary").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, corpus: _Corpus, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "survivor-ends")
-    sets = _sets(ends, docs, classes, size)
+    sets = corpus.sets(ends)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
 
     def make_check():
@@ -242,16 +292,18 @@ def _with_medoids(open_: DataFrame, classes: DataFrame, least: list[tuple[int, i
                 b += np.maximum(nodes[k], nodes[other]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "medoid-pairs")
+    return staged(by_blocks(rows, "bucket", F.ceil(F.col("n") / block), compare, "a long, b long").distinct(), "medoid-pairs")
 
 
-def _across(open_: DataFrame, docs: DataFrame, classes: DataFrame, least: list[tuple[int, int]], size: int, percent: int, block: int) -> DataFrame:
+def _across(open_: DataFrame, corpus: _Corpus, least: list[tuple[int, int]], percent: int, block: int, limit: int = 16 << 20) -> DataFrame:
     """Links across components within open buckets: every pair is compared in its first shared bucket, by signature and
     then on full sets, unless links found in the same task already join its components. Pairs with a bucket's ends have
-    been verified before."""
+    been verified before. A block has about `block` members, and about `limit` bytes of their sets at most."""
     ends = staged(open_.select("node").distinct(), "unsettled-nodes")
-    held = classes.select("node", "sig").join(small_side(ends), "node", "left_semi").join(_sets(ends, docs, classes, size), "node")
-    rows = open_.join(held, "node")
+    held = staged(corpus.classes.select("node", "sig", "n_shingles").join(small_side(ends), "node", "left_semi"), "unsettled-signatures")
+    weights = open_.select("bucket", "node").join(held.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    weights = staged(weights, "bucket-weights")
+    rows = open_.join(held.drop("n_shingles").join(corpus.sets(ends), "node"), "node").join(small_side(weights), "bucket")
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, comps = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
@@ -281,40 +333,46 @@ def _across(open_: DataFrame, docs: DataFrame, classes: DataFrame, least: list[t
                     comps[comps == comps[j]] = comps[k]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return staged(by_blocks(rows, "bucket", "n", block, compare, "a long, b long").distinct(), "links-across")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / limit))
+    return staged(by_blocks(rows, "bucket", blocks, compare, "a long, b long").distinct(), "links-across")
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-7, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, miss: float = 1e-7, block: int = 2048, bits: int = 64) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
     docs: doc_id, text; other columns are ignored. Rows with equal sets are linked; null, empty and blank texts have
     empty sets, link with nothing and are kept. A row with a null doc_id takes part; its component_id is null only if no
     row of its component has an id, and only then it is kept. Repeated rows are answered each. An empty table gives no
-    rows. percent: links need 100 * intersection >= percent * union.
+    rows. percent: links need 100 * intersection >= percent * union. Sets are told apart by keys of 128 bits; `bits` of
+    them number the sets, and sets that share a number are given numbers of their own.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("the bands are laid out for thresholds from 50 to 100 percent")
+    if not 80 <= percent <= 100:
+        raise ValueError("the bands are laid out for thresholds from 80 to 100 percent")
     least = fewest_matches(percent / 100, miss)
-    sigs = staged(_signatures(docs, shingle_words), "signatures")
-    classes = staged(sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    sigs = staged(_signatures(docs, shingle_words, bits), "signatures")
+    found = F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
+    classes = staged(sigs.filter("node is not null").groupBy("node", "key").agg(*found), "classes")
+    moved = moved_nodes(classes)
+    sigs, classes = own_nodes(sigs, moved), own_nodes(classes, moved)
+    corpus = _Corpus(docs, classes, shingle_words, bits, moved)
     shared, pairs = star_pairs(_bands(classes))
-    links = _confirmed(staged(_pruned(pairs, classes, least), "surviving-pairs"), docs, classes, shingle_words, percent)
+    links = _confirmed(staged(_pruned(pairs, classes, least), "surviving-pairs"), corpus, percent)
     components = staged(connected_components(links), "components-of-stars")
     for last in (False, True):
         open_ = unsettled(shared, components)
         if open_.isEmpty():
             break
         if last:
-            more = _across(open_, docs, classes, least, shingle_words, percent, block)
+            more = _across(open_, corpus, least, percent, block)
         else:
-            more = _confirmed(_with_medoids(open_, classes, least, 4, 8 * block), docs, classes, shingle_words, percent)
+            more = _confirmed(_with_medoids(open_, classes, least, 4, 8 * block), corpus, percent)
         if not more.isEmpty():
             links = staged(links.unionByName(more), "links")
             components = staged(connected_components(links), "components")
     ids = classes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = ids.join(smallest, "component").select("node", "component_id")
-    solid, blank = sigs.filter("node is not null").drop("sig"), sigs.filter("node is null").drop("sig")
+    solid, blank = sigs.filter("node is not null").drop("sig", "key"), sigs.filter("node is null").drop("sig", "key")
     solid = solid.join(ids, "node").select("doc_id", "n_shingles", "component_id")
     rows = solid.unionByName(blank.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -68,6 +68,37 @@ def corpus():
     return docs
 
 
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_long_texts_are_cut_into_runs(monkeypatch, size):
+    """Whatever the length of runs, words and blanks, the set is that of the whole text."""
+    rng = random.Random(size)
+    texts = []
+    for _ in range(60):
+        words = ["".join(rng.choices("abcXé", k=rng.choice([1, 2, 3, 40]))) for _ in range(rng.randrange(0, 60))]
+        texts.append("".join(w + rng.choice([" ", "\t", "  ", " \n\r" + " " * rng.randrange(40)]) for w in words).encode())
+    want = nd.shingle_sets(texts, size)
+    for limit in (1, 7, 33, 200):
+        monkeypatch.setattr(nd, "_LONG", limit)
+        assert all(np.array_equal(a, b) for a, b in zip(want, nd.shingle_sets(texts, size), strict=True))
+
+
+def test_sets_that_share_a_number_stay_apart(spark):
+    """With numbers of a few bits almost all sets meet another's: the result is that of 64 bits."""
+    docs = corpus()[:150]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    few, many = (sorted(map(tuple, nd.near_duplicates(d, shingle_words=2, block=16, bits=b).collect())) for b in (4, 64))
+    assert few == many
+
+
+def test_blocks_of_few_bytes(spark, monkeypatch):
+    docs = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, nd.near_duplicates(d, shingle_words=2).collect()))
+    across = nd._across
+    monkeypatch.setattr(nd, "_across", lambda *a: across(*a, limit=2000))
+    assert sorted(map(tuple, nd.near_duplicates(d, shingle_words=2).collect())) == want
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, size):
     docs = corpus()
