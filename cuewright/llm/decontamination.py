@@ -6,13 +6,16 @@ window length, the last `window` words are a window of the items that the state
 window count as one window of their own length.
 
 The automaton is built from blocks of items of at most `block_words` words and broadcast; more items mean more blocks,
-each streamed over all documents in turn; findings of the blocks are united by row before anything is decided. Before the automaton a vectorised test of neighbouring word pairs picks the
-runs of words that could hold a window at all; it never rejects a run that does.
+each streamed over all documents in turn; findings of the blocks are united by row before anything is decided. Before the
+automaton a vectorised test of neighbouring word pairs picks the runs of words that could hold a window at all; it never
+rejects a run that does.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -23,15 +26,26 @@ from pyspark.sql import functions as F
 from .common import binary_column, map_batches, staged, words
 
 _PAIR_BITS = 22
+#: Words of items in one automaton, which the driver builds and each Python worker holds; README has its size.
+BLOCK_WORDS = 1_000_000
 
 
 class SuffixAutomaton:
-    """Of several sequences of word numbers; state 0 is the empty run."""
+    """Of several sequences of word numbers; state 0 is the empty run.
+
+    Most states have one transition, which lies in two arrays (word, to); those of a state with several lie in a dictionary.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.several: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+
+    def after(self, state: int, word: int) -> int:
+        """The state one word further, or -1."""
+        if self.word[state] == word:
+            return self.to[state]
+        return self.several[state].get(word, -1) if state in self.several else -1
 
     def add(self, sequence: list[int]) -> list[int]:
         """Take in a sequence; returns the state after each of its words."""
@@ -41,72 +55,103 @@ class SuffixAutomaton:
             states.append(last)
         return states
 
-    def _state(self, length: int, after: dict[int, int], link: int) -> int:
-        self.next.append(after)
+    def _set(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.several.setdefault(state, {})[word] = to
+
+    def _state(self, length: int, link: int, like: int | None = None) -> int:
+        self.word.append(-1 if like is None else self.word[like])
+        self.to.append(-1 if like is None else self.to[like])
         self.length.append(length)
         self.link.append(link)
-        return len(self.next) - 1
+        new = len(self.length) - 1
+        if like in self.several:
+            self.several[new] = dict(self.several[like])
+        return new
 
     def _split(self, p: int, word: int, q: int) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        copy = self._state(self.length[p] + 1, self.link[q], q)
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = copy
+        while p >= 0 and self.after(p, word) == q:
+            self._set(p, word, copy)
             p = self.link[p]
         return copy
 
     def _extend(self, last: int, word: int) -> int:
-        q = self.next[last].get(word)
-        if q is not None:  # another sequence has been here
+        q = self.after(last, word)
+        if q >= 0:  # another sequence has been here
             return q if self.length[q] == self.length[last] + 1 else self._split(last, word, q)
-        new, p = self._state(self.length[last] + 1, {}, 0), last
-        while p >= 0 and word not in self.next[p]:
-            self.next[p][word] = new
+        new, p = self._state(self.length[last] + 1, 0), last
+        while p >= 0 and self.after(p, word) < 0:
+            self._set(p, word, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][word]
+            q = self.after(p, word)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
         return new
 
 
+class ItemsOfStates:
+    """Which items' windows end in a state: an item's place where there is one, a set where there are several."""
+
+    def __init__(self, states: int) -> None:
+        self.one, self.several = array("i", [-1]) * states, {}
+
+    def put(self, state: int, items: Iterable[int]) -> None:
+        for item in items:
+            now = self.one[state]
+            if now == -1:
+                self.one[state] = item
+            elif now == -2:
+                self.several[state].add(item)
+            elif now != item:
+                self.one[state], self.several[state] = -2, {now, item}
+
+    def get(self, state: int) -> Iterable[int]:
+        now = self.one[state]
+        return (now,) if now >= 0 else self.several[state] if now == -2 else ()
+
+
 class ItemMatcher:
     """The automaton of some items, and which items' windows end in each state."""
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int) -> None:
         self.window, self.vocabulary = window, {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)  # noqa: E731  0: no item's word
-        automaton, ends, whole = SuffixAutomaton(), [], []
-        sequences = [(item, [number(w) for w in words(text)]) for item, text in items]
-        sequences = [(item, s) for item, s in sequences if s]
-        for item, s in sequences:
-            states = automaton.add(s)
+        self.automaton, self.names = SuffixAutomaton(), [item for item, _ in items]
+        ends, whole, sizes = (array("i"), array("i")), [], set()
+        self.pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
+        for k, (_, text) in enumerate(items):
+            s = [number(w) for w in words(text)]
+            if not s:
+                continue
+            sizes.add(min(len(s), window))
+            states = self.automaton.add(s)
             if len(s) < window:
-                whole.append((item, s))
+                whole.append((k, s))
             else:
-                ends += [(state, item) for state in states[window - 1 :]]
-        self.next, self.link, self.length = automaton.next, automaton.link, automaton.length
-        self.items: dict[int, set] = {}
-        for state, item in ends:  # a state's runs end wherever those of the states that link to it do
-            self.items.setdefault(state, set()).add(item)
-        for state in sorted(range(len(self.length)), key=lambda s: -self.length[s]):
-            up = self.link[state]
-            if up > 0 and self.length[up] >= window and state in self.items:
-                self.items.setdefault(up, set()).update(self.items[state])
-        self.short: dict[int, list[tuple[int, int | None]]] = {}
-        for item, s in whole:
+                ends[0].extend(states[window - 1 :])
+                ends[1].extend([k] * (len(s) - window + 1))
+            a = np.array(s, dtype=np.int64)
+            self.pairs[self._pair(a[:-1], a[1:])] = True
+        link, length = self.automaton.link, self.automaton.length
+        self.items = ItemsOfStates(len(length))
+        for state, k in zip(*ends, strict=True):  # a state's runs end wherever those of the states that link to it do
+            self.items.put(state, (k,))
+        for state in np.argsort(-np.frombuffer(length, dtype=np.int32), kind="stable").tolist():
+            if (up := link[state]) > 0 and length[up] >= window:
+                self.items.put(up, self.items.get(state))
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for k, s in whole:
             state = 0
             for w in s:
-                state = self.next[state][w]
-            self.short.setdefault(state, []).append((len(s), item))
-        self.short_above: dict[int, int] = {}
-        sizes = [min(len(s), window) for _, s in sequences]
+                state = self.automaton.after(state, w)
+            self.short.setdefault(state, []).append((len(s), k))
         #: Words in a row that the shortest window of two words or more has.
         self.least = min((n for n in sizes if n > 1), default=window)
-        self.single = {s[0]: item for item, s in whole if len(s) == 1}
-        self.pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
-        for _, s in sequences:
-            a = np.array(s, dtype=np.int64)
-            self.pairs[self._pair(a[:-1], a[1:])] = True
+        self.single = {s[0] for _, s in whole if len(s) == 1}
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,29 +176,33 @@ class ItemMatcher:
         ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(0)), dtype=np.int64, count=len(tokens))
         spans, found, longest = [], set(), 0
         if self.single:
-            for w in set(ids.tolist()) & self.single.keys():
+            for w in set(ids.tolist()) & self.single:
                 spans += [(int(k), int(k) + 1) for k in np.flatnonzero(ids == w)]
         runs = self._candidates(ids)
         if self.single and spans:
             runs = sorted(set(runs) | {s for s in spans if not any(a <= s[0] < b for a, b in runs)})
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        a_, window = self.automaton, self.window
+        word, to, several, link, length = a_.word, a_.to, a_.several, a_.link, a_.length
         for a, b in runs:
             state = run = 0
             for k in range(a, b):
                 w = int(ids[k])
-                while state and w not in nxt[state]:
+                while True:
+                    further = to[state] if word[state] == w else several[state].get(w, -1) if state in several else -1
+                    if further >= 0 or not state:
+                        break
                     state = link[state]
                     run = length[state]
-                if w in nxt[state]:
-                    state = nxt[state][w]
+                if further >= 0:
+                    state = further
                     run += 1
                 longest = max(longest, run)
                 at = state
                 if run >= window:
                     while length[link[at]] >= window:
                         at = link[at]
-                    found |= self.items.get(at, set())
-                    if at in self.items:
+                    if hit := self.items.get(at):
+                        found.update(hit)
                         spans.append((k + 1 - window, k + 1))
                 at = state
                 while at > 0 and self.short:
@@ -162,7 +211,7 @@ class ItemMatcher:
                             found.add(item)
                             spans.append((k + 1 - n, k + 1))
                     at = link[at]
-        return merged(spans), found, longest
+        return merged(spans), {self.names[k] for k in found}, longest
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,8 +239,8 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _block_count(items: DataFrame, block_words: int) -> int:
     """How many blocks of about `block_words` words the items make."""
-    size = int(items.agg(F.sum(F.length("text"))).first()[0] or 0)
-    return max(1, -(-size // (4 * block_words)))
+    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-/:-@\[-`{-\x7F]+")))).first()[0] or 0
+    return max(1, -(-size // block_words))
 
 
 def _block(items: DataFrame, n: int, k: int) -> list[tuple[int | None, bytes | None]]:
@@ -200,7 +249,7 @@ def _block(items: DataFrame, n: int, k: int) -> list[tuple[int | None, bytes | N
     return [(r[0], None if r[1] is None else r[1].encode()) for r in rows]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (ids with occurring windows), spans (hit words, merged), longest.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Null and empty texts have no words and no
@@ -289,7 +338,7 @@ def contamination_digest(docs: DataFrame, items: DataFrame, *, window: int = 10)
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_span: int = 9, max_coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_span: int = 9, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without benchmark passages; columns and untouched rows stay as they are.
 
     Hit spans of more than `max_span` words are cut out of the text (n_chars, where present, follows); a document of
