@@ -38,13 +38,14 @@ def segmentation_summary(words: DataFrame, sentences: DataFrame, cues: DataFrame
     )
 
 
-def slot_summary(cues: DataFrame) -> DataFrame:
-    """Totals before and after, expansion, status counts, and the range of video speeds other than 1."""
+def slot_summary(cues: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    """Totals before and after, expansion, status counts, and the range of video speeds other than 1; by track."""
     old, new = F.col("end_ms") - F.col("start_ms"), F.col("new_end_ms") - F.col("new_start_ms")
     speed = F.when(F.col("video_speed") != 1.0, F.col("video_speed"))
-    return cues.groupBy("track_id").agg(
+    return cues.groupBy(*keys).agg(
+        F.count("*").alias("cues"),
         F.sum(old).alias("original_ms"),
-        F.sum(new).alias("new_ms"),
+        F.round(F.sum(new), 1).alias("new_ms"),
         F.round(F.when(F.sum(old) > 0, (F.sum(new) - F.sum(old)) * 100.0 / F.sum(old)).otherwise(0.0), 2).alias("expansion_pct"),
         *(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warn", "fail")),
         F.coalesce(F.min(speed), F.lit(1.0)).alias("min_speed"),
@@ -52,7 +53,9 @@ def slot_summary(cues: DataFrame) -> DataFrame:
     )
 
 
-slot_report_totals = slot_summary
+def slot_report_totals(cues: DataFrame) -> DataFrame:
+    """The same over all cues given, in one row."""
+    return slot_summary(cues, ())
 
 
 def global_stretch(clips: DataFrame, segments: DataFrame, durations: DataFrame, speedup: float = 1.25) -> DataFrame:

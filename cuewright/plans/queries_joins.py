@@ -59,15 +59,9 @@ def _(v):
     return J.align_reference(v.segments, v.ref_segments, mode="text")
 
 
-@query("j03_align_reference_fast", f"{_ID}, best_ref b, ratio d, status s", "segments ref_segments", """
-    SELECT s.track_id, s.seg_idx, b.ref_idx AS best_ref, b.ratio, CASE WHEN b.ref_idx IS NULL THEN 'NO_REF' WHEN b.ratio >= 0.5 THEN 'MATCH' ELSE 'MISMATCH' END AS status
-    FROM segments s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY track_id, seg_idx ORDER BY ratio DESC, ref_idx) AS k FROM (
-        SELECT s.track_id, s.seg_idx, r.ref_idx, round(1 - levenshtein(lower(substr(s.text, 1, 100)), lower(substr(r.text, 1, 100))) / greatest(length(substr(s.text, 1, 100)), length(substr(r.text, 1, 100)), 1), 4) AS ratio
-        FROM (SELECT * REPLACE (regexp_replace(text, '[^ -~]', '', 'g') AS text) FROM segments) s JOIN (SELECT * REPLACE (regexp_replace(text, '[^ -~]', '', 'g') AS text) FROM ref_segments) r ON s.track_id = r.track_id AND least(s.end_ms, r.end_ms) - greatest(s.start_ms, r.start_ms) > -2000)) b
-    ON s.track_id = b.track_id AND s.seg_idx = b.seg_idx AND b.k = 1""")
+@query("j03_align_reference_fast", f"{_ID}, best_ref b, ratio d, status s")
 def _(v):
-    cut = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 100)  # engines differ over the length of other characters
-    return J.align_reference(v.segments.withColumn("text", cut), v.ref_segments.withColumn("text", cut), mode="text", fast=True)
+    return J.align_reference(v.segments, v.ref_segments, mode="text", fast=True)  # edit distances: the other engine counts bytes
 
 
 @query("j04_glossary_tag_words", "track_id b, word_idx b, protected o, term_id s", "words glossary", "SELECT w.track_id, w.word_idx, g.canonical IS NOT NULL AS protected, g.canonical AS term_id FROM words w LEFT JOIN (SELECT lower(canonical) AS k, arg_max(canonical, ord) AS canonical FROM glossary GROUP BY 1) g ON lower(w.text) = g.k")
@@ -117,9 +111,9 @@ def _(v):
     return J.urls_without_jobs(urls, v.jobs)
 
 
-@query("j10_attach_by_index", f"{_ID}, text_translated s", "translations", "SELECT * FROM translations WHERE engine = 'e1' AND seg_idx < 4")
+@query("j10_attach_by_index", f"{_ID}, text_translated s", "translations", "SELECT * FROM translations WHERE engine = 'e1'")
 def _(v):
-    return J.attach_by_index(v.cues, v.translations.filter("engine = 'e1' AND seg_idx < 4"))
+    return J.attach_by_index(v.cues, v.translations.filter("engine = 'e1'"))
 
 
 @query("j11_parallel_corpus", f"{_ID}, src_text s, tgt_text s", "segments translations", "SELECT s.track_id, s.seg_idx, s.text AS src_text, text_translated AS tgt_text FROM segments s JOIN translations t ON s.track_id = t.track_id AND s.seg_idx = t.seg_idx AND engine = 'e3' WHERE trim(s.text) <> '' AND trim(text_translated) <> ''")

@@ -8,9 +8,11 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import quality as Q
 from ..operators import tables as U
+from ..operators import timeline as W
 from ..operators import udfs as X
 from ..sources import subtitles as S
 from .registry import query
+from .view_sql import SLOTS_SQL
 
 _ID = "track_id b, seg_idx b"
 _ANY = "track_id, seg_idx"
@@ -160,10 +162,10 @@ def _(v):
 _SPOKEN = {"किन्तु": "लेकिन", "के द्वारा": "से"}
 
 
-@query("t10_formal_to_spoken", "doc_id b, text s", "", "SELECT doc_id, replace(t, 'के द्वारा', 'से') || CASE WHEN doc_id % 2 = 0 THEN ' लेकिन वे' ELSE ' xकिन्तुओं' END AS text FROM (SELECT doc_id, substr(text, 1, 30) || ' के द्वारा' AS t FROM documents)")
+@query("t10_formal_to_spoken", "doc_id b, text s", "", "SELECT doc_id, replace(t, 'के द्वारा', 'से') || CASE WHEN doc_id % 2 = 0 THEN ' लेकिन वे' ELSE ' xकिन्तुओं' END AS text FROM (SELECT doc_id, text || ' के द्वारा' AS t FROM documents)")
 def _(v):
     tail = F.when(F.col("doc_id") % 2 == 0, " किन्तु वे").otherwise(" xकिन्तुओं")
-    return v.table("documents").select("doc_id", T.formal_to_spoken(F.concat(F.substring("text", 1, 30), F.lit(" के द्वारा"), tail), _SPOKEN).alias("text"))
+    return v.table("documents").select("doc_id", T.formal_to_spoken(F.concat("text", F.lit(" के द्वारा"), tail), _SPOKEN).alias("text"))
 
 
 @query("t11_normalize_punct", f"{_ID}, text s", "segments", "SELECT track_id, seg_idx, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, ',{2,}', ',', 'g'), '।{2,}', '।', 'g'), '!{2,}', '!', 'g'), ',\\s*([।!?])', '\\1', 'g'), '\\s{2,}', ' ', 'g'), '\\s+([।!?,])', '\\1', 'g')) AS text FROM (SELECT track_id, seg_idx, replace(text || ' ,, x !! y , ?  z ।।', '।।', '।') AS t FROM segments)")
@@ -174,15 +176,31 @@ def _(v):
 _SUBS, _FILL = {"that": "to", "thing": "it"}, ["the ", "of "]
 
 
-@query("t12_shorten_by_substitution", f"{_ID}, text s, n b")
+def _shorter(target: str) -> str:
+    """The view segments with texts t: _SUBS by characters saved and _FILL in order, then the shortest clause between commas."""
+    count = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"
+    rules = [*(f"{k}|{v}" for k, v in sorted(_SUBS.items(), key=lambda kv: len(kv[1]) - len(kv[0]))), *(f"{f}|" for f in _FILL)]
+    once = "substr(t, 1, strpos(t, split_part(r, '|', 1)) - 1) || split_part(r, '|', 2) || substr(t, strpos(t, split_part(r, '|', 1)) + length(split_part(r, '|', 1)))"
+    squeeze = "trim(regexp_replace({}, '\\s{{2,}}', ' ', 'g'))"
+    return f"""
+    WITH a AS (SELECT *, {target} AS target FROM segments),
+    b AS (SELECT *, list_reduce(list_prepend(text, {rules}), lambda t, r: CASE WHEN {count.format("t")} > target AND contains(t, split_part(r, '|', 1)) THEN {squeeze.format(once)} ELSE t END) AS t FROM a),
+    c AS (SELECT *, string_split(t, ',') AS parts FROM b),
+    d AS (SELECT *, -list_min([{{'n': {count.format("parts[k + 1]")}, 'b': -k}} for k in range(1, len(parts)) if {count.format("parts[k + 1]")} > 0]).b AS worst FROM c),
+    e AS (SELECT *, CASE WHEN worst IS NOT NULL THEN {squeeze.format("array_to_string(list_concat(parts[1:worst], parts[worst + 2:len(parts)]), ',')")} END AS cut FROM d)
+    SELECT * REPLACE (CASE WHEN {count.format("t")} > target AND cut IS NOT NULL THEN cut || CASE WHEN cut = '' OR right(cut, 1) IN ('।', '!', '?', ',') THEN '' ELSE '।' END ELSE t END AS t) FROM e"""
+
+
+@query("t12_shorten_by_substitution", f"{_ID}, text s, n b", "segments", f"SELECT track_id, seg_idx, t AS text, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n FROM ({_shorter('floor(n * 0.9::DOUBLE)::INT')})")
 def _(v):
     short = T.shorten_by_substitution(F.col("text"), F.floor(F.col("n") * 0.9).cast("int"), _SUBS, _FILL)
     return v.segments.withColumn("text", short).withColumn("n", T.count_words(F.col("text")))
 
 
-@query("t13_compress_if_needed", f"{_ID}, text s")
+@query("t13_compress_if_needed", f"{_ID}, text s", "segments", f"SELECT track_id, seg_idx, CASE WHEN (end_ms - start_ms) // 2 > 300 AND n * 60000 / 120 > ((end_ms - start_ms) // 2) * 1.25 THEN t ELSE text END AS text FROM ({_shorter('greatest(floor(((end_ms - start_ms) // 2) * 1.25::DOUBLE * 120 / 60000)::INT, 3)')})")
 def _(v):
-    return v.segments.withColumn("text", T.compress_if_needed(F.col("text"), F.col("end_ms") - F.col("start_ms"), _SUBS, _FILL))
+    slot = F.floor((F.col("end_ms") - F.col("start_ms")) / 2)  # half of what the texts took to say
+    return v.segments.withColumn("text", T.compress_if_needed(F.col("text"), slot, _SUBS, _FILL))
 
 
 @query("t14_naturalness_score", f"{_ID}, score d", "segments", "SELECT track_id, seg_idx, round(greatest(0, least(1, 1.0 - CASE WHEN length(text) > 200 THEN 0.1 ELSE 0 END - 0.05 * len(list_filter(toks, lambda w: length(w) > 15)))), 4) AS score FROM segments")
@@ -190,7 +208,11 @@ def _(v):
     return v.segments.withColumn("score", T.naturalness_score(F.col("text")))
 
 
-@query("t15_format_lines", f"{_ID}, text s")
+@query("t15_format_lines", f"{_ID}, text s", "segments", """
+    SELECT track_id, seg_idx, CASE WHEN l <= 42 OR n < 4 OR a = '' OR b = '' OR length(a) > 42 OR length(b) > 42 THEN text ELSE a || chr(10) || b END AS text FROM (
+        SELECT *, trim(substr(text, 1, cut)) AS a, trim(substr(text, cut + 1)) AS b FROM (
+            SELECT *, coalesce(list_min([{'d': abs(p - 1 - l // 2), 'p': p} for p in range(1, l + 1) if contains(',।;', substr(text, p, 1)) AND (p - 1) * 4 > l AND (p - 1) * 4 < l * 3]).p, length(array_to_string(toks[1:n // 2], ' '))) AS cut
+            FROM (SELECT *, length(text) AS l FROM segments)))""")
 def _(v):
     return v.segments.withColumn("text", T.format_lines(F.col("text")))
 
@@ -221,7 +243,10 @@ def _(v):
     return v.segments.select("track_id", "seg_idx", T.content_key(F.col("text"), F.col("speaker")).alias("k"), T.content_key(F.col("text"), F.col("speaker"), compat=True).alias("compat"))
 
 
-@query("t24_split_text_chunks", "doc_id b, chunk_idx b, chunk s")
+@query("t24_split_text_chunks", "doc_id b, chunk_idx b, chunk s", "", """
+    SELECT doc_id, unnest(range(len(c))) AS chunk_idx, unnest(c) AS chunk FROM (
+        SELECT doc_id, string_split(list_reduce(s, lambda t, x: CASE WHEN length(string_split(t, chr(2))[-1]) + 1 + length(x) <= 4500 THEN t || ' ' || x ELSE t || chr(2) || x END), chr(2)) AS c FROM (
+            SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?।])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0)""")
 def _(v):
     return v.table("documents").select("doc_id", F.posexplode(T.split_text_chunks(F.col("text"), 4500)).alias("chunk_idx", "chunk"))
 
@@ -240,10 +265,27 @@ def _(v):
     return Q.english_qc(v.cues).withColumn("flags", F.array_join("qc_flags", "|"))
 
 
-@query("q02_pre_tts_qc", f"{_ID}, flags s")
+@query("q02_pre_tts_qc", f"{_ID}, flags s", "segments glossary", """
+    WITH a AS (SELECT *, CASE WHEN seg_idx % 7 = 0 THEN '' ELSE array_to_string(toks[1:n // 2], ' ') END AS t, array_to_string(toks[n * 3 // 4 + 1:n], ' ') AS src, (end_ms - start_ms) / 1000.0::DOUBLE AS d FROM segments),
+    b AS (SELECT *, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w FROM a),
+    c AS (SELECT *, len(w) AS m, list_filter(w, lambda x: length(x) > 2) AS long FROM b),
+    e AS (SELECT *, list_min(list_filter(list_distinct(long), lambda x: len(list_filter(long, lambda y: y = x)) >= 3)) AS again,
+        list_filter(list_transform(string_split(t, chr(10)), lambda x: length(x)), lambda k: k > 42)[1] AS line,
+        (SELECT string_agg('glossary-miss:' || canonical, '|' ORDER BY ord) FROM glossary WHERE contains(lower(c.text), lower(canonical)) AND NOT contains(lower(c.t), lower(canonical)) AND NOT contains(lower(c.src), lower(canonical))) AS missed FROM c)
+    SELECT track_id, seg_idx, CASE WHEN trim(t) = '' THEN 'empty-hindi' ELSE concat_ws('|',
+        CASE WHEN d > 0.3 AND m * 60.0 / 120 > d * 1.5 THEN printf('hi-overlong:%.1fs>%.1fs', m / 2.0::DOUBLE, d) END,
+        CASE WHEN m < 2 AND d > 1.0 THEN 'hi-micro' END,
+        'repeated:' || again,
+        CASE WHEN NOT regexp_matches(t, '[।,!?.]') THEN 'hi-no-punct' END,
+        missed,
+        'hi-cpl:' || line) END AS flags FROM e""")
 def _(v):
-    t = v.translations.filter("engine = 'e3'").select("track_id", "seg_idx", "text_translated")
-    return Q.pre_tts_qc(v.cues.drop("text_translated").join(t, ["track_id", "seg_idx"])).withColumn("flags", F.array_join("qc_flags", "|"))
+    from ..operators import joins as J
+
+    half = F.when(F.col("seg_idx") % 7 == 0, "").otherwise(F.array_join(F.slice("toks", 1, F.floor(F.col("n") / 2).cast("int")), " "))
+    tail = F.floor(F.col("n") * 3 / 4).cast("int")
+    cues = J.glossary_tag_cues(v.segments, v.glossary).withColumns({"text_translated": half, "src": F.array_join(F.slice("toks", tail + 1, F.col("n")), " ")})
+    return Q.pre_tts_qc(cues, source="src").withColumn("flags", F.array_join("qc_flags", "|"))
 
 
 @query("q03_clip_retry_plan", f"{_ID}, chosen_attempt b, manual_review o", "clips", "SELECT track_id, seg_idx, coalesce(min(a) FILTER (WHERE ok), max(a)) AS chosen_attempt, count(*) FILTER (WHERE ok) = 0 AS manual_review FROM (SELECT track_id, seg_idx, a, a >= rerender_count AND rerender_count < 3 AS ok FROM clips, (SELECT unnest(range(4)) AS a)) GROUP BY ALL")
@@ -275,11 +317,21 @@ def _(v):
     return A.qc_summary(Q.english_qc(v.cues)).withColumn("no_punct", F.coalesce(F.col("categories")["no-punct"], F.lit(0)))
 
 
-@query("a03_slot_summary", "track_id b, original_ms b, new_ms b, expansion_pct d, ok b, warn b, fail b, min_speed d, max_speed d")
+_TOTALS = """count(*) AS cues, sum(end_ms - start_ms) AS original_ms, round(sum(new_end_ms - new_start_ms), 1) AS new_ms,
+    round(CASE WHEN sum(end_ms - start_ms) > 0 THEN (sum(new_end_ms - new_start_ms) - sum(end_ms - start_ms)) * 100.0 / sum(end_ms - start_ms) ELSE 0 END, 2) AS expansion_pct,
+    count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'warn') AS warn, count(*) FILTER (WHERE status = 'fail') AS fail,
+    coalesce(min(video_speed) FILTER (WHERE video_speed <> 1), 1) AS min_speed, coalesce(max(video_speed) FILTER (WHERE video_speed <> 1), 1) AS max_speed"""
+_TOTAL_COLUMNS = "cues b, original_ms b, new_ms d, expansion_pct d, ok b, warn b, fail b, min_speed d, max_speed d"
+
+
+@query("a03_slot_summary", f"track_id b, {_TOTAL_COLUMNS}", "cues", f"SELECT track_id, {_TOTALS} FROM ({SLOTS_SQL}) GROUP BY track_id")
 def _(v):
-    from ..operators.timeline import recompute_slots
+    return A.slot_summary(W.recompute_slots(v.cues))
 
-    return A.slot_summary(recompute_slots(v.cues))
+
+@query("a06_slot_report_totals", _TOTAL_COLUMNS, "cues", f"SELECT {_TOTALS} FROM ({SLOTS_SQL})")
+def _(v):
+    return A.slot_report_totals(W.recompute_slots(v.cues))
 
 
 @query("a04_global_stretch", "track_id b, words b, raw_ms b, audio_ms d, overflow_ms d, video_speed d", "clips segments durations", "SELECT track_id, words, raw_ms, round(raw_ms / 1.25, 4) AS audio_ms, round(raw_ms / 1.25 - duration_ms, 4) AS overflow_ms, CASE WHEN raw_ms / 1.25 > duration_ms THEN round(duration_ms / (raw_ms / 1.25), 4) ELSE 1 END AS video_speed FROM (SELECT track_id, sum(tts_ms)::DOUBLE AS raw_ms FROM clips GROUP BY ALL) JOIN (SELECT track_id, sum(len(list_filter(regexp_split_to_array(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+'), lambda x: x <> ''))) AS words FROM segments GROUP BY ALL) USING (track_id) JOIN durations USING (track_id)")
@@ -324,7 +376,12 @@ def _(v):
     return A.translated_ratio_gate(v.segments.join(t, ["track_id", "seg_idx"]))
 
 
-@query("a15_extract_glossary", "track_id b, canonical s, rule s")
+@query("a15_extract_glossary", "track_id b, canonical s, rule s", "words", """
+    WITH t AS (SELECT track_id, string_agg(text, ' ' ORDER BY word_idx) AS t FROM words GROUP BY track_id),
+    f AS (SELECT track_id, unnest(regexp_extract_all(t, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1)) AS canonical, 1 AS k, 'phrase' AS rule FROM t
+        UNION ALL SELECT track_id, unnest(regexp_extract_all(t, '\\b((?i:[A-Z]{1,2}[-\\s]?(?:rank|class|tier|level)(?:ed)?))\\b', 1)), 2, 'rank' FROM t
+        UNION ALL SELECT track_id, text, 3, 'repeated' FROM words WHERE length(text) > 2 AND regexp_matches(text, '^\\p{Lu}') AND text <> upper(text) GROUP BY track_id, text HAVING count(*) >= 3)
+    SELECT track_id, canonical, arg_min(rule, k) AS rule FROM f GROUP BY track_id, canonical""")
 def _(v):
     return A.extract_glossary(v.words)
 
@@ -445,7 +502,10 @@ def _(v):
     return S.parse_vtt_segments(S.webvtt_text(v.segments).withColumnsRenamed({"srt": "value", "track_id": "track"})).withColumnRenamed("track", "track_id")
 
 
-@query("s04_parse_vtt_words", "track_id b, word_idx b, text s, start_ms b, end_ms b")
+@query("s04_parse_vtt_words", "track_id b, word_idx b, text s, start_ms b, end_ms b", "words", """
+    WITH a AS (SELECT *, row_number() OVER (PARTITION BY track_id, text, round(start_ms / 10) ORDER BY word_idx) AS k FROM words),
+    b AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY word_idx) - 1 AS word_idx, text, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY track_id ORDER BY word_idx), start_ms + 500) AS e FROM a WHERE k = 1)
+    SELECT *, CASE WHEN e <= start_ms THEN start_ms + 100 ELSE e END AS end_ms FROM b""")
 def _(v):
     return S.parse_vtt_words(S.webvtt_text(v.segments).withColumnsRenamed({"srt": "value", "track_id": "track"})).withColumnRenamed("track", "track_id")
 
@@ -455,11 +515,45 @@ def _(v):
     return S.words_from_segments(v.segments)
 
 
-@query("s06_read_plain_transcript", "track_id b, sent_idx b, text s")
+@query("s06_read_plain_transcript", "track_id b, sent_idx b, text s", "", """
+    WITH a AS (SELECT doc_id AS track_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\b\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?\\b', ' ', 'g'), '\\[[a-z ]+\\]|♪', ' ', 'gi'), '\\s+'), lambda x: x <> '') AS t FROM documents),
+    b AS (SELECT track_id, len(t) AS n, unnest(range(len(t))) AS pos, unnest(t) AS w FROM a),
+    c AS (SELECT *, (regexp_matches(w, '[.!?]$') AND lower(w) NOT IN {})::INT AS e FROM b),
+    d AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY track_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, max(e) OVER (PARTITION BY track_id) = 0 AND n > 40 AS plain FROM c),
+    g AS (SELECT track_id, CASE WHEN plain THEN pos // 20 ELSE run END AS cut, string_agg(w, ' ' ORDER BY pos) AS text FROM d GROUP BY ALL)
+    SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY cut) - 1 AS sent_idx, text FROM g""".format(tuple(T.ABBREVIATIONS)))
 def _(v):
     return S.read_plain_transcript(v.table("documents").select(F.col("doc_id").alias("track_id"), "text"))
 
 
+@query("s07_parse_glossary", "ord b, canonical s, target_spelling s, action s, pronunciation s, aliases b", "glossary", "SELECT 2 * ord + 1 AS ord, canonical, CASE WHEN ord % 2 = 0 THEN '' ELSE target_spelling END AS target_spelling, CASE WHEN ord % 2 = 0 THEN 'keep' ELSE 'fixed_translation' END AS action, pronunciation, CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END AS aliases FROM glossary")
+def _(v):
+    """A file of the terms with one that has no name before each; every other one leaves out what has a default."""
+    even = F.to_json(F.struct("canonical", F.array("canonical").alias("aliases"), "pronunciation"))
+    odd = F.to_json(F.struct("canonical", "target_spelling", "action", "pronunciation"))
+    entry = F.struct("ord", F.concat(F.lit('{"aliases": ["nameless"]}, '), F.when(F.col("ord") % 2 == 0, even).otherwise(odd)).alias("j"))
+    texts = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["j"])
+    file = v.glossary.agg(F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")).alias("value"))
+    return S.parse_glossary(file).withColumn("aliases", F.size("aliases"))
+
+
+@query("s08_parse_pronunciation", "src s, dst s", "glossary", "SELECT canonical AS src, target_spelling AS dst FROM glossary WHERE ord % 3 <> 1")
+def _(v):
+    """Every third entry is a comment (its key begins with _) or a number."""
+    key = F.when((F.col("ord") % 3 == 1) & (F.col("ord") % 2 == 0), F.concat(F.lit("_"), "canonical")).otherwise(F.col("canonical"))
+    value = F.when((F.col("ord") % 3 == 1) & (F.col("ord") % 2 == 1), F.col("ord").cast("string")).otherwise(F.concat(F.lit('"'), "target_spelling", F.lit('"')))
+    pairs = F.collect_list(F.concat(F.lit('"'), key, F.lit('": '), value))
+    return S.parse_pronunciation(v.glossary.agg(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("value")))
+
+
+@query("s09_parse_job_store", "id b, state s, message s, source_url s, tts_engine s, seconds d", "jobs", "SELECT id, CASE WHEN state IN ('running') OR id % 7 = 0 THEN 'error' ELSE state END AS state, CASE WHEN id % 7 = 0 THEN 'unknown state' WHEN state = 'running' THEN 'interrupted by restart' END AS message, source_url, tts_engine, CASE WHEN id % 3 <> 0 THEN (id % 100) / 4.0 END AS seconds FROM jobs")
+def _(v):
+    times = F.when(F.col("id") % 3 != 0, F.create_map(F.lit("download"), (F.col("id") % 100) / 4))
+    payload = F.to_json(F.struct("source_url", "target_language", "tts_engine", times.alias("step_times")))
+    rows = v.jobs.select("id", F.when(F.col("id") % 7 == 0, "odd").otherwise(F.col("state")).alias("state"), payload.alias("payload"))
+    return S.parse_job_store(rows).select("id", "state", "message", "payload.source_url", "payload.tts_engine", F.col("payload.step_times")["download"].alias("seconds"))
+
+
 @query("s13_tts_rows", "track_id b, speaker s, start_time d, end_time d, translation s", "segments", "SELECT track_id, speaker, round(start_ms / 1000.0, 3) AS start_time, round(end_ms / 1000.0, 3) AS end_time, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS translation FROM segments")
 def _(v):
     return S.tts_rows(v.cues)
@@ -481,11 +575,9 @@ def _(v):
     return S.pending_tracks(v.segments, v.segments.filter("track_id % 3 = 0"))
 
 
-@query("s17_slot_fit_report", "track_id b, id b, tts_ms d, word_count b, status s")
+@query("s17_slot_fit_report", "track_id b, id b, original_start_ms b, original_end_ms b, tts_ms d, audio_speedup d, word_count b, new_start_ms d, new_end_ms d, video_speed d, drift_ms d, status s", "cues", f"SELECT track_id, seg_idx AS id, start_ms AS original_start_ms, end_ms AS original_end_ms, spoken_ms AS tts_ms, audio_speedup, n AS word_count, new_start_ms, new_end_ms, video_speed, drift_ms, status FROM ({SLOTS_SQL})")
 def _(v):
-    from ..operators.timeline import recompute_slots
-
-    return S.slot_fit_report_rows(recompute_slots(v.cues))
+    return S.slot_fit_report_rows(W.recompute_slots(v.cues))
 
 
 @query("x01_map_text", f"{_ID}, text_hi_raw s", "segments", "SELECT track_id, seg_idx, CASE WHEN trim(text) <> '' THEN reverse(text) END AS text_hi_raw FROM segments")

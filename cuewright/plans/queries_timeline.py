@@ -12,6 +12,7 @@ from ..operators import timeline as W
 from ..streaming import events as R
 from . import flow
 from .registry import query
+from .view_sql import SLOTS_SQL
 
 _ID = "track_id b, seg_idx b"
 _W = "OVER (PARTITION BY track_id ORDER BY word_idx)"
@@ -76,15 +77,7 @@ def _(v):
     return W.stretch_plan(v.clips.withColumnsRenamed({"tts_ms": "audio_ms", "slot_ms": "video_ms"}), 1.2)
 
 
-@query("w10_recompute_slots", f"{_ID}, new_start_ms d, new_end_ms d, audio_speedup d, video_speed d, drift_ms d, status s", "cues", """
-    WITH a AS (SELECT *, (end_ms - start_ms)::DOUBLE AS slot, CASE WHEN tts_ms > end_ms - start_ms AND end_ms > start_ms THEN round(least(tts_ms / (end_ms - start_ms), 1.3), 4) ELSE 1 END AS sp FROM cues),
-    b AS (SELECT *, round(tts_ms / sp, 1) AS t FROM a),
-    c AS (SELECT *, sum(t) OVER (PARTITION BY track_id) - sum(slot) OVER (PARTITION BY track_id) > 10 AS mv, greatest(coalesce(start_ms - lag(end_ms) OVER w, 0), 0) AS g FROM b WINDOW w AS (PARTITION BY track_id ORDER BY seg_idx)),
-    d AS (SELECT *, CASE WHEN mv THEN t ELSE slot END AS nw FROM c),
-    e AS (SELECT *, round(CASE WHEN mv THEN first(start_ms) OVER w + coalesce(sum(nw) OVER (PARTITION BY track_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(g) OVER w ELSE start_ms END, 1) AS ns FROM d WINDOW w AS (PARTITION BY track_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING))
-    SELECT track_id, seg_idx, ns AS new_start_ms, round(ns + nw, 1) AS new_end_ms, sp AS audio_speedup,
-        CASE WHEN NOT mv OR slot <= 0 THEN 1 ELSE greatest(round(slot / nw, 4), 0.7) END AS video_speed, round(nw - t, 1) AS drift_ms,
-        CASE WHEN abs(round(nw - t, 1)) < 50 THEN 'ok' WHEN abs(round(nw - t, 1)) < 200 THEN 'warn' ELSE 'fail' END AS status FROM e""")
+@query("w10_recompute_slots", f"{_ID}, new_start_ms d, new_end_ms d, audio_speedup d, video_speed d, drift_ms d, status s", "cues", SLOTS_SQL)
 def _(v):
     return W.recompute_slots(v.cues)
 
@@ -173,28 +166,59 @@ def _(v):
 _SENT = "track_id b, sent_idx b, text s, start_ms b, end_ms b, n_words b"
 
 
-@query("d01_merge_into_sentences", _SENT)
+# Folds in SQL: a text takes one letter for each row, the same for rows of one group, so that its trailing letters tell
+# how far the last group has come; the next row continues that letter or takes the one after it.
+_LAST = "right(t, 1)"
+_HELD = "(length(t) - length(rtrim(t, right(t, 1))))"
+
+
+def _letters(closed: str) -> str:
+    """Letters of rows 1 .. n in order, a new one behind a row for which `closed` holds (k: the next row's place)."""
+    return f"list_reduce(list_prepend('', list_transform(range(1, n + 1), lambda k: k::VARCHAR)), lambda t, k: t || CASE WHEN t = '' THEN 'A' WHEN {closed} THEN chr(ascii({_LAST}) + 1) ELSE {_LAST} END)"
+
+
+@query("d01_merge_into_sentences", _SENT, "words", f"""
+    WITH a AS (SELECT *, coalesce(lag(regexp_matches(text, '[.!?]$')) {_W} OR lag(speaker) {_W} <> speaker, false)::INT AS cut FROM words),
+    b AS (SELECT *, sum(cut) {_W} AS run FROM a),
+    c AS (SELECT *, row_number() OVER (PARTITION BY track_id, run ORDER BY word_idx) AS k FROM b),
+    d AS (SELECT track_id, run, count(*) AS n, list(regexp_matches(text, '[,;:]$') ORDER BY k) AS comma FROM c GROUP BY ALL),
+    e AS (SELECT track_id, run, {_letters(f"({_HELD} >= 15 AND comma[k::INT - 1]) OR {_HELD} >= 25")} AS letters FROM d),
+    f AS (SELECT c.*, substr(letters, c.k, 1) AS piece FROM c JOIN e USING (track_id, run)),
+    g AS (SELECT track_id, min(word_idx) AS f, string_agg(text, ' ' ORDER BY word_idx) AS text, arg_min(start_ms, word_idx) AS start_ms, arg_max(end_ms, word_idx) AS end_ms, count(*) AS n_words FROM f GROUP BY track_id, run, piece)
+    SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY f) - 1 AS sent_idx FROM g""")
 def _(v):
     return D.merge_into_sentences(v.words)
 
 
-@query("d02_split_terminator_sentences", _SENT, "words", f"""
+_TERMINATED = f"""
     WITH a AS (SELECT *, regexp_matches(text, '[.!?]$') AND lower(text) NOT IN {tuple(T.ABBREVIATIONS)} AS e FROM words),
     b AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY track_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, CASE WHEN bool_or(e AND word_idx < 100) OVER (PARTITION BY track_id) THEN 40 ELSE 12 END AS cap FROM a),
     c AS (SELECT *, (row_number() OVER (PARTITION BY track_id, run ORDER BY word_idx) - 1) // cap AS piece FROM b),
-    d AS (SELECT track_id, min(word_idx) AS f, string_agg(text, ' ' ORDER BY word_idx) AS text, arg_min(start_ms, word_idx) AS start_ms, arg_max(end_ms, word_idx) AS end_ms, count(*) AS n_words FROM c GROUP BY track_id, run, piece)
-    SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY f) - 1 AS sent_idx FROM d""")
+    d AS (SELECT track_id, min(word_idx) AS f, string_agg(text, ' ' ORDER BY word_idx) AS text, arg_min(start_ms, word_idx) AS start_ms, arg_max(end_ms, word_idx) AS end_ms, count(*) AS n_words, arg_min(speaker, word_idx) AS speaker FROM c GROUP BY track_id, run, piece)
+    SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY f) - 1 AS sent_idx FROM d"""
+
+
+@query("d02_split_terminator_sentences", _SENT, "words", _TERMINATED)
 def _(v):
     return D.split_terminator_sentences(v.words)
 
 
-@query("d03_dedup_rolling_words", "track_id b, word_idx b, text s, start_ms b")
+@query("d03_dedup_rolling_words", "track_id b, word_idx b, text s, start_ms b", "words", """
+    WITH a AS (SELECT track_id, word_idx * 2 AS i, text, start_ms, seg_idx % 3 = 2 AS plain FROM words UNION ALL SELECT track_id, word_idx * 2 + 1, text, start_ms + 2, seg_idx % 3 = 2 FROM words WHERE word_idx % 5 = 0),
+    b AS (SELECT *, max(start_ms) FILTER (WHERE NOT plain) OVER (PARTITION BY track_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, row_number() OVER (PARTITION BY track_id, text, round(start_ms / 10) ORDER BY i) AS k FROM a)
+    SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY i) - 1 AS word_idx, text, start_ms FROM b WHERE k = 1 AND (NOT plain OR l IS NULL OR start_ms > l + 1)""")
 def _(v):
     again = v.words.filter("word_idx % 5 = 0").withColumns({"start_ms": F.col("start_ms") + 2, "word_idx": F.col("word_idx") * 2 + 1})
     return D.dedup_rolling_words(v.words.withColumn("word_idx", F.col("word_idx") * 2).unionByName(again).withColumn("plain", F.col("seg_idx") % 3 == 2))
 
 
-@query("d04_dedup_rolling_segments", f"{_ID}, text s")
+@query("d04_dedup_rolling_segments", f"{_ID}, text s", "segments", """
+    WITH a AS (SELECT track_id, seg_idx * 2 AS i, array_to_string(toks[1:n // 2], ' ') AS text FROM segments UNION ALL SELECT track_id, seg_idx * 2 + 1, text FROM segments),
+    b AS (SELECT track_id, count(*) AS n, list(text ORDER BY i) AS x FROM a GROUP BY track_id),
+    c AS (SELECT track_id, x, string_split(list_reduce(list_transform(range(1, n + 1), lambda k: k::VARCHAR), lambda t, k:
+        CASE WHEN contains(x[k::INT], x[regexp_extract(t, '[0-9]+$')::INT]) THEN regexp_replace(t, '[0-9]+$', '') || k
+             WHEN contains(x[regexp_extract(t, '[0-9]+$')::INT], x[k::INT]) THEN t ELSE t || ',' || k END), ',') AS kept FROM b)
+    SELECT track_id, unnest(range(len(kept))) AS seg_idx, unnest(list_transform(kept, lambda k: x[k::INT])) AS text FROM c""")
 def _(v):
     half = F.array_join(F.slice("toks", 1, F.floor(F.col("n") / 2).cast("int")), " ")
     rolled = v.segments.withColumns({"text": half, "seg_idx": F.col("seg_idx") * 2}).unionByName(v.segments.withColumn("seg_idx", F.col("seg_idx") * 2 + 1))
@@ -215,12 +239,32 @@ def _(v):
     return D.build_cues_dp(J.glossary_tag_words(v.words, v.glossary))
 
 
-@query("d07_build_cues_greedy", "track_id b, cue_idx b, start_ms b, end_ms b, text s, n_words b")
+@query("d07_build_cues_greedy", "track_id b, cue_idx b, start_ms b, end_ms b, text s, n_words b", "words", f"""
+    WITH a AS (SELECT *, coalesce(lag(regexp_matches(text, '[.!?]$')) {_W}, false)::INT AS cut FROM words),
+    b AS (SELECT *, sum(cut) {_W} AS run FROM a),
+    c AS (SELECT *, row_number() OVER (PARTITION BY track_id, run ORDER BY word_idx) AS k FROM b),
+    d AS (SELECT track_id, run, count(*) AS n, list(start_ms ORDER BY k) AS s, list(end_ms ORDER BY k) AS e FROM c GROUP BY ALL),
+    l AS (SELECT track_id, run, {_letters(f"{_HELD} >= 14 OR e[k::INT - 1] - s[k::INT - {_HELD}] >= 4500")} AS letters FROM d),
+    f AS (SELECT c.*, substr(letters, c.k, 1) AS piece FROM c JOIN l USING (track_id, run)),
+    g AS (SELECT track_id, min(word_idx) AS f, string_agg(text, ' ' ORDER BY word_idx) AS text, arg_min(start_ms, word_idx) AS start_ms, arg_max(end_ms, word_idx) AS end_ms, count(*) AS n_words FROM f GROUP BY track_id, run, piece)
+    SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY f) - 1 AS cue_idx FROM g""")
 def _(v):
     return D.build_cues_greedy(v.words)
 
 
-@query("d08_pack_sentences", "track_id b, cue_idx b, start_ms b, end_ms b, text s, n_words b, n_sentences b")
+_SAME = "(sp[k::INT] = sp[k::INT - 1] OR sp[k::INT] = '' OR sp[k::INT - 1] = '')"
+_FITS = f"NOT big[k::INT] AND NOT big[k::INT - 1] AND {_HELD} < 2 AND list_sum(m[k::INT - {_HELD}:k::INT]) <= 13 AND e[k::INT] - s[k::INT - {_HELD}] <= 5500 AND {_SAME}"
+_PACKED = f"""
+    WITH x AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM ({_TERMINATED})),
+    y AS (SELECT *, len(w) AS z, unnest(range(ceil(len(w) / 13)::BIGINT)) AS p FROM x),
+    p AS (SELECT track_id, sent_idx, p, array_to_string(w[p * 13 + 1:p * 13 + 13], ' ') AS text, start_ms + (end_ms - start_ms) * (p * 13) // z AS a, start_ms + (end_ms - start_ms) * least(p * 13 + 13, z) // z AS b,
+        least(p * 13 + 13, z) - p * 13 AS m, coalesce(speaker, '') AS speaker, z > 13 AS big, row_number() OVER (PARTITION BY track_id ORDER BY sent_idx, p) AS k FROM y),
+    q AS (SELECT track_id, count(*) AS n, list(m ORDER BY k) AS m, list(a ORDER BY k) AS s, list(b ORDER BY k) AS e, list(speaker ORDER BY k) AS sp, list(big ORDER BY k) AS big FROM p GROUP BY track_id),
+    l AS (SELECT track_id, {_letters(f"NOT ({_FITS})")} AS letters FROM q)
+    SELECT track_id, ascii(substr(letters, k, 1)) - 65 AS cue_idx, min(a) AS start_ms, max(b) AS end_ms, string_agg(text, ' ' ORDER BY k) AS text, sum(m) AS n_words, count(*) AS n_sentences FROM p JOIN l USING (track_id) GROUP BY ALL"""
+
+
+@query("d08_pack_sentences", "track_id b, cue_idx b, start_ms b, end_ms b, text s, n_words b, n_sentences b", "words", _PACKED)
 def _(v):
     return D.pack_sentences(D.split_terminator_sentences(v.words))
 
@@ -233,7 +277,10 @@ def _(v):
     return D.plain_fallback_chunks(v.table("documents").select(F.col("doc_id").alias("track_id"), "text"))
 
 
-@query("a02_segmentation_summary", "track_id b, total_words b, total_sentences b, total_cues b, estimated_words b, budget b, max_words b, avg_words_per_cue d")
+@query("a02_segmentation_summary", "track_id b, total_words b, total_sentences b, total_cues b, estimated_words b, budget b, max_words b, min_words b, avg_words_per_cue d, avg_sentences_per_cue d", "words", f"""
+    SELECT *, floor(total_words * 1.2::DOUBLE) AS estimated_words, 13 AS budget, round(total_sentences / total_cues, 4) AS avg_sentences_per_cue FROM (SELECT track_id, count(*) AS total_words FROM words GROUP BY track_id)
+    LEFT JOIN (SELECT track_id, count(*) AS total_sentences FROM ({_TERMINATED}) GROUP BY track_id) USING (track_id)
+    LEFT JOIN (SELECT track_id, count(*) AS total_cues, max(n_words) AS max_words, min(n_words) AS min_words, round(avg(n_words), 4) AS avg_words_per_cue FROM ({_PACKED}) GROUP BY track_id) USING (track_id)""")
 def _(v):
     s = D.split_terminator_sentences(v.words)
     return A.segmentation_summary(v.words, s, D.pack_sentences(s))
@@ -277,7 +324,13 @@ def _(v):
     return R.success_rate_window(v.provider_results, "1 hour")
 
 
-@query("r06_provider_health", "engine s, ts t, health s")
+@query("r06_provider_health", "engine s, ts t, health s", "provider_results", f"""
+    WITH a AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, ok) AS k FROM provider_results),
+    b AS (SELECT engine, count(*) AS n, list(epoch_us(ts) ORDER BY k) AS u FROM a GROUP BY engine),
+    l AS (SELECT engine, {_letters(f"{_HELD} >= 5 AND u[k::INT - 1] - u[k::INT - {_HELD}] >= 10000000")} AS letters FROM b),
+    c AS (SELECT a.*, substr(letters, k, 1) AS round FROM a JOIN l USING (engine)),
+    d AS (SELECT *, count(*) OVER r AS n, avg(ok::INT) OVER r AS rate, k = max(k) OVER r AND epoch_us(ts) - min(epoch_us(ts)) OVER r >= 10000000 AND count(*) OVER r >= 5 AS ends FROM c WINDOW r AS (PARTITION BY engine, round))
+    SELECT engine, ts, coalesce(last_value(CASE WHEN NOT ok THEN 'degraded' WHEN ends AND rate > 0.95 THEN 'healthy' WHEN ends AND rate < 0.8 THEN 'struggling' END IGNORE NULLS) OVER (PARTITION BY engine ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'healthy') AS health FROM d""")
 def _(v):
     return R.provider_health(v.provider_results)
 

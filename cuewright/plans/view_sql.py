@@ -34,6 +34,18 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
 }
 
 
+#: New slots of the view cues, under the rule of the operator's capped mode.
+SLOTS_SQL = """
+    WITH a AS (SELECT *, (end_ms - start_ms)::DOUBLE AS slot, CASE WHEN tts_ms > end_ms - start_ms AND end_ms > start_ms THEN round(least(tts_ms / (end_ms - start_ms), 1.3), 4) ELSE 1 END AS sp FROM cues),
+    b AS (SELECT *, round(tts_ms / sp, 1) AS t FROM a),
+    c AS (SELECT *, sum(t) OVER (PARTITION BY track_id) - sum(slot) OVER (PARTITION BY track_id) > 10 AS mv, greatest(coalesce(start_ms - lag(end_ms) OVER w, 0), 0) AS g FROM b WINDOW w AS (PARTITION BY track_id ORDER BY seg_idx)),
+    d AS (SELECT *, CASE WHEN mv THEN t ELSE slot END AS nw FROM c),
+    e AS (SELECT *, round(CASE WHEN mv THEN first(start_ms) OVER w + coalesce(sum(nw) OVER (PARTITION BY track_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(g) OVER w ELSE start_ms END, 1) AS ns FROM d WINDOW w AS (PARTITION BY track_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING))
+    SELECT track_id, seg_idx, start_ms, end_ms, n, t AS spoken_ms, ns AS new_start_ms, round(ns + nw, 1) AS new_end_ms, sp AS audio_speedup,
+        CASE WHEN NOT mv OR slot <= 0 THEN 1 ELSE greatest(round(slot / nw, 4), 0.7) END AS video_speed, round(nw - t, 1) AS drift_ms,
+        CASE WHEN abs(round(nw - t, 1)) < 50 THEN 'ok' WHEN abs(round(nw - t, 1)) < 200 THEN 'warn' ELSE 'fail' END AS status FROM e"""
+
+
 def with_views(names: str, sql: str) -> str:
     """The query behind the definitions of the views it reads, in order."""
     needed: list[str] = []

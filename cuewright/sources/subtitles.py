@@ -140,26 +140,41 @@ def read_plain_transcript(df: DataFrame, text_col: str = "text") -> DataFrame:
 GLOSSARY = "canonical string, aliases array<string>, source_spelling string, target_spelling string, action string, pronunciation string"
 
 
-def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of terms with defaults; malformed entries are left out."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{GLOSSARY.replace(' ', ':').replace(',:', ',')}>>")).alias("ord", "t"))
+def parse_glossary(files: DataFrame) -> DataFrame:
+    """files: value, a JSON array of terms. Terms with defaults; malformed entries are left out."""
+    rows = files.select(F.posexplode(F.from_json("value", f"array<struct<{GLOSSARY.replace(' ', ':').replace(',:', ',')}>>")).alias("ord", "t"))
     rows = rows.select("ord", "t.*").filter(F.coalesce("canonical", F.lit("")) != "")
     return rows.withColumns({"aliases": F.coalesce("aliases", F.array().cast("array<string>")), "action": F.coalesce(T.first_nonempty("action"), F.lit("keep"))} | {c: F.coalesce(c, F.lit("")) for c in ("source_spelling", "target_spelling", "pronunciation")})
 
 
-def read_pronunciation(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst of a flat JSON object; keys that begin with _ and values that are no strings are left out."""
-    rows = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    pairs = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+def read_glossary(spark: SparkSession, path: str) -> DataFrame:
+    return parse_glossary(spark.read.text(path, wholetext=True))
+
+
+def parse_pronunciation(files: DataFrame) -> DataFrame:
+    """files: value, a flat JSON object. src, dst; keys that begin with _ and values that are no strings are left out."""
+    rows = files.select(F.parse_json("value").alias("v"))
+    pairs = rows.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("v").outer()))
     strings = pairs.filter((F.schema_of_variant("value") == "STRING") & ~F.col("key").startswith("_"))
     return strings.select(F.col("key").alias("src"), F.variant_get("value", "$", "string").alias("dst"))
 
 
-def read_job_store(spark: SparkSession, path: str, payload: str = "source_url string, target_language string, tts_engine string, step_times map<string,double>") -> DataFrame:
+def read_pronunciation(spark: SparkSession, path: str) -> DataFrame:
+    return parse_pronunciation(spark.read.text(path, wholetext=True))
+
+
+PAYLOAD = "source_url string, target_language string, tts_engine string, step_times map<string,double>"
+
+
+def parse_job_store(rows: DataFrame, payload: str = PAYLOAD) -> DataFrame:
     """Job rows with their JSON payload parsed and states made good."""
     from ..operators.tables import recover_states
 
-    return recover_states(spark.read.parquet(path).withColumn("payload", F.from_json("payload", payload)))
+    return recover_states(rows.withColumn("payload", F.from_json("payload", payload)))
+
+
+def read_job_store(spark: SparkSession, path: str, payload: str = PAYLOAD) -> DataFrame:
+    return parse_job_store(spark.read.parquet(path), payload)
 
 
 def write_job_store(jobs: DataFrame, path: str) -> None:

@@ -204,3 +204,26 @@ def test_terms_are_found_anywhere(spark):
     g = spark.createDataFrame([(o, t, "", "keep", "") for o, t in terms], "ord long, canonical string, target_spelling string, action string, pronunciation string")
     got = {r["seg_idx"]: r["protected_terms"] for r in J.glossary_tag_cues(c, g).collect()}
     assert got == {k: [x for _, x in terms if x and t is not None and x.lower() in t.lower()] for _, k, t in cues}
+
+
+def test_reference_texts_are_compared_whole(spark):
+    """Edit distances in characters, not bytes, over all of both texts."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choices("aébçdß ", k=rng.choice([0, 5, 150, 260])))
+    ours = [(1, k, k * 1000, k * 1000 + 800, text()) for k in range(12)]
+    theirs = [(1, k, k * 1000 + 300, k * 1000 + 900, ours[k][4][:-3] + "xyz" if k % 2 else text()) for k in range(12) if k != 5]
+    a, b = (spark.createDataFrame(r, f"track_id long, {n} long, start_ms long, end_ms long, text string") for r, n in ((ours, "seg_idx"), (theirs, "ref_idx")))
+    got = {r["seg_idx"]: (r["best_ref"], r["ratio"], r["status"]) for r in J.align_reference(a, b, mode="text", fast=True).collect()}
+    for _, k, s, e, t in ours:
+        near = [(round(1 - distance(t.lower(), x[4].lower()) / max(len(t), len(x[4]), 1), 4), -x[1]) for x in theirs if min(e, x[3]) - max(s, x[2]) > -2000]
+        best = max(near)
+        assert got[k] == (-best[1], pytest.approx(best[0], abs=1e-4), "MATCH" if best[0] >= 0.5 else "MISMATCH")
