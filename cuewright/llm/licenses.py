@@ -25,10 +25,12 @@ BASE_PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-#: Fixed values: (label, weight, template); weight 1 for a license's own text, less for a notice that names one.
+#: Fixed values: (label, weight, template); weight 1 for a license's whole text, less for a part of it or a notice that
+#: names one. Apache, GNU, Mozilla and Creative Commons licenses are known by their notices; whole texts may be given.
 TEMPLATES = [
     ("mit", 0.8, "((this [[work|software|text|document|code|project|file]] is)) [[released|licensed|distributed|published|available|made available]] under the ((terms of the)) mit [[license|licence]]"),
-    ("mit", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice ((including the next paragraph)) shall be included in all copies or substantial portions of the software"),
+    ("mit", 0.9, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice ((including the next paragraph)) shall be included in all copies or substantial portions of the software"),
+    ("mit", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice ((including the next paragraph)) shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the [[authors or copyright holders|copyright holders or authors|authors|copyright holders]] be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache-2", 0.8, "((this [[work|software|text|document|code|project|file]] is)) [[released|licensed|distributed|published|available|made available]] under the ((terms of the)) apache [[license|licence]] ((version)) [[2|2 0]]"),
     ("apache-2", 1.0, "licensed under the apache license version 2 0 the license you may not use this <<3>> except in compliance with the license you may obtain a copy of the license at <<8>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("cc-by-nc", 0.8, "((this [[work|text|document|article|page|file]] is)) [[released|licensed|distributed|published|available|made available]] under ((a|the)) ((creative commons)) cc by nc ((4 0|3 0|2 0))"),
@@ -42,8 +44,10 @@ TEMPLATES = [
     ("agpl-3", 0.8, "[[released|licensed|distributed|published|available|made available]] under the ((terms of the)) gnu affero general public [[license|licence]]"),
     ("mpl-2", 0.8, "subject to the terms of the mozilla public license v 2 0"),
     ("bsd", 0.8, "[[released|licensed|distributed|published|available|made available]] under the ((terms of the)) ((2 clause|3 clause|new|simplified|modified)) bsd ((2 clause|3 clause)) [[license|licence]]"),
-    ("bsd", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ((1)) redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer ((2)) redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("isc", 1.0, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", 0.9, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ((1)) redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer ((2)) redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ((1)) redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer ((2)) redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution ((3)) ((neither the name of <<12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission)) this software is provided by the copyright [[holders|holder]] and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright [[holder|holders|owner]] or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", 0.9, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", 1.0, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and [[the author disclaims|<<6>> disclaims]] all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall [[the author|<<6>>]] be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("proprietary", 0.6, "copyright ((c)) <<6>> all rights reserved"),
 ]
 
@@ -88,9 +92,10 @@ class TemplateAutomaton:
                 self.free[here].append(end)
                 here = start
             elif t in ("((", "[["):
+                close = "))" if t == "((" else "]]"
                 after, at = self._alternatives(tokens, at + 1, here, ("))", "]]"))
-                if at >= len(tokens):
-                    raise ValueError("a region is not closed")
+                if at >= len(tokens) or tokens[at] != close:
+                    raise ValueError("a region is not closed by its own mark")
                 if t == "((":
                     self.free[here].append(after)
                 here = after

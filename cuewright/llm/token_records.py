@@ -10,7 +10,7 @@ holds the 8-byte offset of each frame and the file's length, so that any record
 from __future__ import annotations
 
 import posixpath
-import random
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -132,11 +132,11 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str |
     context = TaskContext.get()
     part = context.partitionId() if context else 0
     fs, root = open_fs(folder)
-    name = posixpath.join(root, f"part-{part:06d}")
-    attempt = f"{name}.{random.getrandbits(48):012x}"  # an attempt that is lost or runs twice leaves the others' files alone
+    # the name is this attempt's own: the manifest, which Spark commits, has that of one attempt
+    name = posixpath.join(root, f"part-{part:06d}-{uuid.uuid4().hex[:12]}")
     enc, offsets, at, n_tokens = encoder(tokenizer), [], 0, 0
     fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(attempt + ".records") as out:
+    with fs.open_output_stream(name + ".records") as out:
         for batch in batches:
             for piece in text_slices(batch):
                 every, bounds = enc.encode_column(piece.column(1))
@@ -153,28 +153,28 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str |
                     offsets.append(at)
                     at += len(d) + 16
                     n_tokens += (len(d) - 10) // width
-    with fs.open_output_stream(attempt + ".index") as out:
+    with fs.open_output_stream(name + ".index") as out:
         out.write(np.array([*offsets, at], dtype="<u8").tobytes())
-    for kind in (".records", ".index"):
-        fs.move(attempt + kind, name + kind)
     yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "records": [len(offsets)], "tokens": [n_tokens]})
 
 
-def write_token_records(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+def write_token_records(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2, files: int | None = None) -> DataFrame:
     """Write every row's ids plus end_id in ascending doc_id order; returns the manifest, a row for each file.
 
     docs: doc_id, text; other columns are ignored. A null text is empty; a null doc_id comes first; rows with the same
     doc_id follow one another in the order of their texts' hashes. The files' order is the order of their names. The
-    rows are range-partitioned on (doc_id, hash), so neither a hot id nor sorting gathers rows beyond one partition.
+    rows are range-partitioned on (doc_id, hash), so neither a hot id nor sorting gathers rows beyond one partition;
+    `files` sets how many there are, else the session's shuffle partitions do.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    files = rows.mapInArrow(
+    ranges = ("doc_id", "h") if files is None else (files, "doc_id", "h")
+    rows = rows.repartitionByRange(*ranges).sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    manifest = rows.mapInArrow(
         lambda batches: _write_part(batches, folder, tokenizer, end_id), "part long, name string, records long, tokens long"
     )
-    files = staged(files, "token-records-manifest")
+    manifest = staged(manifest, "token-records-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
-    return files.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 def read_records(fs: pafs.FileSystem, name: str, numbers: list[int] | None = None, ahead: int = 1 << 21) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -230,7 +230,7 @@ def read_token_records(manifest: DataFrame, store: str, *, checksums: bool = Fal
 
     files = manifest.count()
     schema = f"doc_id long, start long, n_tokens long, {last} {'long' if checksums else 'binary'}"
-    return manifest.repartition(max(1, files), "part").mapInArrow(read, schema)
+    return manifest.repartitionByRange(max(1, files), "part").mapInArrow(read, schema)
 
 
 def token_record_digests(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

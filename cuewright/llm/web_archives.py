@@ -11,7 +11,6 @@ import base64
 import hashlib
 import json
 import posixpath
-import random
 import struct
 import urllib.parse
 import uuid
@@ -244,28 +243,29 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, packa
     rows = rows.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("bytes", F.octet_length("html"))
     groups = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     repeated = staged(groups.filter("n > 1 and first is not null").select("digest", "first"), "repeated-payloads")
-    rows = rows.join(small_side(repeated), "digest", "left").select("page_id", "url", "html", "first")
+    rows = rows.join(small_side(repeated), "digest", "left").select("page_id", "url", "html", "first", "digest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        names, package, stream, attempt = [], None, None, f"{random.getrandbits(48):012x}"
+        names, package, stream, attempt = [], None, None, f"{uuid.uuid4().hex[:12]}"
 
         def finish() -> None:
             package.close()
             stream.close()
-            fs.move(f"{names[-1]}.{attempt}", names[-1])  # whole files only, under names that a second attempt writes alike
 
         for batch in batches:
             for piece in small_batches(batch):
-                for page_id, url, payload, first in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), binary_column(piece, "html"), piece.column(3).to_pylist(), strict=True):
+                columns = piece.column(0).to_pylist(), piece.column(1).to_pylist(), binary_column(piece, "html"), piece.column(3).to_pylist(), piece.column(4).to_pylist()
+                for page_id, url, payload, first, sha1 in zip(*columns, strict=True):
                     if package is None:
-                        names.append(posixpath.join(root, f"part-{part:06d}-{len(names):04d}.wacz"))
-                        stream = fs.open_output_stream(f"{names[-1]}.{attempt}")
+                        # the name is this attempt's own: the manifest, which Spark commits, has those of one attempt
+                        names.append(posixpath.join(root, f"part-{part:06d}-{len(names):04d}-{attempt}.wacz"))
+                        stream = fs.open_output_stream(names[-1])
                         package = PackageWriter(stream)
-                    revisit, digest = first is not None and page_id != first, digest_of(payload)
+                    revisit, digest = first is not None and page_id != first, base64.b32encode(sha1).decode()
                     package.add(_key(url), warc_record(page_id, url, payload, digest, first, revisit, date), digest=digest)
                     if package.at > package_bytes:
                         finish()
@@ -301,7 +301,7 @@ def read_archives(spark: SparkSession, names: DataFrame, store: str, *, payloads
                         yield _rows(rows, payloads)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return names.repartition(max(1, names.count()), "name").mapInArrow(read, schema)
+    return names.repartitionByRange(max(1, names.count()), "name").mapInArrow(read, schema)
 
 
 def _rows(rows: list[tuple], payloads: bool) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ import random
 import struct
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -273,6 +274,64 @@ def test_every_word_has_a_probability_of_its_own(spark, common):
     assert score[None] == 0
 
 
+def test_scores_equal_brute_force_however_the_input_is_dealt(spark):
+    """Each word's probability by loops: group, class in the group, share of the class; the same for 1 and 8 partitions."""
+    rng = random.Random(12)
+    names = ["w" + "abcdefgh"[k % 8] * (1 + k // 8) for k in range(60)]
+    rows = [(k, " ".join(rng.choices(names, [1 / (j + 1) for j in range(60)], k=rng.randrange(0, 40)))) for k in range(120)]
+    rows += [(None, rows[3][1]), (3, rows[3][1]), (500, None), (501, "  ?")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = {"frequent": 20, "classes": 7, "width": 5}
+    got = [sorted(map(tuple, pseudo_likelihood.pseudo_likelihood(d.repartition(n), common=9, **settings).select("doc_id", "n_words", "log_likelihood").collect()), key=str) for n in (1, 8)]
+    assert len(got[0]) == len(rows)
+    for a, b in zip(*got, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
+
+    counts = Counter(w for _, t in rows if t for w in t.split() if w != "?")
+    own = [w for w, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:20]]
+    number = lambda w: own.index(w) if w in own else 20 + zlib.crc32(w.encode()) % 7
+    totals = Counter()
+    for w, n in counts.items():
+        totals[number(w)] += n
+    numbered = pseudo_likelihood._numbered(d, spark.sparkContext.broadcast((own, 7, [])))
+    flat = pseudo_likelihood.train_network(numbered.select("doc_id", "ids"), sum(counts.values()), 27, width=5, rounds=2, rate=0.05)
+    net = pseudo_likelihood.WindowNetwork(27, 5, flat)
+    want = []
+    for i, t in rows:
+        w = [x for x in (t or "").split() if x != "?"]
+        ids, total = [number(x) for x in w], 0.0
+        for k, c in enumerate(ids):
+            around = [ids[k + j] if 0 <= k + j < len(ids) else 27 for j in (-2, -1, 1, 2)]
+            h = [math.tanh(sum(float(net.E[j][a][u]) for j, a in enumerate(around))) for u in range(5)]
+            g, m = divmod(c, net.inner)
+            outer = [sum(h[u] * float(net.U[u, x]) for u in range(5)) + float(net.b[x]) for x in range(net.groups)]
+            inner = [sum(h[u] * float(net.V[g, u, x]) for u in range(5)) + float(net.c[g, x]) for x in range(min(net.inner, 27 - g * net.inner))]
+            total += outer[g] - math.log(sum(map(math.exp, outer))) + inner[m] - math.log(sum(map(math.exp, inner)))
+            total += math.log(counts[w[k]] / totals[c])
+        want.append((i, len(w), total))
+    for a, b in zip(got[0], sorted(want, key=lambda r: str(r)), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-5)
+
+
+def test_likelihood_of_awkward_rows(spark, awkward):
+    rows = pseudo_likelihood.pseudo_likelihood(awkward, frequent=30, classes=8, width=4).collect()
+    assert len(rows) == awkward.count()
+    by = Counter((r["doc_id"], r["n_words"]) for r in rows)
+    assert by[None, 13] == 2 and by[7, 1] == 2 and by[6, 60_000] == 1 and by[3, 0] == by[4, 0] == by[5, 0] == 1
+    assert all((r["mean_log_likelihood"] is None) == (r["n_words"] == 0) and (r["n_words"] == 0 or r["log_likelihood"] < 0) for r in rows)
+    assert len({r["log_likelihood"] for r in rows if r["doc_id"] == 7}) == 1
+
+
+def test_very_long_texts_are_numbered_run_by_run(monkeypatch):
+    from cuewright.llm import common
+
+    text = b"one two, THREE four--five six " * 40
+    whole = [w for r in common.word_runs(text) for w in common.words(r)]
+    for limit in (1, 5, 64):
+        assert [w for r in common.word_runs(text, limit) for w in common.words(r)] == whole == common.words(text)
+    assert list(common.word_runs(b"x" * 50, 10)) == [b"x" * 50] and list(common.word_runs(None)) == []
+
+
 # The pipeline
 
 

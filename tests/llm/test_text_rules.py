@@ -133,6 +133,13 @@ def test_templates():
         assert a.accepts(words(text.encode()), 0) == end
     with pytest.raises(ValueError, match="unbalanced|closed"):
         lc.TemplateAutomaton("a ((b")
+    for crossed in ("a ((b]]", "a [[b))", "a [[b ((c]] d))", "a ((b [[c)) d]]"):
+        with pytest.raises(ValueError, match="own mark|unbalanced"):
+            lc.TemplateAutomaton(crossed)
+    mit = next(t for label, weight, t in lc.TEMPLATES if label == "mit" and weight == 1.0)
+    whole = "Copyright 2020 A. B.\n" + mit.replace("((including the next paragraph))", "").replace("[[authors or copyright holders|copyright holders or authors|authors|copyright holders]]", "AUTHORS OR COPYRIGHT HOLDERS")
+    scores = [max(w for *_, w in lc.LicenseScanner().scan(words(t.encode()))[1]) for t in (whole, whole.replace("noninfringement", "infringement"))]
+    assert scores == [1.0, 0.9]
 
 
 @pytest.fixture(scope="module")
