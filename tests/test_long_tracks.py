@@ -227,3 +227,48 @@ def test_reference_texts_are_compared_whole(spark):
         near = [(round(1 - distance(t.lower(), x[4].lower()) / max(len(t), len(x[4]), 1), 4), -x[1]) for x in theirs if min(e, x[3]) - max(s, x[2]) > -2000]
         best = max(near)
         assert got[k] == (-best[1], pytest.approx(best[0], abs=1e-4), "MATCH" if best[0] >= 0.5 else "MISMATCH")
+
+
+def test_speech_texts_by_loops(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(["one", "two,", "three.", "5", "12", "x7", "…", "a—b", "well...", "ok!", "100"], k=rng.randrange(0, 30))) for _ in range(80)] + ["", "a, , b,", None]
+
+    def want(text, digits):
+        import re
+
+        t = re.sub(r"\.{2,}", ",", text).replace("—", ", ").replace("–", ", ")
+        if digits:
+            for d, w in sorted(T.SPOKEN_DIGITS.items(), key=lambda kv: -len(kv[0])):
+                t = re.sub(rf"(?<!\w){d}(?!\w)", w, t)
+        words, run, out = t.split(), 0, []
+        for w in words:
+            run += 1
+            if w[-1] in ",।!?":
+                run = 0
+            elif run >= 7:
+                w, run = w + ",", 0
+            out.append(w)
+        t = " ".join(out) if len(words) > 8 else t
+        t = re.sub(r",\s*([।!?])", r"\1", re.sub(r",\s*,", ",", t))
+        return re.sub(r",+$", "", t.strip(" ")).replace("well", "wel")
+
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    for lang in ("hi", "en"):
+        got = {r["k"]: r["v"] for r in d.select("k", T.prepare_speech_text(F.col("t"), F.lit(lang), {"well": "wel"}).alias("v")).collect()}
+        assert got == {k: None if t is None else want(t, lang == "hi") for k, t in enumerate(texts)}
+
+
+def test_similar_reference_texts_by_loops(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    ours = [(t, k, k * 1500, k * 1500 + 900, "".join(rng.choices("abcX ", k=rng.randrange(0, 40)))) for t in (1, 2) for k in range(15)]
+    theirs = [(t, k, k * 1500 + 400, k * 1500 + 1000, rng.choice([x for x in ours if x[0] == t and abs(x[1] - k) < 2])[4].upper()) for t in (1, 2) for k in range(0, 15, 2)]
+    a, b = (spark.createDataFrame(r, f"track_id long, {n} long, start_ms long, end_ms long, text string") for r, n in ((ours, "seg_idx"), (theirs, "ref_idx")))
+    for bucket in (None, 1000, 60_000):
+        got = {(r["track_id"], r["seg_idx"]): (r["best_ref"], r["ratio"], r["status"]) for r in J.align_reference(a, b, mode="text", bucket_ms=bucket).collect()}
+        assert len(got) == len(ours)
+        for t, k, s, e, text in ours:
+            near = [(SequenceMatcher(None, text.lower(), x[4].lower()).ratio(), -x[1]) for x in theirs if x[0] == t and min(e, x[3]) - max(s, x[2]) > -2000]
+            best = max((round(r, 4), i) for r, i in near)
+            assert got[t, k] == (-best[1], pytest.approx(best[0], abs=1e-4), "MATCH" if best[0] >= 0.5 else "MISMATCH")
