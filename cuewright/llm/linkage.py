@@ -84,8 +84,13 @@ def moved_nodes(classes: DataFrame) -> dict[bytes, int]:
     classes: a row for each node and key (binary, 16 bytes, of which the first half gave the node). A node is a hash of
     64 bits, so that these are a handful among ten thousand million keys.
     """
-    twice = classes.groupBy("node").agg(F.count("*").alias("n"), F.collect_list("key").alias("keys")).filter("n > 1")
-    return {bytes(k): int.from_bytes(bytes(k)[8:], "little", signed=True) for r in twice.select("keys").collect() for k in sorted(r["keys"])[1:]}
+    twice = [r["node"] for r in classes.groupBy("node").count().filter("count > 1").select("node").collect()]
+    if not twice:
+        return {}
+    keys: dict[int, list[bytes]] = {}
+    for r in classes.filter(F.col("node").isin(twice)).select("node", "key").collect():
+        keys.setdefault(r["node"], []).append(bytes(r["key"]))
+    return {k: int.from_bytes(k[8:], "little", signed=True) for same in keys.values() for k in sorted(same)[1:]}
 
 
 def own_nodes(rows: DataFrame, moved: dict[bytes, int]) -> DataFrame:

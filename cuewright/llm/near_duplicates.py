@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, map_batches, mix64, staged
+from .common import binary_column, map_batches, mix64, small_batches, staged
 from .linkage import by_blocks, connected_components, moved_nodes, own_nodes, small_side, star_pairs, unsettled
 
 BANDS, BAND_ROWS, BATCH = 32, 5, 32
@@ -35,7 +36,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 #: Longer texts are cut into shingles run by run.
-_LONG = 4 << 20
+_LONG = 1 << 20
 
 
 def _runs(text: bytes, size: int) -> list[bytes]:
@@ -56,6 +57,10 @@ def _runs(text: bytes, size: int) -> list[bytes]:
     return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return small_batches(batch, limit=_LONG)
+
+
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of `size` white-space separated words, A-Z lower-cased.
 
@@ -85,7 +90,7 @@ def _shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     if not len(starts):
         return [empty for _ in raw]
     first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
     values = _BYTES[(place % _POSITIONS) * 256 + buffer[solid]]
     if lengths.max() > _POSITIONS:
         values = values * (2 * (place // _POSITIONS) + 1).astype(np.uint64)
@@ -148,7 +153,7 @@ def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, key binary, sig binary")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, key binary, sig binary", _slices)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -238,7 +243,7 @@ class _Corpus:
             return each
 
         texts = self.docs.select("doc_id", "text").join(small_side(reps), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        return map_batches(texts.select("text"), make, "node long, hashes binary").dropDuplicates(["node"])
+        return map_batches(texts.select("text"), make, "node long, hashes binary", _slices).dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, corpus: _Corpus, percent: int) -> DataFrame:
