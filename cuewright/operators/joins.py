@@ -146,49 +146,52 @@ def glossary_tag_words(words: DataFrame, glossary: DataFrame) -> DataFrame:
     return out.withColumn("protected", F.col("term").isNotNull()).withColumnRenamed("term", "term_id")
 
 
-def _present(cues: DataFrame, glossary: DataFrame, col: str, key: str) -> DataFrame:
-    """One row for each cue and term whose canonical form its text contains, whatever the case.
+#: Up to so many terms each text is searched for every term; more meet it by an equality first.
+SEARCHED_TERMS = 2_000
 
-    Each term is met by an equality, of its first characters with those at any place of the text, before it is looked
-    for as a whole: the work grows with the texts, not with texts times terms. Terms without a character are passed over.
+
+def _with_terms(cues: DataFrame, glossary: DataFrame, col: str, key: str, searched: int = SEARCHED_TERMS) -> DataFrame:
+    """Adds _terms: the glossary's terms (ord, canonical, target_spelling, action, pronunciation), in its order, whose
+    canonical form the text contains, whatever the case. Terms without a character are passed over.
+
+    A glossary of up to `searched` terms goes along with each row, so that the cues are evaluated once. Of a larger one
+    each term is met by an equality, of its first characters with those at any place of the text, before it is looked for
+    as a whole: the work then grows with the texts, not with texts times terms.
     """
-    g = glossary.select("ord", "canonical", "target_spelling", "action", "pronunciation", F.substring(F.lower("canonical"), 1, 4).alias("_head")).filter("_head <> ''")
-    sizes = [r["n"] for r in g.select(F.length("_head").alias("n")).distinct().collect()]  # four at most
+    g = glossary.select("ord", "canonical", "target_spelling", "action", "pronunciation").filter("canonical <> ''")
     low = F.lower("_text")
-    heads = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes] or [F.array().cast("array<string>")]
-    texts = cues.select("track_id", key, F.col(col).alias("_text"))
-    places = texts.withColumn("_at", F.explode(F.array_distinct(F.concat(*heads))))
-    return places.join(dimension(g), (F.col("_at") == F.col("_head")) & F.contains(low, F.lower("canonical"))).drop("_at", "_head")
+    if g.limit(searched + 1).count() <= searched:
+        every = g.agg(F.array_sort(F.collect_list(F.struct(*g.columns))).alias("_every"))
+        found = F.filter("_every", lambda t: F.contains(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lower(t["canonical"])))
+        return cues.crossJoin(F.broadcast(every)).withColumn("_terms", found).drop("_every")  # one row
+    g = g.withColumn("_head", F.substring(F.lower("canonical"), 1, 4))
+    sizes = [r["n"] for r in g.select(F.length("_head").alias("n")).distinct().collect()]  # four at most
+    heads = F.concat(*(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes))
+    places = cues.select("track_id", key, F.col(col).alias("_text")).withColumn("_at", F.explode(F.array_distinct(heads)))
+    found = places.join(dimension(g), (F.col("_at") == F.col("_head")) & F.contains(low, F.lower("canonical")))
+    found = found.groupBy("track_id", key).agg(F.array_sort(F.collect_list(F.struct("ord", "canonical", "target_spelling", "action", "pronunciation"))).alias("_terms"))
+    none = F.array().cast(found.schema["_terms"].dataType)
+    return cues.join(found, ["track_id", key], "left").withColumn("_terms", F.coalesce("_terms", none))
 
 
 def glossary_tag_cues(cues: DataFrame, glossary: DataFrame, col: str = "text", key: str = "seg_idx") -> DataFrame:
     """Adds protected_terms (in glossary order) and pronunciation_overrides (by target spelling or canonical form)."""
-    say = F.struct(T.first_nonempty("target_spelling", "canonical").alias("key"), F.col("pronunciation").alias("value"))
-    found = _present(cues, glossary, col, key).groupBy("track_id", key).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "canonical"))).alias("_t"),
-        F.array_sort(F.collect_list(F.when(F.coalesce("pronunciation", F.lit("")) != "", say))).alias("_p"),
-    )
-    out = cues.join(found, ["track_id", key], "left")
-    terms = F.transform("_t", lambda x: x["canonical"])
-    return out.withColumns(
-        {
-            "protected_terms": F.coalesce(terms, F.array().cast("array<string>")),
-            "pronunciation_overrides": F.map_from_entries(F.array_distinct(F.coalesce("_p", F.array().cast("array<struct<key:string,value:string>>")))),
-        }
-    ).drop("_t", "_p")
+    said = F.filter("_terms", lambda t: F.coalesce(t["pronunciation"], F.lit("")) != "")
+    name = lambda t: F.coalesce(F.nullif(t["target_spelling"], F.lit("")), t["canonical"])
+    pairs = F.transform(said, lambda t: F.struct(name(t).alias("key"), t["pronunciation"].alias("value")))
+    out = _with_terms(cues, glossary, col, key)
+    return out.withColumns({"protected_terms": F.transform("_terms", lambda t: t["canonical"]), "pronunciation_overrides": F.map_from_entries(F.array_distinct(pairs))}).drop("_terms")
 
 
 def glossary_validate(cues: DataFrame, glossary: DataFrame, source: str = "text", target: str = "text_translated", key: str = "seg_idx") -> DataFrame:
     """Appends glossary-miss:t (a kept term is absent) and glossary-drift:t (a fixed translation is absent) to qc_flags."""
-    g = _present(cues.withColumn("_target", F.col(target)), glossary, source, key).join(cues.select("track_id", key, F.lower(target).alias("_out")), ["track_id", key])
-    miss = (F.col("action") == "keep") & ~F.contains("_out", F.lower("canonical"))
-    drift = (F.col("action") == "fixed_translation") & ~F.contains("_out", F.lower("target_spelling"))
-    flag = F.when(miss, F.concat(F.lit("glossary-miss:"), "canonical")).when(drift, F.concat(F.lit("glossary-drift:"), "canonical"))
-    flags = g.select("track_id", key, "ord", flag.alias("flag")).filter("flag is not null")
-    flags = flags.groupBy("track_id", key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "flag"))), lambda x: x["flag"]).alias("_f"))
-    old = F.col("qc_flags") if "qc_flags" in cues.columns else F.array().cast("array<string>")
+    out = F.lower(F.col(target))
+    miss = lambda t: (t["action"] == "keep") & ~F.contains(out, F.lower(t["canonical"]))
+    drift = lambda t: (t["action"] == "fixed_translation") & ~F.contains(out, F.lower(t["target_spelling"]))
+    flag = lambda t: F.when(miss(t), F.concat(F.lit("glossary-miss:"), t["canonical"])).when(drift(t), F.concat(F.lit("glossary-drift:"), t["canonical"]))
     none = F.array().cast("array<string>")
-    return cues.join(flags, ["track_id", key], "left").withColumn("qc_flags", F.concat(F.coalesce(old, none), F.coalesce("_f", none))).drop("_f")
+    old = F.coalesce("qc_flags", none) if "qc_flags" in cues.columns else none
+    return _with_terms(cues, glossary, source, key).withColumn("qc_flags", F.concat(old, F.array_compact(F.transform("_terms", flag)))).drop("_terms")
 
 
 # Keys ----------------------------------------------------------------------------------------------------------------

@@ -290,7 +290,7 @@ def _transfer(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
                 ends[at] = _greedy_end(w.start, w.end, w.text, at)
             at = ends[at]
         greedy.append(at - own)
-    return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]], "_run": [int(pdf["_of"].iloc[0])], "costs": [costs.ravel().tolist()], "greedy": [greedy]})
+    return pd.DataFrame({"_track": [pdf["track_id"].iloc[0]], "_run": [int(pdf["_of"].iloc[0])], "costs": [costs.ravel().tolist()], "greedy": [greedy]})
 
 
 def _entries(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
@@ -314,7 +314,7 @@ def _entries(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
             ends.append(int(greedy[ends[-1]]))
         ends[-1], method = 0, "greedy"
     runs = len(tables)
-    return pd.DataFrame({"track_id": pdf["track_id"].tolist(), "_of": pdf["_run"].tolist(), "late": ends[:-1], "over": ends[1:], "method": [method] * runs})
+    return pd.DataFrame({"_track": pdf["_track"].tolist(), "_entered": pdf["_run"].tolist(), "late": ends[:-1], "over": ends[1:], "method": [method] * runs})
 
 
 def _solved(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
@@ -345,15 +345,14 @@ def _cues(words: DataFrame, optimal: bool, run: int = _RUN) -> DataFrame:
     before = F.lag("term_id").over(track("word_idx"))
     rows = rows.withColumns({"_k": F.row_number().over(track("word_idx")) - 1, "_joined": F.coalesce(before == F.col("term_id"), F.lit(False)), "_n": F.count("*").over(Window.partitionBy("track_id"))})
     rows = rows.withColumn("_run", F.when(F.col("_n") <= run, 0).otherwise(F.floor(F.col("_k") / run)).cast("long")).drop("word_idx")
-    nothing = {"late": F.lit(None).cast("long"), "over": F.lit(None).cast("long"), "method": F.lit(None).cast("string")}
-    short = rows.filter(F.col("_n") <= run).withColumn("_of", F.col("_run")).withColumns(nothing)
     # a run sees the 17 words behind it: 16 that its last cue may reach, and one that tells the pause and the terms there
     both = F.when((F.col("_k") % run < WORDS_MAX + 1) & (F.col("_run") > 0), F.array(F.col("_run"), F.col("_run") - 1)).otherwise(F.array("_run"))
-    long = rows.filter(F.col("_n") > run).withColumn("_of", F.explode(both))
-    tables = long.groupBy("track_id", "_of").applyInPandas(lambda pdf: _transfer(pdf, optimal), "track_id long, _run long, costs array<double>, greedy array<long>")
-    entries = tables.groupBy("track_id").applyInPandas(lambda pdf: _entries(pdf, optimal), "track_id long, _of long, late long, over long, method string")
-    long = long.join(entries, ["track_id", "_of"])
-    every = short.unionByName(long).groupBy("track_id", "_of").applyInPandas(lambda pdf: _solved(pdf, optimal), CUES)
+    dealt = rows.withColumn("_of", F.explode(both))
+    tables = dealt.filter(F.col("_n") > run).groupBy("track_id", "_of").applyInPandas(lambda pdf: _transfer(pdf, optimal), "_track long, _run long, costs array<double>, greedy array<long>")
+    entries = tables.groupBy("_track").applyInPandas(lambda pdf: _entries(pdf, optimal), "_track long, _entered long, late long, over long, method string")
+    # null-safe, so that no filter is inferred below and both uses of the words share one shuffle
+    same = F.col("track_id").eqNullSafe(F.col("_track")) & F.col("_of").eqNullSafe(F.col("_entered"))
+    every = dealt.join(entries, same, "left").groupBy("track_id", "_of").applyInPandas(lambda pdf: _solved(pdf, optimal), CUES)
     return every.withColumn("cue_idx", (F.row_number().over(track("cue_idx")) - 1).cast("int"))
 
 

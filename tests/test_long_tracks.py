@@ -202,8 +202,11 @@ def test_terms_are_found_anywhere(spark):
     terms = [(0, "cat"), (1, "X"), (2, "b\nc"), (3, "größe"), (4, ""), (5, "at s"), (6, None)]
     c = spark.createDataFrame(cues, "track_id long, seg_idx long, text string")
     g = spark.createDataFrame([(o, t, "", "keep", "") for o, t in terms], "ord long, canonical string, target_spelling string, action string, pronunciation string")
-    got = {r["seg_idx"]: r["protected_terms"] for r in J.glossary_tag_cues(c, g).collect()}
-    assert got == {k: [x for _, x in terms if x and t is not None and x.lower() in t.lower()] for _, k, t in cues}
+    want = {k: [x for _, x in terms if x and t is not None and x.lower() in t.lower()] for _, k, t in cues}
+    assert {r["seg_idx"]: r["protected_terms"] for r in J.glossary_tag_cues(c, g).collect()} == want
+    for searched in (0, 2_000):
+        rows = J._with_terms(c, g, "text", "seg_idx", searched).collect()
+        assert {r["seg_idx"]: [t["canonical"] for t in r["_terms"]] for r in rows} == want
 
 
 def test_reference_texts_are_compared_whole(spark):
