@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from . import tokens
+
 #: Words are runs of 0-9, a-z (A-Z lower-cased) and every character above 0x7F. In UTF-8 all bytes of such a
 #: character are above 0x7F, so the rule can be applied to bytes: everything else becomes a blank.
 _WORD_BYTES = bytes(
@@ -112,6 +114,8 @@ def map_batches(
     of one row), so memory is bounded by the longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if slices is not tokens.text_slices:  # the worker has turned to other work
+            tokens.forget_encoders()
         each = make()
         for batch in batches:
             for part in slices(batch):

@@ -1,6 +1,7 @@
 """Linking rows that share buckets, without ever listing all pairs of a bucket.
 
-1. Each bucket's smallest and largest member are paired with every other member (linear in its size).
+1. Each bucket's smallest and largest member are paired with every other member (linear in its size; a large bucket's
+   members meet them in several tasks).
 2. The caller verifies these pairs; links join nodes into components.
 3. Buckets whose members still lie in several components are settled block by block: a task compares the members of two
    blocks, passes over pairs within one component, and gives out only what survives its own comparison.
@@ -49,10 +50,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return below.unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def spread_join(members: DataFrame, buckets: DataFrame, most: int = 4_096) -> DataFrame:
+    """members (bucket, node) with the columns of their buckets (stored: bucket, n, its members, and more).
+
+    The members of a bucket of more than `most` are dealt to several tasks, and the bucket's row goes to each of these.
+    """
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = staged(buckets.filter(F.col("n") > most).select("bucket", parts.alias("_parts")), "hot-buckets")
+    if hot.isEmpty():
+        return members.join(buckets, "bucket")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = members.join(small_side(hot), "bucket", "left").withColumn("_part", part).drop("_parts")
+    right = buckets.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, ["bucket", "_part"]).drop("_part")
+
+
 def star_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members: bucket, node. Stored (bucket, node, lo, hi) of buckets with several nodes, and pairs a < b with their ends."""
-    ends = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    shared = staged(members.join(ends, "bucket").distinct(), "bucket-members")
+    ends = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    shared = staged(spread_join(members, staged(ends, "bucket-ends")).select("bucket", "node", "lo", "hi").distinct(), "bucket-members")
     ends = F.explode(F.array("lo", "hi"))
     pairs = shared.select("node", ends.alias("end")).filter("node <> end")
     return shared, staged(pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "bucket-pairs")
@@ -62,7 +78,7 @@ def unsettled(shared: DataFrame, components: DataFrame) -> DataFrame:
     """Stored (bucket, node, lo, hi, component, n) of buckets with three members or more in several components."""
     at = shared.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2")
-    return staged(at.join(open_.select("bucket", "n"), "bucket"), "unsettled-buckets")
+    return staged(spread_join(at, staged(open_.select("bucket", "n"), "open-buckets")), "unsettled-buckets")
 
 
 def by_blocks(rows: DataFrame, group: str, blocks: Column, compare: Callable[[pa.Table], pa.Table], schema: str, node: str = "node") -> DataFrame:

@@ -139,6 +139,11 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 6 << 2
 _ENCODERS: dict[str | None, ChunkEncoder] = {}
 
 
+def forget_encoders() -> None:
+    """Give back the memory of what encoders have learned, hundreds of megabytes at times."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str | None = None) -> ChunkEncoder:
     """One encoder for each Python worker and vocabulary, so that what it has learned serves later tasks."""
     if path not in _ENCODERS:

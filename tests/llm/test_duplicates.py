@@ -5,10 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuewright.llm import embedding_duplicates as ed
 from cuewright.llm import near_duplicates as nd
-from cuewright.llm.linkage import connected_components
+from cuewright.llm.common import staged
+from cuewright.llm.linkage import connected_components, spread_join
 
 
 def components(nodes, links):
@@ -68,6 +70,14 @@ def corpus():
     return docs
 
 
+def expected(docs, size):
+    """doc_id: (n_shingles, component_id, kept), from all pairs."""
+    s = {i: sets(t, size) for i, t in docs}
+    links = [(a, b) for a in s for b in s if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    want = components(s, links)
+    return {i: (len(s[i]), want[i], want[i] == i) for i in s}
+
+
 @pytest.mark.parametrize("size", [1, 2, 5])
 def test_long_texts_are_cut_into_runs(monkeypatch, size):
     """Whatever the length of runs, words and blanks, the set is that of the whole text."""
@@ -86,30 +96,35 @@ def test_sets_that_share_a_number_stay_apart(spark):
     """With numbers of a few bits almost all sets meet another's: the result is that of 64 bits."""
     docs = corpus()[:150]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    few, many = (sorted(map(tuple, nd.near_duplicates(d, shingle_words=2, block=16, bits=b).collect())) for b in (4, 64))
-    assert few == many
+    assert {r["doc_id"]: tuple(r)[1:] for r in nd.near_duplicates(d, shingle_words=2, block=16, bits=4).collect()} == expected(docs, 2)
+
+
+def test_large_buckets_are_dealt_to_several_tasks(spark):
+    rows = [(b, n) for b in range(20) for n in range(1 + 7 * b)] + [(5, 3)]
+    members = spark.createDataFrame(rows, "bucket long, node long")
+    buckets = staged(members.groupBy("bucket").agg(F.count("*").alias("n"), F.max("node").alias("hi")).filter("bucket > 2"), "buckets")
+    want = sorted((b, n, sum(x == b for x, _ in rows), 7 * b) for b, n in rows if b > 2)
+    for most in (1, 10, 1000):
+        got = spread_join(members, buckets, most)
+        assert sorted(tuple(r) for r in got.select("bucket", "node", "n", "hi").collect()) == want
 
 
 def test_blocks_of_few_bytes(spark, monkeypatch):
-    docs = corpus()
+    docs = corpus()[::2]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    want = sorted(map(tuple, nd.near_duplicates(d, shingle_words=2).collect()))
     across = nd._across
     monkeypatch.setattr(nd, "_across", lambda *a: across(*a, limit=2000))
-    assert sorted(map(tuple, nd.near_duplicates(d, shingle_words=2).collect())) == want
+    assert {r["doc_id"]: tuple(r)[1:] for r in nd.near_duplicates(d, shingle_words=2).collect()} == expected(docs, 2)
 
 
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, size):
     docs = corpus()
-    s = {i: sets(t, size) for i, t in docs}
-    links = [(a, b) for a in s for b in s if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
-    want = components(s, links)
+    want = expected(docs, size)
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in nd.near_duplicates(d, shingle_words=size, block=16).collect()}
-    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(s[i]), want[i], want[i] == i) for i in s}
+    assert {r["doc_id"]: tuple(r)[1:] for r in nd.near_duplicates(d, shingle_words=size, block=16).collect()} == want
     kept = {r["doc_id"] for r in nd.keep_one_of_each(d, shingle_words=size).collect()}
-    assert kept == {i for i in s if want[i] == i}
+    assert kept == {i for i, r in want.items() if r[2]}
 
 
 def test_awkward_rows(spark, awkward, nothing):
