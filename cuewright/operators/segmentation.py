@@ -186,6 +186,14 @@ def _cheapest(cost: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarra
         ending[n:, WORDS_MAX - n] = cost[: size - n, n - 1]
     held = np.full((len(best), size + WORDS_MAX), np.inf)
     held[:, WORDS_MAX:] = best
+    if len(best) == 1:  # the same for a single row, with fewer calls
+        row, one = held[0], back[0]
+        for j in range(1, size):
+            total = row[j : j + WORDS_MAX] + ending[j]
+            k = int(total.argmin())
+            if total[k] < row[j + WORDS_MAX]:
+                row[j + WORDS_MAX], one[j] = total[k], j - WORDS_MAX + k
+        return held[:, WORDS_MAX:], back
     for j in range(1, size):
         total = held[:, j : j + WORDS_MAX] + ending[j]
         k = total.argmin(axis=1)
@@ -240,8 +248,8 @@ class _Words:
     def __init__(self, pdf: pd.DataFrame) -> None:
         pdf = pdf.sort_values("_k", kind="stable")
         self.start, self.end = pdf["start_ms"].to_numpy(float), pdf["end_ms"].to_numpy(float)
-        self.text, self.speaker = pdf["text"].fillna("").tolist(), [None if pd.isna(s) else s for s in pdf["speaker"]]
-        self.term = [None if pd.isna(t) else t for t in pdf["term_id"]]
+        known = lambda c: pdf[c].astype(object).where(pdf[c].notna(), None).tolist()
+        self.text, self.speaker, self.term = pdf["text"].fillna("").tolist(), known("speaker"), known("term_id")
         self.joined = bool(pdf["_joined"].iloc[0])  # with the word before, which may lie in another run
 
     def costs(self) -> np.ndarray:
