@@ -122,6 +122,7 @@ def map_batches(
                 out = each(part)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
 
     one_thread(df.sparkSession)
     return df.mapInArrow(run, schema)
