@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, pseudo_likelihood, token_records, toxicity, web_archives
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, pseudo_likelihood, token_counts, token_records, toxicity, web_archives
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_budget(table(spark, sf_dir, "documents"), limit=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_supervision_toxicity": op1_weak_supervision_toxicity,
     "op2_suffix_automaton_decontamination": op2_suffix_automaton_decontamination,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf_page_text": op8_crf_page_text,
     "op9_masked_pseudo_likelihood": op9_masked_pseudo_likelihood,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_prefix_token_counts": op13_prefix_token_counts,
 }
 
 ORACLE: dict[str, str] = {
