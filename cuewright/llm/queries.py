@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, pseudo_likelihood, token_counts, token_records, toxicity, web_archives
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, periodic_runs, pseudo_likelihood, token_counts, token_records, toxicity, web_archives
 from .common import table
 
 
@@ -51,6 +52,28 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: of about a tenth of the texts, chosen by their ids' checksums, the words from some place on repeat.
+
+    h = crc32 of the decimal id, g = h / 10 rounded down. If h % 10 is 0 and the text has n > 0 words, each word i >= a
+    becomes word a + (i - a) % p, where a = g % n and p = 1 + (n - a) / (3 + g % 8) rounded down. Others stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", h.alias("_h")).withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    n, g = F.size("_w"), F.floor(F.col("_h") / 10)
+    some = some.withColumns({"_n": n, "_a": (g % F.nullif(n, F.lit(0))).cast("int"), "_d": (F.lit(3) + g % 8).cast("int")})
+    some = some.withColumns({"_m": F.col("_n") - F.col("_a"), "_p": (F.lit(1) + F.floor((F.col("_n") - F.col("_a")) / F.col("_d"))).cast("int")})
+    times = F.ceil(F.col("_m") / F.col("_p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), times)), F.lit(1), F.col("_m"))
+    text = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), " ")
+    return some.select("doc_id", F.when(F.col("_n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_grammar_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(with_repeats(table(spark, sf_dir, "documents")), least=12)
+
+
 def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_budget(table(spark, sf_dir, "documents"), limit=2048)
 
@@ -66,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf_page_text": op8_crf_page_text,
     "op9_masked_pseudo_likelihood": op9_masked_pseudo_likelihood,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_grammar_run_detection": op11_grammar_run_detection,
     "op13_prefix_token_counts": op13_prefix_token_counts,
 }
 

@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import accumulate
 
@@ -419,9 +419,8 @@ def count_prefixes(docs: DataFrame, *, vocabulary: str | None = None) -> DataFra
 
 def _by_row(of: Callable[[np.ndarray, int], int]) -> Callable[[Column, Column], Column]:
     @F.pandas_udf("long")
-    def udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterable[pd.Series]:
-        for stored, asked in parts:
-            yield pd.Series([None if s is None or pd.isna(n) else of(prefix_counts(s), int(n)) for s, n in zip(stored, asked, strict=True)], dtype="Int64")
+    def udf(stored: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or pd.isna(n) else of(prefix_counts(s), int(n)) for s, n in zip(stored, asked, strict=True)], dtype="Int64")
 
     return udf
 
