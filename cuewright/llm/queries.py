@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, periodic_runs, pseudo_likelihood, token_counts, token_records, toxicity, web_archives
+from . import decontamination, embedding_duplicates, licenses, near_duplicates, packing, page_text, periodic_runs, pseudo_likelihood, token_counts, token_records, toxicity, web_archives, whitening
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op11_grammar_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(with_repeats(table(spark, sf_dir, "documents")), least=12)
 
 
+def op12_spectrum_slicing_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_budget(table(spark, sf_dir, "documents"), limit=2048)
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_masked_pseudo_likelihood": op9_masked_pseudo_likelihood,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_grammar_run_detection": op11_grammar_run_detection,
+    "op12_spectrum_slicing_whitening": op12_spectrum_slicing_whitening,
     "op13_prefix_token_counts": op13_prefix_token_counts,
 }
 
