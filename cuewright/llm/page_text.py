@@ -75,35 +75,53 @@ FAMILIES = {
 _FAMILY = {w: f for f, ws in FAMILIES.items() for w in ws.split()}
 
 
+@lru_cache(maxsize=20_000)
+def _own_features(tag: str, attributes: str) -> tuple[frozenset[str], str | None]:
+    """What an element's start tag says of it and its descendants, and the nearest family or landmark that it begins."""
+    new, near = {"in:" + tag} if tag not in ("html", "body") else set(), tag if tag in _LANDMARKS else None
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
+        value, name = "".join(values).lower(), name.lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "none" in value and "display" in value:
+            new.add("hidden")
+        elif name in ("class", "id", "role"):
+            for w in _PARTS.findall(value):
+                if f := _FAMILY.get(w):
+                    new.add("of:" + f)
+                    near = f
+    return frozenset(new), near
+
+
+@lru_cache(maxsize=20_000)
+def _joined(inherited: frozenset[str], new: frozenset[str]) -> frozenset[str]:
+    return inherited if new <= inherited else inherited | new
+
+
+@lru_cache(maxsize=20_000)
+def _inside(inherited: frozenset[str], near: str) -> list[str]:
+    return [*inherited, "near:" + near]
+
+
+#: Start tags with longer attributes are read anew each time, so that what is kept of pages is bounded in bytes too.
+_KEPT_ATTRIBUTES = 400
+
+
 class _Element:
-    """An open element: its tag, the features that its descendants inherit, and the features made of these."""
+    """An open element: its tag and the features that its descendants inherit. Nothing of a page outlives it but the bounded
+    caches above, whose keys are start tags and sets of features."""
 
-    __slots__ = ("tag", "inherited", "near", "inside", "children")
+    __slots__ = ("tag", "inherited", "near")
 
     def __init__(self, tag: str, inherited: frozenset[str], near: str) -> None:
-        self.tag, self.inherited, self.near, self.children = tag, inherited, near, {}
-        self.inside = [*inherited, "near:" + near]
-
-    def child(self, tag: str, attributes: str, kept: bool = True) -> _Element:
-        """The element of such a start tag; `kept` for the next one like it."""
-        found = self.children.get((tag, attributes))
-        if found is None:
-            new, near = {"in:" + tag} if tag not in ("html", "body") else set(), self.near
-            if tag in _LANDMARKS:
-                near = tag
-            for name, *values in _ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
-                value, name = "".join(values).lower(), name.lower()
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "none" in value and "display" in value:
-                    new.add("hidden")
-                elif name in ("class", "id", "role"):
-                    for w in _PARTS.findall(value):
-                        if f := _FAMILY.get(w):
-                            new.add("of:" + f)
-                            near = f
-            found = _Element(tag, self.inherited if new <= self.inherited else self.inherited | new, near)
-            if kept and len(self.children) < 2000:
-                self.children[tag, attributes] = found
-        return found
+        self.tag, self.inherited, self.near = tag, inherited, near
+
+    @property
+    def inside(self) -> list[str]:
+        return _inside(self.inherited, self.near)
+
+    def child(self, tag: str, attributes: str) -> _Element:
+        """The element of such a start tag."""
+        new, near = (_own_features if len(attributes) <= _KEPT_ATTRIBUTES else _own_features.__wrapped__)(tag, attributes)
+        return _Element(tag, _joined(self.inherited, new), near or self.near)
 
 
 _ROOT = _Element("", frozenset(), "body")
@@ -215,7 +233,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         closing = _CLOSES.get(tag, ())
         if stack[-1].tag == "p" or stack[-1].tag in closing:
             opened[stack.pop().tag] -= 1
-        stack.append(stack[-1].child(tag, m[5], len(stack) < 200))
+        stack.append(stack[-1].child(tag, m[5]))
         opened[tag] += 1
     flush()
     found, n = [], len(out)
@@ -240,7 +258,7 @@ def _text_features(text: str, linked: int, tag: str, k: int, n: int, heading: bo
         f.append("sentence")
     if "," in text:
         f.append("comma")
-    if "©" in text or "copyright" in text[:200].lower():
+    if "©" in text or "copyright" in text.lower():
         f.append("copyright")
     if k == 0:
         f.append("first")
