@@ -5,8 +5,8 @@ after each word the automaton holds the longest run ending there that some item
 window length, the last `window` words are a window of the items that the state stands for. Items shorter than the
 window count as one window of their own length.
 
-The automaton is built from blocks of items of at most `block_words` words and broadcast; more items mean more blocks,
-each streamed over all documents in turn; findings of the blocks are united by row before anything is decided. Before the
+Items with the same text are one, with several ids. The automaton is built from blocks of about `block_words` words of them
+and broadcast; more items mean more blocks, each streamed over all documents in turn; findings of the blocks are united by row before anything is decided. Before the
 automaton a vectorised test of neighbouring word pairs picks the runs of words that could hold a window at all; it never
 rejects a run that does.
 """
@@ -117,7 +117,8 @@ class ItemsOfStates:
 class ItemMatcher:
     """The automaton of some items, and which items' windows end in each state."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[tuple[str, ...], bytes | None]], window: int) -> None:
+        """items: ids and text of each."""
         self.window, self.vocabulary = window, {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)  # noqa: E731  0: no item's word
         self.automaton, self.names = SuffixAutomaton(), [item for item, _ in items]
@@ -137,21 +138,33 @@ class ItemMatcher:
             a = np.array(s, dtype=np.int64)
             self.pairs[self._pair(a[:-1], a[1:])] = True
         link, length = self.automaton.link, self.automaton.length
+        rising = np.argsort(np.frombuffer(length, dtype=np.int32), kind="stable").tolist()
         self.items = ItemsOfStates(len(length))
         for state, k in zip(*ends, strict=True):  # a state's runs end wherever those of the states that link to it do
             self.items.put(state, (k,))
-        for state in np.argsort(-np.frombuffer(length, dtype=np.int32), kind="stable").tolist():
+        for state in reversed(rising):
             if (up := link[state]) > 0 and length[up] >= window:
                 self.items.put(up, self.items.get(state))
-        self.short: dict[int, list[tuple[int, int]]] = {}
+        #: Items shorter than the window, by the state in which their text ends: its length, and which items have it.
+        self.short: dict[int, dict[int, list[int]]] = {}
         for k, s in whole:
             state = 0
             for w in s:
                 state = self.automaton.after(state, w)
-            self.short.setdefault(state, []).append((len(s), k))
+            self.short.setdefault(state, {}).setdefault(len(s), []).append(k)
+        #: For each state, on its chain of links: the last one that holds a whole window, and the first in which a short
+        #: item ends (0: none), so that no chain is walked while texts stream by.
+        self.windowed, self.shorter = array("i", [0]) * len(length), array("i", [0]) * len(length)
+        for state in rising[1:]:
+            up = link[state]
+            self.windowed[state] = self.windowed[up] if length[up] >= window else state
+            self.shorter[state] = state if state in self.short else self.shorter[up]
         #: Words in a row that the shortest window of two words or more has.
         self.least = min((n for n in sizes if n > 1), default=window)
-        self.single = {s[0] for _, s in whole if len(s) == 1}
+        self.single: dict[int, list[int]] = {}
+        for k, s in whole:
+            if len(s) == 1:
+                self.single.setdefault(s[0], []).append(k)
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,19 +187,18 @@ class ItemMatcher:
     def match(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
         """Merged [from, to) of hit words, the items whose windows occur, and the longest run that an item contains."""
         ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(0)), dtype=np.int64, count=len(tokens))
-        spans, found, longest = [], set(), 0
-        if self.single:
-            for w in set(ids.tolist()) & self.single:
-                spans += [(int(k), int(k) + 1) for k in np.flatnonzero(ids == w)]
-        runs = self._candidates(ids)
-        if self.single and spans:
-            runs = sorted(set(runs) | {s for s in spans if not any(a <= s[0] < b for a, b in runs)})
+        spans, found, longest, told = [], set(), 0, set()
+        if self.single:  # items of one word need no automaton
+            for w in set(ids.tolist()) & self.single.keys():
+                spans += [(k, k + 1) for k in np.flatnonzero(ids == w).tolist()]
+                found.update(self.single[w])
+                longest = 1
         a_, window = self.automaton, self.window
         word, to, several, link, length = a_.word, a_.to, a_.several, a_.link, a_.length
-        for a, b in runs:
+        windowed, shorter = self.windowed, self.shorter
+        for a, b in self._candidates(ids):
             state = run = 0
-            for k in range(a, b):
-                w = int(ids[k])
+            for k, w in enumerate(ids[a:b].tolist(), a + 1):  # k: words up to and with this one
                 while True:
                     further = to[state] if word[state] == w else several[state].get(w, -1) if state in several else -1
                     if further >= 0 or not state:
@@ -196,21 +208,25 @@ class ItemMatcher:
                 if further >= 0:
                     state = further
                     run += 1
-                longest = max(longest, run)
-                at = state
+                if run > longest:
+                    longest = run
                 if run >= window:
-                    while length[link[at]] >= window:
-                        at = link[at]
-                    if hit := self.items.get(at):
+                    at = windowed[state]
+                    if at in told:
+                        spans.append((k - window, k))
+                    elif hit := self.items.get(at):
+                        told.add(at)
                         found.update(hit)
-                        spans.append((k + 1 - window, k + 1))
-                at = state
-                while at > 0 and self.short:
-                    for n, item in self.short.get(at, ()):
+                        spans.append((k - window, k))
+                at = shorter[state]
+                while at:
+                    for n, some in self.short[at].items():
                         if n <= run:
-                            found.add(item)
-                            spans.append((k + 1 - n, k + 1))
-                    at = link[at]
+                            if (at, n) not in told:
+                                told.add((at, n))
+                                found.update(some)
+                            spans.append((k - n, k))
+                    at = shorter[link[at]]
         return merged(spans), {self.names[k] for k in found}, longest
 
 
@@ -237,26 +253,54 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b" ".join([*out, text[at:].lstrip(b" ")])
 
 
+def _distinct_items(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """text, ids, n_words: each different text with words once, with the ids of all rows that have it.
+
+    A text of more than `block_words` words comes in pieces that share window - 1 words, so that no window is lost.
+    """
+    texts = items.filter("text is not null").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple[bytes, list[str], int]] = []
+            for text, ids in zip(binary_column(batch, "text"), batch.column(1).to_pylist(), strict=True):
+                found, most = words(text), max(block_words, 2 * window)
+                if len(found) <= most:
+                    out += [(text, ids, len(found))] if found else []
+                    continue
+                for at in range(0, len(found) - window + 1, most - window + 1):
+                    piece = found[at : at + most]
+                    out.append((b" ".join(piece), ids, len(piece)))
+            texts, ids, n = ([r[k] for r in out] for k in range(3))
+            return pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary()).cast(pa.string()), "ids": pa.array(ids, pa.list_(pa.string())), "n_words": pa.array(n, pa.int64())})
+
+        return each
+
+    return map_batches(texts, make, "text string, ids array<string>, n_words long")
+
+
 def _block_count(items: DataFrame, block_words: int) -> int:
-    """How many blocks of about `block_words` words the items make."""
-    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-/:-@\[-`{-\x7F]+")))).first()[0] or 0
+    """How many blocks of about `block_words` words the distinct items make."""
+    size = items.agg(F.sum("n_words")).first()[0] or 0
     return max(1, -(-size // block_words))
 
 
-def _block(items: DataFrame, n: int, k: int) -> list[tuple[int | None, bytes | None]]:
-    """The items of block k of n; only one block at a time is on the driver as it is built."""
-    rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
-    return [(r[0], None if r[1] is None else r[1].encode()) for r in rows]
+def _block(items: DataFrame, n: int, k: int) -> list[tuple[tuple[str, ...], bytes]]:
+    """Ids and text of the distinct items of block k of n; only one block at a time is on the driver as it is built."""
+    rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select("ids", "text").collect()
+    return [(tuple(r[0]), r[1].encode()) for r in rows]
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (ids with occurring windows), spans (hit words, merged), longest.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Null and empty texts have no words and no
-    hits. Repeated rows are answered each. Without items nothing is hit.
+    hits. Repeated rows are answered each. Without items nothing is hit. An item without an id hits words, but is not among
+    the items. `longest` counts at most the words of a block.
     """
     if window < 1:
         raise ValueError("window must be positive")
+    items = staged(_distinct_items(items, window, block_words), "contamination-items")
     n = _block_count(items, block_words)
     source = docs.select("doc_id", "text")
     if n == 1:
@@ -272,7 +316,7 @@ def _all_blocks(rows: DataFrame, items: DataFrame, n: int, window: int) -> DataF
     for k in range(n):
         shared = rows.sparkSession.sparkContext.broadcast(ItemMatcher(_block(items, n, k), window))
         one = staged(_one_block(rows.withColumnRenamed("key", "doc_id"), shared), "contamination-block")
-        shared.unpersist()
+        shared.destroy()
         found = one if found is None else found.unionByName(one)
     found = found.groupBy(F.col("doc_id").alias("key")).agg(
         F.max("n_words").alias("n_words"),
@@ -311,7 +355,7 @@ def _one_block(source: DataFrame, shared) -> DataFrame:
                 spans, items, longest = matcher.match(tokens)
                 out["n_words"].append(len(tokens))
                 out["n_hit"].append(sum(b - a for a, b in spans))
-                out["items"].append(sorted(str(i) for i in items if i is not None))
+                out["items"].append(sorted({i for ids in items for i in ids}))
                 out["spans"].append([{"from": a, "to": b} for a, b in spans])
                 out["longest"].append(longest)
             span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -345,6 +389,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_sp
     whose words more than `max_coverage` are hit is dropped. Null and empty texts stay. Both are decided on the hits of
     all items together, however many blocks these make.
     """
+    items = staged(_distinct_items(items, window, block_words), "contamination-items")
     n, names = _block_count(items, block_words), docs.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     if n == 1:
