@@ -144,6 +144,7 @@ def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
             return pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),
+                    "text_hash": batch.column(2),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "node": pa.array([None if k is None else node_of(k, bits) for k in keys], pa.int64()),
                     "key": pa.array(keys, pa.binary()),
@@ -153,7 +154,8 @@ def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, key binary, sig binary", _slices)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return map_batches(rows, make, "doc_id long, text_hash long, n_shingles long, node long, key binary, sig binary", _slices)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -351,6 +353,12 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     rows. percent: links need 100 * intersection >= percent * union. Sets are told apart by keys of 128 bits; `bits` of
     them number the sets, and sets that share a number are given numbers of their own.
     """
+    rows = _by_row(docs, shingle_words, percent, miss, block, bits).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _by_row(docs: DataFrame, shingle_words: int, percent: int, miss: float = 1e-7, block: int = 2048, bits: int = 64) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node (of the row's set, null for an empty one), component (of nodes), component_id."""
     if not 80 <= percent <= 100:
         raise ValueError("the bands are laid out for thresholds from 80 to 100 percent")
     least = fewest_matches(percent / 100, miss)
@@ -376,21 +384,29 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
             components = staged(connected_components(links), "components")
     ids = classes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = ids.join(smallest, "component").select("node", "component_id")
+    ids = ids.join(smallest, "component").select("node", "component", "component_id")
     solid, blank = sigs.filter("node is not null").drop("sig", "key"), sigs.filter("node is null").drop("sig", "key")
-    solid = solid.join(ids, "node").select("doc_id", "n_shingles", "component_id")
-    rows = solid.unionByName(blank.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    columns = "doc_id", "text_hash", "n_shingles", "node", "component", "component_id"
+    blank = blank.withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return solid.join(ids, "node").select(*columns).unionByName(blank.select(*columns))
 
 
 def keep_one_of_each(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near-duplicates; columns and the rows that stay are unchanged.
 
-    Of rows that share the kept doc_id one stays. If a group has no id at all, of each text without an id one row stays.
+    Of a group the row with the smallest doc_id stays (a null one only if the group has no other; of rows with that id
+    the one with the smallest hash of its set, then of its text). Rows are told apart by id and text, so texts that are
+    unlike each other all stay, though they share an id. Rows without words stay, each different (id, text) once. Rows with
+    equal id and text count as one; of these stays the one with the smallest hash of all its columns.
     """
-    found = near_duplicates(docs, shingle_words=shingle_words, percent=percent)
-    kept = staged(found.filter("kept").select("doc_id").distinct(), "kept-documents")
-    with_id = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    if kept.filter("doc_id is null").isEmpty():
-        return with_id
-    return with_id.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    found = _by_row(docs, shingle_words, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "text_hash")).alias("first")
+    solid = found.filter("node is not null").groupBy("component").agg(first).select("first.doc_id", "first.text_hash")
+    kept = solid.unionByName(found.filter("node is null").select("doc_id", "text_hash")).distinct()
+    kept = staged(kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")), "kept-documents")
+    text_hash = F.xxhash64(docs["text"])
+    same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & text_hash.eqNullSafe(kept["_kept_hash"])
+    rows = docs.join(kept, same, "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = rows.groupBy("doc_id", F.xxhash64("text").alias("_text_hash")).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return one.select("_row.*")
