@@ -10,6 +10,8 @@ from ..operators import joins as J
 from ..operators import segmentation as D
 from ..operators import timeline as W
 from ..streaming import events as R
+from ..streaming.jobs import stuck_jobs_stream
+from ..streaming.runs import run_available
 from . import flow
 from .registry import query
 from .view_sql import SLOTS_SQL
@@ -319,6 +321,15 @@ def _(v):
     return R.eta(v.job_events)
 
 
+@query("r04_eta_stream", "job_id b, seq b, eta_s d", "job_events", f"""
+    WITH a AS (SELECT *, {_OVERALL} AS p FROM job_events),
+    b AS (SELECT *, (epoch_us(ts) - epoch_us(first(ts) OVER w)) / 1e6 AS e, coalesce(max(p) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM a WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq))
+    SELECT job_id, seq, CASE WHEN p > 0.01 AND p < 1 AND e > 2 AND p > m THEN round((1 - p) * e / p, 1) END AS eta_s FROM b
+    WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM job_events)""")
+def _(v):
+    return run_available(R.eta(v.job_event_stream, "0 seconds"), "eta-stream")
+
+
 @query("r05_success_rate_window", "engine s, window_start t, success b, failure b, rate d", "provider_results", "SELECT engine, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) FILTER (WHERE ok) AS success, count(*) FILTER (WHERE NOT ok) AS failure, CASE WHEN count(*) >= 5 THEN round(count(*) FILTER (WHERE ok) / count(*), 4) END AS rate FROM provider_results GROUP BY ALL")
 def _(v):
     return R.success_rate_window(v.provider_results, "1 hour")
@@ -340,6 +351,14 @@ def _(v):
     return R.stuck_jobs(v.job_events, 3600)
 
 
+@query("r07_stuck_jobs_stream", "job_id b, state s, message s, idle_s d", "job_events", """
+    WITH a AS (SELECT *, max(epoch_ms(ts)) OVER () AS now FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1)
+    SELECT job_id, 'error' AS state, 'restarted' AS message, round((now * 1000 - epoch_us(ts)) / 1e6, 1) AS idle_s FROM a
+    WHERE state = 'running' AND now >= epoch_ms(ts) + 1 + 3600000""")
+def _(v):
+    return run_available(stuck_jobs_stream(v.job_event_stream, 3600, delay="0 seconds"), "stuck-jobs-stream")
+
+
 @query("r09_event_windows_tumbling", "step s, state s, window_start t, n b", "job_events", "SELECT step, state, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM job_events GROUP BY ALL")
 def _(v):
     return R.event_windows(v.job_events, "1 hour")

@@ -101,11 +101,21 @@ class Views:
         c = self.clips.select("track_id", "seg_idx", "tts_ms")
         return self.segments.drop("toks", "n", "gap_ms", "dur_ms").join(c, ["track_id", "seg_idx"]).withColumn("text_translated", capitals("text")).withColumn("qc_flags", F.array().cast("array<string>"))
 
-    @cached_property
-    def job_events(self) -> DataFrame:
+    @staticmethod
+    def _as_job_events(events: DataFrame) -> DataFrame:
         step = F.create_map(*[F.lit(x) for kv in STEP_OF.items() for x in kv])[F.col("event_type")]
         bad = (F.col("event_type") == "error") & (F.col("event_id") % 10 == 0)
-        return self.table("events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), step.alias("step"), ((F.col("event_id") % 101) / 100.0).alias("progress"), F.when(bad, "error").otherwise("running").alias("state"))
+        return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), step.alias("step"), ((F.col("event_id") % 101) / 100.0).alias("progress"), F.when(bad, "error").otherwise("running").alias("state"))
+
+    @cached_property
+    def job_events(self) -> DataFrame:
+        return self._as_job_events(self.table("events"))
+
+    @cached_property
+    def job_event_stream(self) -> DataFrame:
+        """The same as a stream of the table's files."""
+        path = f"{self.sf_dir}/[e]vents.parquet"  # a pattern may stand for a file as for a folder
+        return self._as_job_events(self.spark.readStream.schema(self.table("events").schema).parquet(path))
 
     @cached_property
     def provider_results(self) -> DataFrame:

@@ -6,6 +6,7 @@ batch form (windows) and a stateful streaming form.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.folds import Fold, ordered_fold
+from ..operators.folds import RUN_ROWS, Fold, ordered_fold
+from .jobs import ENDED, eta_stream, stuck_jobs_stream
 
 # The steps in order and their weights
 STEPS = {"download": 0.15, "extract": 0.05, "transcribe": 0.25, "translate": 0.15, "synthesize": 0.30, "assemble": 0.10}
@@ -79,11 +81,16 @@ def job_state_latest(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     rows = events.withWatermark("ts", delay) if events.isStreaming else events
     last = rows.groupBy("job_id").agg(F.max_by(F.struct("state", "step", "ts", "progress"), F.struct("ts", "seq")).alias("s"))
     out = last.select("job_id", "s.state", "s.step", "s.ts", "s.progress")
-    return out.withColumn("terminal", F.col("state").isin("done", "error", "waiting_for_srt"))
+    return out.withColumn("terminal", F.col("state").isin(*ENDED))
 
 
-def eta(events: DataFrame) -> DataFrame:
-    """Adds eta_s: the rest of the way at the pace so far, where progress grew, lies within 0.01..1, and 2 s have gone."""
+def eta(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Adds eta_s: the rest of the way at the pace so far, where progress grew, lies within 0.01..1, and 2 s have gone.
+
+    On a stream the rows of jobs.eta_stream, behind the watermark: events are then in the order of their time.
+    """
+    if events.isStreaming:
+        return eta_stream(overall_progress(events), delay)
     w = Window.partitionBy("job_id").orderBy("seq")
     rows = overall_progress(events)
     elapsed = (_us("ts") - _us(F.first("ts").over(w.rowsBetween(Window.unboundedPreceding, 0)))) / 1e6
@@ -118,22 +125,28 @@ def _next_health(state: tuple, t: float, ok: bool, round_s: float, least: int) -
 
 class _HealthFold(Fold):
     def __init__(self, round_s: float, least: int) -> None:
-        self.state, self.round_s, self.least = ("healthy", 0, 0, None), round_s, least
+        self.now, self.round_s, self.least = ("healthy", 0, 0, None), round_s, least
 
     def take(self, engine: object, us: int, ok: bool) -> list[tuple]:
-        self.state = _next_health(self.state, us / 1e6, ok, self.round_s, self.least)
-        return [(engine, us, self.state[0])]
+        self.now = _next_health(self.now, us / 1e6, ok, self.round_s, self.least)
+        return [(engine, us, self.now[0])]
 
+    def state(self) -> str:
+        return json.dumps(self.now)
 
-def provider_health(results: DataFrame, round_s: int = 10, least: int = 5) -> DataFrame:
+    def resume(self, state: str, given: int) -> None:
+        self.now = tuple(json.loads(state))
+
+
+def provider_health(results: DataFrame, round_s: int = 10, least: int = 5, run_rows: int = RUN_ROWS) -> DataFrame:
     """engine, ts, health after each result: degraded at a failure; when a round of at least round_s and `least` results
     ends, healthy above a rate of 0.95, struggling below 0.8; else unchanged. Starts healthy.
 
-    A round begins where the one before ended, so an engine's results are folded in order, by one task for an engine and
-    a batch at a time. Results without a time or an outcome are passed over.
+    A round begins where the one before ended, so an engine's results are folded in order, a batch at a time; those of an
+    engine with more than run_rows in several tasks. Results without a time or an outcome are passed over.
     """
     rows = results.select("engine", _us("ts").alias("us"), "ok").filter("us is not null and ok is not null")
-    rows = ordered_fold(rows, ["us", "ok"], lambda: _HealthFold(round_s, least), "engine string, us long, health string")
+    rows = ordered_fold(rows, ["us", "ok"], lambda: _HealthFold(round_s, least), "engine string, us long, health string", run_rows)
     return rows.select("engine", F.timestamp_micros("us").alias("ts"), "health")
 
 
@@ -163,8 +176,13 @@ def provider_health_stream(results: DataFrame, round_s: int = 10, least: int = 5
 def stuck_jobs(events: DataFrame, timeout_s: int = 3600, now: Column | None = None) -> DataFrame:
     """Running jobs whose last event is older than the timeout, with the error that replaces their state.
 
-    now: the time to measure from, by default that of the table's last event.
+    now: the time to measure from, by default that of the table's last event. On a stream (without now) the rows of
+    jobs.stuck_jobs_stream, by event time: reports and what takes them back.
     """
+    if events.isStreaming:
+        if now is not None:
+            raise ValueError("a stream measures from its watermark")
+        return stuck_jobs_stream(events, timeout_s)
     last = job_state_latest(events).filter("state = 'running'")
     if now is None:
         at = events.agg(F.max("ts").alias("_now"))
