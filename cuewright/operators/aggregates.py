@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -147,14 +147,28 @@ def translated_ratio_gate(df: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def extract_glossary(words: DataFrame, least: int = 3) -> DataFrame:
-    """By track: candidate terms with the rule that finds them first: phrase, rank, or repeated."""
-    text = words.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), " ").alias("t"))
-
-    def found(pattern: str, rule: str, rank: int) -> DataFrame:
-        return text.select("track_id", F.explode(F.regexp_extract_all("t", F.lit(pattern), 1)).alias("canonical"), F.lit(rule).alias("rule"), F.lit(rank).alias("k"))
-
-    phrase = found(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", "phrase", 1)
-    rank = found(r"\b((?i:[A-Z]{1,2}[-\s]?(?:rank|class|tier|level)(?:ed)?))\b", "rank", 2)
+    """By track: candidate terms with the rule that finds them first: phrase, rank, or repeated.
+
+    A phrase is a stretch of capitalised words, an island between words that are not; punctuation before its first and
+    behind its last word is left off. Words are taken without white space around them, and joined by a blank.
+    """
+    w = Window.partitionBy("track_id").orderBy("word_idx", "_pos")
+    rows = words.select("track_id", "word_idx", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("_pos", "_w"))
+    part = lambda pattern: F.nullif(F.regexp_extract("_w", pattern, 1), F.lit(""))
+    rows = rows.withColumns({"_head": part(r"^([A-Z][a-z]+)\b"), "_tail": part(r"\b([A-Z][a-z]+)$"), "_before": F.lag("_w").over(w)})
+    rows = rows.withColumns({"_last": F.lag("_tail").over(w), "_whole": F.col("_head") == F.col("_w")})
+    linked = F.coalesce(F.col("_last").isNotNull() & F.col("_head").isNotNull(), F.lit(False))
+    rows = rows.withColumn("_linked", linked)
+    # a phrase goes on over a word that is nothing but capitalised; in any other it ends, and the next may begin
+    goes_on = F.lag(F.col("_linked") & F.col("_whole")).over(w)
+    rows = rows.withColumn("_new", F.col("_linked") & ~F.coalesce(goes_on, F.lit(False)))
+    rows = rows.withColumn("_phrase", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min_by("_last", F.struct("word_idx", "_pos"))
+    rest = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "_pos", "_head"))), lambda x: x["_head"])  # of one phrase
+    phrase = rows.filter("_linked").groupBy("track_id", "_phrase").agg(F.concat_ws(" ", first, F.array_join(rest, " ")).alias("canonical"))
+    phrase = phrase.select("track_id", "canonical", F.lit("phrase").alias("rule"), F.lit(1).alias("k"))
+    rank = F.regexp_extract_all(F.concat_ws(" ", "_before", "_w"), F.lit(r"\b((?i:[A-Z]{1,2}[-\s]?(?:rank|class|tier|level)(?:ed)?))\b"), 1)  # two words at most
+    rank = rows.select("track_id", F.explode(rank).alias("canonical"), F.lit("rank").alias("rule"), F.lit(2).alias("k"))
     proper = (F.length("text") > 2) & F.col("text").rlike(r"^\p{Lu}") & (F.col("text") != F.upper("text"))
     often = words.filter(proper).groupBy("track_id", F.col("text").alias("canonical")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     often = often.select("track_id", "canonical", F.lit("repeated").alias("rule"), F.lit(3).alias("k"))

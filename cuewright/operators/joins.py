@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .terms import TERM_BLOCK, find_terms
 
 #: Dictionaries are broadcast up to so many rows; larger ones join by shuffling.
 BROADCAST_ROWS = 100_000
@@ -146,44 +147,25 @@ def glossary_tag_words(words: DataFrame, glossary: DataFrame) -> DataFrame:
     return out.withColumn("protected", F.col("term").isNotNull()).withColumnRenamed("term", "term_id")
 
 
-#: Up to so many terms each text is searched for every term; more meet it by an equality first.
-SEARCHED_TERMS = 2_000
-
-
-def _with_terms(cues: DataFrame, glossary: DataFrame, col: str, key: str, searched: int = SEARCHED_TERMS) -> DataFrame:
+def _with_terms(cues: DataFrame, glossary: DataFrame, col: str, block_chars: int = TERM_BLOCK) -> DataFrame:
     """Adds _terms: the glossary's terms (ord, canonical, target_spelling, action, pronunciation), in its order, whose
-    canonical form the text contains, whatever the case. Terms without a character are passed over.
-
-    A glossary of up to `searched` terms goes along with each row, so that the cues are evaluated once. Of a larger one
-    each term is met by an equality, of its first characters with those at any place of the text, before it is looked for
-    as a whole: the work then grows with the texts, not with texts times terms.
+    canonical form the text contains, whatever the case. Terms without a character are passed over, a null text has none.
     """
     g = glossary.select("ord", "canonical", "target_spelling", "action", "pronunciation").filter("canonical <> ''")
-    low = F.lower("_text")
-    if g.limit(searched + 1).count() <= searched:
-        every = g.agg(F.array_sort(F.collect_list(F.struct(*g.columns))).alias("_every"))
-        found = F.filter("_every", lambda t: F.contains(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lower(t["canonical"])))
-        return cues.crossJoin(F.broadcast(every)).withColumn("_terms", found).drop("_every")  # one row
-    g = g.withColumn("_head", F.substring(F.lower("canonical"), 1, 4))
-    sizes = [r["n"] for r in g.select(F.length("_head").alias("n")).distinct().collect()]  # four at most
-    heads = F.concat(*(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes))
-    places = cues.select("track_id", key, F.col(col).alias("_text")).withColumn("_at", F.explode(F.array_distinct(heads)))
-    found = places.join(dimension(g), (F.col("_at") == F.col("_head")) & F.contains(low, F.lower("canonical")))
-    found = found.groupBy("track_id", key).agg(F.array_sort(F.collect_list(F.struct("ord", "canonical", "target_spelling", "action", "pronunciation"))).alias("_terms"))
-    none = F.array().cast(found.schema["_terms"].dataType)
-    return cues.join(found, ["track_id", key], "left").withColumn("_terms", F.coalesce("_terms", none))
-
-
-def glossary_tag_cues(cues: DataFrame, glossary: DataFrame, col: str = "text", key: str = "seg_idx") -> DataFrame:
+    rows = find_terms(cues.withColumn("_low", F.lower(F.col(col))), "_low", g.withColumn("_form", F.lower("canonical")), "_form", "_terms", block_chars)
+    return rows.drop("_low").withColumn("_terms", F.array_sort("_terms"))
+
+
+def glossary_tag_cues(cues: DataFrame, glossary: DataFrame, col: str = "text", block_chars: int = TERM_BLOCK) -> DataFrame:
     """Adds protected_terms (in glossary order) and pronunciation_overrides (by target spelling or canonical form)."""
     said = F.filter("_terms", lambda t: F.coalesce(t["pronunciation"], F.lit("")) != "")
     name = lambda t: F.coalesce(F.nullif(t["target_spelling"], F.lit("")), t["canonical"])
     pairs = F.transform(said, lambda t: F.struct(name(t).alias("key"), t["pronunciation"].alias("value")))
-    out = _with_terms(cues, glossary, col, key)
+    out = _with_terms(cues, glossary, col, block_chars)
     return out.withColumns({"protected_terms": F.transform("_terms", lambda t: t["canonical"]), "pronunciation_overrides": F.map_from_entries(F.array_distinct(pairs))}).drop("_terms")
 
 
-def glossary_validate(cues: DataFrame, glossary: DataFrame, source: str = "text", target: str = "text_translated", key: str = "seg_idx") -> DataFrame:
+def glossary_validate(cues: DataFrame, glossary: DataFrame, source: str = "text", target: str = "text_translated", block_chars: int = TERM_BLOCK) -> DataFrame:
     """Appends glossary-miss:t (a kept term is absent) and glossary-drift:t (a fixed translation is absent) to qc_flags."""
     out = F.lower(F.col(target))
     miss = lambda t: (t["action"] == "keep") & ~F.contains(out, F.lower(t["canonical"]))
@@ -191,7 +173,7 @@ def glossary_validate(cues: DataFrame, glossary: DataFrame, source: str = "text"
     flag = lambda t: F.when(miss(t), F.concat(F.lit("glossary-miss:"), t["canonical"])).when(drift(t), F.concat(F.lit("glossary-drift:"), t["canonical"]))
     none = F.array().cast("array<string>")
     old = F.coalesce("qc_flags", none) if "qc_flags" in cues.columns else none
-    return _with_terms(cues, glossary, source, key).withColumn("qc_flags", F.concat(old, F.array_compact(F.transform("_terms", flag)))).drop("_terms")
+    return _with_terms(cues, glossary, source, block_chars).withColumn("qc_flags", F.concat(old, F.array_compact(F.transform("_terms", flag)))).drop("_terms")
 
 
 # Keys ----------------------------------------------------------------------------------------------------------------

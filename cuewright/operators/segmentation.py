@@ -7,6 +7,7 @@ in long tracks, over runs of words whose tables of entries and exits are folded
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .folds import Fold, ordered_fold
+from ..sources.scratch import stored
+from .folds import RUN_ROWS, Fold, ordered_fold
 from .timeline import track
 
 # Limits of a cue, in ms and words
@@ -116,12 +118,18 @@ class _Rolling(Fold):
         self.n += 1
         return [(track_id, self.n - 1, text, start, end)]
 
+    def state(self) -> str:
+        return json.dumps(self.kept)
 
-def dedup_rolling_segments(segments: DataFrame) -> DataFrame:
+    def resume(self, state: str, given: int) -> None:
+        self.kept, self.n = json.loads(state), given
+
+
+def dedup_rolling_segments(segments: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """Rolling captions: a row that contains the last kept one replaces it, a row contained in it is dropped; rows
-    without a text stay."""
+    without a text stay. A track of more than run_rows rows is spread over tasks."""
     rows = segments.select("track_id", "seg_idx", "text", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))
-    return ordered_fold(rows, ["seg_idx"], _Rolling, "track_id long, seg_idx long, text string, start_ms long, end_ms long")
+    return ordered_fold(rows, ["seg_idx"], _Rolling, "track_id long, seg_idx long, text string, start_ms long, end_ms long", run_rows)
 
 
 def runs_of_equal_text(frames: DataFrame, step_ms: int = 1000, least: int = 3) -> DataFrame:
@@ -175,30 +183,43 @@ def cue_costs(start: np.ndarray, end: np.ndarray, text: list[str], speaker: list
     return cost
 
 
+#: Costs are summed in whole millionths, so that sums do not depend on how a track is cut and equal costs are equal.
+_UNIT = 1e-6
+_NEVER = 1 << 60
+_POSSIBLE = 1 << 59  # whatever costs less
+
+
+def _units(cost: np.ndarray) -> np.ndarray:
+    known = np.isfinite(cost)
+    return np.where(known, np.rint(np.where(known, cost, 0) / _UNIT), _NEVER).astype(np.int64)
+
+
 def _cheapest(cost: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least costs of all that ends before each word, and where the last cue of it begins (of equal ones the longest).
 
-    best: (entries, words + 1), set to what each entry costs where it may begin, else infinite. cost: (words, 16).
+    best: (entries, words + 1), set to what each entry costs where it may begin, else _NEVER. cost: (words, 16), in units.
     """
     size, back, rows = best.shape[1], np.full(best.shape, -1), np.arange(len(best))
-    ending = np.full((size, WORDS_MAX), np.inf)  # by the word they end before, the longest cue first
+    ending = np.full((size, WORDS_MAX), _NEVER)  # by the word they end before, the longest cue first
     for n in range(1, min(WORDS_MAX, size - 1) + 1):
         ending[n:, WORDS_MAX - n] = cost[: size - n, n - 1]
-    held = np.full((len(best), size + WORDS_MAX), np.inf)
+    held = np.full((len(best), size + WORDS_MAX), _NEVER)
     held[:, WORDS_MAX:] = best
-    if len(best) == 1:  # the same for a single row, with fewer calls
-        row, one = held[0], back[0]
-        for j in range(1, size):
-            total = row[j : j + WORDS_MAX] + ending[j]
-            k = int(total.argmin())
-            if total[k] < row[j + WORDS_MAX]:
-                row[j + WORDS_MAX], one[j] = total[k], j - WORDS_MAX + k
-        return held[:, WORDS_MAX:], back
+    if len(best) == 1:  # the same for a single row, in plain numbers
+        row, one = held[0].tolist(), [-1] * size
+        for j in np.flatnonzero((ending < _NEVER).any(axis=1)).tolist():
+            least, at = row[j + WORDS_MAX], -1
+            for i, c in enumerate(ending[j].tolist(), j):
+                if c < _POSSIBLE and row[i] + c < least and row[i] < _POSSIBLE:
+                    least, at = row[i] + c, i
+            if at >= 0:
+                row[j + WORDS_MAX], one[j] = least, at - WORDS_MAX
+        return np.array([row[WORDS_MAX:]]), np.array([one])
     for j in range(1, size):
         total = held[:, j : j + WORDS_MAX] + ending[j]
         k = total.argmin(axis=1)
         found = total[rows, k]
-        better = found < held[:, j + WORDS_MAX]
+        better = (found < held[:, j + WORDS_MAX]) & (found < _POSSIBLE)
         held[better, j + WORDS_MAX] = found[better]
         back[better, j] = (j - WORDS_MAX + k)[better]
     return held[:, WORDS_MAX:], back
@@ -215,10 +236,10 @@ def _walk(back: np.ndarray, at: int) -> list[int]:
 
 def cheapest_cuts(cost: np.ndarray) -> list[int] | None:
     """Where the cues of least total cost begin; of equal ones the longest last cue; None if no segmentation exists."""
-    first = np.full((1, len(cost) + 1), np.inf)
+    first = np.full((1, len(cost) + 1), _NEVER)
     first[0, 0] = 0
-    best, back = _cheapest(cost, first)
-    return _walk(back[0], len(cost)) if np.isfinite(best[0, -1]) else None
+    best, back = _cheapest(_units(cost), first)
+    return _walk(back[0], len(cost)) if best[0, -1] < _POSSIBLE else None
 
 
 def _greedy_end(start: np.ndarray, end: np.ndarray, text: list[str], first: int) -> int:
@@ -253,9 +274,9 @@ class _Words:
         self.joined = bool(pdf["_joined"].iloc[0])  # with the word before, which may lie in another run
 
     def costs(self) -> np.ndarray:
-        cost = cue_costs(self.start, self.end, self.text, self.speaker, self.term)
+        cost = _units(cue_costs(self.start, self.end, self.text, self.speaker, self.term))
         if self.joined:
-            cost[0] = np.inf
+            cost[0] = _NEVER
         return cost
 
     def cues(self, track_id: object, cuts: list[int], stop: int, method: str, base: int = 0) -> pd.DataFrame:
@@ -277,19 +298,27 @@ class _Words:
 
 def _transfer(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
     """One run's table: what it costs to enter it k words late (as the cue before reaches so far) and to leave it with a cue
-    that reaches l words beyond it, for all k and l; and the l of the greedy rule for each k."""
+    that reaches l words beyond it, for all k and l; the l of the greedy rule for each k.
+
+    ranks tell, for each l, which of the entries' cheapest ways has the longer cue where they first differ from the end on: the
+    one an undivided track takes of equally cheap ones. A way that has come to its entry goes on with a cue from
+    before the run, which is longer than any that begins in it.
+    """
     own = int((pdf["_run"] == pdf["_of"]).sum())
     w = _Words(pdf)
-    costs = np.full((WORDS_MAX, WORDS_MAX), np.inf)
+    costs, ranks = np.full((WORDS_MAX, WORDS_MAX), _NEVER), np.zeros((WORDS_MAX, WORDS_MAX), dtype=np.int64)
     if optimal:
         cost = w.costs()
-        cost[own:] = np.inf  # those cues begin in the next run
-        entry = np.full((WORDS_MAX, len(cost) + 1), np.inf)
+        cost[own:] = _NEVER  # those cues begin in the next run
+        entry = np.full((WORDS_MAX, len(cost) + 1), _NEVER)
         for k in range(min(WORDS_MAX, own + 1)):
             entry[k, k] = 0
-        best, _ = _cheapest(cost, entry)
+        best, back = _cheapest(cost, entry)
         reach = min(WORDS_MAX, len(cost) + 1 - own)
         costs[:, :reach] = best[:, own : own + reach]
+        for over in range(reach):
+            ways = sorted((k for k in range(WORDS_MAX) if costs[k, over] < _POSSIBLE), key=lambda k: [*_walk(back[k], own + over)[::-1], -1])
+            ranks[ways, over] = np.arange(len(ways))
     ends, greedy = {}, []
     for k in range(WORDS_MAX):
         at = min(k, own)
@@ -298,21 +327,22 @@ def _transfer(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
                 ends[at] = _greedy_end(w.start, w.end, w.text, at)
             at = ends[at]
         greedy.append(at - own)
-    return pd.DataFrame({"_track": [pdf["track_id"].iloc[0]], "_run": [int(pdf["_of"].iloc[0])], "costs": [costs.ravel().tolist()], "greedy": [greedy]})
+    return pd.DataFrame({"_track": [pdf["track_id"].iloc[0]], "_run": [int(pdf["_of"].iloc[0])], "costs": [costs.ravel().tolist()], "ranks": [ranks.ravel().tolist()], "greedy": [greedy]})
 
 
 def _entries(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
     """For each run of a track how many words late it is entered and how many words beyond it its last cue reaches."""
     pdf = pdf.sort_values("_run", kind="stable")
-    tables = [np.array(c).reshape(WORDS_MAX, WORDS_MAX) for c in pdf["costs"]]
-    best, backs = np.full(WORDS_MAX, np.inf), []
+    tables, ranks = ([np.array(c).reshape(WORDS_MAX, WORDS_MAX) for c in pdf[name]] for name in ("costs", "ranks"))
+    best, backs = np.full(WORDS_MAX, _NEVER), []
     best[0] = 0
-    for t in tables:
-        total = best[:, None] + t
-        backs.append(total.argmin(axis=0))
-        best = total.min(axis=0)
+    for t, r in zip(tables, ranks, strict=True):
+        total = np.minimum(np.minimum(best, _NEVER)[:, None] + t, _NEVER)
+        least = total.min(axis=0)
+        backs.append(np.where(total == least, r, WORDS_MAX).argmin(axis=0))
+        best = np.where(least < _POSSIBLE, least, _NEVER)
     ends = [0]
-    if optimal and np.isfinite(best[0]):
+    if optimal and best[0] < _POSSIBLE:
         for back in reversed(backs):
             ends.append(int(back[ends[-1]]))
         ends = ends[::-1]
@@ -326,23 +356,30 @@ def _entries(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
 
 
 def _solved(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
-    """The cues that begin in a run, or in a whole track (late is null), numbered by their first words."""
-    w, own = _Words(pdf), int((pdf["_run"] == pdf["_of"]).sum())
-    track, whole = pdf["track_id"].iloc[0], pd.isna(pdf["late"].iloc[0])
-    late, over = (0, 0) if whole else (int(pdf["late"].iloc[0]), int(pdf["over"].iloc[0]))
-    base = int(pdf["_k"].min())
-    cuts, stop, method = None, own + over, "optimal" if whole and optimal else pdf["method"].iloc[0]
+    """The cues that begin in a run, numbered by their first words."""
+    w, own, base = _Words(pdf), int((pdf["_run"] == pdf["_of"]).sum()), int(pdf["_k"].min())
+    late, over, method = int(pdf["late"].iloc[0]), int(pdf["over"].iloc[0]), pdf["method"].iloc[0]
     if method == "optimal":
         cost = w.costs()
-        cost[own:] = np.inf
-        entry = np.full((1, len(cost) + 1), np.inf)
+        cost[own:] = _NEVER
+        entry = np.full((1, len(cost) + 1), _NEVER)
         entry[0, late] = 0
-        best, back = _cheapest(cost, entry)
-        cuts = _walk(back[0], stop) if np.isfinite(best[0, stop]) else None
-    if cuts is None:
-        method = "greedy"
+        cuts = _walk(_cheapest(cost, entry)[1][0], own + over)
+    else:
         cuts = greedy_cuts(w.start, w.end, w.text, late, own)
-    return w.cues(track, cuts, stop, method, base)
+    return w.cues(pdf["track_id"].iloc[0], cuts, own + over, method, base)
+
+
+def _whole(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
+    """The cues of a whole track."""
+    w, cuts = _Words(pdf), None
+    if optimal:
+        entry = np.full((1, len(pdf) + 1), _NEVER)
+        entry[0, 0] = 0
+        best, back = _cheapest(w.costs(), entry)
+        cuts = _walk(back[0], len(pdf)) if best[0, -1] < _POSSIBLE else None
+    method = "greedy" if cuts is None else "optimal"
+    return w.cues(pdf["track_id"].iloc[0], greedy_cuts(w.start, w.end, w.text) if cuts is None else cuts, len(pdf), method)
 
 
 def _cues(words: DataFrame, optimal: bool, run: int = _RUN) -> DataFrame:
@@ -352,23 +389,31 @@ def _cues(words: DataFrame, optimal: bool, run: int = _RUN) -> DataFrame:
     rows = words.select("track_id", "word_idx", "text", "start_ms", "end_ms", have("speaker").alias("speaker"), have("term_id").alias("term_id"))
     before = F.lag("term_id").over(track("word_idx"))
     rows = rows.withColumns({"_k": F.row_number().over(track("word_idx")) - 1, "_joined": F.coalesce(before == F.col("term_id"), F.lit(False)), "_n": F.count("*").over(Window.partitionBy("track_id"))})
-    rows = rows.withColumn("_run", F.when(F.col("_n") <= run, 0).otherwise(F.floor(F.col("_k") / run)).cast("long")).drop("word_idx")
+    rows = stored(rows.drop("word_idx"), "words-of-tracks")  # read up to three times below
+    cues = rows.filter(F.col("_n") <= run).drop("_n").groupBy("track_id").applyInPandas(lambda pdf: _whole(pdf, optimal), CUES)
+    long = rows.filter(F.col("_n") > run).withColumn("_run", F.floor(F.col("_k") / run).cast("long"))
+    if not long.isEmpty():
+        cues = cues.unionByName(_long_cues(long, optimal, run))
+    return cues.withColumn("cue_idx", (F.row_number().over(track("cue_idx")) - 1).cast("int"))
+
+
+def _long_cues(rows: DataFrame, optimal: bool, run: int) -> DataFrame:
     # a run sees the 17 words behind it: 16 that its last cue may reach, and one that tells the pause and the terms there
     both = F.when((F.col("_k") % run < WORDS_MAX + 1) & (F.col("_run") > 0), F.array(F.col("_run"), F.col("_run") - 1)).otherwise(F.array("_run"))
     dealt = rows.withColumn("_of", F.explode(both))
-    tables = dealt.filter(F.col("_n") > run).groupBy("track_id", "_of").applyInPandas(lambda pdf: _transfer(pdf, optimal), "_track long, _run long, costs array<double>, greedy array<long>")
+    tables = dealt.groupBy("track_id", "_of").applyInPandas(lambda pdf: _transfer(pdf, optimal), "_track long, _run long, costs array<long>, ranks array<long>, greedy array<long>")
     entries = tables.groupBy("_track").applyInPandas(lambda pdf: _entries(pdf, optimal), "_track long, _entered long, late long, over long, method string")
     # null-safe, so that no filter is inferred below and both uses of the words share one shuffle
     same = F.col("track_id").eqNullSafe(F.col("_track")) & F.col("_of").eqNullSafe(F.col("_entered"))
-    every = dealt.join(entries, same, "left").groupBy("track_id", "_of").applyInPandas(lambda pdf: _solved(pdf, optimal), CUES)
-    return every.withColumn("cue_idx", (F.row_number().over(track("cue_idx")) - 1).cast("int"))
+    return dealt.join(entries, same).groupBy("track_id", "_of").applyInPandas(lambda pdf: _solved(pdf, optimal), CUES)
 
 
 def build_cues_dp(words: DataFrame, lookahead: int | None = None) -> DataFrame:
     """Cues of globally least cost in each track; tracks without a feasible segmentation fall back to the greedy rule.
 
     lookahead is accepted for callers that bound the search; cues never exceed 16 words, which bounds it already. A long
-    track is spread over tasks by runs of words; its cues cost what those of the undivided track would.
+    track is spread over tasks by runs of words; its cues are those of the undivided track. Costs are compared in
+    millionths; of equal ones the track's last cue is the longest possible, then the one before it, and so on.
     """
     return _cues(words, optimal=True)
 
@@ -402,12 +447,19 @@ class _Packer(Fold):
         self.n += 1
         return [(h["track"], self.n - 1, h["a"], h["b"], h["text"], h["n"], h["sents"], h["first"])]
 
+    def state(self) -> str:
+        return json.dumps(self.held)
+
+    def resume(self, state: str, given: int) -> None:
+        self.held, self.n = json.loads(state), given
+
 
-def pack_sentences(sentences: DataFrame, buffer: float = 0.2, max_sent: int = 2, respect_speakers: bool = True) -> DataFrame:
+def pack_sentences(sentences: DataFrame, buffer: float = 0.2, max_sent: int = 2, respect_speakers: bool = True, run_rows: int = RUN_ROWS) -> DataFrame:
     """Cues of up to max_sent sentences within int(16 / (1 + buffer)) words, 5.5 s and one speaker.
 
     sentences: track_id, sent_idx, text, start_ms, end_ms, n_words, speaker. A sentence over the budget is cut into
-    pieces of budget size, their times by word share, and stands alone.
+    pieces of budget size, their times by word share, and stands alone. A track of more than run_rows pieces is spread over
+    tasks.
     """
     budget = int(16 / (1 + max(0.0, buffer)))
     words = T.tokens(F.col("text"))
@@ -420,7 +472,7 @@ def pack_sentences(sentences: DataFrame, buffer: float = 0.2, max_sent: int = 2,
     piece = F.array_join(F.slice("_w", a + 1, b - a), " ")
     rows = over.select("track_id", "sent_idx", "_piece", piece.alias("text"), at(a).alias("a"), at(b).alias("b"), (b - a).cast("int").alias("n"), "speaker", F.col("_big").alias("big"))
     schema = "track_id long, cue_idx int, start_ms long, end_ms long, text string, n_words int, n_sentences int, speaker string"
-    return ordered_fold(rows, ["sent_idx", "_piece"], lambda: _Packer(budget, max_sent, respect_speakers), schema)
+    return ordered_fold(rows, ["sent_idx", "_piece"], lambda: _Packer(budget, max_sent, respect_speakers), schema, run_rows)
 
 
 def plain_fallback_chunks(df: DataFrame, n: int = 20, least: int = 40) -> DataFrame:

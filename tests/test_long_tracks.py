@@ -57,9 +57,19 @@ def test_cues_of_runs_cost_what_those_of_whole_tracks_do(spark, seed):
         for t in range(5):
             (a, how_a), (b, how_b) = total(whole, t), total(cut, t)
             assert a == pytest.approx(b) and how_a == how_b
+        assert sorted(map(tuple, cut)) == sorted(map(tuple, whole))
         assert sorted(map(tuple, D._cues(d, False, run).collect())) == greedy
 
 
+def test_runs_choose_the_same_of_equally_cheap_cues(spark):
+    """Even words make many segmentations of equal cost; runs take the one that the whole track takes."""
+    rows = [(t, k, "word" if k % 29 else "end.", 500 * k, 500 * k + 300 + 50 * (t % 2), None, None) for t in range(4) for k in range(700 + t)]
+    d = spark.createDataFrame(rows, WORDS)
+    whole = sorted(map(tuple, D.build_cues_dp(d).collect()))
+    for run in (20, 64, 500):
+        assert sorted(map(tuple, D._cues(d, True, run).collect())) == whole
+
+
 def test_rolling_segments_by_fold(spark):
     rng = random.Random(3)
     rows = []
@@ -204,11 +214,30 @@ def test_terms_are_found_anywhere(spark):
     g = spark.createDataFrame([(o, t, "", "keep", "") for o, t in terms], "ord long, canonical string, target_spelling string, action string, pronunciation string")
     want = {k: [x for _, x in terms if x and t is not None and x.lower() in t.lower()] for _, k, t in cues}
     assert {r["seg_idx"]: r["protected_terms"] for r in J.glossary_tag_cues(c, g).collect()} == want
-    for searched in (0, 2_000):
-        rows = J._with_terms(c, g, "text", "seg_idx", searched).collect()
+    for block in (1, 3, 2_000_000):
+        rows = J._with_terms(c, g, "text", block).collect()
         assert {r["seg_idx"]: [t["canonical"] for t in r["_terms"]] for r in rows} == want
 
 
+def test_terms_do_not_depend_on_keys_or_the_glossarys_size(spark):
+    few = [(o, w, "", "keep", "") for o, w in enumerate(["alpha", "Beta", "alp", "alpha", "a b"])]
+    many = few + [(o, f"term{o}x", f"T{o}", "fixed_translation", "say") for o in range(10, 100_000)]
+    cues = [(1, 0, "alpha here"), (1, 0, "beta here"), (None, 3, "alpha"), (1, 0, "alpha here"), (None, None, None), (2, 1, "a b term500x term5")]
+    schema = "ord long, canonical string, target_spelling string, action string, pronunciation string"
+    c = spark.createDataFrame(cues, "track_id long, seg_idx long, text string").coalesce(1)
+    got = []
+    for terms, block in ((few, 2_000_000), (many, 2_000_000), (many, 300_000)):
+        g = spark.createDataFrame(terms, schema)
+        rows = J.glossary_tag_cues(c, g, block_chars=block).select("track_id", "seg_idx", "text", "protected_terms").collect()
+        got.append(sorted((str(tuple(r)[:3]), [t for t in r[3] if not t.startswith("term")]) for r in rows))
+        last = next(r for r in rows if r["track_id"] == 2)["protected_terms"]
+        assert last == ["a b"] + (["term500x"] if terms is many else [])
+    assert got[0] == got[1] == got[2]
+    assert [x for k, x in got[0] if "alpha here" in k] == [["alpha", "alp", "alpha"]] * 2
+    none = J.glossary_validate(c.withColumn("text_translated", c["text"]), spark.createDataFrame([], schema))
+    assert none.count() == len(cues) and none.filter("size(qc_flags) > 0").count() == 0
+
+
 def test_reference_texts_are_compared_whole(spark):
     """Edit distances in characters, not bytes, over all of both texts."""
 
