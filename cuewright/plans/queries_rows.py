@@ -11,6 +11,7 @@ from ..operators import tables as U
 from ..operators import timeline as W
 from ..operators import udfs as X
 from ..sources import subtitles as S
+from ..sources.scratch import scratch_dir
 from .registry import query
 from .view_sql import SLOTS_SQL
 
@@ -554,6 +555,24 @@ def _(v):
     return S.parse_job_store(rows).select("id", "state", "message", "payload.source_url", "payload.tts_engine", F.col("payload.step_times")["download"].alias("seconds"))
 
 
+@query("s09_job_store_upsert", "id b, state s, tts_engine s, created_at t, updated_at t", "jobs", """
+    SELECT id, CASE WHEN id % 5 = 0 THEN 'done' WHEN state = 'running' THEN 'error' ELSE state END AS state,
+        CASE WHEN id % 5 = 0 THEN upper(tts_engine) ELSE tts_engine END AS tts_engine, created_at,
+        CASE WHEN id % 5 = 0 THEN created_at + INTERVAL 1 DAY ELSE created_at END AS updated_at FROM jobs""")
+def _(v):
+    """A store of all jobs but some, then an upsert of changed and of new ones, and one that is out of date."""
+    root = scratch_dir(v.spark, "job-store")
+    none = F.lit(None).cast("map<string,double>")
+    stored = lambda jobs, engine: jobs.select("id", "state", F.struct("source_url", "target_language", engine.alias("tts_engine"), none.alias("step_times")).alias("payload"), "created_at", "updated_at")
+    jobs = v.jobs.withColumns({"created_at": F.col("created_at").cast("timestamp_ntz")}).withColumn("updated_at", F.col("created_at"))
+    S.create_job_store(stored(jobs.filter("id % 10 <> 0"), F.col("tts_engine")), root, buckets=16)
+    later = jobs.filter("id % 5 = 0").withColumns({"state": F.lit("done"), "updated_at": F.expr("updated_at + INTERVAL 1 DAY"), "created_at": F.expr("created_at + INTERVAL 1 HOUR")})
+    S.save_jobs(stored(jobs.filter("id % 10 = 0"), F.col("tts_engine")), root)
+    S.save_jobs(stored(later, F.upper("tts_engine")), root)
+    S.save_jobs(stored(jobs.filter("id % 25 = 0").withColumn("state", F.lit("queued")), F.lit("old")), root)
+    return S.load_jobs(v.spark, root).select("id", "state", "payload.tts_engine", "created_at", "updated_at")
+
+
 @query("s13_tts_rows", "track_id b, speaker s, start_time d, end_time d, translation s", "segments", "SELECT track_id, speaker, round(start_ms / 1000.0, 3) AS start_time, round(end_ms / 1000.0, 3) AS end_time, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS translation FROM segments")
 def _(v):
     return S.tts_rows(v.cues)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .keyed_store import create_store, read_store, replace_in_store, upsert_store
 
 _NOISE = r"^\s*(\[.*\]|\(.*\)|♪.*♪?)\s*$"
 
@@ -181,6 +182,22 @@ def write_job_store(jobs: DataFrame, path: str) -> None:
     jobs.withColumn("payload", F.to_json("payload")).write.mode("overwrite").parquet(path)
 
 
+def create_job_store(jobs: DataFrame, root: str, buckets: int = 64) -> None:
+    """A store of jobs (id, state, payload, created_at, updated_at, and more) that save_jobs keeps up to date."""
+    create_store(jobs.withColumn("payload", F.to_json("payload")), root, ["id"], buckets)
+
+
+def save_jobs(jobs: DataFrame, root: str) -> int:
+    """Insert or overwrite jobs by id, the latest updated_at winning; created_at stays. Only the buckets that these ids are in
+    are written, and a failed write leaves the store as it was. Returns how many were."""
+    return upsert_store(jobs.withColumn("payload", F.to_json("payload")), root, ["id"], "updated_at", "created_at")
+
+
+def load_jobs(spark: SparkSession, root: str, payload: str = PAYLOAD) -> DataFrame:
+    """The stored jobs with their payload parsed and states made good."""
+    return parse_job_store(read_store(spark, root), payload)
+
+
 # Sinks ---------------------------------------------------------------------------------------------------------------
 
 
@@ -270,13 +287,14 @@ def slot_fit_report_rows(cues: DataFrame) -> DataFrame:
 # Stages --------------------------------------------------------------------------------------------------------------
 
 
-def write_stage(df: DataFrame, root: str, stage: str) -> None:
-    """Rows of the stage's tracks, replacing those that are there."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track_id").parquet(f"{root}/stage={stage}")
+def write_stage(df: DataFrame, root: str, stage: str, buckets: int = 64) -> None:
+    """Rows of the stage's tracks, replacing those that are there. Tracks share a bounded number of folders, by a hash; only
+    those that df's tracks are in are written anew, and count once all are complete."""
+    replace_in_store(df, f"{root}/stage={stage}", ["track_id"], buckets)
 
 
 def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/stage={stage}")
+    return read_store(spark, f"{root}/stage={stage}")
 
 
 def pending_tracks(every: DataFrame, done: DataFrame, stage: str = "transcribe") -> DataFrame:
