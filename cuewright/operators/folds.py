@@ -114,7 +114,9 @@ def _in_runs(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema
         data = mine.select("_part", F.col("try").alias("_try"), F.lit(1).alias("_flag"), _null("string", "_entry"), _null("long", "_given"), _null("boolean", "_more"), *names)
         begins = [F.col("key").alias(key), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names[1:])]
         begin = heads.select(F.col("part").alias("_part"), F.col("try").alias("_try"), F.lit(0).alias("_flag"), F.col("entry").alias("_entry"), F.col("given").alias("_given"), F.col("more").alias("_more"), *begins)
-        every = data.unionByName(begin).repartition("_part", "_try").sortWithinPartitions("_part", "_try", key, "_flag", *order)
+        every = data.unionByName(begin)
+        every = every.repartition(runs, "_part", "_try") if all_rows else every.repartition("_part", "_try")  # tries may be few
+        every = every.sortWithinPartitions("_part", "_try", key, "_flag", *order)
         return every.mapInArrow(lambda batches: _resumed(batches, make, _kinds(schema if all_rows else _TRIED), all_rows), schema if all_rows else _TRIED)
 
     def tried(new: DataFrame, kind: str) -> DataFrame:

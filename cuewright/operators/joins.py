@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from .terms import TERM_BLOCK, find_terms
 
 #: Dictionaries are broadcast up to so many rows; larger ones join by shuffling.
@@ -54,7 +55,8 @@ def interval_join(left: DataFrame, right: DataFrame, *, slack_ms: int = 0, bucke
     """
     if how == "inner" or bucket_ms is None:
         return _by_bucket(left, right, slack_ms, bucket_ms, how)
-    pairs = _by_bucket(left.withColumn("_id", F.monotonically_increasing_id()), right, slack_ms, bucket_ms, how)
+    numbered = stored(left.withColumn("_id", F.monotonically_increasing_id()), "numbered-rows")  # so that the numbers stay
+    pairs = _by_bucket(numbered, right, slack_ms, bucket_ms, how)
     w = Window.partitionBy("_id")
     hits = F.count("r").over(w)
     first = F.row_number().over(w.orderBy(F.col("r").isNull()))

@@ -55,21 +55,39 @@ def _grouped(words: DataFrame, keys: list[str], name: str) -> DataFrame:
     return out.withColumn(name, (F.row_number().over(track("first_word")) - 1).cast("int")).drop("first_word", *keys)
 
 
-def merge_into_sentences(words: DataFrame, soft: int = 15, hard: int = 25) -> DataFrame:
-    """Sentences: cut after . ! ?, at a change between two known speakers, after , ; : from `soft` words, at `hard` words."""
-    before = F.lag("speaker").over(track("word_idx"))
-    cut = F.coalesce(_ends(F.lag("text").over(track("word_idx")), ".!?"), F.lit(False)) | F.coalesce(before != F.col("speaker"), F.lit(False))
-    runs = words.withColumn("_run", F.sum(cut.cast("int")).over(track("word_idx").rowsBetween(Window.unboundedPreceding, 0)))
-    items = F.array_sort(F.collect_list(F.struct("word_idx", _ends(F.col("text"), ",;:").alias("comma"), "text", "start_ms", "end_ms", "speaker")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("out"))
+class _SoftCuts(Fold):
+    """Counts the words of the sentence at hand, which is all that later cuts depend on."""
+
+    def __init__(self, soft: int, hard: int) -> None:
+        self.soft, self.hard, self.n = soft, hard, 0
 
-    def step(acc: Column, w: Column) -> Column:
-        full = ((acc["n"] + 1 >= soft) & w["comma"]) | (acc["n"] + 1 >= hard)
-        return F.struct(F.when(full, 0).otherwise(acc["n"] + 1).alias("n"), F.when(full, acc["piece"] + 1).otherwise(acc["piece"]).alias("piece"), F.array_append(acc["out"], acc["piece"]).alias("out"))
+    def take(self, track_id: object, word_idx: int, cut: bool, comma: bool, *rest: object) -> Iterable[tuple]:
+        if cut:
+            self.n = 0
+        first = self.n == 0
+        self.n += 1
+        if self.n >= self.hard or comma and self.n >= self.soft:
+            self.n = 0
+        return [(track_id, word_idx, first, *rest)]
+
+    def state(self) -> str:
+        return json.dumps(self.n)
 
-    cut_up = runs.groupBy("track_id", "_run").agg(items.alias("w")).withColumn("p", F.aggregate("w", start, step, lambda acc: acc["out"]))
-    flat = cut_up.select("track_id", "_run", F.explode(F.arrays_zip("w", "p")).alias("z")).select("track_id", "_run", F.col("z.p").alias("_piece"), "z.w.*")
-    return _grouped(flat, ["_run", "_piece"], "sent_idx")
+    def resume(self, state: str, given: int) -> None:
+        self.n = json.loads(state)
+
+
+def merge_into_sentences(words: DataFrame, soft: int = 15, hard: int = 25, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Sentences: cut after . ! ?, at a change between two known speakers, after , ; : from `soft` words, at `hard` words.
+    A track of more than run_rows words is spread over tasks."""
+    before = F.lag("speaker").over(track("word_idx"))
+    cut = F.coalesce(_ends(F.lag("text").over(track("word_idx")), ".!?"), F.lit(False)) | F.coalesce(before != F.col("speaker"), F.lit(False))
+    times = (F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms"))
+    rows = words.select("track_id", F.col("word_idx").cast("long").alias("word_idx"), cut.alias("_cut"), _ends(F.col("text"), ",;:").alias("_comma"), "text", *times, "speaker")
+    schema = "track_id long, word_idx long, first boolean, text string, start_ms long, end_ms long, speaker string"
+    flat = ordered_fold(rows, ["word_idx"], lambda: _SoftCuts(soft, hard), schema, run_rows)
+    flat = flat.withColumn("_piece", F.sum(F.col("first").cast("int")).over(track("word_idx").rowsBetween(Window.unboundedPreceding, 0)))
+    return _grouped(flat, ["_piece"], "sent_idx")
 
 
 def split_terminator_sentences(words: DataFrame, cap: int = 40, cap_no_term: int = 12) -> DataFrame:

@@ -45,7 +45,7 @@ def test_packed_sentences_in_runs(spark, run_rows, most):
     assert _rows(D.pack_sentences(d, max_sent=most, run_rows=run_rows)) == _rows(D.pack_sentences(d, max_sent=most))
 
 
-@pytest.mark.parametrize("run_rows", [3, 20, 64])
+@pytest.mark.parametrize("run_rows", [8, 20, 64])
 def test_health_in_runs(spark, run_rows):
     rng, t0 = random.Random(run_rows), dt.datetime(2024, 1, 1, 23, 58)
     at = lambda s: t0 + dt.timedelta(seconds=s)
@@ -56,6 +56,15 @@ def test_health_in_runs(spark, run_rows):
     assert _rows(R.provider_health(d, run_rows=run_rows)) == _rows(R.provider_health(d))
 
 
+@pytest.mark.parametrize("run_rows", [7, 50])
+def test_sentences_in_runs(spark, run_rows):
+    rng, rows = random.Random(run_rows), []
+    for t, n in ((1, 150), (2, 40), (3, 1)):
+        rows += [(t, k, "w" + rng.choice(["", "", "", ",", "." if t == 2 else ","]), 10 * k, 10 * k + 5, rng.choice([None, "a", "a", "a", "b"]) if t == 2 else None) for k in range(n)]
+    d = spark.createDataFrame(rows, "track_id long, word_idx long, text string, start_ms long, end_ms long, speaker string")
+    assert _rows(D.merge_into_sentences(d, run_rows=run_rows)) == _rows(D.merge_into_sentences(d))
+
+
 def test_no_rows(spark):
     for run_rows in (0, 5):
         assert D.dedup_rolling_segments(spark.createDataFrame([], SEGMENTS), run_rows).count() == 0
@@ -67,4 +76,4 @@ def test_a_hot_key_is_spread_over_tasks(spark):
     d = spark.range(20_000).selectExpr("1L AS track_id", "id AS seg_idx", "concat('t', id % 97) AS text", "id AS start_ms", "id + 1 AS end_ms")
     out = D.dedup_rolling_segments(d, 2_000)
     sizes = [r["n"] for r in out.selectExpr("spark_partition_id() AS p").groupBy("p").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
-    assert sum(sizes) == out.count() and len(sizes) >= 4 and max(sizes) <= 8_000
+    assert sum(sizes) == out.count() and len(sizes) >= 4 and max(sizes) <= 9_000
