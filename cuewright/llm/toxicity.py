@@ -127,6 +127,9 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int)
     )
     chosen = staged(chosen, "training-sample-ids")  # its size is bounded by the two parameters, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id that many texts share brings in one of them, so that the sample stays within its bound
+    one_text = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")
+    rows = rows.groupBy("doc_id", "toxic").agg(one_text).select("doc_id", "first.text", "toxic")
     same = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)  # copies would lend their rare words weight
     rows = rows.groupBy(same, "toxic").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.doc_id", "first.text", "toxic")
     return staged(rows, "training-sample")
