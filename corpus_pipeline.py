@@ -27,7 +27,7 @@ def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-two-fit packing of all that is left into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, capacity=2048, end_id=0)
+    return packing.pack_documents(docs, capacity=2048, end_id=0, keep_chunks=150_000)  # workers come from other stages' work
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, staged
-from .tokens import encoder, text_slices
+from .tokens import KEEP_CHUNKS, encoder, text_slices
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -88,7 +88,7 @@ def _lines(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarra
     return {n: np.array(x, dtype=np.int64) for n, x in lines.items()}
 
 
-def token_pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, checksums: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, checksums: bool = False, keep_chunks: int = KEEP_CHUNKS) -> DataFrame:
     """Every document's ids (plus end_id) as pieces: doc_id, piece, start, length, ids (little-endian 32-bit).
 
     With checksums, ids_crc32 (their unsigned CRC-32) takes the place of the ids themselves.
@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, toke
     last = "ids_crc32" if checksums else "ids"
 
     def make():
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, keep_chunks)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", last)}
@@ -167,9 +167,9 @@ def place(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     return map_batches(ranked, make, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, keep_chunks: int = KEEP_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where every piece of every document lies."""
-    pieces = staged(token_pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer, checksums=True), "packing-pieces")
+    pieces = staged(token_pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer, checksums=True, keep_chunks=keep_chunks), "packing-pieces")
     return place(pieces, capacity=capacity)
 
 

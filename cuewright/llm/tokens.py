@@ -20,6 +20,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Chunks of which an encoder keeps the ids, by default: about 300 MB in a worker that has met as many twice.
+KEEP_CHUNKS = 350_000
 #: Stands for chunks whose ids depend on what is before them; no chunk has ids of one byte.
 _ODD = b"?"
 #: Characters that may end a chunk behind its letters; none of them joins the letters in one piece.
@@ -29,7 +31,7 @@ _TAIL = ".,;:!?*#%&$)"
 class ChunkEncoder:
     """Encodes texts; keeps the ids of about twice `keep` chunks."""
 
-    def __init__(self, path: str | None = None, keep: int = 350_000) -> None:
+    def __init__(self, path: str | None = None, keep: int = KEEP_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
@@ -136,7 +138,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 6 << 2
         at = to
 
 
-_ENCODERS: dict[str | None, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str | None, int], ChunkEncoder] = {}
 
 
 def forget_encoders() -> None:
@@ -144,8 +146,9 @@ def forget_encoders() -> None:
     _ENCODERS.clear()
 
 
-def encoder(path: str | None = None) -> ChunkEncoder:
+def encoder(path: str | None = None, keep: int = KEEP_CHUNKS) -> ChunkEncoder:
     """One encoder for each Python worker and vocabulary, so that what it has learned serves later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, keep] = ChunkEncoder(path, keep)
+    return _ENCODERS[path, keep]
