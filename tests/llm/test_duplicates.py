@@ -139,6 +139,19 @@ def test_awkward_rows(spark, awkward, nothing):
     assert nd.near_duplicates(nothing).count() == 0 and nd.keep_one_of_each(nothing).count() == 0
 
 
+def test_unlike_texts_that_share_an_id_all_stay(spark):
+    one, other, third = ("".join(f"{w}{k} " for k in range(30)) for w in ("a", "b", "c"))
+    rows = [(7, one, "p"), (7, other, "q"), (8, one, "r"), (9, third, "s"), (9, third, "t"), (None, other, "u"), (5, third + "more", "v"), (4, "", "w"), (4, "", "w"), (4, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    want = sorted([(7, one), (7, other), (5, third + "more"), (4, ""), (4, None)], key=str)
+    for parts in (1, 3):
+        kept = nd.keep_one_of_each(d.repartition(parts), shingle_words=5)
+        assert kept.columns == d.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    repeated = [(1, one, tag) for tag in "zyxw"]
+    first = {nd.keep_one_of_each(spark.createDataFrame(r, "doc_id long, text string, tag string").repartition(2)).collect()[0]["tag"] for r in (repeated, repeated[::-1])}
+    assert len(first) == 1  # whatever the rows' order
+
+
 def test_bayesian_bounds():
     """No bound prunes a pair at the threshold more often than the chosen chance, however the signatures fall."""
     from math import comb

@@ -63,6 +63,15 @@ def test_training_sample_drops_whole_copies_only(spark):
     assert all((k, t, y) in set(rows) for k, t, y in got)
 
 
+def test_an_id_of_many_texts_brings_one_into_the_sample(spark):
+    d = spark.createDataFrame([(1, f"text number {k}") for k in range(50)] + [(k, f"other {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = d.select("doc_id").distinct().selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic")
+    got = toxicity._sample(d, labels, 4000, 8000).collect()
+    ids = [r["doc_id"] for r in got]
+    assert len(ids) == len(set(ids)) and len(ids) > 20
+    assert [tuple(r) for r in toxicity._sample(d.repartition(5), labels, 4000, 8000).orderBy("doc_id").collect()] == sorted(tuple(r) for r in got)
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(awkward, none)

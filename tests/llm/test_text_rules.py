@@ -111,6 +111,34 @@ def test_blocks_of_items_change_no_row(spark, awkward):
     assert many.columns == awkward.columns and many.count() == awkward.count()
 
 
+def test_repeated_short_and_long_items_equal_brute_force(spark):
+    """Equal items, items of one word and of one repeated word, and items longer than a block, for any block size."""
+    rng = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(6)]
+    same = "the same ten words or more of an item that repeats"
+    items = [(k, same) for k in range(30)] + [(7, same)] * 5 + [(40, "solo"), (41, "solo"), (42, "pair of"), (43, "v0 " * 60), (44, "v0 v0 v0"), (None, "null id words here")]
+    items += [(50, " ".join(rng.choices(vocabulary, k=200))), (51, None), (52, "")]
+    docs = [(k, " ".join(rng.choices([*vocabulary, "solo", "pair", "of", "x"], k=rng.choice([0, 5, 60, 300])))) for k in range(30)]
+    docs += [(100, f"x {same} y solo"), (101, "v0 " * 150), (102, items[-3][1]), (103, " ".join(items[-3][1].split()[50:70])), (104, "null id words here")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, [i for i in items if i[0] is not None])
+    for block_words in (2_000_000, 30):
+        rows = [(r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["n_hit"] > 0) for r in dc.find_contamination(d, b, block_words=block_words).collect()]
+        assert sorted((r for r in rows if r[0] != 104), key=str) == [w for w in want if w[0] != 104]
+        assert [r[1:4] for r in rows if r[0] == 104] == [(4, 4, 0)]
+
+
+def test_matching_is_linear_in_the_text():
+    def seconds(items, n):
+        m, began = dc.ItemMatcher(items, 10), time.process_time()
+        m.match([b"w", b"x"] * (n // 2) if len(items[0][1]) < 100 else [b"w"] * n)
+        return time.process_time() - began
+
+    ten = b"one two three four five six seven eight nine ten"
+    for items in ([(("1",), ten), (("2",), b"w")], [(("1",), b"w " * 4_000), (("2",), b"w w w")]):
+        assert seconds(items, 40_000) < 1.5
+
+
 def test_license_places_equal_brute_force(spark, awkward, nothing):
     texts = ["Under the MIT License. under the mit-license", "Apache License, Version 2.0 and CC BY-NC 4.0", "cc by", None, "", "under the mit"] + ["mit " * 5]
     d = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, labels int")
@@ -231,3 +259,19 @@ def test_pages(spark, chain):
     assert [r["text"] for r in got if r["page_id"] == 1] == [want, want]
     assert all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
     assert pt.extract_text(d.limit(0), chain=chain).count() == 0
+
+
+def test_little_is_kept_of_many_different_pages():
+    """Start tags that never come again leave nothing but the entries of bounded caches."""
+    page = lambda k: f"<html><body class='postid-{k}'><article>" + "".join(f"<div class='content c{k}-{j}' data-x='{'y' * 500}'><p id='p{k}-{j}'>text {j} of the article.</p></div>" for j in range(40)) + "</article></body></html>"
+    first = [f for _, f in pt.blocks(page(0))]
+    for k in range(800):
+        assert len(pt.blocks(page(k))) == 40
+    assert [sorted(f) for f in first] == [sorted(f) for _, f in pt.blocks(page(1))]
+    for cache in (pt._own_features, pt._joined, pt._inside):
+        assert cache.cache_info().currsize <= cache.cache_info().maxsize <= 20_000
+
+
+def test_copyright_is_seen_anywhere_in_a_block():
+    filler = "word " * 100
+    assert "copyright" in pt.blocks(f"<p>{filler}Copyright held by someone</p>")[0][1] and "copyright" not in pt.blocks(f"<p>{filler}</p>")[0][1]
