@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.scratch import stored
 from .folds import RUN_ROWS, Fold, ordered_fold
+from .scans import Scan, in_order
 from .timeline import track
 
 # Limits of a cue, in ms and words
@@ -90,16 +91,16 @@ def merge_into_sentences(words: DataFrame, soft: int = 15, hard: int = 25, run_r
     return _grouped(flat, ["_piece"], "sent_idx")
 
 
-def split_terminator_sentences(words: DataFrame, cap: int = 40, cap_no_term: int = 12) -> DataFrame:
+def split_terminator_sentences(words: DataFrame, cap: int = 40, cap_no_term: int = 12, hot_rows: int = RUN_ROWS) -> DataFrame:
     """Sentences up to . ! ? (not behind abbreviations), cut every `cap` words, or every `cap_no_term` in tracks whose
-    first hundred words end none."""
-    ends = _is_end(F.col("text"))
-    w = Window.partitionBy("track_id")
-    rows = words.withColumn("_e", ends).withColumn("_place", F.row_number().over(track("word_idx")))
-    rows = rows.withColumn("_cap", F.when(F.max(F.when(F.col("_place") <= 100, F.col("_e"))).over(w), cap).otherwise(cap_no_term))
-    rows = rows.withColumn("_run", F.coalesce(F.sum(F.col("_e").cast("int")).over(_before("word_idx")), F.lit(0)))
-    k = F.row_number().over(Window.partitionBy("track_id", "_run").orderBy("word_idx")) - 1
-    return _grouped(rows.withColumn("_piece", F.floor(k / F.col("_cap"))), ["_run", "_piece"], "sent_idx")
+    first hundred words end none. Tracks of more than hot_rows words are spread over tasks."""
+    at = in_order(words.withColumn("_e", _is_end(F.col("text"))), "word_idx", hot_rows=hot_rows)
+    at = at.scan(_place=Scan("sum_through", F.lit(1)), _run=Scan("sum_before", F.col("_e").cast("int")), _after=Scan("lag", F.col("_e")))
+    begins = F.when(F.coalesce("_after", F.lit(True)), F.col("_place"))
+    at = at.scan(_begin=Scan("max_through", begins), _early=Scan("max_all", F.when(F.col("_place") <= 100, F.col("_e"))))
+    size = F.when(F.col("_early"), cap).otherwise(cap_no_term)
+    rows = at.done().withColumn("_piece", F.floor((F.col("_place") - F.col("_begin")) / size))
+    return _grouped(rows, ["_run", "_piece"], "sent_idx")
 
 
 def dedup_rolling_words(raw_words: DataFrame) -> DataFrame:
@@ -150,14 +151,15 @@ def dedup_rolling_segments(segments: DataFrame, run_rows: int = RUN_ROWS) -> Dat
     return ordered_fold(rows, ["seg_idx"], _Rolling, "track_id long, seg_idx long, text string, start_ms long, end_ms long", run_rows)
 
 
-def runs_of_equal_text(frames: DataFrame, step_ms: int = 1000, least: int = 3) -> DataFrame:
-    """Segments of consecutive equal texts of more than `least` characters; each ends where the next starts."""
-    rows = frames.filter(F.length(F.trim("text")) > least)
-    new = F.coalesce(F.lag("text").over(track("ts_ms")) != F.col("text"), F.lit(True))
-    rows = rows.withColumn("_run", F.sum(new.cast("int")).over(track("ts_ms").rowsBetween(Window.unboundedPreceding, 0)))
+def runs_of_equal_text(frames: DataFrame, step_ms: int = 1000, least: int = 3, hot_rows: int = RUN_ROWS) -> DataFrame:
+    """Segments of consecutive equal texts of more than `least` characters; each ends where the next starts. Tracks of more than
+    hot_rows frames are spread over tasks."""
+    at = in_order(frames.filter(F.length(F.trim("text")) > least), "ts_ms", hot_rows=hot_rows).scan(_last=Scan("lag", F.col("text")))
+    new = F.coalesce(F.col("_last") != F.col("text"), F.lit(True))
+    rows = at.scan(_run=Scan("sum_through", new.cast("int"))).done()
     runs = rows.groupBy("track_id", "_run").agg(F.first("text").alias("text"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"))
-    end = F.coalesce(F.lead("start_ms").over(track("_run")), F.col("last_ms") + step_ms)
-    return runs.select("track_id", (F.col("_run") - 1).cast("int").alias("seg_idx"), "text", "start_ms", end.alias("end_ms"))
+    runs = in_order(runs, "_run", hot_rows=hot_rows).scan(_next=Scan("lead", F.col("start_ms"))).done()
+    return runs.select("track_id", (F.col("_run") - 1).cast("int").alias("seg_idx"), "text", "start_ms", F.coalesce("_next", F.col("last_ms") + step_ms).alias("end_ms"))
 
 
 # Cues ----------------------------------------------------------------------------------------------------------------

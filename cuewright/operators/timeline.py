@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import RUN_ROWS
+from .scans import Scan, in_order
 
 SLOWEST, FASTEST = 1 / 1.1, 1.25
 
@@ -94,10 +96,11 @@ def timeline_overlap_profile(clips: DataFrame) -> DataFrame:
     return points.select("track_id", "from_ms", F.lead("from_ms").over(w).alias("to_ms"), level.alias("concurrency")).filter("to_ms is not null")
 
 
-def zero_gap_timeline(clips: DataFrame, gap_ms: int = 0) -> DataFrame:
-    """Adds out_start_ms and out_end_ms: clips back to back with a fixed gap."""
-    start = running_before(F.col("tts_ms") + gap_ms)
-    return clips.withColumn("out_start_ms", start).withColumn("out_end_ms", F.col("out_start_ms") + F.col("tts_ms"))
+def zero_gap_timeline(clips: DataFrame, gap_ms: int = 0, hot_rows: int = RUN_ROWS) -> DataFrame:
+    """Adds out_start_ms and out_end_ms: clips back to back with a fixed gap. Tracks of more than hot_rows clips are spread over
+    tasks."""
+    rows = in_order(clips, "seg_idx", hot_rows=hot_rows).scan(out_start_ms=Scan("sum_before", F.col("tts_ms") + gap_ms)).done()
+    return rows.withColumn("out_end_ms", F.col("out_start_ms") + F.col("tts_ms"))
 
 
 def stretch_plan(pairs: DataFrame, max_stretch: float = 20.0, slow_only: bool = False) -> DataFrame:
@@ -117,13 +120,14 @@ def classify_drift(d: Column, warn: float = 50, fail: float = 200) -> Column:
     return F.when(F.abs(d) < lo, "ok").when(F.abs(d) < hi, "warn").otherwise("fail")
 
 
-def recompute_slots(cues: DataFrame, mode: str = "capped", max_speedup: float = 1.30, min_video_speed: float = 0.70, warn: int = 50, fail: int = 200) -> DataFrame:
+def recompute_slots(cues: DataFrame, mode: str = "capped", max_speedup: float = 1.30, min_video_speed: float = 0.70, warn: int = 50, fail: int = 200, hot_rows: int = RUN_ROWS) -> DataFrame:
     """New slots for clips that overflow their track. cues: track_id, seg_idx, start_ms, end_ms, tts_ms, qc_flags.
 
     original: nothing moves. capped: clips longer than their slot are sped up, at most max_speedup. audio_first: clips
     stay. If a track's clips exceed its slots by more than 10 ms every slot becomes its clip's duration, which is where
     proportional widening and shrinking ends up; else the timeline stays. Adds audio_speedup, new_start_ms, new_end_ms,
-    video_speed, drift_ms, status, and flags for slots without duration or below the least video speed.
+    video_speed, drift_ms, status, and flags for slots without duration or below the least video speed. Tracks of more than
+    hot_rows cues are spread over tasks.
     """
     if mode not in ("original", "capped", "audio_first"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -136,13 +140,13 @@ def recompute_slots(cues: DataFrame, mode: str = "capped", max_speedup: float =
     over = (F.col("tts_ms") > F.col("_slot")) & (F.col("_slot") > 0) & F.lit(mode == "capped")
     rows = rows.withColumn("audio_speedup", F.when(over, F.round(F.least(F.col("tts_ms") / F.col("_slot"), F.lit(max_speedup)), 4)).otherwise(1.0))
     rows = rows.withColumn("tts_ms", F.round(F.col("tts_ms") / F.col("audio_speedup"), 1))
-    whole = Window.partitionBy("track_id")
-    rows = rows.withColumn("_moves", (F.sum("tts_ms").over(whole) - F.sum("_slot").over(whole)) > 10)
-    new = F.when(F.col("_moves"), F.col("tts_ms")).otherwise(F.col("_slot"))
-    gap = F.greatest(F.coalesce(F.col("start_ms") - F.lag("end_ms").over(track()), F.lit(0)), F.lit(0))
-    rows = rows.withColumn("_new", new).withColumn("_gap", gap)
-    first = F.first("start_ms").over(track().rowsBetween(Window.unboundedPreceding, 0))
-    start = first + running_before(F.col("_new")) + F.sum("_gap").over(track().rowsBetween(Window.unboundedPreceding, 0))
+    at = in_order(rows, "seg_idx", hot_rows=hot_rows)
+    at = at.scan(_told=Scan("sum_all", F.col("tts_ms")), _slots=Scan("sum_all", F.col("_slot")), _before=Scan("lag", F.col("end_ms")), _first=Scan("first", F.col("start_ms")))
+    moves = F.col("_told") - F.col("_slots") > 10
+    gap = F.greatest(F.coalesce(F.col("start_ms") - F.col("_before"), F.lit(0)), F.lit(0))
+    at = at.with_columns(_moves=moves, _gap=gap, _new=F.when(moves, F.col("tts_ms")).otherwise(F.col("_slot")))
+    rows = at.scan(_shift=Scan("sum_before", F.col("_new")), _gaps=Scan("sum_through", F.col("_gap"))).done()
+    start = F.col("_first") + F.col("_shift") + F.col("_gaps")
     moved = F.round(F.when(F.col("_moves"), start).otherwise(F.col("start_ms").cast("double")), 1)
     rows = rows.withColumn("new_start_ms", moved).withColumn("new_end_ms", F.round(F.col("new_start_ms") + F.col("_new"), 1))
     raw = F.round(F.col("_slot") / F.when(F.col("_new") > 0, F.col("_new")), 4)
@@ -151,7 +155,7 @@ def recompute_slots(cues: DataFrame, mode: str = "capped", max_speedup: float =
     mark = F.array_compact(F.array(F.when(zero, "zero_duration_cue_expanded"), F.when(low, F.concat(F.lit("video_speed_below_floor:"), F.format_string("%.2f", raw), F.lit(f"<{min_video_speed:.2f}")))))
     speed = F.when(~F.col("_moves") | zero, 1.0).otherwise(F.greatest(raw, F.lit(min_video_speed)))
     rows = rows.withColumns({"video_speed": speed, "qc_flags": F.concat("qc_flags", mark), "drift_ms": F.round(F.col("_new") - F.col("tts_ms"), 1)})
-    return rows.withColumn("status", classify_drift(F.col("drift_ms"), warn, fail)).drop("_slot", "_moves", "_new", "_gap")
+    return rows.withColumn("status", classify_drift(F.col("drift_ms"), warn, fail)).drop("_slot", "_moves", "_new", "_gap", "_told", "_slots", "_before", "_first", "_shift", "_gaps")
 
 
 def auto_fix(cues: DataFrame) -> DataFrame:
