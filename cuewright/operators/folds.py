@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import input_bytes, stored
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 #: Rows of a key from which on it is cut into runs of about so many.
 RUN_ROWS = 1_000_000
+#: Inputs of up to so many bytes are not searched for such keys: one task is done with all of them soon enough.
+SMALL_INPUT = 64 << 20
 #: Rounds in which all exits are tried as entries; after them only those that are truly met.
 FREE_ROUNDS = 6
 
@@ -52,21 +54,31 @@ def _table(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
 
-def ordered_fold(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema: str, run_rows: int = RUN_ROWS) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, run_rows: int | None) -> tuple[DataFrame, int] | None:
+    """The keys (_hot) with more than run_rows rows, stored, and how many rows they have; None without such keys.
+
+    Without run_rows it is RUN_ROWS, and rows that are made from a small input are not counted.
+    """
+    if run_rows is None and input_bytes(rows) <= SMALL_INPUT:
+        return None
+    sizes = rows.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > (RUN_ROWS if run_rows is None else run_rows))
+    sizes = stored(sizes, "hot-keys")
+    n = sizes.agg(F.sum("count")).first()[0]
+    return (sizes, n) if n else None
+
+
+def ordered_fold(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema: str, run_rows: int | None = None) -> DataFrame:
     """Fold the rows of each value of the first column, in the order given; schema: name and kind of each result column.
 
-    Keys with more than run_rows rows are cut into runs; results are the same. Rows that are equal in key and order are
-    of one run.
+    Keys with more than run_rows rows (see hot_keys) are cut into runs; results are the same. Rows that are equal in key
+    and order are of one run.
     """
     key = rows.columns[0]
-    sizes = rows.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > run_rows)
-    hot = stored(sizes, "hot-keys")
-    n = hot.agg(F.sum("count")).first()[0]
-    if not n:
+    if (found := hot_keys(rows, key, run_rows)) is None:
         return _by_key(rows, order, make, schema)
-    same = F.col(key).eqNullSafe(F.col("_hot"))
+    (hot, n), same = found, F.col(key).eqNullSafe(F.col("_hot"))
     cold = _by_key(rows.join(hot, same, "left_anti"), order, make, schema)
-    return cold.unionByName(_in_runs(rows.join(hot, same, "left_semi"), order, make, schema, -(-n // run_rows) + 1))
+    return cold.unionByName(_in_runs(rows.join(hot, same, "left_semi"), order, make, schema, -(-n // (run_rows or RUN_ROWS)) + 1))
 
 
 def _by_key(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:

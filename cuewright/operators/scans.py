@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from .folds import RUN_ROWS
+from .folds import RUN_ROWS, hot_keys
 
 #: Rows of the table of parts that may be broadcast.
 _FEW_PARTS = 100_000
@@ -97,14 +97,13 @@ class Ordered:
         return self.rows.drop("_part")
 
 
-def in_order(rows: DataFrame, *order: str, key: str = "track_id", hot_rows: int = RUN_ROWS) -> Ordered:
-    """rows for scans by key in order; keys of more than hot_rows rows are cut into parts of about as many. Rows that are equal
-    in key and order are of one part."""
-    sizes = stored(rows.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > hot_rows), "hot-keys")
-    n = sizes.agg(F.sum("count")).first()[0]
-    if not n:
+def in_order(rows: DataFrame, *order: str, key: str = "track_id", hot_rows: int | None = None) -> Ordered:
+    """rows for scans by key in order; keys of more than hot_rows rows (see hot_keys) are cut into parts of about as many. Rows
+    that are equal in key and order are of one part."""
+    if (found := hot_keys(rows, key, hot_rows)) is None:
         return Ordered(rows, key, order, False)
-    same = F.col(key).eqNullSafe(F.col("_hot"))
-    hot = rows.join(sizes, same, "left_semi").repartitionByRange(-(-n // hot_rows) + 1, key, *order).withColumn("_part", F.spark_partition_id())
+    (sizes, n), same = found, F.col(key).eqNullSafe(F.col("_hot"))
+    parts = -(-n // (hot_rows or RUN_ROWS)) + 1
+    hot = rows.join(sizes, same, "left_semi").repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id())
     cold = rows.join(sizes, same, "left_anti").withColumn("_part", F.lit(0))
     return Ordered(stored(hot.unionByName(cold), "rows-in-parts"), key, order, True)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import stored
-from .folds import RUN_ROWS, Fold, ordered_fold
+from .folds import Fold, ordered_fold
 from .scans import Scan, in_order
 from .timeline import track
 
@@ -78,7 +78,7 @@ class _SoftCuts(Fold):
         self.n = json.loads(state)
 
 
-def merge_into_sentences(words: DataFrame, soft: int = 15, hard: int = 25, run_rows: int = RUN_ROWS) -> DataFrame:
+def merge_into_sentences(words: DataFrame, soft: int = 15, hard: int = 25, run_rows: int | None = None) -> DataFrame:
     """Sentences: cut after . ! ?, at a change between two known speakers, after , ; : from `soft` words, at `hard` words.
     A track of more than run_rows words is spread over tasks."""
     before = F.lag("speaker").over(track("word_idx"))
@@ -91,7 +91,7 @@ def merge_into_sentences(words: DataFrame, soft: int = 15, hard: int = 25, run_r
     return _grouped(flat, ["_piece"], "sent_idx")
 
 
-def split_terminator_sentences(words: DataFrame, cap: int = 40, cap_no_term: int = 12, hot_rows: int = RUN_ROWS) -> DataFrame:
+def split_terminator_sentences(words: DataFrame, cap: int = 40, cap_no_term: int = 12, hot_rows: int | None = None) -> DataFrame:
     """Sentences up to . ! ? (not behind abbreviations), cut every `cap` words, or every `cap_no_term` in tracks whose
     first hundred words end none. Tracks of more than hot_rows words are spread over tasks."""
     at = in_order(words.withColumn("_e", _is_end(F.col("text"))), "word_idx", hot_rows=hot_rows)
@@ -144,14 +144,14 @@ class _Rolling(Fold):
         self.kept, self.n = json.loads(state), given
 
 
-def dedup_rolling_segments(segments: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def dedup_rolling_segments(segments: DataFrame, run_rows: int | None = None) -> DataFrame:
     """Rolling captions: a row that contains the last kept one replaces it, a row contained in it is dropped; rows
     without a text stay. A track of more than run_rows rows is spread over tasks."""
     rows = segments.select("track_id", "seg_idx", "text", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))
     return ordered_fold(rows, ["seg_idx"], _Rolling, "track_id long, seg_idx long, text string, start_ms long, end_ms long", run_rows)
 
 
-def runs_of_equal_text(frames: DataFrame, step_ms: int = 1000, least: int = 3, hot_rows: int = RUN_ROWS) -> DataFrame:
+def runs_of_equal_text(frames: DataFrame, step_ms: int = 1000, least: int = 3, hot_rows: int | None = None) -> DataFrame:
     """Segments of consecutive equal texts of more than `least` characters; each ends where the next starts. Tracks of more than
     hot_rows frames are spread over tasks."""
     at = in_order(frames.filter(F.length(F.trim("text")) > least), "ts_ms", hot_rows=hot_rows).scan(_last=Scan("lag", F.col("text")))
@@ -474,7 +474,7 @@ class _Packer(Fold):
         self.held, self.n = json.loads(state), given
 
 
-def pack_sentences(sentences: DataFrame, buffer: float = 0.2, max_sent: int = 2, respect_speakers: bool = True, run_rows: int = RUN_ROWS) -> DataFrame:
+def pack_sentences(sentences: DataFrame, buffer: float = 0.2, max_sent: int = 2, respect_speakers: bool = True, run_rows: int | None = None) -> DataFrame:
     """Cues of up to max_sent sentences within int(16 / (1 + buffer)) words, 5.5 s and one speaker.
 
     sentences: track_id, sent_idx, text, start_ms, end_ms, n_words, speaker. A sentence over the budget is cut into

@@ -50,7 +50,7 @@ def find_terms(rows: DataFrame, text: str, terms: DataFrame, form: str, into: st
     whose form its text contains. Forms are taken as they are; null and empty ones are passed over. A null text has none;
     terms that are repeated are found repeatedly. Without terms every row gets an empty array.
     """
-    terms = terms.filter(F.length(form) > 0)
+    terms = stored(terms.filter(F.length(form) > 0), "terms")
     n = _blocks(terms, form, block_chars)
     kind = StructType([f for f in terms.schema.fields if f.name != form])
     names = rows.columns

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .folds import RUN_ROWS
 from .scans import Scan, in_order
 
 SLOWEST, FASTEST = 1 / 1.1, 1.25
@@ -96,7 +95,7 @@ def timeline_overlap_profile(clips: DataFrame) -> DataFrame:
     return points.select("track_id", "from_ms", F.lead("from_ms").over(w).alias("to_ms"), level.alias("concurrency")).filter("to_ms is not null")
 
 
-def zero_gap_timeline(clips: DataFrame, gap_ms: int = 0, hot_rows: int = RUN_ROWS) -> DataFrame:
+def zero_gap_timeline(clips: DataFrame, gap_ms: int = 0, hot_rows: int | None = None) -> DataFrame:
     """Adds out_start_ms and out_end_ms: clips back to back with a fixed gap. Tracks of more than hot_rows clips are spread over
     tasks."""
     rows = in_order(clips, "seg_idx", hot_rows=hot_rows).scan(out_start_ms=Scan("sum_before", F.col("tts_ms") + gap_ms)).done()
@@ -120,7 +119,7 @@ def classify_drift(d: Column, warn: float = 50, fail: float = 200) -> Column:
     return F.when(F.abs(d) < lo, "ok").when(F.abs(d) < hi, "warn").otherwise("fail")
 
 
-def recompute_slots(cues: DataFrame, mode: str = "capped", max_speedup: float = 1.30, min_video_speed: float = 0.70, warn: int = 50, fail: int = 200, hot_rows: int = RUN_ROWS) -> DataFrame:
+def recompute_slots(cues: DataFrame, mode: str = "capped", max_speedup: float = 1.30, min_video_speed: float = 0.70, warn: int = 50, fail: int = 200, hot_rows: int | None = None) -> DataFrame:
     """New slots for clips that overflow their track. cues: track_id, seg_idx, start_ms, end_ms, tts_ms, qc_flags.
 
     original: nothing moves. capped: clips longer than their slot are sped up, at most max_speedup. audio_first: clips

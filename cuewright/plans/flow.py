@@ -11,6 +11,7 @@ from ..operators import quality as Q
 from ..operators import segmentation as D
 from ..operators import tables as U
 from ..operators import timeline as W
+from ..sources.scratch import stored
 
 
 #: What the flow's fitting may say shorter, and leave out.
@@ -30,4 +31,5 @@ def run_full(v) -> DataFrame:
     found = F.col("qc_flags")
     cues = Q.pre_tts_qc(cues.withColumn("_found", found), "text_fit").withColumn("qc_flags", F.concat("_found", "qc_flags")).drop("_found")
     cues = cues.withColumn("tts_ms", (T.count_words(F.col("text_fit")) * 450).cast("bigint"))
+    cues = stored(cues, "flow-cues")  # what follows looks for large tracks first
     return W.recompute_slots(cues).withColumn("n_flags", F.size("qc_flags"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.folds import RUN_ROWS, Fold, ordered_fold
+from ..operators.folds import Fold, ordered_fold
 from .jobs import ENDED, eta_stream, stuck_jobs_stream
 
 # The steps in order and their weights
@@ -138,7 +138,7 @@ class _HealthFold(Fold):
         self.now = tuple(json.loads(state))
 
 
-def provider_health(results: DataFrame, round_s: int = 10, least: int = 5, run_rows: int = RUN_ROWS) -> DataFrame:
+def provider_health(results: DataFrame, round_s: int = 10, least: int = 5, run_rows: int | None = None) -> DataFrame:
     """engine, ts, health after each result: degraded at a failure; when a round of at least round_s and `least` results
     ends, healthy above a rate of 0.95, struggling below 0.8; else unchanged. Starts healthy.
 
