@@ -199,6 +199,16 @@ def _whole_numbers(vectors: pa.Array, scale: float, offset: int) -> dict[int, tu
     return out
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `most` entries of its vectors, one row at least, so that long vectors are few at a time."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Whitening:
     """What the fit found: n, the sums S, the components with their eigenvalues, the trace and the error of the identity."""
 
@@ -237,8 +247,8 @@ def fit_whitening(vectors: DataFrame, *, components: int = 16, scale: float = 64
     one_thread(vectors.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, x in _whole_numbers(batch.column(0), scale, offset).values():
+        for rows in (r for batch in batches for r in _slices(batch, 0)):
+            for _, x in _whole_numbers(rows.column(0), scale, offset).values():
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x, "<i8"))]).cast(pa.binary())], names=["x"])
 
     fit = staged(vectors.select("embedding").mapInArrow(packed, "x binary").distinct(), "whitening-fit-list")
@@ -307,7 +317,7 @@ def whiten_embeddings(vectors: DataFrame, *, components: int = 16, scale: float
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(fit.values)
         for batch in batches:
-            for rows in small_batches(batch, 4096):
+            for rows in _slices(batch, 1):
                 at, x = _whole_numbers(rows.column(1), scale, offset).get(fit.d, (np.zeros(0, dtype=np.int64), np.zeros((0, fit.d), dtype=np.int64)))
                 if len(at):
                     places = pa.array(np.repeat(at, m))

@@ -189,6 +189,14 @@ def test_deviations_are_exact_or_null(spark):
     assert {r["vec_id"]: r["deviation"] for r in got} == {i: v if v < 1 << 63 else None for i, v in want.items()}
 
 
+def test_long_vectors_pass_a_few_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"e": pa.array([[1.0] * 5, None, [], [2.0] * 30, [3.0], [4.0]], pa.list_(pa.float32()))})
+    parts = list(whitening._slices(batch, 0, most=10))
+    assert [p.num_rows for p in parts] == [3, 1, 2] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
 def test_sums_meet_in_levels(spark):
     parts = spark.createDataFrame([(k % 2, k, json.dumps([k, 1 << 70]).encode()) for k in range(100)], "key int, part long, value binary")
     got = {k: json.loads(v) for k, v in whitening._tree_sum(parts, whitening._add_whole, fan=3).items()}
