@@ -124,7 +124,7 @@ def words_from_segments(segments: DataFrame) -> DataFrame:
 def read_plain_transcript(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Pasted text as sentences: time stamps and noise out, cut after . ! ? but not behind abbreviations; text of more
     than forty words that nothing cuts comes in chunks of twenty. df: track_id and the text."""
-    clean = F.regexp_replace(F.regexp_replace(text_col, r"\b\d{1,2}:\d{2}(:\d{2})?\b", " "), r"(?i)\[[a-z ]+\]|♪", " ")
+    clean = F.regexp_replace(F.regexp_replace(text_col, r"(?<!\w)\d{1,2}:\d{2}(:\d{2})?(?!\w)", " "), r"(?i)\[[a-z ]+\]|♪", " ")
     words = df.select("track_id", F.posexplode(T.tokens(clean)).alias("pos", "w"))
     ends = F.col("w").rlike(r"[.!?]$") & ~F.lower("w").isin(T.ABBREVIATIONS)
     before = Window.partitionBy("track_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
