@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import dealt_anew
 
 STATES = ["queued", "running", "done", "error", "waiting_for_srt"]
 
@@ -104,7 +105,7 @@ def dedupe_links(links: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFram
 
 def sort_segments(df: DataFrame) -> DataFrame:
     """Rows of one track in one partition, by start."""
-    return df.repartition("track_id").sortWithinPartitions("track_id", "start_ms", "seg_idx")
+    return dealt_anew(df, "track_id").sortWithinPartitions("track_id", "start_ms", "seg_idx")
 
 
 def merge_with_priority(df: DataFrame, priority: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -36,3 +37,18 @@ def input_bytes(df: DataFrame) -> int:
     """About how many bytes df reads, by the plan's own statistics; no job is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def reads_unions(df: DataFrame) -> bool:
+    """Whether df's plan has a union."""
+    return "Union" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """The rows of each key in one partition, whatever df's plan says about itself.
+
+    Spark 4.1 takes a union of tables that are all dealt by the key for dealt by it, and leaves out the shuffle; where
+    adaptive execution then merges the partitions of the parts differently, a key's rows lie in several. A key that the
+    planner can't see through brings the shuffle back. Rows without a union keep the shuffle they have.
+    """
+    return df.repartition(F.greatest(key, key) if reads_unions(df) else F.col(key))

@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from cuewright.operators import aggregates as A
+from cuewright.operators import segmentation as D
+from cuewright.operators import tables as U
 from cuewright.sources import subtitles as S
 
 
+@contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_patterns_end_beside_letters_with_marks(spark):
     texts = ["x", "Etierêaux,", "éRank", "éThe", "Catsé", "etier"]
     rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "track_id long, word_idx long, text string")
     assert sorted(map(tuple, A.extract_glossary(rows).collect())) == [(1, "Etier", "rank"), (1, "The Cats", "phrase"), (1, "etier", "rank")]
     rows = spark.createDataFrame([(1, "é12:34é x")], "track_id long, text string")
     assert [r["text"] for r in S.read_plain_transcript(rows).collect()] == ["é é x"]
+
+
+def test_unions_of_dealt_tables_are_dealt_by_key(spark):
+    """Each side is dealt by track and merged by its size; a track's rows meet all the same."""
+    rows = spark.range(40_000).select((F.col("id") % 400).alias("track_id"), F.floor(F.col("id") / 400).alias("k"), F.concat(*(F.sha2(F.concat(F.lit(s), F.col("id").cast("string")), 256) for s in "abcd")).alias("pad"))
+    w = Window.partitionBy("track_id").orderBy("k")
+    place = F.row_number().over(w)
+    one = rows.withColumn("n", place).select("track_id", (2 * F.col("k")).alias("seg_idx"), F.concat(F.lit("x"), "n", F.lit("x")).alias("text"), F.col("k").alias("start_ms"), F.col("k").alias("end_ms"))
+    two = rows.withColumn("n", place).select("track_id", (2 * F.col("k") + 1).alias("seg_idx"), F.concat(F.lit("x"), "n", F.lit("x"), "pad").alias("text"), F.col("k").alias("start_ms"), F.col("k").alias("end_ms"))
+    both = one.unionByName(two)
+    with settings(spark, {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+        assert D.dedup_rolling_segments(both).count() == 40_000
+        parts = U.sort_segments(both).select("track_id", F.spark_partition_id().alias("p")).distinct()
+        assert parts.count() == 400
