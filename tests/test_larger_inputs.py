@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuewright.operators import aggregates as A
 from cuewright.operators import segmentation as D
 from cuewright.operators import tables as U
+from cuewright.plans import views
 from cuewright.sources import subtitles as S
 
 
@@ -45,3 +46,11 @@ def test_unions_of_dealt_tables_are_dealt_by_key(spark):
         assert D.dedup_rolling_segments(both).count() == 40_000
         parts = U.sort_segments(both).select("track_id", F.spark_partition_id().alias("p")).distinct()
         assert parts.count() == 400
+
+
+def test_tracks_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(views, "TRACK_BYTES", 2_000)
+    v = views.Views(spark, "/root/testdata/sf0.01")
+    parts = v.words.select("track_id", F.spark_partition_id().alias("p")).distinct()
+    assert parts.select("p").distinct().count() > 30
+    assert parts.count() == v.segments.select("track_id").distinct().count()
