@@ -378,3 +378,16 @@ def test_five_word_shingles_are_the_default():
     import inspect
 
     assert inspect.signature(near_duplicates.near_duplicates).parameters["shingle_words"].default == 5
+
+
+def test_toxic_texts_that_only_induced_voters_know():
+    """Two fifths of the toxic texts have none of the words known beforehand; the label vouches for them."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(12_000) < 1 / 3).astype(int)
+    other = (y == 1) & (rng.random(len(y)) < 0.4)
+    seeds = (rng.random((len(y), 40)) < np.where((y == 1) & ~other, 0.12, 0.0005)[:, None]).astype(float)
+    induced = ((rng.integers(0, 6, len(y))[:, None] == np.arange(6)) & other[:, None] | (rng.random((len(y), 6)) < 0.001)).astype(float)
+    model = toxicity.LabelModel(np.hstack((seeds, induced)), y, seeds=40)
+    heard = other & induced.any(axis=1)
+    assert (model.posterior[heard] >= 0.5).mean() > 0.95
+    assert (model.posterior[y == 0] < 0.5).mean() > 0.99
