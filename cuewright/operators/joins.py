@@ -64,10 +64,19 @@ def interval_join(left: DataFrame, right: DataFrame, *, slack_ms: int = 0, bucke
     return pairs.drop("_id", "_hits", "_k")
 
 
-def best_overlap(left: DataFrame, right: DataFrame, key: str, rank: Column, *, slack_ms: int = 0, bucket_ms: int | None = BUCKET_MS, extra: dict[str, Column] | None = None) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, key: str, rank: Column, *, slack_ms: int = 0, bucket_ms: int | None = BUCKET_MS, extra: dict[str, Column] | None = None, sure: Column | None = None, rival: Column | None = None) -> DataFrame:
     """Each row of left (one for a track and key) with the overlapping row of right that ranks highest: l.*, r,
-    overlap_ms, and the `extra` expressions of both; null where nothing overlaps. rank may use r, overlap_ms and extra."""
-    pairs = _by_bucket(left, right, slack_ms, bucket_ms, "left").withColumns(extra or {})
+    overlap_ms, and the `extra` expressions of both; null where nothing overlaps. rank may use r, overlap_ms and extra.
+
+    sure: pairs that only others of the kind, or those of `rival`, can equal in rank. Where a row has one, `extra` is not
+    evaluated for the rest.
+    """
+    pairs = _by_bucket(left, right, slack_ms, bucket_ms, "left")
+    if sure is not None:
+        pairs = pairs.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+        settled = F.max("_sure").over(Window.partitionBy("track_id", key))
+        pairs = pairs.withColumn("_settled", settled).filter(F.col("_sure") | ~F.col("_settled") | F.coalesce(rival, F.lit(False))).drop("_sure", "_settled")
+    pairs = pairs.withColumns(extra or {})
     found = F.col("r").isNotNull()
     own = [c for c in left.columns if c not in ("track_id", key)]
     theirs = ["r", "overlap_ms", *(extra or {})]
@@ -114,6 +123,7 @@ def align_reference(ours: DataFrame, ref: DataFrame, mode: str = "coverage", sla
     text: the most similar text among near rows; MATCH from 0.5, else MISMATCH; fast: by edit distance instead.
     NO_REF where no row is near.
     """
+    sure = rival = None
     if mode == "coverage":
         ratio = F.col("overlap_ms") / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(100))
         rank = F.struct("overlap_ms", -F.col("r.ref_idx"))
@@ -121,11 +131,12 @@ def align_reference(ours: DataFrame, ref: DataFrame, mode: str = "coverage", sla
         from .udfs import similarity_ratio
 
         a, b = F.lower("text"), F.lower("r.text")
-        near = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+        near = F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
         ratio = near if fast else similarity_ratio(a, b)
         rank = F.struct("ratio", -F.col("r.ref_idx"))
+        sure, rival = a == b, F.length(a) + F.length(b) >= 10_000  # unlike texts as long as that may be alike in four digits
     ratio = F.when(F.col("r").isNotNull(), F.round(ratio, 4))
-    best = best_overlap(ours.select("track_id", "seg_idx", "start_ms", "end_ms", "text"), ref, "seg_idx", rank, slack_ms=slack_ms, bucket_ms=bucket_ms, extra={"ratio": ratio})
+    best = best_overlap(ours.select("track_id", "seg_idx", "start_ms", "end_ms", "text"), ref, "seg_idx", rank, slack_ms=slack_ms, bucket_ms=bucket_ms, extra={"ratio": ratio}, sure=sure, rival=rival)
     good = F.col("overlap_ms") > 500 if mode == "coverage" else F.col("ratio") >= 0.5
     words = ("COVERED", "GAP") if mode == "coverage" else ("MATCH", "MISMATCH")
     status = F.when(F.col("r").isNull(), "NO_REF").when(good, words[0]).otherwise(words[1])

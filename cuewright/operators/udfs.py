@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:

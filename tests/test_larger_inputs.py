@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuewright.operators import aggregates as A
+from cuewright.operators import joins as J
 from cuewright.operators import segmentation as D
 from cuewright.operators import tables as U
+from cuewright.operators import udfs
 from cuewright.plans import views
 from cuewright.sources import subtitles as S
 
@@ -54,3 +57,25 @@ def test_tracks_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     parts = v.words.select("track_id", F.spark_partition_id().alias("p")).distinct()
     assert parts.select("p").distinct().count() > 30
     assert parts.count() == v.segments.select("track_id").distinct().count()
+
+
+def test_equal_texts_settle_an_alignment(spark, monkeypatch):
+    """Beside an equal text no other is compared, unless it is so long that four digits may not tell them apart."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return (a == b).astype(float)
+
+    monkeypatch.setattr(udfs, "similarity_ratio", counted)
+    names = "track_id long, seg_idx long, start_ms long, end_ms long, text string"
+    ours = spark.createDataFrame([(1, 0, 0, 1000, "One"), (1, 1, 1000, 2000, "two"), (1, 2, 90_000, 91_000, None)], names)
+    ref = spark.createDataFrame([(1, 0, 0, 1000, "six"), (1, 1, 500, 1500, "one"), (1, 2, 1000, 2000, "oner")], names).withColumnRenamed("seg_idx", "ref_idx")
+    got = J.align_reference(ours, ref, mode="text").orderBy("seg_idx").collect()
+    assert [(r["best_ref"], r["ratio"]) for r in got] == [(1, 1.0), (0, 0.0), (None, None)]
+    assert calls.value <= 6  # of nine: one pair of the first row, three of the second; the rest are buckets without a pair
+    long = "x" * 30_000
+    ours, ref = (spark.createDataFrame(r, names) for r in ([(1, 0, 0, 1000, long)], [(1, 0, 0, 1000, long[1:]), (1, 1, 0, 1000, long)]))
+    got = J.align_reference(ours, ref.withColumnRenamed("seg_idx", "ref_idx"), mode="text", fast=True).collect()
+    assert [(r["best_ref"], r["ratio"]) for r in got] == [(0, 1.0)]
