@@ -46,11 +46,11 @@ class Fold:
         raise NotImplementedError
 
 
-def _kinds(schema: str) -> pa.Schema:
+def row_kinds(schema: str) -> pa.Schema:
     return pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
 
-def _table(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+def row_batch(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
 
@@ -82,7 +82,7 @@ def ordered_fold(rows: DataFrame, order: list[str], make: Callable[[], Fold], sc
 
 
 def _by_key(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
-    kinds, key = _kinds(schema), rows.columns[0]
+    kinds, key = row_kinds(schema), rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, fold, out = None, None, []
@@ -94,10 +94,10 @@ def _by_key(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema:
                     last, fold = row[0], make()
                 out += fold.take(*row)
             if out:
-                yield _table(out, kinds)
+                yield row_batch(out, kinds)
                 out = []
         if fold is not None and (out := list(fold.end())):
-            yield _table(out, kinds)
+            yield row_batch(out, kinds)
 
     return dealt_anew(rows, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
@@ -129,7 +129,7 @@ def _in_runs(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema
         every = data.unionByName(begin)
         every = every.repartition(runs, "_part", "_try") if all_rows else every.repartition("_part", "_try")  # tries may be few
         every = every.sortWithinPartitions("_part", "_try", key, "_flag", *order)
-        return every.mapInArrow(lambda batches: _resumed(batches, make, _kinds(schema if all_rows else _TRIED), all_rows), schema if all_rows else _TRIED)
+        return every.mapInArrow(lambda batches: _resumed(batches, make, row_kinds(schema if all_rows else _TRIED), all_rows), schema if all_rows else _TRIED)
 
     def tried(new: DataFrame, kind: str) -> DataFrame:
         """new: part, key, entry. The same with exit and emitted."""
@@ -188,10 +188,10 @@ def _resumed(batches: Iterator[pa.RecordBatch], make: Callable[[], Fold], kinds:
             else:
                 given += len(found)
         if out:
-            yield _table(out, kinds)
+            yield row_batch(out, kinds)
             out = []
     if out := list(close()):
-        yield _table(out, kinds)
+        yield row_batch(out, kinds)
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,16 +8,17 @@ in long tracks, over runs of words whose tables of entries and exits are folded
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import stored
-from .folds import Fold, ordered_fold
+from ..sources.scratch import dealt_anew, stored
+from .folds import Fold, ordered_fold, row_batch, row_kinds
 from .scans import Scan, in_order
 from .timeline import track
 
@@ -390,31 +391,91 @@ def _solved(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
     return w.cues(pdf["track_id"].iloc[0], cuts, own + over, method, base)
 
 
-def _whole(pdf: pd.DataFrame, optimal: bool) -> pd.DataFrame:
-    """The cues of a whole track."""
-    w, cuts = _Words(pdf), None
+#: Words of whole tracks that are solved at a time.
+_TOGETHER = 32_768
+
+
+def _cheapest_each(cost: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_cheapest for many tracks at a time, each entered at its first word: word by word, all tracks that are so long.
+
+    Track t has the rows of cost from starts[t] on, sizes[t] of them and one that no cue may have; results have a place for
+    each row.
+    """
+    ending = np.full((len(cost), WORDS_MAX), _NEVER)  # by the word they end before, the longest cue first
+    for n in range(1, min(WORDS_MAX, len(cost) - 1) + 1):
+        ending[n:, WORDS_MAX - n] = cost[: len(cost) - n, n - 1]
+    held, back = np.full(len(cost) + WORDS_MAX, _NEVER), np.full(len(cost), -1)
+    held[starts + WORDS_MAX] = 0
+    by_size = np.argsort(-sizes, kind="stable")
+    starts, longer = starts[by_size], np.searchsorted(-sizes[by_size], -np.arange(sizes.max(initial=0) + 1), side="right")
+    window = np.arange(WORDS_MAX)
+    for j in range(1, len(longer)):
+        at = starts[: longer[j]] + j
+        total = held[at[:, None] + window] + ending[at]
+        k = total.argmin(axis=1)
+        found = total[np.arange(len(at)), k]
+        possible = found < _POSSIBLE
+        held[at[possible] + WORDS_MAX] = found[possible]
+        back[at[possible]] = (at - WORDS_MAX + k)[possible]
+    return held[WORDS_MAX:], back
+
+
+def _together(tracks: list[list[tuple]], optimal: bool) -> list[tuple]:
+    """The cues of whole tracks, each a list of (track_id, text, start_ms, end_ms, speaker, term_id) in order."""
+    sizes = np.array([len(t) for t in tracks])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    # behind each track a word that belongs to no cue and begins where the track ends, so that there is no pause
+    rows = [r for t in tracks for r in (*t, (None, "", t[-1][3], t[-1][3], None, None))]
+    _, text, start, end, speaker, term = map(list, zip(*rows, strict=True))
+    text, start, end = ["" if t is None else t for t in text], np.array(start, dtype=float), np.array(end, dtype=float)
     if optimal:
-        entry = np.full((1, len(pdf) + 1), _NEVER)
-        entry[0, 0] = 0
-        best, back = _cheapest(w.costs(), entry)
-        cuts = _walk(back[0], len(pdf)) if best[0, -1] < _POSSIBLE else None
-    method = "greedy" if cuts is None else "optimal"
-    return w.cues(pdf["track_id"].iloc[0], greedy_cuts(w.start, w.end, w.text) if cuts is None else cuts, len(pdf), method)
+        cost = _units(cue_costs(start, end, text, speaker, term))
+        beyond = np.repeat(starts + sizes, sizes + 1) - np.arange(len(rows))  # words up to the track's end
+        cost[beyond[:, None] < np.arange(1, WORDS_MAX + 1)] = _NEVER
+        best, back = _cheapest_each(cost, starts, sizes)
+    out = []
+    for t, (first, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+        stop = first + size
+        if optimal and best[stop] < _POSSIBLE:
+            cuts, method = _walk(back, stop), "optimal"
+        else:
+            cuts, method = [first + c for c in greedy_cuts(start[first:stop], end[first:stop], text[first:stop])], "greedy"
+        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], stop], strict=True)):
+            out.append((tracks[t][0][0], k, int(start[a]), int(end[b - 1]), " ".join(text[a:b]), b - a, speaker[a], method))
+    return out
+
+
+def _whole_tracks(batches: Iterator[pa.RecordBatch], optimal: bool) -> Iterator[pa.RecordBatch]:
+    """The cues of the tracks of a partition, whose rows come in order; many tracks at a time, as most are short."""
+    kinds, tracks, words = row_kinds(CUES), [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not tracks or row[0] != tracks[-1][0][0]:
+                if words >= _TOGETHER:
+                    yield row_batch(_together(tracks, optimal), kinds)
+                    tracks, words = [], 0
+                tracks.append([])
+            tracks[-1].append(row)
+            words += 1
+    if tracks:
+        yield row_batch(_together(tracks, optimal), kinds)
 
 
 def _cues(words: DataFrame, optimal: bool, run: int = _RUN) -> DataFrame:
-    """Tracks of up to `run` words are solved each in one group. Longer ones are dealt by runs of that many words: each
+    """Tracks of up to `run` words are solved whole, many at a time. Longer ones are dealt by runs of that many words: each
     run's table of entries and exits, a fold of these small tables by track, then each run's cues."""
     have = lambda c: F.col(c) if c in words.columns else F.lit(None).cast("string")
     rows = words.select("track_id", "word_idx", "text", "start_ms", "end_ms", have("speaker").alias("speaker"), have("term_id").alias("term_id"))
     before = F.lag("term_id").over(track("word_idx"))
     rows = rows.withColumns({"_k": F.row_number().over(track("word_idx")) - 1, "_joined": F.coalesce(before == F.col("term_id"), F.lit(False)), "_n": F.count("*").over(Window.partitionBy("track_id"))})
     rows = stored(rows.drop("word_idx"), "words-of-tracks")  # read up to three times below
-    cues = rows.filter(F.col("_n") <= run).drop("_n").groupBy("track_id").applyInPandas(lambda pdf: _whole(pdf, optimal), CUES)
+    short = dealt_anew(rows.filter(F.col("_n") <= run), "track_id").sortWithinPartitions("track_id", "_k")
+    cues = short.select("track_id", "text", "start_ms", "end_ms", "speaker", "term_id").mapInArrow(lambda batches: _whole_tracks(batches, optimal), CUES)
     long = rows.filter(F.col("_n") > run).withColumn("_run", F.floor(F.col("_k") / run).cast("long"))
     if not long.isEmpty():
-        cues = cues.unionByName(_long_cues(long, optimal, run))
-    return cues.withColumn("cue_idx", (F.row_number().over(track("cue_idx")) - 1).cast("int"))
+        numbered = _long_cues(long, optimal, run).withColumn("cue_idx", (F.row_number().over(track("cue_idx")) - 1).cast("int"))
+        cues = cues.unionByName(numbered)
+    return cues
 
 
 def _long_cues(rows: DataFrame, optimal: bool, run: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -79,3 +82,39 @@ def test_equal_texts_settle_an_alignment(spark, monkeypatch):
     ours, ref = (spark.createDataFrame(r, names) for r in ([(1, 0, 0, 1000, long)], [(1, 0, 0, 1000, long[1:]), (1, 1, 0, 1000, long)]))
     got = J.align_reference(ours, ref.withColumnRenamed("seg_idx", "ref_idx"), mode="text", fast=True).collect()
     assert [(r["best_ref"], r["ratio"]) for r in got] == [(0, 1.0)]
+
+
+def test_short_tracks_are_solved_many_at_a_time(monkeypatch):
+    """One table of costs for many tracks, and the cues each track has by itself; a track without any falls back alone."""
+    calls, costs = [], D.cue_costs
+    monkeypatch.setattr(D, "cue_costs", lambda *a: calls.append(len(a[0])) or costs(*a))
+    rng, tracks = random.Random(7), {}
+    for t in range(60):
+        at, rows = 0, []
+        for _ in range(rng.choice([1, 2, 15, 16, 17, 60])):
+            at += rng.choice([100, 400, 900])
+            long = 9000 if t % 7 == 3 else 350  # no cue may hold such a word
+            rows.append((t, rng.choice(["a", "b.", "c,", None]), at, at + long, rng.choice(["x", "y", None, ""]) if t % 2 else "x", rng.choice([None, "t"])))
+        tracks[t] = rows
+    names = ["track_id", "text", "start_ms", "end_ms", "speaker", "term_id"]
+    flat = [r for t in tracks.values() for r in t]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in flat[k : k + 100]]) for k in range(0, len(flat), 100)]
+    got = [r for b in D._whole_tracks(iter(batches), True) for r in b.to_pylist()]
+    assert calls == [len(flat) + len(tracks)]
+    want = []
+    for t, rows in tracks.items():
+        start, end = (np.array([r[k] for r in rows], float) for k in (2, 3))
+        text, speaker, term = ([r[k] for r in rows] for k in (1, 4, 5))
+        text = [x or "" for x in text]
+        cuts = D.cheapest_cuts(costs(start, end, text, speaker, term))
+        method, cuts = ("greedy", D.greedy_cuts(start, end, text)) if cuts is None else ("optimal", cuts)
+        want += [(t, k, int(start[a]), " ".join(text[a:b]), b - a, method) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(rows)], strict=True))]
+    assert [(r["track_id"], r["cue_idx"], r["start_ms"], r["text"], r["n_words"], r["method"]) for r in got] == want
+    assert {r["method"] for r in got} == {"greedy", "optimal"}
+
+
+def test_a_table_of_one_short_track(spark):
+    rows = spark.createDataFrame([(1, k, w, 400 * k, 400 * k + 350) for k, w in enumerate(["a", "b", "c."])], "track_id long, word_idx long, text string, start_ms long, end_ms long")
+    for build in (D.build_cues_dp, D.build_cues_greedy):
+        assert [(r["cue_idx"], r["text"], r["n_words"], r["speaker"]) for r in build(rows).collect()] == [(0, "a b c.", 3, None)]
+        assert build(rows.limit(0)).count() == 0
