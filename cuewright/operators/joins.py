@@ -31,9 +31,9 @@ def overlap_ms(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
 
 
-def _by_bucket(left: DataFrame, right: DataFrame, slack_ms: int, bucket_ms: int | None, how: str) -> DataFrame:
+def _by_bucket(left: DataFrame, right: DataFrame, slack_ms: int, bucket_ms: int | None, how: str, bucket: str | None = None) -> DataFrame:
     """Rows l.*, r, overlap_ms of one evaluation of the join. With buckets a left join gives a row that overlaps nothing
-    in some of its buckets a null r there, besides what it overlaps in others."""
+    in some of its buckets a null r there, besides what it overlaps in others. bucket: a column to keep the bucket in."""
     r = right.select(F.col("track_id").alias("_t"), F.struct(*[c for c in right.columns if c != "track_id"]).alias("r"))
     over = overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r.start_ms"), F.col("r.end_ms"))
     times = [F.col(c) for c in ("start_ms", "end_ms", "r.start_ms", "r.end_ms")]
@@ -44,7 +44,8 @@ def _by_bucket(left: DataFrame, right: DataFrame, slack_ms: int, bucket_ms: int
         left = left.withColumn("_b", F.explode_outer(ends(F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms)))
         r = r.withColumn("_c", F.explode(ends(F.col("r.start_ms"), F.col("r.end_ms"))))
         on = on & (F.col("_b") == F.col("_c")) & (F.col("_b") == F.greatest(at(F.col("start_ms") - slack_ms), at(F.col("r.start_ms"))))
-    return left.join(r, on, how).withColumn("overlap_ms", F.when(F.col("r").isNotNull(), over)).drop("_t", "_b", "_c")
+    pairs = left.join(r, on, how).withColumn("overlap_ms", F.when(F.col("r").isNotNull(), over)).drop("_t", "_c")
+    return pairs.drop("_b") if bucket is None else pairs.withColumnRenamed("_b", bucket)
 
 
 def interval_join(left: DataFrame, right: DataFrame, *, slack_ms: int = 0, bucket_ms: int | None = BUCKET_MS, how: str = "left") -> DataFrame:
@@ -70,8 +71,12 @@ def best_overlap(left: DataFrame, right: DataFrame, key: str, rank: Column, *, s
 
     sure: pairs that only others of the kind, or those of `rival`, can equal in rank. Where a row has one, `extra` is not
     evaluated for the rest.
+
+    With buckets (and without `sure`) the best of each bucket is found where the join has put its rows, and stored; only rows
+    that touch several buckets are shuffled once more.
     """
-    pairs = _by_bucket(left, right, slack_ms, bucket_ms, "left")
+    apart = bucket_ms is not None and sure is None
+    pairs = _by_bucket(left, right, slack_ms, bucket_ms, "left", "_at" if apart else None)
     if sure is not None:
         pairs = pairs.withColumn("_sure", F.coalesce(sure, F.lit(False)))
         settled = F.max("_sure").over(Window.partitionBy("track_id", key))
@@ -80,8 +85,18 @@ def best_overlap(left: DataFrame, right: DataFrame, key: str, rank: Column, *, s
     found = F.col("r").isNotNull()
     own = [c for c in left.columns if c not in ("track_id", key)]
     theirs = ["r", "overlap_ms", *(extra or {})]
-    best = pairs.groupBy("track_id", key).agg(F.first(F.struct(*own)).alias("_own"), F.max_by(F.struct(*theirs), F.when(found, rank)).alias("_best"))
-    return best.select("track_id", key, "_own.*", "_best.*")
+
+    def of(rows: DataFrame, *keys: str) -> DataFrame:
+        best = rows.groupBy(*keys).agg(F.first(F.struct(*own)).alias("_own"), F.max_by(F.struct(*theirs), F.when(found, rank)).alias("_best"))
+        return best.select("track_id", key, "_own.*", "_best.*")
+
+    if not apart:
+        return of(pairs, "track_id", key)
+    at = lambda c: F.floor(c / bucket_ms)
+    several = F.coalesce(at(F.col("end_ms") + slack_ms) > at(F.col("start_ms") - slack_ms), F.lit(False))
+    best = stored(of(pairs, "track_id", "_at", key).withColumn("_several", several), "best-of-buckets")
+    again = of(best.filter("_several").drop("_several"), "track_id", key)
+    return best.filter("not _several").drop("_several").unionByName(again)
 
 
 def reconcile_words(text_words: DataFrame, timing_words: DataFrame, bucket_ms: int | None = BUCKET_MS) -> DataFrame:

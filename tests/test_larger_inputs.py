@@ -118,3 +118,24 @@ def test_a_table_of_one_short_track(spark):
     for build in (D.build_cues_dp, D.build_cues_greedy):
         assert [(r["cue_idx"], r["text"], r["n_words"], r["speaker"]) for r in build(rows).collect()] == [(0, "a b c.", 3, None)]
         assert build(rows.limit(0)).count() == 0
+
+
+def test_only_rows_of_several_buckets_are_shuffled_again(spark):
+    """The best of a bucket is found where the join has put its rows; results are those of all pairs."""
+    rng = random.Random(3)
+
+    def words(n, null=False):
+        rows = [(t, k, f"w{k}", s := rng.randrange(0, 3000), s + rng.choice([0, 50, 200, 1500]), None) for t in range(3) for k in range(n)]
+        return [*rows, (1, n, "none", None, 5, None), (1, n + 1, "far", 90_000, 90_100, None)] if null else rows
+
+    names = "track_id long, word_idx long, text string, start_ms long, end_ms long, speaker string"
+    ours, theirs = spark.createDataFrame(words(80, True), names), spark.createDataFrame(words(60), names)
+    rank = F.struct("overlap_ms", -F.col("r.word_idx"))
+    got = J.best_overlap(ours, theirs, "word_idx", rank, bucket_ms=250)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("_several") > 0
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # each side is shuffled, as larger tables are
+        shuffled = sorted(map(str, J.best_overlap(ours, theirs, "word_idx", rank, bucket_ms=250).collect()))
+    want = sorted(map(str, J.best_overlap(ours, theirs, "word_idx", rank, bucket_ms=None).collect()))
+    assert sorted(map(str, got.collect())) == shuffled == want
+    assert len(want) == 3 * 80 + 2
