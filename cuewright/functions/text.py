@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -205,6 +205,11 @@ def normalize_punct(text: Column) -> Column:
     return F.trim(text)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with a lambda's variable for the value, so that it is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shorten_by_substitution(text: Column, target: Column, substitutions: Mapping[str, str], fillers: Sequence[str] = (), protected: Sequence[str] = ()) -> Column:
     """While there are more words than target: substitutions by characters saved, then fillers, each at its first place;
     then the shortest clause between commas goes, and at last that between dandas. Of equal ones the last clause goes;
@@ -217,7 +222,7 @@ def shorten_by_substitution(text: Column, target: Column, substitutions: Mapping
         def apply(t: Column, rule: Column) -> Column:
             at = F.position(rule["old"], t)
             once = F.concat(F.substring(t, F.lit(1), at - 1), rule["new"], F.substring(t, at + F.length(rule["old"]), F.length(t)))
-            return F.when((count_words(t) > target) & (at > 0), F.trim(F.regexp_replace(once, r"\s{2,}", " "))).otherwise(t)
+            return F.when((at > 0) & (count_words(t) > target), F.trim(F.regexp_replace(once, r"\s{2,}", " "))).otherwise(t)
 
         text = F.aggregate(F.array(*(F.struct(F.lit(k).alias("old"), F.lit(v).alias("new")) for k, v in rules)), text, apply)
 
@@ -226,10 +231,11 @@ def shorten_by_substitution(text: Column, target: Column, substitutions: Mapping
         sized = F.transform(parts, lambda clause, k: F.struct(count_words(clause).alias("n"), (-k).alias("back"), clause.alias("clause")))
         locked = lambda c: F.exists(F.array(*map(F.lit, protected)), lambda p: F.contains(c, p)) if protected else F.lit(False)
         worst = F.array_min(F.filter(sized, lambda s: (s["back"] < 0) & (s["n"] > 0) & ~locked(s["clause"])))
-        rest = F.concat(F.slice(parts, F.lit(1), -worst["back"]), F.slice(parts, 2 - worst["back"], F.size(parts)))
-        joined = F.trim(F.regexp_replace(F.array_join(rest, mark), r"\s{2,}", " "))
-        ended = F.when((joined == "") | joined.rlike(r"[।!?,]$"), joined).otherwise(F.concat(joined, F.lit("।")))
-        return F.when((count_words(t) > target) & worst.isNotNull(), ended).otherwise(t)
+        rest = lambda at: F.concat(F.slice(parts, F.lit(1), -at), F.slice(parts, 2 - at, F.size(parts)))
+        joined = lambda at: F.trim(F.regexp_replace(F.array_join(rest(at), mark), r"\s{2,}", " "))
+        ended = lambda x: F.when((x == "") | x.rlike(r"[।!?,]$"), x).otherwise(F.concat(x, F.lit("।")))
+        shorter = _with(worst["back"], lambda at: F.when(at.isNotNull(), _with(joined(at), ended)).otherwise(t))
+        return F.when(F.contains(t, F.lit(mark)) & (count_words(t) > target), shorter).otherwise(t)
 
     # a lambda's variable stands for the text, so that the expression does not repeat itself
     text = F.get(F.transform(F.array(text), lambda t: without(t, ",")), 0)
@@ -238,9 +244,13 @@ def shorten_by_substitution(text: Column, target: Column, substitutions: Mapping
 
 def compress_if_needed(text: Column, slot_ms: Column, substitutions: Mapping[str, str], fillers: Sequence[str] = (), wpm: int = 120, protected: Sequence[str] = ()) -> Column:
     """Shorten where the estimated speech is over 125 % of a slot of more than 0.3 s."""
-    long = (count_words(text) * 60_000 / F.lit(wpm)) > slot_ms * 1.25
     target = F.greatest(F.floor(slot_ms * 1.25 * wpm / 60_000).cast("int"), F.lit(3))
-    return F.when((slot_ms > 300) & long, shorten_by_substitution(text, target, substitutions, fillers, protected)).otherwise(text)
+
+    def fitted(t: Column) -> Column:
+        long = (count_words(t) * 60_000 / F.lit(wpm)) > slot_ms * 1.25
+        return F.when((slot_ms > 300) & long, shorten_by_substitution(t, target, substitutions, fillers, protected)).otherwise(t)
+
+    return _with(text, fitted)
 
 
 def naturalness_score(text: Column, banned: Sequence[str] = BANNED_FORMAL) -> Column:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cuewright.functions import text as T
 from cuewright.operators import aggregates as A
 from cuewright.operators import joins as J
 from cuewright.operators import segmentation as D
@@ -139,3 +140,12 @@ def test_only_rows_of_several_buckets_are_shuffled_again(spark):
     want = sorted(map(str, J.best_overlap(ours, theirs, "word_idx", rank, bucket_ms=None).collect()))
     assert sorted(map(str, got.collect())) == shuffled == want
     assert len(want) == 3 * 80 + 2
+
+
+def test_a_text_is_worked_out_once_to_be_shortened(spark):
+    """However often the rules look at it, the expression of the text stands in the plan once."""
+    rows = spark.createDataFrame([("a  b, c d, e f. g h", 1000), ("x", 5000), (None, 1000), ("p q r s t u v", 900)], "text string, slot long")
+    fit = T.compress_if_needed(F.regexp_replace("text", "marker", ""), F.col("slot"), {"x y": "z"}, ["p "])
+    out = rows.select(fit.alias("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("marker") == 1
+    assert [r["t"] for r in out.collect()] == ["a b, e f. g h।", "x", None, "q r s t u v"]
