@@ -2,17 +2,18 @@
 
 Both keep a job's state between micro-batches and act on timers. Event-time timers fire when the watermark has passed them,
 so they see a job's events in order however these arrive within the watermark's delay; a silent job, of which no event
-comes, is found by its timer too. Both need the RocksDB state store.
+comes, is found by its timer too. Silent jobs need the RocksDB state store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 ENDED = ("done", "error", "waiting_for_srt")
 _NEVER = (-1, -1)
@@ -30,58 +31,39 @@ def next_eta(first_us: int, largest: float, us: int, overall: float | None) -> t
     return left, max(largest, overall)
 
 
-class _Eta(StatefulProcessor):
-    """Holds a job's events until the watermark has passed them, then takes them in order."""
-
-    def __init__(self, forget_ms: int) -> None:
-        self.forget_ms = forget_ms
+#: What is kept of a job: its first and last event that were taken, the largest progress, and events that wait.
+_ETA_STATE = "first long, last long, largest double, us array<long>, seq array<long>, overall array<double>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.far = handle.getValueState("far", "first long, last long, largest double")
-        self.waiting = handle.getListState("waiting", "us long, seq long, overall double")
-
-    def _wake(self, at_ms: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [tuple(r) for part in rows for r in part[["us", "seq", "overall"]].itertuples(index=False)]
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        held += [(int(us), int(seq), None if pd.isna(p) else float(p)) for us, seq, p in new]
-        self.waiting.put(held)
-        self._wake(min(us for us, _, _ in held) // 1000 + 1)
-        return iter(())
+def _eta_of_job(forget_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Holds a job's events until the watermark has passed them, then takes them in order."""
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        first, last, largest, *waiting = state.get if state.exists else (None, None, 0.0, (), (), ())
+        held = list(zip(*waiting, strict=True))
+        for part in parts:  # a timer comes without rows
+            overall = [None if p is None or p != p else p for p in part["overall"].tolist()]
+            held += zip(part["us"].tolist(), part["seq"].tolist(), overall, strict=True)
         ready = sorted((r for r in held if r[0] // 1000 < now), key=lambda r: r[:2])
         later = [r for r in held if r[0] // 1000 >= now]
-        first, last, largest = self.far.get() if self.far.exists() else (None, None, 0.0)
         out = []
         for us, seq, overall in ready:
-            if first is None or us - last > 1000 * self.forget_ms:
+            if first is None or us - last > 1000 * forget_ms:
                 first, largest = us, 0.0
             last = us
             left, largest = next_eta(first, largest, us, overall)
             out.append((key[0], seq, us, overall, left))
-        if ready:
-            self.far.update((first, last, largest))
-            self.waiting.put(later) if later else self.waiting.clear()
-        if later:
-            self._wake(min(us for us, _, _ in later) // 1000 + 1)
-        elif last is not None and now >= last // 1000 + self.forget_ms:
-            self.far.clear()
-        elif last is not None:
-            self._wake(last // 1000 + self.forget_ms)
+        if later or last is not None and now < last // 1000 + forget_ms:
+            state.update((first, last, largest, *(map(list, zip(*later, strict=True)) if later else ([], [], []))))
+            # a timer fires when the watermark is beyond it
+            state.setTimeoutTimestamp(max(1, min(us for us, _, _ in later) // 1000 if later else last // 1000 + forget_ms))
+        elif state.exists:
+            state.remove()
         if out:
-            frame = pd.DataFrame(out, columns=["job_id", "seq", "us", "overall", "eta_s"])
-            yield frame.astype({"overall": "Float64", "eta_s": "Float64"})
+            yield pd.DataFrame(out, columns=["job_id", "seq", "us", "overall", "eta_s"])
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def eta_stream(progress: DataFrame, delay: str = "10 seconds", forget_s: int = 7 * 86_400) -> DataFrame:
@@ -92,7 +74,7 @@ def eta_stream(progress: DataFrame, delay: str = "10 seconds", forget_s: int = 7
     """
     rows = progress.filter("ts is not null").select("job_id", F.coalesce("seq", F.lit(-1)).alias("seq"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "overall")
     rows = rows.withWatermark("ts", delay).groupBy("job_id")
-    out = rows.transformWithStateInPandas(_Eta(1000 * forget_s), "job_id long, seq long, us long, overall double, eta_s double", "Append", "EventTime")
+    out = rows.applyInPandasWithState(_eta_of_job(1000 * forget_s), "job_id long, seq long, us long, overall double, eta_s double", _ETA_STATE, "append", "EventTimeTimeout")
     return out.select("job_id", "seq", F.timestamp_micros("us").alias("ts"), "overall", F.round("eta_s", 1).alias("eta_s"))
 
 

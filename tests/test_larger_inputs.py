@@ -19,6 +19,7 @@ from cuewright.operators import tables as U
 from cuewright.operators import udfs
 from cuewright.plans import views
 from cuewright.sources import subtitles as S
+from cuewright.streaming import jobs
 
 
 @contextmanager
@@ -149,3 +150,53 @@ def test_a_text_is_worked_out_once_to_be_shortened(spark):
     out = rows.select(fit.alias("t"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("marker") == 1
     assert [r["t"] for r in out.collect()] == ["a b, e f. g h।", "x", None, "q r s t u v"]
+
+
+class _State:
+    """A job's state as a processor sees it; counts how often it is asked."""
+
+    def __init__(self, now):
+        self.now, self.value, self.timer, self.asked = now, None, None, 0
+
+    exists = property(lambda self: self.value is not None)
+
+    @property
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.now
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        assert at >= max(1, self.now)
+        self.timer = at
+
+
+def test_a_jobs_state_is_read_and_written_once_a_call():
+    """However many events wait; events come out in order, once the watermark has passed them, and the job is forgotten at last."""
+    run, state, frame = jobs._eta_of_job(10_000), _State(0), lambda rows: pd.DataFrame(rows, columns=["us", "seq", "overall"])
+    rng = random.Random(5)
+    times = [1000 * rng.randrange(0, 9_000) for _ in range(300)]
+    rows = [(us, k, rng.choice([None, us / 1e7, us / 2e7])) for k, us in enumerate(times)]
+    assert list(run((7,), iter([frame(rows[:100]), frame(rows[100:])]), state)) == []
+    assert state.asked == 1 and state.timer == max(1, min(rows)[0] // 1000)
+    found = []
+    for now in (4_000, 9_000):
+        state.now, state.asked = now, 0
+        found += [r for f in run((7,), iter([frame([])]), state) for r in f.astype(object).where(f.notna(), None).itertuples(index=False, name=None)]
+        assert state.asked == 2 and len(found) == sum(us // 1000 < now for us, _, _ in rows)
+    first, largest, want = min(rows)[0], 0.0, []
+    for us, seq, p in sorted(rows, key=lambda r: r[:2]):
+        left, largest = jobs.next_eta(first, largest, us, p)
+        want.append((7, seq, us, p, left))
+    assert found == want and sum(w[4] is not None for w in want) > 3
+    state.now = state.timer + 1
+    assert list(run((7,), iter([frame([])]), state)) == [] and not state.exists
