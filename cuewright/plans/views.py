@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.scratch import input_bytes
 
-#: Bytes of stored conversations in one partition of tracks. Words take about fifty times as much in memory.
-TRACK_BYTES = 512 << 10
+#: Bytes of texts in one partition of tracks. Where all their words are sorted or hashed they take some 500 MB.
+TRACK_BYTES = 768 << 10
 STEP_OF = {"view": "download", "click": "extract", "signup": "transcribe", "purchase": "translate", "error": "synthesize"}
 
 
@@ -29,11 +29,12 @@ class Views:
 
     @cached_property
     def segments(self) -> DataFrame:
-        t = T.tokens(F.col("text"))
-        rows = self.table("conversations").select(F.col("conv_id").alias("track_id"), F.col("turn").alias("seg_idx"), F.col("role").alias("speaker"), "text", t.alias("toks"))
+        rows = self.table("conversations").select(F.col("conv_id").alias("track_id"), F.col("turn").alias("seg_idx"), F.col("role").alias("speaker"), "text")
+        if input_bytes(rows) // TRACK_BYTES > 8:  # else Spark would deal tracks by the size of their texts, before words are made of them
+            size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # stored bytes say little where texts repeat
+            rows = rows.repartition(max(9, size // TRACK_BYTES), "track_id")
+        rows = rows.withColumn("toks", T.tokens(F.col("text")))
         rows = rows.withColumns({"n": F.size("toks"), "gap_ms": 200 * ((F.col("track_id") + F.col("seg_idx")) % 5)}).withColumn("dur_ms", F.col("n").cast("bigint") * 400)
-        if (parts := input_bytes(rows) // TRACK_BYTES) > 8:  # else Spark would deal tracks by the size of their texts, before words are made of them
-            rows = rows.repartition(parts, "track_id")
         before = Window.partitionBy("track_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("start_ms", F.coalesce(F.sum(F.col("dur_ms") + F.col("gap_ms")).over(before), F.lit(0)))
         return rows.withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))

@@ -200,3 +200,18 @@ def test_a_jobs_state_is_read_and_written_once_a_call():
     assert found == want and sum(w[4] is not None for w in want) > 3
     state.now = state.timer + 1
     assert list(run((7,), iter([frame([])]), state)) == [] and not state.exists
+
+
+def test_tracks_are_dealt_by_their_texts_however_these_are_stored(spark, tmp_path, monkeypatch):
+    """Texts that repeat take little room in a file and much in a task; words are made behind the shuffle."""
+    n = 150  # different texts of 1920 letters in each of four files, ten times each
+    pieces = [F.sha2(F.concat((F.col("id") % n).cast("string"), F.lit(f" {k} "), F.spark_partition_id().cast("string")), 256) for k in range(30)]
+    rows = spark.range(0, 40 * n, numPartitions=4).select(F.floor(F.col("id") / 4).alias("conv_id"), (F.col("id") % 4).alias("turn"), F.lit("user").alias("role"), F.concat(*pieces).alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(views, "TRACK_BYTES", 100_000)
+    v = views.Views(spark, str(tmp_path))
+    assert views.input_bytes(v.table("conversations")) < 2_000_000
+    assert v.segments.select(F.spark_partition_id()).distinct().count() > 80
+    assert v.segments.count() == 40 * n
+    plan = v.segments._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" in plan.split("RepartitionByExpression")[0] and "split" not in plan.split("RepartitionByExpression")[1]
