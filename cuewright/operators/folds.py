@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import dealt_anew, input_bytes, stored
+from ..sources.scratch import in_key_order, input_bytes, stored
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 #: Rows of a key from which on it is cut into runs of about so many.
@@ -99,7 +99,7 @@ def _by_key(rows: DataFrame, order: list[str], make: Callable[[], Fold], schema:
         if fold is not None and (out := list(fold.end())):
             yield row_batch(out, kinds)
 
-    return dealt_anew(rows, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return in_key_order(rows, key, order).mapInArrow(run, schema)
 
 
 _HEAD = ["_part", "_try", "_flag", "_entry", "_given", "_more"]

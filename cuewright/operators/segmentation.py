@@ -57,39 +57,46 @@ def _grouped(words: DataFrame, keys: list[str], name: str) -> DataFrame:
     return out.withColumn(name, (F.row_number().over(track("first_word")) - 1).cast("int")).drop("first_word", *keys)
 
 
-class _SoftCuts(Fold):
-    """Counts the words of the sentence at hand, which is all that later cuts depend on."""
+class _Sentences(Fold):
+    """Holds the words of the sentence at hand, at most `hard` of them; their number is all that later cuts depend on."""
 
     def __init__(self, soft: int, hard: int) -> None:
-        self.soft, self.hard, self.n = soft, hard, 0
+        self.soft, self.hard, self.track_id, self.words, self.n = soft, hard, None, [], 0
 
     def take(self, track_id: object, word_idx: int, cut: bool, comma: bool, *rest: object) -> Iterable[tuple]:
-        if cut:
-            self.n = 0
-        first = self.n == 0
-        self.n += 1
-        if self.n >= self.hard or comma and self.n >= self.soft:
-            self.n = 0
-        return [(track_id, word_idx, first, *rest)]
+        out = self._closed(track_id) if cut and self.words else []
+        self.words.append((word_idx, *rest))
+        self.track_id = track_id
+        if len(self.words) >= self.hard or comma and len(self.words) >= self.soft:
+            out += self._closed(track_id)
+        return out
+
+    def _closed(self, track_id: object) -> list[tuple]:
+        placed = [w for w in self.words if w[0] is not None]
+        start, end, speaker = (placed[0][2], placed[-1][3], placed[0][4]) if placed else (None, None, None)
+        out = [(track_id, " ".join(w[1] for w in self.words if w[1] is not None), start, end, len(self.words), speaker, self.n)]
+        self.words, self.n = [], self.n + 1
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        return self._closed(self.track_id) if self.words else ()
 
     def state(self) -> str:
-        return json.dumps(self.n)
+        return json.dumps((self.track_id, self.words))
 
     def resume(self, state: str, given: int) -> None:
-        self.n = json.loads(state)
+        (self.track_id, self.words), self.n = json.loads(state), given
 
 
 def merge_into_sentences(words: DataFrame, soft: int = 15, hard: int = 25, run_rows: int | None = None) -> DataFrame:
     """Sentences: cut after . ! ?, at a change between two known speakers, after , ; : from `soft` words, at `hard` words.
     A track of more than run_rows words is spread over tasks."""
-    before = F.lag("speaker").over(track("word_idx"))
-    cut = F.coalesce(_ends(F.lag("text").over(track("word_idx")), ".!?"), F.lit(False)) | F.coalesce(before != F.col("speaker"), F.lit(False))
-    times = (F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms"))
-    rows = words.select("track_id", F.col("word_idx").cast("long").alias("word_idx"), cut.alias("_cut"), _ends(F.col("text"), ",;:").alias("_comma"), "text", *times, "speaker")
-    schema = "track_id long, word_idx long, first boolean, text string, start_ms long, end_ms long, speaker string"
-    flat = ordered_fold(rows, ["word_idx"], lambda: _SoftCuts(soft, hard), schema, run_rows)
-    flat = flat.withColumn("_piece", F.sum(F.col("first").cast("int")).over(track("word_idx").rowsBetween(Window.unboundedPreceding, 0)))
-    return _grouped(flat, ["_piece"], "sent_idx")
+    w = Window.partitionBy("track_id").orderBy("word_idx", "text")
+    words = words.select("track_id", *(F.col(c).cast("long").alias(c) for c in ("word_idx", "start_ms", "end_ms")), "text", "speaker")
+    cut = F.coalesce(_ends(F.lag("text").over(w), ".!?"), F.lit(False)) | F.coalesce(F.lag("speaker").over(w) != F.col("speaker"), F.lit(False))
+    rows = words.select("track_id", "word_idx", cut.alias("_cut"), _ends(F.col("text"), ",;:").alias("_comma"), "text", "start_ms", "end_ms", "speaker")
+    schema = "track_id long, text string, start_ms long, end_ms long, n_words int, speaker string, sent_idx int"
+    return ordered_fold(rows, ["word_idx", "text"], lambda: _Sentences(soft, hard), schema, run_rows)
 
 
 def split_terminator_sentences(words: DataFrame, cap: int = 40, cap_no_term: int = 12, hot_rows: int | None = None) -> DataFrame:

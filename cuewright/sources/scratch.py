@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,13 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     planner can't see through brings the shuffle back. Rows without a union keep the shuffle they have.
     """
     return df.repartition(F.greatest(key, key) if reads_unions(df) else F.col(key))
+
+
+def in_key_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows of each key in one partition, sorted by key and order. Rows that lie so by key stay where they are, in however
+    many partitions: a shuffle by the session's number would make the partitions of a large input as many as those of a small one.
+    """
+    if reads_unions(df):
+        return dealt_anew(df, key).sortWithinPartitions(key, *order)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))  # a window's rows come by key and in order
+    return df.withColumn("_place", place).filter("_place > 0").drop("_place").sortWithinPartitions(key, *order)

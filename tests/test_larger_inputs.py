@@ -215,3 +215,16 @@ def test_tracks_are_dealt_by_their_texts_however_these_are_stored(spark, tmp_pat
     assert v.segments.count() == 40 * n
     plan = v.segments._jdf.queryExecution().optimizedPlan().toString()
     assert "split" in plan.split("RepartitionByExpression")[0] and "split" not in plan.split("RepartitionByExpression")[1]
+
+
+def test_sentences_are_made_where_their_tracks_lie(spark, monkeypatch):
+    """Tracks that have been dealt are not dealt again by the session's number of partitions; rows of other tables are."""
+    monkeypatch.setattr(views, "TRACK_BYTES", 2_000)
+    got = D.merge_into_sentences(views.Views(spark, "/root/testdata/sf0.01").words)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert got.select(F.spark_partition_id()).distinct().count() > 30
+    names = "track_id long, word_idx long, text string, start_ms long, end_ms long, speaker string"
+    rows = [(1, 3, "c.", 30, 35, "s"), (1, None, "n", 1, 2, "s"), (1, 1, "b", 10, 15, "s"), (1, 1, None, 10, 15, "s"), (1, 4, "d", 40, None, None), (None, 0, None, 0, 5, None)]
+    got = D.merge_into_sentences(spark.createDataFrame(rows, names).repartition(3)).collect()
+    want = [(1, "n b c.", 10, 35, 4, "s", 0), (1, "d", 40, None, 1, None, 1), (None, "", 0, 5, 1, None, 0)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
