@@ -35,16 +35,18 @@ def _by_bucket(left: DataFrame, right: DataFrame, slack_ms: int, bucket_ms: int
     """Rows l.*, r, overlap_ms of one evaluation of the join. With buckets a left join gives a row that overlaps nothing
     in some of its buckets a null r there, besides what it overlaps in others. bucket: a column to keep the bucket in."""
     r = right.select(F.col("track_id").alias("_t"), F.struct(*[c for c in right.columns if c != "track_id"]).alias("r"))
+    r = r.withColumns({"_from": F.col("r.start_ms"), "_to": F.col("r.end_ms")})
     over = overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r.start_ms"), F.col("r.end_ms"))
-    times = [F.col(c) for c in ("start_ms", "end_ms", "r.start_ms", "r.end_ms")]
-    on = reduce(and_, (t.isNotNull() for t in times), (F.col("track_id") == F.col("_t")) & (over > -slack_ms))
+    # over > -slack_ms, said so that most pairs need one or two comparisons; a time that is null is in one that fails
+    near = [b - a > -slack_ms for a, b in ((F.col("_from"), F.col("end_ms")), (F.col("start_ms"), F.col("_to")), (F.col("start_ms"), F.col("end_ms")), (F.col("_from"), F.col("_to")))]
+    on = reduce(and_, near, F.col("track_id") == F.col("_t"))
     if bucket_ms is not None:
         at = lambda c: F.floor(c / bucket_ms).cast("bigint")
         ends = lambda s, e: F.sequence(at(s), F.greatest(at(s), at(e)))
         left = left.withColumn("_b", F.explode_outer(ends(F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms)))
-        r = r.withColumn("_c", F.explode(ends(F.col("r.start_ms"), F.col("r.end_ms"))))
-        on = on & (F.col("_b") == F.col("_c")) & (F.col("_b") == F.greatest(at(F.col("start_ms") - slack_ms), at(F.col("r.start_ms"))))
-    pairs = left.join(r, on, how).withColumn("overlap_ms", F.when(F.col("r").isNotNull(), over)).drop("_t", "_c")
+        r = r.withColumn("_c", F.explode(ends(F.col("_from"), F.col("_to"))))
+        on = on & (F.col("_b") == F.col("_c")) & (F.col("_b") == F.greatest(at(F.col("start_ms") - slack_ms), at(F.col("_from"))))
+    pairs = left.join(r, on, how).withColumn("overlap_ms", F.when(F.col("r").isNotNull(), over)).drop("_t", "_c", "_from", "_to")
     return pairs.drop("_b") if bucket is None else pairs.withColumnRenamed("_b", bucket)
 
 

@@ -228,3 +228,21 @@ def test_sentences_are_made_where_their_tracks_lie(spark, monkeypatch):
     got = D.merge_into_sentences(spark.createDataFrame(rows, names).repartition(3)).collect()
     want = [(1, "n b c.", 10, 35, 4, "s", 0), (1, "d", 40, None, 1, None, 1), (None, "", 0, 5, 1, None, 0)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_most_pairs_of_a_track_need_one_comparison(spark):
+    """Pairs that overlap, by loops, with times that are null, turned round or without length; the join has plain comparisons."""
+    rng = random.Random(9)
+
+    def some(n, name):
+        rows = [(rng.choice([1, 2, None]), k, rng.choice([None, s := rng.randrange(0, 900), s]), rng.choice([None, s + rng.choice([-60, 0, 40, 300]), s])) for k in range(n)]
+        return rows, spark.createDataFrame(rows, f"track_id long, {name} long, start_ms long, end_ms long")
+
+    (ours, a), (theirs, b) = some(90, "seg_idx"), some(70, "ref_idx")
+    for slack in (0, 50):
+        hits = {x[1]: [y[1] for y in theirs if None not in (x[0], *x[2:], *y[2:]) and x[0] == y[0] and min(x[3], y[3]) - max(x[2], y[2]) > -slack] for x in ours}
+        want = sorted((i, r) for i, found in hits.items() for r in found or [-1])
+        got = J.interval_join(a, b, slack_ms=slack, bucket_ms=None)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "least" not in next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+        assert sorted((r["seg_idx"], -1 if r["r"] is None else r["r"]["ref_idx"]) for r in got.collect()) == want
